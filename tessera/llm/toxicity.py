@@ -213,7 +213,7 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts) + self.offset, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(self.worst(texts), 1.0) + self.offset, -30, 30)))
 
 
 def train(texts: list[str], labels: list[int], prior: float) -> Model:
@@ -261,7 +261,7 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
         value = x @ v + bias
         marked = first | (value > 0) & (odds >= ODDS)
     model = Model((profiles @ (white @ v)).astype(np.float32)[rows_of], bias)
-    model.slope, model.offset = _logistic(model.worst(texts), y, prior)
+    model.slope, model.offset = _logistic(np.minimum(model.worst(texts), 1.0), y, prior)
     model.cache.clear()
     return model
 
