@@ -33,11 +33,11 @@ from tessera.llm.common import held_out, training_labels
 ORDER, SPAN, DECAY = 3, 7, 0.5
 #: Letters a word is looked at at once, and the step between such windows in longer words.
 WINDOW, STEP = 24, 12
-#: Labelled documents of each class the machine is trained on, at most (the first by a hash of the id).
-SAMPLE = 3000
+#: Labelled documents of class 0 and of class 1 the machine is trained on, at most (the first by a hash of the id).
+SAMPLE = (3000, 1500)
 #: Steepest logistic curve over decision values.
 STEEPEST = 10.0
-LANDMARKS = 96
+LANDMARKS = 80
 ROUNDS = 3
 #: Least odds of a word in toxic documents, and at first its least distance from chance in standard errors, for it to make
 #: a sentence toxic; the weight of such a sentence.
@@ -123,7 +123,7 @@ def kernels(words: list[str], table: np.ndarray, rows: np.ndarray | None = None)
     flat = table.reshape(-1, width)
     for n, (ids, parts) in _windows(words).items():
         i, j, k, weight = _SHAPES[n]
-        step = max(1, 4_000_000 // (len(i) * width))
+        step = max(1, 2_000_000 // (len(i) * width))
         for a in range(0, len(parts), step):
             c = _codes(parts[a : a + step], n)
             u = (c[:, i] * CLASSES + c[:, j]) * CLASSES + c[:, k]
@@ -152,18 +152,21 @@ def _profiles(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return matrix, rows
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the primal."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    v = np.zeros(x1.shape[1])
-    reg = np.full(len(v), ridge)
-    reg[-1] = 1e-3
+def _svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss over x[rows], by Newton steps on the primal; strip by strip, to save memory."""
+    width = x.shape[1]
+    v, reg = np.zeros(width + 1), np.diag([ridge] * width + [1e-3])
     for _ in range(25):
-        on = y * (x1 @ v) < 1
-        a = x1[on]
-        left = (a * weight[on, None]).T @ a + np.diag(reg)
-        new = np.linalg.solve(left, (a * (weight[on] * y[on])[:, None]).sum(0))
-        if np.abs(new - v).max() < 1e-6:
+        left, right = reg.copy(), np.zeros(width + 1)
+        for k in range(0, len(rows), 20_000):
+            part = slice(k, k + 20_000)
+            a = np.hstack([x[rows[part]], np.ones((len(rows[part]), 1))])
+            on = y[part] * (a @ v) < 1
+            a, w = a[on], weight[part][on]
+            left += (a * w[:, None]).T @ a
+            right += a.T @ (w * y[part][on])
+        new = np.linalg.solve(left, right)
+        if np.abs(new - v).max() < 1e-5:
             break
         v = new
     return v[:-1], float(v[-1])
@@ -221,10 +224,15 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
     y = np.array(labels)
     if len(set(labels)) < 2:
         return Model(np.zeros(CLASSES**ORDER, np.float32), constant=float(prior))
-    bags = [[s for s in map(words_of, SENTENCE.split(t)) if s] for t in texts]
     seen = (Counter(), Counter())
-    for bag, label in zip(bags, labels):
-        seen[label].update({w for s in bag for w in s})
+    bags = []  # the sentences of toxic documents
+    for text, label in zip(texts, labels):
+        if label:
+            bags += [s for s in map(words_of, SENTENCE.split(text)) if s]
+        seen[label].update(words_of(text))
+    for s in bags:
+        for w in s:
+            seen[1].setdefault(w, 1)  # pieces that only sentences show
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
 
     def telling(w: str) -> float:
@@ -243,21 +251,22 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
 
     vocabulary = sorted({*seen[0], *seen[1]})
     at = {w: k for k, w in enumerate(vocabulary)}
-    x = (kernels(vocabulary, profiles, rows_of) @ white).astype(np.float32)
+    x = np.concatenate([kernels(vocabulary[k : k + 20_000], profiles, rows_of) @ white.astype(np.float32) for k in range(0, len(vocabulary), 20_000)])
     negative = np.array([at[w] for w in seen[0]])
     weight0 = np.array([seen[0][w] for w in seen[0]], float)
     value = np.array([telling(w) for w in vocabulary])
     # A first guess at what makes a sentence toxic: in several toxic documents, and far rarer in the others.
     odds = np.array([(seen[1][w] + 0.1) / (n1 + 1) * (n0 + 1) / (seen[0][w] + 0.1) for w in vocabulary])
     marked = first = (value >= EVIDENCE) & (odds >= ODDS)
-    sentences = [np.array([at[w] for w in s]) for bag, label in zip(bags, labels) if label == 1 for s in bag]
+    sentences = [np.array([at[w] for w in s], np.int32) for s in bags]
+    del bags, ranked, usable
     for _ in range(ROUNDS):
         best = np.array([s[value[s].argmax()] for s in sentences])
         witness, times = np.unique(best[marked[best]] if marked[best].any() else best, return_counts=True)
         rows = np.concatenate([witness, negative])
         target = np.concatenate([np.ones(len(witness)), -np.ones(len(negative))])
-        weights = np.concatenate([np.minimum(times * POSITIVE, 400.0), np.minimum(weight0, 20.0)])
-        v, bias = _svm(x[rows], target, weights)
+        weights = np.concatenate([np.minimum(times * POSITIVE, 400.0), np.minimum(weight0, 100.0)])
+        v, bias = _svm(x, rows, target, weights)
         value = x @ v + bias
         marked = first | (value > 0) & (odds >= ODDS)
     model = Model((profiles @ (white @ v)).astype(np.float32)[rows_of], bias)
@@ -271,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
     known = training_labels(labels, column)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     prior = counts.get(1, 0) / max(sum(counts.values()), 1)
-    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
+    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[k]) for k in (0, 1)]
     sample = chosen[0].union(chosen[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").collect()
     return train([r["text"] or "" for r in rows], [r["label"] for r in rows], prior)
