@@ -166,7 +166,7 @@ WITH RECURSIVE w AS (
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
-), e AS (SELECT doc_id, unnest(s) AS g FROM s),
+), e AS (SELECT doc_id, md5_number(unnest(s)) AS g FROM s),
 n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * c >= 75 * (x.n + y.n - c)),

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media, mixing, neighbours, packing, pages, quality, toxicity
+from tessera.llm import dedup, media, mixing, neighbours, packing, pages, quality, toxicity
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,4 +49,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_neighbours": neighbours.SQL}
+    return {"op1_near_dedup": dedup.SQL, "op9_neighbours": neighbours.SQL}
