@@ -5,11 +5,11 @@ paragraphs in a line. Each line with words is hashed; two neighbours' hashes mak
 gram of its own. Of WINDOW grams in a row the least is a fingerprint, so that any repeated run of WINDOW + 1 lines shares
 one. A fingerprint's later places are joined with its first one (within a document: with the one before); along the offset
 of both places the hashes of the two documents are compared, which extends the match both ways, and runs of equal lines of
-at least MIN_WORDS words are deleted from the later document. Order is by doc_id, then by content, then by place.
+at least MIN_WORDS words are deleted from the later document, with the blank lines inside them. Order is by doc_id, then by content, then by place.
 
 Nulls and edges: a null text stays null; rows without an id come first; rows that share id and text are one document and
 all get the same result; other rows that share an id count as documents of their own; lines without words are never
-fingerprints and stay. An empty table gives an empty result. `drop_repeats` keeps extra columns; internal names start
+fingerprints and stay, but inside a deleted run. An empty table gives an empty result. `drop_repeats` keeps extra columns; internal names start
 with `__`.
 """
 
@@ -25,17 +25,33 @@ MIN_WORDS = 25
 WINDOW = 3
 #: Where lines end; the parts keep their ends, so that joining them gives the text.
 SPLIT = "(?<=\\n)|(?<=[.!?]\\x20)"
+MARK = "\x01"
 
 
 def _uid() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def _parts(text: Column) -> Column:
+    """The lines of a text. Where it has no mark of its own, marks are set at line ends, which is faster than SPLIT."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, SPLIT, -1)).otherwise(F.split(marked, MARK, -1))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(__uid, doc_id, h, n, at): hash, words and number of each line with words."""
-    lines = F.expr(f"transform(split(text, '{SPLIT}', -1), (x, i) -> named_struct('h', xxhash64(trim(BOTH ' \\t\\r\\n' FROM x)), 'n', regexp_count(x, '{WORD}'), 'at', i))".replace("\\", "\\\\"))
-    rows = docs.where(F.col("text").isNotNull()).select(_uid().alias("__uid"), F.col("doc_id").cast("long").alias("doc_id"), F.filter(lines, lambda x: x["n"] > 0).alias("l"))
-    return rows.select("__uid", "doc_id", F.col("l.h").alias("h"), F.col("l.n").alias("n"), F.col("l.at").alias("at"))
+    """(__uid, doc_id, h, n, at): hash, words and number of each line with words; a written table, a row for each __uid."""
+    one = lambda x, i: F.struct(F.xxhash64(F.trim(x, F.lit(" \t\r\n"))).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n"), i.alias("at"))
+    lines = F.filter(F.transform(_parts(F.col("text")), one), lambda x: x["n"] > 0)
+    rows = docs.where(F.col("text").isNotNull()).select(_uid().alias("__uid"), F.col("doc_id").cast("long").alias("doc_id"), lines.alias("l"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows.select("__uid", "doc_id", F.col("l.h").alias("h"), F.col("l.n").alias("n"), F.col("l.at").alias("at"), "row"), "lines")
+    # Repeated rows are few, if any: only they are dealt out, not all lines.
+    again = materialize(rows.groupBy("__uid").agg(F.min("row").alias("stays"), F.count(F.lit(1)).alias("times")).where("times > 1").select("__uid", "stays"), "lines-again")
+    if again.isEmpty():
+        return rows.drop("row")
+    extra = rows.select("__uid", "row").join(again, "__uid").where("row <> stays").select("row")
+    return materialize(rows.join(extra, "row", "left_anti").drop("row"), "lines-once")
 
 
 def _fingerprints(lines: DataFrame) -> DataFrame:
@@ -51,21 +67,21 @@ def _fingerprints(lines: DataFrame) -> DataFrame:
 
 
 def _runs(h: str, n: str, other: str, shift: str) -> Column:
-    """Numbers (in h) of the lines in runs of at least MIN_WORDS words equal to other's, shift places before."""
+    """First and last numbers (in h) of runs of lines of at least MIN_WORDS words equal to other's, shift places before."""
     return F.expr(f"""
-      aggregate(sequence(0, size({h})), named_struct('out', cast(array() AS array<int>), 'from', 0, 'words', 0),
+      aggregate(sequence(0, size({h})), named_struct('out', cast(array() AS array<struct<a:int,b:int>>), 'from', 0, 'words', 0),
         (a, i) -> CASE
           WHEN i < size({h}) AND i - {shift} >= 0 AND i - {shift} < size({other}) AND get({h}, i) = get({other}, i - {shift})
             THEN named_struct('out', a.out, 'from', a.from, 'words', a.words + get({n}, i))
-          WHEN a.words >= {MIN_WORDS} THEN named_struct('out', concat(a.out, sequence(a.from, i - 1)), 'from', i + 1, 'words', 0)
+          WHEN a.words >= {MIN_WORDS} THEN named_struct('out', concat(a.out, array(named_struct('a', a.from, 'b', i - 1))), 'from', i + 1, 'words', 0)
           ELSE named_struct('out', a.out, 'from', i + 1, 'words', 0) END,
         a -> a.out)
     """)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(__uid, gone): numbers of the lines to delete from each document that has any."""
-    lines = materialize(_lines(docs).dropDuplicates(["__uid"]), "lines")
+    """(__uid, gone): first and last numbers of the lines to delete from each document that has any."""
+    lines = _lines(docs)
     prints = materialize(_fingerprints(lines), "lines-prints")
     # The first document of each fingerprint that occurs again; null ids count as the smallest.
     order = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
@@ -84,18 +100,34 @@ def repeats(docs: DataFrame) -> DataFrame:
     mine = lines.select("__uid", "h", "n", "at")
     theirs = lines.select(F.col("__uid").alias("other"), F.col("h").alias("oh"))
     found = materialize(along, "lines-along").join(mine, "__uid").join(theirs, "other").select("__uid", "at", _runs("h", "n", "oh", "shift").alias("run")).where(F.size("run") > 0)
-    each = found.select("__uid", F.explode(F.transform("run", lambda i: F.get("at", i))).alias("k")).distinct()
-    return materialize(each.groupBy("__uid").agg(F.sort_array(F.collect_list("k")).alias("gone")), "lines-gone")
+    lines_of = lambda r: F.struct(F.get("at", r["a"]).alias("a"), F.get("at", r["b"]).alias("b"))
+    each = found.select("__uid", F.explode(F.transform("run", lines_of)).alias("r"))
+    return materialize(each.groupBy("__uid").agg(F.collect_set("r").alias("gone")), "lines-gone")
+
+
+def _kept(gone: Column) -> Column:
+    """Struct of `kept`, slices (from, n) of lines before and between the ranges of gone, and `next`, where the rest begins."""
+    zero = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<a:int,n:int>>").alias("kept"), F.lit(0).alias("lost"))
+
+    def step(acc: Column, r: Column) -> Column:
+        gap = F.array(F.struct(acc["next"].alias("a"), (r["a"] - acc["next"]).alias("n")))
+        end = F.greatest(acc["next"], r["b"] + 1)
+        lost = acc["lost"] + F.greatest(F.lit(0), end - F.greatest(acc["next"], r["a"]))
+        return F.struct(end.alias("next"), F.when(r["a"] > acc["next"], F.concat(acc["kept"], gap)).otherwise(acc["kept"]).alias("kept"), lost.alias("lost"))
+
+    return F.aggregate(F.array_sort(gone), zero, step)
 
 
 def _cleaned(docs: DataFrame) -> DataFrame:
-    """docs with __lines, __gone (how many) and __text, the text without them."""
-    gone = repeats(docs).withColumnRenamed("__uid", "__key").hint("shuffle_hash")
+    """docs with __gone (how many lines) and __text, the text without them."""
+    gone = repeats(docs).select(F.col("__uid").alias("__key"), _kept(F.col("gone")).alias("__cut")).hint("shuffle_hash")
     rows = docs.withColumn("__key", F.when(F.col("text").isNotNull(), _uid())).join(gone, "__key", "left")
-    parts = F.split("text", SPLIT, -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], text.alias("__text"), F.coalesce(F.size("gone"), F.lit(0)).alias("__gone"))
+    rows = rows.withColumn("__parts", F.when(F.col("__cut").isNotNull(), _parts(F.col("text"))))
+    parts = F.col("__parts")
+    rest = F.slice(parts, F.col("__cut.next") + 1, F.size(parts))
+    kept = F.concat(F.flatten(F.transform("__cut.kept", lambda k: F.slice(parts, k["a"] + 1, k["n"]))), rest)
+    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], text.alias("__text"), F.coalesce(F.col("__cut.lost"), F.lit(0)).alias("__gone"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -103,7 +135,7 @@ def digest(docs: DataFrame) -> DataFrame:
     out = _cleaned(docs.select("doc_id", "text"))
     return out.select(
         "doc_id",
-        F.greatest(F.col("__gone"), F.lit(0)).cast("long").alias("n_lines_removed"),
+        F.col("__gone").cast("long").alias("n_lines_removed"),
         (F.coalesce(F.length("text"), F.lit(0)) - F.coalesce(F.length("__text"), F.lit(0))).cast("long").alias("n_chars_removed"),
         F.col("__text").alias("text"),
     )
