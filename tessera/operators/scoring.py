@@ -149,9 +149,9 @@ def keyword_signals(pages: DataFrame) -> DataFrame:
             regex = java(rf"(?i)\b(?:{p})\b")
             # The letters that every match begins with are searched for first, which is far cheaper than the pattern.
             begins = re.match(r"[a-z0-9]+(?![?a-z0-9])|[a-z0-9]+(?=[a-z0-9]\?)", p)[0]
-            hits = F.when(F.contains("low", F.lit(begins)), F.regexp_count("text", F.lit(regex))).otherwise(0).alias("hits")
-            rows.append(F.struct(F.lit(p).alias("pattern"), F.lit(severity).alias("severity"), hits, F.regexp_extract("text", regex, 0).alias("first")))
-    found = text.select("page_id", F.explode(F.filter(F.array(*rows), lambda r: r["hits"] > 0)).alias("s"))
+            one = F.struct(F.lit(p).alias("pattern"), F.lit(severity).alias("severity"), F.regexp_count("text", F.lit(regex)).alias("hits"), F.regexp_extract("text", regex, 0).alias("first"))
+            rows.append(F.when(F.contains("low", F.lit(begins)), one))
+    found = text.select("page_id", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull() & (r["hits"] > 0))).alias("s"))
     return found.select("page_id", "s.pattern", "s.severity", F.col("s.hits").cast("long").alias("hits"), "s.first")
 
 
