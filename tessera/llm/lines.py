@@ -1,28 +1,32 @@
-"""Line dedup by winnowing over line hashes. DataFrame functions only.
+"""Line dedup by the shortest runs of lines that reach MIN_WORDS. DataFrame functions only.
 
 A line ends at a line feed, or at a full stop, exclamation or question mark and a space, since corpora hold whole
-paragraphs in a line. Each line with words is hashed; two neighbours' hashes make a gram, and a line of MIN_WORDS words is a
-gram of its own. Of WINDOW grams in a row the least is a fingerprint, so that any repeated run of WINDOW + 1 lines shares
-one. A fingerprint's later places are joined with its first one (within a document: with the one before); along the offset
-of both places the hashes of the two documents are compared, which extends the match both ways, and runs of equal lines of
-at least MIN_WORDS words are deleted from the later document, with the blank lines inside them. Order is by doc_id, then by content, then by place.
+paragraphs in a line. A run of lines (those without words aside) of at least MIN_WORDS words is deleted wherever an equal run
+stands at an earlier place, with the blank lines inside it; order is by doc_id, then by content, then by place.
+
+Each line with words is hashed. A core is a run of MIN_WORDS words that falls short of them without its first line and
+without its last. Every run of MIN_WORDS words holds one, so only cores that occur again can be part of a repeated run. Around
+these, the runs are hashed that reach MIN_WORDS only with their first line or only with their last, and pairs of lines that
+are cores each. Such runs within a repeated run cover all of it, and which they are follows from the lines inside them alone;
+so a line is deleted if one of them around it isn't at the first of all its places. Documents are never compared in pairs.
 
 Nulls and edges: a null text stays null; rows without an id come first; rows that share id and text are one document and
-all get the same result; other rows that share an id count as documents of their own; lines without words are never
-fingerprints and stay, but inside a deleted run. An empty table gives an empty result. `drop_repeats` keeps extra columns; internal names start
+all get the same result; other rows that share an id count as documents of their own; lines without words stay,
+but inside a deleted run. An empty table gives an empty result. `drop_repeats` keeps extra columns; internal names start
 with `__`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, materialize
 
 #: Least words of a run that is deleted.
 MIN_WORDS = 25
-WINDOW = 3
+#: Lines whose words are summed up at once.
+BLOCK = 256
 #: Where lines end; the parts keep their ends, so that joining them gives the text.
 SPLIT = "(?<=\\n)|(?<=[.!?]\\x20)"
 MARK = "\x01"
@@ -40,12 +44,31 @@ def _parts(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.split(text, SPLIT, -1)).otherwise(F.split(marked, MARK, -1))
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body, with name bound to value, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _cores(n: str) -> str:
+    """SQL of the cores' first and last lines, by place, from the lines' numbers of words."""
+    # The line of each word (of a line's first MIN_WORDS words), and how many such words stand before each line.
+    word = "flatten(transform(c, (x, i) -> array_repeat(i, x)))"
+    empty = "named_struct('t', 0, 'out', cast(array() AS array<int>))"
+    blocks = f"transform(sequence(0, size(c) - 1, {BLOCK}), s -> aggregate(slice(c, s + 1, {BLOCK}), {empty}, (a, x) -> named_struct('t', a.t + x, 'out', array_append(a.out, a.t))))"
+    before = f"aggregate({blocks}, {empty}, (a, b) -> named_struct('t', a.t + b.t, 'out', concat(a.out, transform(b.out, x -> x + a.t))), a -> a.out)"
+    # From each line on, the line that reaches MIN_WORDS; a core begins where it is reached last.
+    last = f"transform({before}, x -> get(w, x + {MIN_WORDS - 1}))"
+    found = "filter(transform(e, (x, i) -> named_struct('a', i, 'b', x)), y -> y.b IS NOT NULL AND (get(e, y.a + 1) IS NULL OR get(e, y.a + 1) <> y.b))"
+    cores = _let("c", f"transform({n}, x -> least(x, {MIN_WORDS}))", _let("w", word, _let("e", last, found)))
+    return f"CASE WHEN size({n}) > 0 THEN {cores} ELSE cast(array() AS array<struct<a:int,b:int>>) END"
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(__uid, doc_id, h, n, at): hash, words and number of each line with words; a written table, a row for each __uid."""
+    """(__uid, doc_id, h, at, core): hash and number of each line with words, and the cores; a written table, a row for each __uid."""
     one = lambda x, i: F.struct(F.xxhash64(F.trim(x, F.lit(" \t\r\n"))).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n"), i.alias("at"))
     lines = F.filter(F.transform(_parts(F.col("text")), one), lambda x: x["n"] > 0)
     rows = docs.where(F.col("text").isNotNull()).select(_uid().alias("__uid"), F.col("doc_id").cast("long").alias("doc_id"), lines.alias("l"), F.monotonically_increasing_id().alias("row"))
-    rows = materialize(rows.select("__uid", "doc_id", F.col("l.h").alias("h"), F.col("l.n").alias("n"), F.col("l.at").alias("at"), "row"), "lines")
+    rows = materialize(rows.select("__uid", "doc_id", F.col("l.h").alias("h"), F.col("l.at").alias("at"), F.expr(_cores("l.n")).alias("core"), "row"), "lines")
     # Repeated rows are few, if any: only they are dealt out, not all lines.
     again = materialize(rows.groupBy("__uid").agg(F.min("row").alias("stays"), F.count(F.lit(1)).alias("times")).where("times > 1").select("__uid", "stays"), "lines-again")
     if again.isEmpty():
@@ -54,54 +77,41 @@ def _lines(docs: DataFrame) -> DataFrame:
     return materialize(rows.join(extra, "row", "left_anti").drop("row"), "lines-once")
 
 
-def _fingerprints(lines: DataFrame) -> DataFrame:
-    """(__uid, doc_id, g, pos): window minima of the grams, and long lines."""
-    grams = F.expr("transform(sequence(1, size(h) - 1), i -> xxhash64(element_at(h, i), element_at(h, i + 1)))")
-    rows = lines.withColumn("g", F.when(F.size("h") > 1, grams).otherwise(F.array().cast("array<long>")))
-    least = lambda *steps: " AND ".join(f"coalesce(x <= get(g, i + ({s})), true)" for s in steps)
-    windows = [[s for s in range(start, start + WINDOW) if s] for start in range(1 - WINDOW, 1)]
-    chosen = F.expr(f"filter(transform(g, (x, i) -> named_struct('g', x, 'pos', i, 'min', {' OR '.join(f'({least(*w)})' for w in windows)})), y -> y.min)")
-    pairs = F.transform(chosen, lambda y: F.struct(y["g"].alias("g"), y["pos"].alias("pos")))
-    long = F.expr(f"transform(filter(transform(h, (x, i) -> named_struct('g', x, 'pos', i, 'n', n[i])), y -> y.n >= {MIN_WORDS}), y -> named_struct('g', y.g, 'pos', y.pos))")
-    return rows.select("__uid", "doc_id", F.explode(F.concat(pairs, long)).alias("f")).select("__uid", "doc_id", "f.g", "f.pos")
+def _run(a: str, b: str) -> str:
+    """SQL of the hash of the lines from a to b."""
+    return f"xxhash64(slice(h, {a} + 1, {b} - {a} + 1))"
 
 
-def _runs(h: str, n: str, other: str, shift: str) -> Column:
-    """First and last numbers (in h) of runs of lines of at least MIN_WORDS words equal to other's, shift places before."""
-    return F.expr(f"""
-      aggregate(sequence(0, size({h})), named_struct('out', cast(array() AS array<struct<a:int,b:int>>), 'from', 0, 'words', 0),
-        (a, i) -> CASE
-          WHEN i < size({h}) AND i - {shift} >= 0 AND i - {shift} < size({other}) AND get({h}, i) = get({other}, i - {shift})
-            THEN named_struct('out', a.out, 'from', a.from, 'words', a.words + get({n}, i))
-          WHEN a.words >= {MIN_WORDS} THEN named_struct('out', concat(a.out, array(named_struct('a', a.from, 'b', i - 1))), 'from', i + 1, 'words', 0)
-          ELSE named_struct('out', a.out, 'from', i + 1, 'words', 0) END,
-        a -> a.out)
-    """)
+def _again(prints: DataFrame, label: str) -> DataFrame:
+    """prints whose g occurs again, with `later`: whether this isn't its first place. Places are ordered by doc_id, __uid and k."""
+    seen = prints.groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("g")
+    members = materialize(prints.join(materialize(seen, f"{label}-seen"), "g"), f"{label}-members")
+    # Null ids count as the smallest.
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.col("__uid").alias("u"), F.col("k").alias("k"))
+    first = materialize(members.groupBy("g").agg(F.min(place).alias("first")), f"{label}-first")
+    return members.join(first, "g").withColumn("later", (F.col("first.u") != F.col("__uid")) | (F.col("first.k") != F.col("k"))).drop("first")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(__uid, gone): first and last numbers of the lines to delete from each document that has any."""
     lines = _lines(docs)
-    prints = materialize(_fingerprints(lines), "lines-prints")
-    # The first document of each fingerprint that occurs again; null ids count as the smallest.
-    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    seen = prints.groupBy("g").agg(F.min(order).alias("d"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    members = materialize(prints.join(materialize(seen, "lines-seen"), "g").withColumn("mine", order == F.col("d")), "lines-members")
-    first = materialize(members.where("mine").groupBy("g").agg(F.min(F.struct("__uid", "pos")).alias("f")).select("g", F.col("f.__uid").alias("first")), "lines-first")
-    place = members.join(first, "g").where(F.col("__uid") == F.col("first")).groupBy("g", "first").agg(F.min("pos").alias("first_pos"))
-    before = F.lag("pos").over(Window.partitionBy("__uid", "g").orderBy("pos"))
-    placed = members.select("__uid", "g", "pos", before.alias("before")).join(materialize(place, "lines-place"), "g")
-    later = placed.where(F.col("before").isNotNull() | (F.col("__uid") != F.col("first")))
-    along = later.select(
-        "__uid",
-        F.when(F.col("before").isNotNull(), F.col("__uid")).otherwise(F.col("first")).alias("other"),
-        (F.col("pos") - F.coalesce("before", "first_pos")).alias("shift"),
-    ).distinct()
-    mine = lines.select("__uid", "h", "n", "at")
-    theirs = lines.select(F.col("__uid").alias("other"), F.col("h").alias("oh"))
-    found = materialize(along, "lines-along").join(mine, "__uid").join(theirs, "other").select("__uid", "at", _runs("h", "n", "oh", "shift").alias("run")).where(F.size("run") > 0)
-    lines_of = lambda r: F.struct(F.get("at", r["a"]).alias("a"), F.get("at", r["b"]).alias("b"))
-    each = found.select("__uid", F.explode(F.transform("run", lines_of)).alias("r"))
+    hashed = F.expr(f"transform(core, (x, k) -> named_struct('g', {_run('x.a', 'x.b')}, 'k', k))")
+    prints = lines.select("__uid", "doc_id", F.explode(hashed).alias("f")).select("__uid", "doc_id", "f.g", "f.k")
+    cores = _again(materialize(prints, "lines-prints"), "lines")
+    marks = cores.groupBy("__uid").agg(F.collect_list(F.struct("k", "later")).alias("marks"))
+    steps = lambda a, b: f"IF({a} <= {b}, sequence({a}, {b}), cast(array() AS array<int>))"
+    # Runs that end with the core and begin after the core before; runs that begin with it and end before the next one ends.
+    longer = steps("coalesce(get(core, m.k - 1).a, -1) + 1", "x.a - 1")
+    single = "x.a = x.b AND get(core, m.k + 1).a = x.b + 1 AND get(core, m.k + 1).b = x.b + 1"
+    beyond = steps("x.b + 1", f"coalesce(get(core, m.k + 1).b, size(h)) - IF({single}, 0, 1)")
+    entry = lambda a, b, k: f"named_struct('g', {_run(a, b)}, 'k', {k}, 'a', get(at, {a}), 'b', get(at, {b}))"
+    around = f"concat(transform({longer}, i -> {entry('i', 'x.b', 'i')}), transform({beyond}, j -> {entry('x.a', 'j', 'x.a')}))"
+    around = F.expr(f"flatten(transform(marks, m -> {_let('x', 'get(core, m.k)', around)}))")
+    own = F.expr("transform(filter(marks, m -> m.later), m -> named_struct('a', get(at, get(core, m.k).a), 'b', get(at, get(core, m.k).b)))")
+    held = materialize(lines.join(materialize(marks, "lines-marks"), "__uid").select("__uid", "doc_id", own.alias("gone"), around.alias("around")), "lines-around")
+    wider = held.select("__uid", "doc_id", F.explode("around").alias("f")).select("__uid", "doc_id", "f.*")
+    wider = _again(wider, "lines-wider").where("later").select("__uid", F.struct("a", "b").alias("r"))
+    each = held.select("__uid", F.explode("gone").alias("r")).union(wider)
     return materialize(each.groupBy("__uid").agg(F.collect_set("r").alias("gone")), "lines-gone")
 
 

@@ -61,6 +61,47 @@ def test_lines_edges(odd):
     assert lines.digest(odd.limit(0)).count() == 0 and lines.drop_repeats(odd).columns == odd.columns
 
 
+def shortened(rows):
+    """Texts by id, by comparing all pairs of places: (id, text) with ids in order, one row an id."""
+    split = [re.split(r"(?<=\n)|(?<=[.!?] )", text) for _, text in rows]
+    known = [[(k, x.strip(" \t\r\n"), len(x.split())) for k, x in enumerate(parts) if x.split()] for parts in split]
+    out = {}
+    for d, ((doc, _), parts) in enumerate(zip(rows, split)):
+        gone, mine = set(), known[d]
+        for e in range(d + 1):
+            theirs = known[e]
+            for shift in range(1 if e == d else 1 - len(theirs), len(mine)):
+                run = []
+                for i in range(len(mine) + 1):
+                    if i < len(mine) and 0 <= i - shift < len(theirs) and mine[i][1] == theirs[i - shift][1]:
+                        run.append(mine[i])
+                        continue
+                    if sum(n for *_, n in run) >= lines.MIN_WORDS:
+                        gone.update(range(run[0][0], run[-1][0] + 1))
+                    run = []
+        out[doc] = "".join(x for k, x in enumerate(parts) if k not in gone)
+    return out
+
+
+def shortened_by_spark(spark, rows):
+    return {r.doc_id: r.text for r in lines.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_lines_find_short_runs(spark):
+    """Runs of 2 and 3 lines of less than MIN_WORDS words each, between distinct neighbours."""
+    rows, n = [], 0
+    for k in range(60):
+        size, words = 2 + k % 2, 13 + k % 11
+        run = "".join(f"{' '.join(f'r{k}x{i}y{w}' for w in range(words))}.\n" for i in range(size))
+        for doc in (k, 1000 + k):
+            n += 1
+            rows.append((doc, "".join(f"before {n} {i}.\n" for i in range(5)) + run + "".join(f"after {n} {i}.\n" for i in range(5))))
+    rows.sort()
+    want = shortened(rows)
+    assert all(("r" in want[1000 + k].replace("before", "").replace("after", "")) is False for k in range(60))
+    assert shortened_by_spark(spark, rows) == want
+
+
 def test_mixing_meets_targets_and_caps(docs):
     rows = mixing.digest(docs).collect()
     assert len(rows) == docs.count() and all(r.taken <= 3 * r.size for r in rows)
