@@ -102,6 +102,31 @@ def test_lines_find_short_runs(spark):
     assert shortened_by_spark(spark, rows) == want
 
 
+def test_lines_compare_with_every_earlier_place(spark):
+    rows, want = [], {}
+    for v in range(12):  # each a matter of luck for partners by fingerprint, together not
+        line = lambda k: " ".join(f"v{v}l{k}w{w}" for w in range(9)) + ".\n"
+        text = lambda *ks: "".join(map(line, ks))
+        part = [
+            text(900, 1, 2, 901), text(902, 0, 1, 2, 3, 903), text(904, 0, 1, 2, 3, 905),  # a pair alone comes first
+            text(906, 11, 12, 13, 14, 907), text(12, 13, 908, 11, 12, 13, 14, 909),  # the pair stands at the top as well
+            text(21, 22, 910, 20, 21, 22, 23, 911), text(912, 20, 21, 22, 23, 913),  # the first document holds it twice
+        ]
+        rows += [(10 * v + k, x) for k, x in enumerate(part)]
+        want |= {10 * v + 2: text(904, 905), 10 * v + 4: text(12, 13, 908, 909), 10 * v + 6: text(912, 913)}
+    got = shortened_by_spark(spark, rows)
+    assert got == {k: want.get(k, x) for k, x in rows}
+
+
+def test_lines_equal_brute_force(spark):
+    """Few distinct lines of 1 to 40 words, so that runs overlap in many ways, with blank lines between them."""
+    dice = np.random.default_rng(5)
+    stock = [" ".join(f"s{k}w{w}" for w in range(n)) + "." for k, n in enumerate([1, 2, 4, 7, 11, 16, 24, 25, 40])]
+    rows = [(k, "".join(stock[x] + ("\n", "\n\n", " ")[dice.integers(3)] for x in dice.integers(0, len(stock), dice.integers(1, 14)))) for k in range(60)]
+    rows.append((60, "".join(stock[0] + "\n" if k % 7 else f"own {k}.\n" for k in range(700))))
+    assert shortened_by_spark(spark, rows) == shortened(rows)
+
+
 def test_mixing_meets_targets_and_caps(docs):
     rows = mixing.digest(docs).collect()
     assert len(rows) == docs.count() and all(r.taken <= 3 * r.size for r in rows)
