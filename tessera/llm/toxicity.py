@@ -99,8 +99,8 @@ def _windows(words: Iterable[str]) -> dict[int, tuple[list[int], list[str]]]:
     out: dict[int, tuple[list[int], list[str]]] = {}
     for at, word in enumerate(words):
         w = START + plain(word)
-        for start in range(0, max(len(w) - WINDOW, 0) + 1, STEP) if len(w) > WINDOW else (0,):
-            part = w[start : start + WINDOW] if start + WINDOW + STEP <= len(w) else w[-WINDOW:]
+        for start in (*range(0, len(w) - WINDOW, STEP), max(len(w) - WINDOW, 0)):
+            part = w[start : start + WINDOW]
             if len(part) >= ORDER:
                 ids, parts = out.setdefault(len(part), ([], []))
                 ids.append(at)

@@ -256,6 +256,23 @@ def test_classifier_edges(odd, labels, operator):
     assert operator.digest(odd.limit(0), labels).count() == 0 and operator.digest(odd, labels.limit(0)).count() == 8
 
 
+def test_toxicity_windows_hold_all_subsequences():
+    """Each SPAN letters in a row of a word of any length stand in one of its windows."""
+    for n in range(1, 100):
+        word = "".join(chr(ord("a") + k % 26) + chr(0xE0 + k // 26) for k in range(50))[:n]
+        whole = toxicity.START + word
+        parts = [p for _, ps in toxicity._windows([word]).values() for p in ps]
+        assert all(len(p) == min(len(whole), toxicity.WINDOW) for p in parts)
+        assert all(any(whole[k : k + toxicity.SPAN] in p for p in parts) for k in range(max(len(whole) - toxicity.SPAN, 0) + 1) if len(whole) >= toxicity.ORDER), n
+
+
+def test_toxicity_reads_the_head_of_long_words():
+    table = np.zeros(toxicity.CLASSES**toxicity.ORDER, np.float32)
+    c = toxicity._codes(["idi"], 3)[0]
+    table[(c[0] * toxicity.CLASSES + c[1]) * toxicity.CLASSES + c[2]] = 1.0
+    assert all(toxicity.kernels(["idi" + "x" * (n - 3)], table)[0] > 0 for n in range(24, 61))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
