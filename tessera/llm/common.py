@@ -20,25 +20,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (local runs), a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one, but in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         where = jsc.getCheckpointDir().get()
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+class Scratch:
+    """Written intermediate tables in the shared folder. Lineage ends at each: a lost executor loses nothing.
 
-    Parquet rather than an RDD checkpoint, so that later readers prune columns and Spark knows the size.
+    Parquet rather than RDD checkpoints, so that later readers prune columns and Spark knows the size. Tables written by
+    `write` are deleted by `drop`, or all at the end of the `with` block; those written by `out` stay, for results that
+    are still to be read.
     """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._held: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*[df for df, _ in self._held.values()])
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        table, path = _written(df, label)
+        self._held[id(table)] = table, path
+        return table
+
+    def out(self, df: DataFrame, label: str) -> DataFrame:
+        return _written(df, label)[0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if id(df) in self._held:
+                _, path = self._held.pop(id(df))
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder and read back; the table stays."""
+    return _written(df, label)[0]
+
+
+def free_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def ascii_lower(text: Column) -> Column:

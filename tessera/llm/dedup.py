@@ -1,11 +1,14 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on whole sets, union-find grouping.
 
 Documents with equal shingle sets are one node, named by its smallest doc_id. Nodes that share a band are candidates.
-In each band's bucket all nodes are first compared with the smallest one only, and the links found are grouped; then
-nodes outside of a bucket's main group are compared with those of the other groups. So no pairs within a group of copies
-are made, yet each pair of a bucket that grouping hasn't already joined is looked at. Candidates whose signatures agree in
-too few places are dropped (five standard errors below the threshold); the others are confirmed on their full sets.
-With 32 bands of 4 values, a pair at the threshold shares no band with a probability below 6e-6.
+In each band's bucket all nodes are first compared with the smallest one, their pivot, and the links found are grouped.
+What is left are buckets of several groups: there each node outside of the bucket's main group is compared with every node
+that it isn't grouped with yet. Both steps deal nodes with their texts to cells of bounded size, a row for each node and
+cell, and compare within the cell; pairs are never rows. A cell's links go through a union-find, so that nodes already
+joined aren't compared again, and only links that join something leave it.
+
+Candidates whose signatures agree in too few places are dropped (five standard errors below the threshold); the others are
+confirmed on their full sets. With 32 bands of 4 values, a pair at the threshold shares no band with a probability below 6e-6.
 
 Nulls and edges: a null or wordless text has an empty set and is linked with nothing; rows without an id are linked by
 equal sets only and have their class's smallest id (null if none has one); rows that share an id are one document; an
@@ -14,6 +17,7 @@ empty table gives an empty result. Extra columns are ignored or, in `drop_copies
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import materialize
+from tessera.llm.common import Scratch
 from tessera.llm.components import components
 
 #: Places of two signatures that must agree: 0.75 of them less five standard errors.
 AGREE = 71
 GROUP_BYTES = 4_000_000
+#: Bytes of text on either side of a cell, about; more are dealt to more cells, in which all sides meet.
+CELL_BYTES = 8_000_000
+#: Nodes of a cell's left side that are compared at once.
+STRIP = 128
 
 
 def _groups(texts, size: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -43,13 +51,14 @@ def _groups(texts, size: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]
         yield first, some
 
 
-def _set_hash(s: np.ndarray) -> int:
-    return int(shingles.mix(np.array([shingles.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else 0
+def _digest(s: np.ndarray) -> bytes:
+    """128 bits that stand for a sorted set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, sig, bands): node is a hash of the set; sig holds the low byte of each place."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, n_shingles, node, sig, bands): node is a digest of the set; sig holds the low byte of each place."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,11 +68,11 @@ def sign(docs: DataFrame) -> DataFrame:
                 sig = shingles.superminhash(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64))
                 low = np.ascontiguousarray((shingles.mix(sig) & np.uint64(255)).astype(np.uint8)).view(np.int64)
                 keys = shingles.band_keys(sig)
-                cols = [batch.column(0).slice(first, len(texts)), [len(s) for s in sets], [_set_hash(s) for s in sets], list(low), list(keys)]
+                cols = [batch.column(0).slice(first, len(texts)), [len(s) for s in sets], [_digest(s) for s in sets], list(low), list(keys)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, node long, sig array<long>, bands array<long>")
+    return slim.mapInArrow(run, "doc_id long, n_shingles long, node binary, sig array<long>, bands array<long>")
 
 
 def _agreeing(a: Column, b: Column) -> Column:
@@ -78,70 +87,150 @@ def _agreeing(a: Column, b: Column) -> Column:
     return F.lit(shingles.PLACES) - differ
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) that are linked on their full sets."""
+class _Side:
+    """One side of a cell."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                sets = []
-                for text in (a.as_py(), b.as_py()):
-                    if text not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        known[text] = np.unique(shingles.shingle_hashes([shingles.lowered(text)])[0])
-                    sets.append(known[text])
-                keep.append(shingles.alike(*sets))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = materialize(pairs, "dedup-pairs")
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").select(F.col("doc_id").alias("id"), "text"), "dedup-texts")
-    both = pairs.join(texts.withColumnsRenamed({"id": "u", "text": "ta"}), "u").join(texts.withColumnsRenamed({"id": "v", "text": "tb"}), "v")
-    return both.select("u", "v", "ta", "tb").mapInArrow(run, "u long, v long").distinct()
-
-
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.groups: list[int] = []
+        self.sigs: list[np.ndarray] = []
+        self.texts: list[str] = []
+
+    def add(self, ids: np.ndarray, groups: np.ndarray, sigs: np.ndarray, texts: list[str]) -> None:
+        self.ids += ids.tolist()
+        self.groups += groups.tolist()
+        self.sigs.append(sigs)
+        self.texts += texts
+
+
+def _links(left: _Side, right: _Side) -> list[tuple[int, int]]:
+    """Links between the two sides that join groups which weren't joined before."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sig_l, sig_r = np.concatenate(left.sigs), np.concatenate(right.sigs)
+    known: dict[str, np.ndarray] = {}
+
+    def sets(texts: list[str]) -> list[np.ndarray]:
+        new = [t for t in dict.fromkeys(texts) if t not in known]
+        for first, some in _groups([pa.scalar(t, pa.large_string()) for t in new]):
+            for t, s in zip(new[first : first + len(some)], shingles.distinct(*shingles.shingle_hashes(some))):
+                known[t] = s
+        return [known[t] for t in texts]
+
+    out = []
+    groups_r = np.array(right.groups)
+    for a in range(0, len(left.ids), STRIP):
+        rows = range(a, min(a + STRIP, len(left.ids)))
+        near = np.array([((sig_r == sig_l[k]).sum(1) >= AGREE) & (groups_r != left.groups[k]) for k in rows])
+        some = np.flatnonzero(near.any(1))
+        others = np.flatnonzero(near.any(0))
+        if not len(some):
+            continue
+        ours, theirs = sets([left.texts[a + k] for k in some]), sets([right.texts[k] for k in others])
+        linked = shingles.linked(ours, theirs) & near[np.ix_(some, others)]
+        for i, j in zip(*np.nonzero(linked)):
+            u, v = a + some[i], others[j]
+            x, y = find(left.groups[u]), find(right.groups[v])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((left.ids[u], right.ids[v]))
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the cells in rows (key, a, b, side, id, group, sig, text), sorted by cell; a cell may span batches."""
+    cell, sides = None, (_Side(), _Side())
+
+    def done() -> pa.RecordBatch:
+        links = _links(*sides) if all(s.ids for s in sides) else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, a, b, side, ids, groups = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        sig = batch.column("sig").flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint8)
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (side[1:] != side[:-1])) + 1
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            now = key[x], a[x], b[x]
+            if now != cell:
+                if cell is not None:
+                    yield done()
+                cell, sides = now, (_Side(), _Side())
+            sides[side[x]].add(ids[x:y], groups[x:y], sig[x:y], batch.column("text").slice(x, y - x).to_pylist())
+    if cell is not None:
+        yield done()
+
+
+def _joined(s: Scratch, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links among members (key, id, group, side): of each key, nodes of side 0 are compared with those of side 1."""
+    sized = s.write(members.join(texts.select("id", "bytes"), "id"), "dedup-sized")
+    parts = lambda side: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == side, F.col("bytes"))) / CELL_BYTES)).cast("int")
+    cells = sized.groupBy("key").agg(parts(0).alias("n_a"), parts(1).alias("n_b"))
+    hashed = F.xxhash64("id")
+    many = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.array(F.pmod(hashed, F.col(n)).cast("int"))
+    left = F.col("side") == 0
+    dealt = sized.join(cells, "key").withColumn("a", F.explode(F.when(left, own("n_a")).otherwise(many("n_a")))).withColumn("b", F.explode(F.when(left, many("n_b")).otherwise(own("n_b"))))
+    full = dealt.select("key", "a", "b", "side", "id", "group").join(texts.select("id", "sig", "text"), "id").select("key", "a", "b", F.col("side").cast("int").alias("side"), "id", "group", "sig", "text")
+    links = full.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(_compare, "u long, v long")
+    found = s.write(links, "dedup-links")
+    s.drop(sized)
+    return found
+
+
+def classes(s: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written tables (doc_id, n_shingles, node) of all rows and (node, component) of all nodes with shingles."""
-    signed = materialize(sign(docs), "dedup-signed")
-    rows = signed.select("doc_id", "n_shingles", "node")
+    signed = s.write(sign(docs), "dedup-signed")
+    rows = s.out(signed.select("doc_id", "n_shingles", "node"), "dedup-rows")
     full = signed.where("n_shingles > 0")
-    named = materialize(full.groupBy("node").agg(F.min("doc_id").alias("id")), "dedup-nodes")
+    named = s.write(full.groupBy("node").agg(F.min("doc_id").alias("id")), "dedup-nodes")
     nodes = full.join(named.withColumnRenamed("id", "doc_id"), ["node", "doc_id"]).select(F.col("doc_id").alias("id"), "sig", "bands")
-    nodes = materialize(nodes, "dedup-node-signatures")
+    nodes = s.write(nodes, "dedup-node-signatures")
+    s.drop(signed)
 
     bands = nodes.select("id", F.explode("bands").alias("key"))
-    buckets = materialize(bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last"), "dedup-buckets")
-    members = materialize(bands.join(buckets, "key"), "dedup-members")
+    buckets = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
+    members = s.write(bands.join(buckets, "key").distinct(), "dedup-members")
+    stars = members.where("id <> first").select("id", "first").distinct()
     sig = lambda name: nodes.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"))
-    stars = members.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
-    stars = stars.join(sig("u"), "u").join(sig("v"), "v").where(_agreeing(F.col("sig_u"), F.col("sig_v")) >= AGREE).select("u", "v")
-    links = materialize(_confirm(stars, nodes, docs), "dedup-links")
-    groups = components(links)
-
-    # What stars haven't joined: members outside of a bucket's main group against those of other groups.
-    placed = members.join(groups.withColumnsRenamed({"u": "id", "v": "group"}), "id", "left").select("key", "id", F.coalesce("group", "id").alias("group"))
-    sizes = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("size")).where("groups > 1 and size > 2")
-    mixed = materialize(mixed.select("key", "main"), "dedup-mixed")
-    placed = materialize(placed.join(mixed, "key").join(nodes.select("id", "sig"), "id"), "dedup-placed")
-    odd = placed.where(F.col("group") != F.col("main")).select("key", F.col("id").alias("u"), F.col("group").alias("gu"), F.col("sig").alias("su"))
-    rest = placed.select("key", F.col("id").alias("v"), F.col("group").alias("gv"), F.col("sig").alias("sv"), "main")
-    differ = (F.col("gu") != F.col("gv")) & ((F.col("gv") == F.col("main")) | (F.col("u") < F.col("v")))
-    pairs = odd.join(rest, (odd["key"] == rest["key"]) & differ & (_agreeing(F.col("su"), F.col("sv")) >= AGREE))
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    more = materialize(_confirm(pairs, nodes, docs), "dedup-links")
+    stars = stars.join(sig("id"), "id").join(sig("first"), "first").where(_agreeing(F.col("sig_id"), F.col("sig_first")) >= AGREE)
+    stars = s.write(stars.select("id", "first").distinct(), "dedup-stars")
+    wanted = members.select("id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(nodes.select("id", "sig"), "id").join(wanted, "id", "left_semi")
+    texts = s.write(texts.select("id", "sig", F.octet_length("text").cast("long").alias("bytes"), "text"), "dedup-texts")
+    s.drop(nodes)
+    pivots = stars.select("first").distinct().select(F.col("first").alias("key"), F.col("first").alias("id"), F.col("first").alias("group"), F.lit(0).alias("side"))
+    around = stars.select(F.col("first").alias("key"), "id", F.col("id").alias("group"), F.lit(1).alias("side"))
+    links = _joined(s, pivots.unionByName(around), texts)
+    groups = components(s, links)
+    s.drop(stars)
+
+    # Buckets of several groups, less their pivots, which all have been compared with.
+    placed = members.where("id <> first").join(groups.withColumnsRenamed({"u": "id", "v": "group"}), "id", "left").select("key", "id", F.coalesce("group", "id").alias("group"))
+    placed = s.write(placed, "dedup-placed")
+    sizes = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.hash("id")).alias("y"))
+    mixed = sizes.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("x").alias("x"), F.bit_xor("y").alias("y")).where("groups > 1")
+    # Buckets of the same nodes are one.
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min(F.struct("key", "main")).alias("b")).select("b.key", "b.main")
+    around = placed.join(s.write(mixed, "dedup-mixed"), "key")
+    both = around.select("key", "id", "group", F.explode(F.when(F.col("group") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("side"))
+    more = _joined(s, both, texts)
     if not more.isEmpty():
-        groups = components(groups.unionByName(more))
+        groups = components(s, groups.unionByName(more))
     label = named.join(groups.withColumnsRenamed({"u": "id", "v": "least"}), "id", "left").select("node", F.coalesce("least", "id").alias("component"))
-    return rows, materialize(label, "dedup-classes")
+    return rows, s.out(label, "dedup-classes")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows, label = classes(docs)
+    with Scratch(docs.sparkSession) as s:
+        rows, label = classes(s, docs)
     linked = rows.where("n_shingles > 0").join(label, "node").select("doc_id", "n_shingles", "component")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()).alias("kept"))
@@ -149,10 +238,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that aren't kept; of rows that share an id one stays."""
-    found = materialize(near_copies(docs).select("doc_id", "kept"), "dedup-kept")
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    with Scratch(docs.sparkSession) as s:
+        found = s.write(near_copies(docs).select("doc_id", "kept"), "dedup-kept")
+        gone = s.out(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dedup-gone")
+        n, ids = found.where("kept").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    n, ids, named = found.where("kept").agg(F.count("doc_id"), F.count_distinct("doc_id"), F.count(F.lit(1))).first()
     if n == ids:
         return out
     return out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))

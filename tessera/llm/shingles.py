@@ -127,12 +127,37 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(parts + np.arange(1, BANDS + 1, dtype=U) * U(_GOLDEN)).view(np.int64)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether 100 * intersection >= 75 * union for two sorted sets."""
-    if not len(a) or not len(b):
-        return False
-    both = len(a) + len(b)
-    if 100 * min(len(a), len(b)) < 75 * max(len(a), len(b)):
-        return False
-    inter = both - len(np.unique(np.concatenate([a, b])))
-    return 100 * inter >= 75 * (both - inter)
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], at_once: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b, by products of 0/1 matrices over what both sides hold."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    all_a, all_b = np.concatenate([*a, np.zeros(0, U)]), np.concatenate([*b, np.zeros(0, U)])
+    both = np.intersect1d(all_a, all_b)
+    if not len(both):
+        return out.astype(np.int64)
+
+    def entries(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns, ascending, and rows of a side's ones."""
+        column = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        ok = both[column] == flat
+        column, row = column[ok], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[ok]
+        order = column.argsort(kind="stable")
+        return column[order], row[order]
+
+    sides = [entries(a, all_a), entries(b, all_b)]
+    for first in range(0, len(both), at_once):
+        width = min(at_once, len(both) - first)
+        dense = []
+        for (column, row), n in zip(sides, (len(a), len(b))):
+            x, y = np.searchsorted(column, [first, first + width])
+            m = np.zeros((n, width), np.float32)
+            m[row[x:y], column[x:y] - first] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether 100 * intersection >= 75 * union, for each set of a with each of b; empty sets are linked with nothing."""
+    inter = overlaps(a, b)
+    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - inter
+    return (100 * inter >= 75 * union) & (inter > 0)
