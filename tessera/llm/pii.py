@@ -4,24 +4,31 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers. The patte
 only where a maximal run of their characters does, which finds the same spans without rescanning long runs. Matches' places
 follow from the lengths of the matches and of the pieces between them.
 
-Terms: over the corpus, how often a word stands near a protected value (in its line, at most REACH characters away) is
-compared with how often the word occurs at all. A word discloses a value if the value's documents make up at least SHARE of
-the word's documents, if knowing the word makes the value at least BITS more likely (pointwise mutual information), and if
-that was seen in MIN_CONTEXTS different contexts (the words next to the value) that aren't just copies of each other. Such
-a word becomes a `term` span in each document that holds the value. `sanitise` generalises base spans to their kind and
-removes terms.
-
-Nulls and edges: a null text is empty; a null id is kept; rows that share an id and text get the same result; an empty
-table gives an empty result. Extra columns are ignored or, in `sanitise`, kept; internal names start with `__`.
-DataFrame functions only.
+Terms: the corpus says how strongly a word t reveals a protected value e. With documents as events, N of them in all, n_e
+with the value, n_t with the word anywhere and n_te with the word at most REACH letters from the value, the pointwise
+mutual information is log2(n_te N / (n_t n_e)) bits. A word is disclosing if it leaves at most LEFT_BITS of the value's own
+information, log2(N / n_e), unrevealed, and reveals at least BITS; so a word that in all the corpus stands only by the value
+is disclosing, and one that stands elsewhere as often as not isn't. Nothing else decides. A disclosing word becomes a `term`
+span wherever it stands in the documents that hold it near the value. `sanitise` generalises base spans to their kind and
+words with digits to [CODE], and removes other terms.
+
+Counts: pairs of word and value come from the documents with values only. Those that even there miss the threshold go first,
+so that common words never meet the corpus; the words of all documents are summed up by hash before they are joined, a row a
+word. Values in more than N / 2**BITS documents can't be revealed and leave at once.
+
+Nulls and edges: a null text is empty; a null id is kept; repeated rows count and are marked each; an empty table gives an
+empty result; in fewer than 2**BITS documents nothing is disclosing. Extra columns, whatever their names, are ignored or, in
+`sanitise`, kept. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, ascii_lower, materialize
+from tessera.llm.common import WORD, Scratch, ascii_lower
 
 #: The kinds in order and their patterns.
 PATTERNS = {
@@ -31,13 +38,50 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-#: Letters around a value that are its context.
-REACH = 120
-MIN_CONTEXTS, SHARE, BITS = 3, 0.5, 6.0
-#: A context counts for at most so many documents, else the documents are copies of each other.
-COPIES = 4
-#: Disclosing pairs up to this number are broadcast to the texts; beyond, they are joined by a shuffle.
+#: Letters before and after a value among which words are looked for, whole ones, in its own line or others.
+REACH = 200
+#: Bits of a value's information that a disclosing word may leave open, and bits that it must give.
+LEFT_BITS, BITS = 1.0, 3.0
+#: Disclosing pairs up to this number are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Texts are cut into pieces of so many letters, and sums are made over so many numbers, at once.
+PIECE, BLOCK = 1000, 256
+
+_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+_INTS = "array<int>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(lengths: Column) -> Column:
+    """The sum of all lengths before each one: within blocks, from the blocks' sums."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def within(n: Column, s: Column, begin: Column) -> Column:
+        zero = F.struct(begin.alias("t"), F.array().cast(_INTS).alias("out"))
+        return F.aggregate(F.slice(n, s + 1, F.lit(BLOCK)), zero, lambda a, x: F.struct((a["t"] + x).alias("t"), F.array_append(a["out"], a["t"]).alias("out")), lambda a: a["out"])
+
+    def blocks(n: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(n) - 1, F.lit(BLOCK))
+        sums = F.transform(at, lambda s: total(F.slice(n, s + 1, F.lit(BLOCK))))
+        begins = _let(sums, lambda x: F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i))))
+        return F.flatten(F.transform(F.arrays_zip(at.alias("s"), begins.alias("b")), lambda z: within(n, z["s"], z["b"])))
+
+    return _let(lengths, lambda n: F.when(F.size(n) > 0, blocks(n)).otherwise(F.array().cast(_INTS)))
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, n: Column) -> Column:
+    """Substring of the text that was cut into pieces, without going through all of it; empty for n < 1."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((start + n - 1) / PIECE).cast("int")
+    return F.when(n > 0, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * PIECE + 1, n)).otherwise("")
 
 
 def _luhn(digits: Column) -> Column:
@@ -62,25 +106,20 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-
-
 def _spans(text: Column, kind: str) -> Column:
     """Spans of one kind, by start: matches between the pieces that splitting leaves."""
     pattern = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(found.alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("gap"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.coalesce(x["gap"], F.lit(0))
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        out = F.when(x["m"].isNotNull() & F.coalesce(_holds(kind, x["m"]), F.lit(False)), F.concat(a["out"], F.array(one))).otherwise(a["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        before = _starts(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda z: F.coalesce(z["g"], F.lit(0)) + F.coalesce(F.length(z["m"]), F.lit(0))))
+        one = lambda z: F.struct(F.lit(kind).alias("kind"), (z["b"] + z["g"]).alias("start"), (z["b"] + z["g"] + F.length(z["m"])).alias("end"), z["m"].alias("value"))
+        kept = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g"), before.alias("b")), lambda z: z["m"].isNotNull() & F.coalesce(_holds(kind, z["m"]), F.lit(False)))
+        return F.transform(kept, one).cast(_SPAN)
 
     maybe = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike("[0-9]\\.[0-9]" if kind == "ip" else "[0-9]{2}|[0-9][\\x20-][0-9]"))
-    return F.when(maybe & text.rlike(pattern), F.aggregate(both, zero, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(maybe & text.rlike(pattern), _let(found, placed)).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -88,77 +127,78 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[_spans(text, kind) for kind in KINDS])
 
 
-def _uid() -> Column:
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+def _plain(word: Column) -> Column:
+    """A term: the word without punctuation at its ends, lower-cased."""
+    return ascii_lower(F.regexp_replace(word, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", ""))
+
+
+def _is_term(word: Column) -> Column:
+    """Words with a letter; not addresses, which are values themselves."""
+    return word.rlike("\\p{L}") & ~F.contains(word, F.lit("@"))
+
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """For each span its value and the words before and after it in its line."""
-    words = lambda part: F.regexp_extract_all(part, F.lit(WORD), F.lit(0))
 
-    def one(s: Column) -> Column:
+def _passages(text: Column, spans: Column) -> Column:
+    """For each span its value and the distinct terms at most REACH letters before or after it."""
+
+    def one(s: Column, pieces: Column) -> Column:
         begin = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.substring_index(F.substring(text, begin + 1, s["start"] - begin), "\n", -1)
-        right = F.substring_index(F.substring(text, s["end"] + 1, F.lit(REACH)), "\n", 1)
+        left, right = _cut(pieces, begin, s["start"] - begin), _cut(pieces, s["end"], F.lit(REACH))
         # Words that the reach cuts through are left out.
-        left = F.when((begin > 0) & (F.length(left) == s["start"] - begin), F.regexp_replace(left, f"^{WORD}", "")).otherwise(left)
+        left = F.when(begin > 0, F.regexp_replace(left, f"^{WORD}", "")).otherwise(left)
         right = F.when(F.length(right) == REACH, F.regexp_replace(right, f"{WORD}$", "")).otherwise(right)
         value = F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9.]", ""))
-        return F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), words(ascii_lower(left)).alias("left"), words(ascii_lower(right)).alias("right"))
-
-    return F.transform(spans, one)
-
-
-def _plain(word: Column) -> Column:
-    """A term: the word without punctuation at its ends."""
-    return F.regexp_replace(word, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
-
-
-def detect(docs: DataFrame) -> DataFrame:
-    """(__uid, doc_id, base, terms) of every row, as a written table; terms: spans of kind `term`."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = slim.withColumn("base", base_spans(F.col("text")))
-    rows = rows.select(_uid().alias("__uid"), "doc_id", "base", F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"))).alias("contexts"))
-    rows = materialize(rows, "pii-base")
-
-    near = rows.where(F.size("base") > 0).dropDuplicates(["__uid"]).select("__uid", F.explode("contexts").alias("c")).select(
-        "__uid", "c.entity", F.xxhash64(F.element_at(F.when(F.size("c.left") > 0, F.col("c.left")), -1), F.get("c.right", F.lit(0))).alias("context"), F.concat("c.left", "c.right").alias("words")
-    )
-    near = materialize(near, "pii-near")
-    holders = near.groupBy("entity").agg(F.count_distinct("__uid").alias("n_e"))
-    pairs = near.select("__uid", "entity", "context", F.explode(F.array_distinct(F.transform("words", _plain))).alias("term")).where("length(term) >= 3")
-    pairs = pairs.groupBy("term", "entity").agg(F.count_distinct("__uid").alias("n_te"), F.count_distinct("context").alias("contexts"))
-    pairs = materialize(pairs.where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") * COPIES >= F.col("n_te"))), "pii-pairs")
-    none = rows.select("__uid", "doc_id", "base", F.array().cast(_SPAN).alias("terms"))
-    known = pairs.select("term").distinct()
-    n_terms = known.count()
-    if not n_terms:
-        return none
-
-    # How many documents hold each candidate term: the only further pass over all texts, made only if there are any.
-    terms = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)), _plain))).alias("term")
-    held = slim.select(terms).join(F.broadcast(known) if n_terms <= BROADCAST_ROWS else known, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.count()
-    bits = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    telling = pairs.join(held, "term").join(holders, "entity").where((F.col("n_te") >= SHARE * F.col("n_t")) & (bits >= BITS)).select("term", "entity")
-    marked = materialize(near.select("__uid", "entity").distinct().join(telling, "entity").groupBy("__uid").agg(F.collect_set("term").alias("marks")), "pii-marked")
-
-    # Words of the marked documents with their places.
+        terms = F.filter(F.array_distinct(F.transform(F.concat(_words(left), _words(right)), _plain)), _is_term)
+        return F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), terms.alias("terms"))
+
+    return _let(_pieces(text), lambda p: F.transform(spans, lambda s: one(s, p)))
+
+
+def _telling(s: Scratch, near: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """Written (entity, term): disclosing pairs among near (rid, entity, term), a row each; texts: all of the corpus."""
+    holders = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") * 2**BITS <= n)
+    seen = near.select("rid", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).join(holders, "entity")
+    bits = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
+    strong = (F.col("n_te") * 2**LEFT_BITS >= F.col("n_t")) & (bits >= BITS)
+    pairs = s.write(pairs.join(seen, "term").where(strong).drop("n_t").withColumn("h", F.xxhash64("term")), "pii-pairs")
+    if pairs.isEmpty():
+        return pairs.select("entity", "term")
+    every = F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(_plain(w))))
+    counts = texts.select(F.explode(every).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))
+    return s.write(pairs.join(counts, "h").where(strong).select("entity", "term"), "pii-telling")
+
+
+def detect(s: Scratch, docs: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, base, terms): the given columns of each row as a struct, its base spans, its spans of kind `term`; from tables of s."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), text.alias("text"), F.monotonically_increasing_id().alias("rid"))
+    rows = rows.withColumn("base", base_spans(F.col("text")))
+    marked = F.size("base") > 0
+    rows = s.write(rows.select("row", "rid", "base", F.when(marked, F.col("text")).alias("text"), F.when(marked, _passages(F.col("text"), F.col("base"))).alias("passages")), "pii-rows")
+
+    near = rows.where(F.size("base") > 0).select("rid", F.explode("passages").alias("p")).select("rid", "p.entity", F.explode("p.terms").alias("term")).distinct()
+    near = s.write(near, "pii-near")
+    telling = _telling(s, near, rows.count(), docs.select(text.alias("text")))
+    n = telling.count()
+    none = F.array().cast(_SPAN)
+    if not n:
+        return rows.select("row", "base", none.alias("terms"))
+    hits = s.write(near.join(F.broadcast(telling) if n <= BROADCAST_ROWS else telling, ["entity", "term"]).select("rid", "term").distinct(), "pii-hits")
+
+    # Words of the documents with hits, with their places.
+    held = rows.select("rid", "text").join(hits.select("rid").distinct(), "rid")
     parts = F.split("text", "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])", -1)
-    words = slim.withColumn("__uid", _uid()).join(marked, "__uid").dropDuplicates(["__uid"]).withColumn("parts", parts)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        bare = F.regexp_replace(p, "[\\x20\\x09-\\x0D]+$", "")
-        start = a["at"] + F.length(bare) - F.length(F.regexp_replace(bare, "^[^\\p{L}\\p{N}]+", ""))
-        word = _plain(bare)
-        one = F.struct(F.lit("term").alias("kind"), start.alias("start"), (start + F.length(word)).alias("end"), word.alias("value"))
-        hit = F.array_contains("marks", ascii_lower(word))
-        return F.struct((a["at"] + F.length(p)).alias("at"), F.when(hit, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
-
-    spans = materialize(words.select("__uid", F.aggregate("parts", zero, step, lambda a: a["out"]).alias("terms")), "pii-terms")
-    return rows.join(spans, "__uid", "left").select("__uid", "doc_id", "base", F.coalesce("terms", F.array().cast(_SPAN)).alias("terms"))
+    placed = _let(parts, lambda p: F.arrays_zip(p.alias("part"), _starts(F.transform(p, F.length)).alias("at")))
+    words = held.select("rid", F.explode(placed).alias("w")).select("rid", "w.at", F.regexp_replace("w.part", "[\\x20\\x09-\\x0D]+$", "").alias("bare"))
+    words = words.select("rid", (F.col("at") + F.length("bare") - F.length(F.regexp_replace("bare", "^[^\\p{L}\\p{N}]+", ""))).alias("start"), _plain(F.col("bare")).alias("term"))
+    span = F.struct(F.lit("term").alias("kind"), F.col("start"), (F.col("start") + F.length("term")).alias("end"), F.col("term").alias("value"))
+    spans = words.join(hits, ["rid", "term"]).groupBy("rid").agg(F.sort_array(F.collect_list(span)).cast(_SPAN).alias("terms"))
+    spans = s.write(spans, "pii-terms")
+    return rows.join(spans, "rid", "left").select("row", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def _joined(spans: Column) -> Column:
@@ -169,20 +209,25 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, a count of each kind, base_sha256, spans, n_term."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS]
-    return detect(docs).select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    with Scratch(docs.sparkSession) as s:
+        found = detect(s, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+        return s.out(found.select("row.doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term")), "pii-digest")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with base spans generalised to [EMAIL], [IP], ... and disclosing terms removed from the texts."""
-    found = detect(docs).dropDuplicates(["__uid"]).select("__uid", F.concat("base", "terms").alias("__spans")).where(F.size("__spans") > 0)
-    order = F.array_sort("__spans", lambda a, b: F.when(a["start"] != b["start"], F.signum((a["start"] - b["start"]).cast("double")).cast("int")).otherwise(F.signum((b["end"] - a["end"]).cast("double")).cast("int")))
+    """docs with base spans generalised to [EMAIL], [IP], ..., disclosing terms with digits to [CODE], other terms removed."""
+    columns = docs.columns
+    order = F.array_sort(F.concat("base", "terms"), lambda a, b: F.when(a["start"] != b["start"], F.signum((a["start"] - b["start"]).cast("double")).cast("int")).otherwise(F.signum((b["end"] - a["end"]).cast("double")).cast("int")))
+    text = F.col("row.text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        new = F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), mark).alias("out"))
+    def step(pieces: Column, a: Column, s: Column) -> Column:
+        mark = F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"].rlike("[0-9]"), "[CODE]").otherwise("")
+        new = F.struct(s["end"].alias("at"), F.concat(a["out"], _cut(pieces, a["at"], s["start"] - a["at"]), mark).alias("out"))
         return F.when(s["start"] >= a["at"], new).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
 
-    done = F.aggregate(order, zero, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    rows = docs.withColumn("__uid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))).join(found, "__uid", "left")
-    return rows.select(*[F.when(F.col("__spans").isNotNull(), done).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    done = _let(_pieces(text), lambda p: F.aggregate(order, zero, lambda a, x: step(p, a, x), lambda a: F.concat(a["out"], _cut(p, a["at"], F.length(text) - a["at"]))))
+    with Scratch(docs.sparkSession) as s:
+        found = detect(s, docs, columns)
+        new = F.when(F.size("base") + F.size("terms") > 0, done).otherwise(text)
+        return s.out(found.select(*[new.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in columns]), "pii-sanitised")
