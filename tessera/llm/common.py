@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,3 +113,26 @@ def training_labels(labels: DataFrame, column: str) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max(column).cast("int").alias("label"))
     )
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts(lengths: Column, block: int = 256) -> Column:
+    """For each of an array's numbers the sum of all before it: summed within blocks, from the sums of the blocks."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    none = F.array().cast("array<int>")
+
+    def within(n: Column, at: Column, begin: Column) -> Column:
+        zero = F.struct(begin.alias("t"), none.alias("out"))
+        return F.aggregate(F.slice(n, at + 1, F.lit(block)), zero, lambda a, x: F.struct((a["t"] + x).alias("t"), F.array_append(a["out"], a["t"]).alias("out")), lambda a: a["out"])
+
+    def blocks(n: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(n) - 1, F.lit(block))
+        sums = F.transform(at, lambda x: total(F.slice(n, x + 1, F.lit(block))))
+        begins = let(sums, lambda x: F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i))))
+        return F.flatten(F.transform(F.arrays_zip(at.alias("at"), begins.alias("t")), lambda z: within(n, z["at"], z["t"])))
+
+    return let(lengths, lambda n: F.when(F.size(n) > block, blocks(n)).when(F.size(n) > 0, within(n, F.lit(0), F.lit(0))).otherwise(none))

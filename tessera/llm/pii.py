@@ -23,12 +23,10 @@ empty result; in fewer than 2**BITS documents nothing is disclosing. Extra colum
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, Scratch, ascii_lower
+from tessera.llm.common import WORD, Scratch, ascii_lower, let, starts
 
 #: The kinds in order and their patterns.
 PATTERNS = {
@@ -44,33 +42,10 @@ REACH = 200
 LEFT_BITS, BITS = 1.0, 3.0
 #: Disclosing pairs up to this number are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Texts are cut into pieces of so many letters, and sums are made over so many numbers, at once.
-PIECE, BLOCK = 1000, 256
+#: Long texts are cut into pieces of so many letters, from which parts are taken.
+PIECE = 1000
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-_INTS = "array<int>"
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _starts(lengths: Column) -> Column:
-    """The sum of all lengths before each one: within blocks, from the blocks' sums."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-
-    def within(n: Column, s: Column, begin: Column) -> Column:
-        zero = F.struct(begin.alias("t"), F.array().cast(_INTS).alias("out"))
-        return F.aggregate(F.slice(n, s + 1, F.lit(BLOCK)), zero, lambda a, x: F.struct((a["t"] + x).alias("t"), F.array_append(a["out"], a["t"]).alias("out")), lambda a: a["out"])
-
-    def blocks(n: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(n) - 1, F.lit(BLOCK))
-        sums = F.transform(at, lambda s: total(F.slice(n, s + 1, F.lit(BLOCK))))
-        begins = _let(sums, lambda x: F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i))))
-        return F.flatten(F.transform(F.arrays_zip(at.alias("s"), begins.alias("b")), lambda z: within(n, z["s"], z["b"])))
-
-    return _let(lengths, lambda n: F.when(F.size(n) > 0, blocks(n)).otherwise(F.array().cast(_INTS)))
 
 
 def _pieces(text: Column) -> Column:
@@ -112,14 +87,14 @@ def _spans(text: Column, kind: str) -> Column:
 
     def placed(found: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), F.length)
-        before = _starts(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda z: F.coalesce(z["g"], F.lit(0)) + F.coalesce(F.length(z["m"]), F.lit(0))))
+        before = starts(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda z: F.coalesce(z["g"], F.lit(0)) + F.coalesce(F.length(z["m"]), F.lit(0))))
         one = lambda z: F.struct(F.lit(kind).alias("kind"), (z["b"] + z["g"]).alias("start"), (z["b"] + z["g"] + F.length(z["m"])).alias("end"), z["m"].alias("value"))
         kept = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g"), before.alias("b")), lambda z: z["m"].isNotNull() & F.coalesce(_holds(kind, z["m"]), F.lit(False)))
         return F.transform(kept, one).cast(_SPAN)
 
     maybe = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike("[0-9]\\.[0-9]" if kind == "ip" else "[0-9]{2}|[0-9][\\x20-][0-9]"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(maybe & text.rlike(pattern), _let(found, placed)).otherwise(F.array().cast(_SPAN))
+    return F.when(maybe & text.rlike(pattern), let(found, placed)).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -154,7 +129,7 @@ def _passages(text: Column, spans: Column) -> Column:
         terms = F.filter(F.array_distinct(F.transform(F.concat(_words(left), _words(right)), _plain)), _is_term)
         return F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), terms.alias("terms"))
 
-    return _let(_pieces(text), lambda p: F.transform(spans, lambda s: one(s, p)))
+    return let(_pieces(text), lambda p: F.transform(spans, lambda s: one(s, p)))
 
 
 def _telling(s: Scratch, near: DataFrame, n: int, texts: DataFrame) -> DataFrame:
@@ -192,7 +167,7 @@ def detect(s: Scratch, docs: DataFrame, columns: list[str]) -> DataFrame:
     # Words of the documents with hits, with their places.
     held = rows.select("rid", "text").join(hits.select("rid").distinct(), "rid")
     parts = F.split("text", "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])", -1)
-    placed = _let(parts, lambda p: F.arrays_zip(p.alias("part"), _starts(F.transform(p, F.length)).alias("at")))
+    placed = let(parts, lambda p: F.arrays_zip(p.alias("part"), starts(F.transform(p, F.length)).alias("at")))
     words = held.select("rid", F.explode(placed).alias("w")).select("rid", "w.at", F.regexp_replace("w.part", "[\\x20\\x09-\\x0D]+$", "").alias("bare"))
     words = words.select("rid", (F.col("at") + F.length("bare") - F.length(F.regexp_replace("bare", "^[^\\p{L}\\p{N}]+", ""))).alias("start"), _plain(F.col("bare")).alias("term"))
     span = F.struct(F.lit("term").alias("kind"), F.col("start"), (F.col("start") + F.length("term")).alias("end"), F.col("term").alias("value"))
@@ -226,7 +201,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
         new = F.struct(s["end"].alias("at"), F.concat(a["out"], _cut(pieces, a["at"], s["start"] - a["at"]), mark).alias("out"))
         return F.when(s["start"] >= a["at"], new).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
 
-    done = _let(_pieces(text), lambda p: F.aggregate(order, zero, lambda a, x: step(p, a, x), lambda a: F.concat(a["out"], _cut(p, a["at"], F.length(text) - a["at"]))))
+    done = let(_pieces(text), lambda p: F.aggregate(order, zero, lambda a, x: step(p, a, x), lambda a: F.concat(a["out"], _cut(p, a["at"], F.length(text) - a["at"]))))
     with Scratch(docs.sparkSession) as s:
         found = detect(s, docs, columns)
         new = F.when(F.size("base") + F.size("terms") > 0, done).otherwise(text)

@@ -200,6 +200,66 @@ def test_pii_base_spans(spark, docs):
         assert [x for x in got[doc].spans.split(",") if x and not x.startswith("term:")] == want
 
 
+def plain_word(word):
+    return re.sub(r"^[^\w]+|[^\w]+$|^_+|_+$", "", word).translate(LOWER)
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_terms(rows):
+    """Term spans of each (doc_id, text) by counting documents in plain loops."""
+    space = r"[^\x20\x09-\x0D]+"
+    near, bags = [], []
+    for _, text in rows:
+        mine = set()
+        for s in plain_spans(text):
+            kind, a, b = s.split(":")[0], *map(int, s.split(":")[1:])
+            left, right = text[max(a - pii.REACH, 0) : a], text[b : b + pii.REACH]
+            left = re.sub(f"^{space}", "", left) if a > pii.REACH else left
+            right = re.sub(f"{space}$", "", right) if len(right) == pii.REACH else right
+            value = text[a:b].lower() if kind == "email" else re.sub("[^0-9.]", "", text[a:b])
+            mine |= {(kind + value, t) for t in map(plain_word, re.findall(space, left) + re.findall(space, right)) if "@" not in t and any(c.isalpha() for c in t)}
+        near.append(mine)
+        bags.append({plain_word(w) for w in re.findall(space, text)})
+    n, n_t, n_te = len(rows), Counter(t for b in bags for t in b), Counter(p for m in near for p in m)
+    n_e = Counter(e for _, text in rows for e in {s.split(":")[0] + (text[int(s.split(":")[1]) : int(s.split(":")[2])].lower() if s[0] == "e" else re.sub("[^0-9.]", "", text[int(s.split(":")[1]) : int(s.split(":")[2])])) for s in plain_spans(text)})
+    out = {}
+    for (doc, text), mine in zip(rows, near):
+        marks = {t for e, t in mine if n_te[e, t] * 2**pii.LEFT_BITS >= n_t[t] and np.log2(n_te[e, t] * n / (n_t[t] * n_e[e])) >= pii.BITS}
+        words = [(m.start() + len(m[0]) - len(re.sub(r"^[\W_]+", "", m[0])), plain_word(m[0])) for m in re.finditer(space, text)]
+        out[doc] = [f"term:{a}:{a + len(w)}" for a, w in words if w in marks]
+    return out
+
+
+def test_pii_terms_equal_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term:")] for r in pii.digest(docs).collect()}
+    want = plain_terms(rows)
+    assert got == want and any(want.values())
+
+
+def test_pii_finds_names_and_leaves_clean_documents(spark):
+    """A name that stands by an address only, in independent documents; common words; the name's town stands elsewhere too."""
+    rows = [(k, f"Note {k % 7} on the weather of the day in Ostby, number w{k}.") for k in range(200)]
+    rows += [(1000 + k, f"Please ask w{k} of Ostby\nName: Jane Roentgen\nMail: jane@fleet{k % 2}.example or call the office. Ref A4711.") for k in range(8)]
+    rows += [(2000 + k, "Mail the office: info@big.example on the day.") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(df).collect()}
+    assert all(not r.spans for k, r in got.items() if k < 1000) and all(r.n_term == 0 for k, r in got.items() if k >= 2000)
+    texts = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all(texts[k] == x for k, x in rows if k < 1000)
+    for k in range(1000, 1008):
+        assert "Roentgen" not in texts[k] and "fleet" not in texts[k] and "[EMAIL]" in texts[k] and "[CODE]" in texts[k] and "Ostby" in texts[k] and "the" in texts[k]
+    assert plain_terms(rows) == {k: [s for s in r.spans.split(",") if s.startswith("term:")] for k, r in got.items()}
+
+
+def test_pii_places_are_exact_in_long_texts(spark):
+    text = " ".join(f"é{k} a{k}@b{k}.example ," for k in range(3000))
+    row = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_email == 3000 and row.base_sha256 == hashlib.sha256(",".join(plain_spans(text)).encode()).hexdigest()
+
+
 def test_pii_edges(odd):
     assert pii.digest(odd).count() == 8 and pii.digest(odd.limit(0)).count() == 0 and pii.sanitise(odd).columns == odd.columns
 
