@@ -134,7 +134,7 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
         bpe = tokens.load(path)
         end = np.array([END], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-        gc.disable()  # the word tables hold no cycles
+        gc.disable()  # the word tables hold no cycles; the worker that runs this serves such tasks only
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             k = 0

@@ -7,7 +7,8 @@ towards a multiple of the identity. The score is the posterior from the differen
 whose Mahalanobis terms come from Cholesky factors made once.
 
 Nulls and edges: a null text is empty; empty texts get the score of their statistics; a null id has no label; without
-labels of both classes every score is the share of label 1 (1 without any). Extra columns are ignored.
+labels of both classes every score is the share of label 1 (1 without any); classes with equal statistics give that share
+too. Extra columns are ignored or, in `keep_good`, kept; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, materialize, training_labels
+from tessera.llm.common import Scratch, held_out, training_labels
 
-#: Shrinkage towards the pooled covariance, then towards a multiple of the identity.
-POOLED, RIDGE = 0.4, 0.1
+#: Shrinkage towards the pooled covariance, then towards a multiple of the identity, and a least part of it, which keeps
+#: classes without any variance (all texts equal or empty) apart from singular.
+POOLED, RIDGE, LEAST = 0.4, 0.1, 1e-4
 THRESHOLD = 0.7
 
 FEATURES = (
@@ -132,7 +134,7 @@ def fit(x: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
     means, factors, offsets = [], [], []
     for k in (0, 1):
         s = ((1 - POOLED) * cov[k] + POOLED * pooled) / unit
-        s = (1 - RIDGE) * s + RIDGE * np.trace(s) / p * np.eye(p)
+        s = (1 - RIDGE) * s + (RIDGE * np.trace(s) / p + LEAST) * np.eye(p)
         root = np.linalg.cholesky(s)
         means.append((mean[k] - centre) / scale)
         factors.append(np.linalg.inv(root))
@@ -153,17 +155,20 @@ def scored(x: DataFrame, model: Model) -> DataFrame:
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    x = materialize(features(docs), "quality-features")
-    return scored(x, fit(x, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    with Scratch(docs.sparkSession) as s:
+        x = s.out(features(docs), "quality-features")
+        model = fit(x, labels)
+    return scored(x, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, columns as they are."""
-    model = fit(materialize(features(docs), "quality-features"), labels)
+    with Scratch(docs.sparkSession) as s:
+        model = fit(s.write(features(docs), "quality-features"), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([statistics(t.as_py() or "") for t in batch.column("text")]).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
+            yield batch.filter(pa.array(model.score(x) >= THRESHOLD, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

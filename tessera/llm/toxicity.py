@@ -12,8 +12,9 @@ into one weight for each of them: a word's score is a sum of table look-ups, wha
 A document's score is that of its worst sentence, put through a logistic curve fitted on the sample.
 
 Nulls and edges: a null text is empty; a text without words has the score of a word without subsequences; words of any
-length are covered by overlapping windows; a null id has no label; without both classes every score is the share of
-label 1 (0 without any). Extra columns are ignored.
+length are covered by overlapping windows; a null id has no label; without both classes, or without a word in toxic
+labelled documents, every score is the share of label 1 (0 without any). Extra columns are ignored; repeated rows are scored
+each and train as one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, training_labels
@@ -33,8 +34,9 @@ from tessera.llm.common import held_out, training_labels
 ORDER, SPAN, DECAY = 3, 7, 0.5
 #: Letters a word is looked at at once, and the step between such windows in longer words.
 WINDOW, STEP = 24, 12
-#: Labelled documents of class 0 and of class 1 the machine is trained on, at most (the first by a hash of the id).
-SAMPLE = (3000, 1500)
+#: Labelled documents of class 0 and of class 1 the machine is trained on, at most (the first by a hash of the id), and
+#: the bytes of their texts, at most; texts are taken whole or not at all, one for each id.
+SAMPLE, SAMPLE_BYTES = (3000, 1500), (12_000_000, 6_000_000)
 #: Steepest logistic curve over decision values.
 STEEPEST = 10.0
 LANDMARKS = 80
@@ -136,17 +138,20 @@ def kernels(words: list[str], table: np.ndarray, rows: np.ndarray | None = None)
 
 
 def _profiles(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The landmarks' normed subsequence weights: a matrix over the subsequences that occur in them, and the row of each subsequence (0: in none)."""
-    entries = []
-    for column, mark in enumerate(marks):
-        w = (START + plain(mark))[:WINDOW]
-        i, j, k, weight = _SHAPES[len(w)]
-        c = _codes([w], len(w))[0]
-        entries += [(u, column, x) for u, x in zip(((c[i] * CLASSES + c[j]) * CLASSES + c[k]).tolist(), (weight / _NORM[len(w)]).tolist())]
+    """The landmarks' normed subsequence weights: a matrix over the subsequences that occur in them, and the row of each subsequence (0: in none).
+
+    Words longer than a window are as many landmarks as they have windows.
+    """
+    entries, column = [], 0
+    for n, (_, parts) in sorted(_windows(marks).items()):
+        i, j, k, weight = _SHAPES[n]
+        for c in _codes(parts, n):
+            entries += [(u, column, x) for u, x in zip(((c[i] * CLASSES + c[j]) * CLASSES + c[k]).tolist(), (weight / _NORM[n]).tolist())]
+            column += 1
     used = sorted({u for u, _, _ in entries})
     rows = np.zeros(CLASSES**ORDER, np.int32)
     rows[used] = np.arange(1, len(used) + 1)
-    matrix = np.zeros((len(used) + 1, len(marks)), np.float32)
+    matrix = np.zeros((len(used) + 1, column), np.float32)
     for u, column, x in entries:
         matrix[rows[u], column] += x
     return matrix, rows
@@ -233,6 +238,8 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
     for s in bags:
         for w in s:
             seen[1].setdefault(w, 1)  # pieces that only sentences show
+    if not any(len(plain(w)) >= ORDER for s in bags for w in s):
+        return Model(np.zeros(CLASSES**ORDER, np.float32), constant=float(prior))
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
 
     def telling(w: str) -> float:
@@ -276,14 +283,18 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
-    """Trained on at most SAMPLE labelled rows a class, the first ones by a hash of the id."""
+    """Trained on at most SAMPLE labelled rows and SAMPLE_BYTES of text a class, the first ones by a hash of the id."""
     known = training_labels(labels, column)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     prior = counts.get(1, 0) / max(sum(counts.values()), 1)
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[k]) for k in (0, 1)]
     sample = chosen[0].union(chosen[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").collect()
-    return train([r["text"] or "" for r in rows], [r["label"] for r in rows], prior)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    bound = F.when(F.col("label") == 0, SAMPLE_BYTES[0]).otherwise(SAMPLE_BYTES[1])
+    rows = rows.withColumn("bytes", so_far).where(F.col("bytes") <= bound).orderBy("doc_id").select("text", "label").collect()
+    return train([r["text"] for r in rows], [r["label"] for r in rows], prior)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
