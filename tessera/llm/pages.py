@@ -6,6 +6,11 @@ below. One linear scan finds the best contiguous region. If an article or main e
 the region is widened to all of it, so that a box amid the text doesn't cut the text off. What is put out are the blocks
 of the region outside of boxes.
 
+Elements are boxes by their kind or by a word in their class, id or role. Words that layouts also use for the text's own
+parts (header, sidebar, widget and the like) are doubted: such an element is no box if it is part of an article, holds the
+page's only top heading or a main element, or holds most of the page's words; names of negated or optional parts
+("has-sidebar", "no-sidebar") say nothing. Headings are never boxes, nor is an article's own header.
+
 Nulls and edges: a null page is empty; no text gives the empty string; unclosed comments, scripts and tags end with the
 page; a bare `<` is text; a null id or url is kept. Extra columns are ignored; repeated rows give repeated results.
 """
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 #: Elements whose text is never shown, elements that are boxes, and elements without content.
 HIDDEN = frozenset("head script style noscript template svg math object iframe canvas audio video map".split())
-BOXES = frozenset("nav aside footer form menu dialog button select textarea option datalist fieldset".split())
+BOXES = frozenset("nav aside footer dialog button select textarea option datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block; a line break is white space within one.
 BLOCKS = frozenset(
@@ -34,9 +39,24 @@ BLOCKS = frozenset(
 )
 #: Elements that the same element, or one of the given ones, ends where it has no end tag.
 CLOSES = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")
-#: Words in a class, id or role that name a box.
-BOX_NAMES = frozenset(
+RAW = {name: re.compile(f"</{name}", re.I | re.A) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
+#: Words in a class, id or role that name a box, and those that do in doubt only.
+SURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr "
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond "
+    "share sharing social related recommended newsletter".split()
+)
+DOUBTED_NAMES = frozenset(
+    "promo promotion banner notice popup modal overlay sidebar side aside widget widgets footer header masthead toolbar reply replies "
+    "discussion subscribe subscription signup login search copyright complementary contentinfo alert skip hidden".split()
+)
+#: Before a name, these say that something has or lacks such a part.
+ABOUT = frozenset("has have no not with without hide show".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are boxes unless they hold most of the page; some sites wrap all of it in a form.
+DOUBTED = frozenset("form fieldset menu".split())
+NONE, SURE, DOUBT = 0, 1, 2
+_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar side aside widget widgets footer header masthead toolbar "
     "comment comments commentlist disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription "
@@ -62,6 +82,9 @@ LABELLED = (
     '<body><div class="cookie-notice">We use cookies <button>OK</button></div><main><!--main--><h1>Owls</h1><section><p>An owl hears a mouse under a foot of snow and turns its head to '
     "find the place.</p></section><section><p>It flies without a sound because the edges of its feathers are soft.</p></section><!--/main--></main>"
     '<div class="related"><h3>Read on</h3><a href="/h">Hawks</a><a href="/k">Kites</a></div></body>',
+    '<body><div id="top"><a href="/">Harbour news</a> <a href="/w">Weather</a> <a href="/s">Sport</a></div><div class="page no-sidebar"><!--main--><h1>A ferry for the islands</h1><p>The council has ordered '
+    'a <a href="/f">ferry</a> that runs on <b>batteries</b> and carries forty cars.</p><p>It is to sail from the spring of next year, four times a day.</p><table><tr><th>Length</th><td>sixty metres</td></tr></table><!--/main-->'
+    '<ul class="share"><li><a href="/1">Post</a></li><li><a href="/2">Mail</a></li></ul><div id="comments"><div><p>At last, we have waited for so long</p><p>Who is going to pay for it?</p></div></div></div></body>',
 )
 
 
@@ -74,29 +97,57 @@ class _Page:
         self.marks: list[int] = []
         self.areas: list[list[int]] = []  # first and last token of article and main elements outside of boxes
         self.block = 0
+        self._raw: list[tuple[str, str, int, int]] = []  # tokens with the innermost box they stand in, or -1
+        self._boxes: list[list] = []  # kind, enclosing box or -1, number of top headings, whether it holds a main element
+        self._spans: list[list[int]] = []  # areas, with the box they stand in
         self._scan()
+        self._decide()
+
+    def _decide(self) -> None:
+        """Which doubted boxes are boxes; then tokens and areas."""
+        words, total, tops = [0] * len(self._boxes), 0, 0
+        sure = []
+        for kind, around, *_ in self._boxes:
+            sure.append(kind == SURE or (around >= 0 and sure[around]))
+        for kind, text, _, box in self._raw:
+            if kind in ("word", "link") and (box < 0 or not sure[box]):
+                n = len(text.split())
+                total += n
+                if box >= 0:
+                    words[box] += n
+            tops += kind == "h1" and box < 0
+        for k in reversed(range(len(self._boxes))):
+            if self._boxes[k][1] >= 0:
+                words[self._boxes[k][1]] += words[k]
+        boxed = []
+        for k, (kind, around, headings, main) in enumerate(self._boxes):
+            doubt = kind == DOUBT and (main or (headings and not tops) or 2 * words[k] > total)
+            boxed.append(not doubt or (around >= 0 and boxed[around]))
+        self.tokens = [(kind, text, block, box >= 0 and boxed[box]) for kind, text, block, box in self._raw]
+        self.areas = [[a, b] for a, b, box in self._spans if box < 0 or not boxed[box]]
 
     def _scan(self) -> None:
-        s, at, stack = self.source, 0, []  # stack: (name, boxed, index of its area or -1)
-        lower = s.lower() if len(s.lower()) == len(s) else s
-        open_links = boxed = 0
+        s, at, stack = self.source, 0, []  # stack: (name, number of its box or -1, index of its area or -1)
+        open_links, box = 0, -1
         names: Counter = Counter()
         text: list[str] = []
+        endless: set[str] = set()  # raw elements that have no end tag any more
 
         def flush() -> None:
             if text:
                 kind = "link" if open_links else "word"
-                self.tokens.append((kind, "".join(text), self.block, boxed > 0))
+                self._raw.append((kind, "".join(text), self.block, box))
                 text.clear()
 
         def pop() -> str:
-            nonlocal open_links, boxed
-            name, box, area = stack.pop()
+            nonlocal open_links, box
+            name, own, area = stack.pop()
             names[name] -= 1
             open_links -= name == "a"
-            boxed -= box
+            if own >= 0:
+                box = self._boxes[own][1]
             if area >= 0:
-                self.areas[area][1] = len(self.tokens)
+                self._spans[area][1] = len(self._raw)
             if name in BLOCKS:
                 self.block += 1
             return name
@@ -111,7 +162,7 @@ class _Page:
             if s.startswith("<!--", begin):
                 if s.startswith((MARK, UNMARK), begin):
                     flush()
-                    self.marks.append(len(self.tokens))
+                    self.marks.append(len(self._raw))
                 end = s.find("-->", begin + 4)
                 at = len(s) if end < 0 else end + 3
                 continue
@@ -148,31 +199,41 @@ class _Page:
                 while stack and name in CLOSES.get(stack[-1][0], ()):
                     flush()
                     pop()
-                box = self._is_box(name, inside, names)
-                if box:
+                own = -1
+                if kind := self._box_kind(name, inside, names):
                     flush()
+                    own = len(self._boxes)
+                    self._boxes.append([kind, box, 0, False])
+                    box = own
+                if name in ("h1", "main"):
+                    up = box
+                    while up >= 0:
+                        self._boxes[up][2 if name == "h1" else 3] += 1
+                        up = self._boxes[up][1]
                 area = -1
-                if name in ("article", "main") and not boxed and not box:
-                    area = len(self.areas)
-                    self.areas.append([len(self.tokens), len(s)])
+                if name in ("article", "main"):
+                    area = len(self._spans)
+                    self._spans.append([len(self._raw), len(s), box])
                 if name in BLOCKS:
                     self.block += 1
                 if not inside.endswith("/") or name not in ("svg", "math"):
-                    stack.append((name, box, area))
+                    stack.append((name, own, area))
                     names[name] += 1
                     open_links += name == "a"
-                    boxed += box
+                elif own >= 0:
+                    box = self._boxes[own][1]
                 if name in RAW:
-                    close = lower.find(f"</{name}", at)
-                    if close < 0:
+                    close = None if name in endless else RAW[name].search(s, at)
+                    if not close:
+                        endless.add(name)
                         if name in ("script", "style"):
                             at = len(s)
                         continue
                     if name not in ("script", "style"):
-                        text.append(s[at:close])
-                    at = close
+                        text.append(s[at : close.start()])
+                    at = close.start()
             if name in BLOCKS:
-                self.tokens.append((name, "", self.block, boxed > 0))
+                self._raw.append((name, "", self.block, box))
         flush()
         while stack:
             pop()
@@ -194,18 +255,30 @@ class _Page:
         return -1
 
     @staticmethod
-    def _is_box(name: str, inside: str, names: Counter) -> bool:
+    def _box_kind(name: str, inside: str, names: Counter) -> int:
         if name in HIDDEN or name in BOXES:
-            return True
-        if name == "header" and not names["article"] and not names["main"]:
-            return True
-        if name in ("html", "body", "article", "main"):
-            return False
+            return SURE
+        if name in DOUBTED:
+            return DOUBT
+        article = names["article"]
+        if name in ("html", "body", "article", "main") or name in HEADINGS:
+            return NONE
+        if name == "header":
+            return NONE if article or names["main"] else DOUBT
         if not inside:
-            return False
+            return NONE
         if _HIDDEN.search(re.sub(r"""(?:class|id)\s*=\s*("[^"]*"|'[^']*')""", "", inside)):
-            return True
-        return any(part.lower() in BOX_NAMES for m in _NAMES.finditer(inside) for part in _NAME_PART.split(m[1].strip("\"'")))
+            return SURE
+        kind = NONE
+        for m in _NAMES.finditer(inside):
+            for token in m[1].strip("\"'").split():
+                parts = [x.lower() for x in _NAME_PART.split(token)]
+                if ABOUT.isdisjoint(parts):
+                    if not SURE_NAMES.isdisjoint(parts):
+                        return SURE
+                    if not article and not DOUBTED_NAMES.isdisjoint(parts):
+                        kind = DOUBT
+        return kind
 
 
 def _units(page: _Page) -> list[tuple[str, int]]:
@@ -227,17 +300,23 @@ def weights() -> dict[str, float]:
     return {k: max(v, 0.5) if k == "word" else min(v, -0.1) for k, v in odds.items()}
 
 
-def region(page: _Page) -> tuple[int, int]:
-    """First token of the best region and the one after its last; (0, 0) if nothing scores."""
-    value = weights()
-    best = total = 0.0
+def best(values: list[float]) -> tuple[int, int]:
+    """First place of the run of values with the largest sum and the one after its last; (0, 0) if no sum is above 0."""
+    top = total = 0.0
     first = start = last = 0
-    for k, (kind, n) in enumerate(_units(page)):
-        total += value.get(kind, -0.5) * n
+    for k, value in enumerate(values):
+        total += value
         if total <= 0:
             total, start = 0.0, k + 1
-        elif total > best:
-            best, first, last = total, start, k + 1
+        elif total > top:
+            top, first, last = total, start, k + 1
+    return first, last
+
+
+def region(page: _Page) -> tuple[int, int]:
+    """First token of the best region and the one after its last; (0, 0) if nothing scores."""
+    value = weights()
+    first, last = best([value.get(kind, -0.5) * n for kind, n in _units(page)])
     for a, b in page.areas:
         if last and a < last and first < b:
             first, last = min(first, a), max(last, b)
