@@ -3,7 +3,8 @@
 Texts are tokenised and cut into pieces of at most `CAPACITY` tokens. What is packed is the histogram of piece lengths
 (at most CAPACITY numbers, whatever the corpus): for each length, longest first, sums of one, two or three lengths that
 fill the gap exactly are looked up under the counts left and consumed as often as they last; the rest goes best-fit,
-longest first. The plan is a list of bin patterns with multiplicities. Pieces are then ranked within their length by a
+longest first. Which sums go first matters, so the plan is made in a few ways and the one with the fewest bins is kept. The
+plan is a list of bin patterns with multiplicities. Pieces are then ranked within their length by a
 hash in blocks, and a rank's bin and offset follow from the plan, so no group of equal lengths meets in one task.
 
 Nulls and edges: a null text is empty and packs as its end token alone; a null id is kept and hashes like 0; repeated
@@ -30,11 +31,19 @@ BLOCKS = 1024
 #: Texts are tokenised in groups of about so many characters, which bounds a worker's memory.
 GROUP_CHARS = 8_000_000
 
+#: Ways to look up complements: all sums for each length at once, or single lengths first, then also pairs, then also triples.
+WAYS = (((1, 2, 3),), ((1,),), ((1,), (2,)), ((1,), (2,), (3,)))
+
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, times), ...), bins
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Bin patterns for so many pieces of each length."""
+    """Bin patterns for so many pieces of each length: the fewest of what the ways to look complements up lead to."""
+    return min((_plan(counts, capacity, sums) for sums in WAYS), key=lambda patterns: sum(times for _, times in patterns))
+
+
+def _plan(counts: dict[int, int], capacity: int, sums: tuple[tuple[int, ...], ...]) -> list[Pattern]:
+    """Bin patterns if each of sums, in turn, says of how many lengths complements may be."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
@@ -57,14 +66,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
         k = int(found.argmax()) if len(found) else 0
         return [total - k - 1, k + 1] if len(found) and found[k] else []
 
-    def complement(length: int) -> list[int]:
-        """One to three lengths that fill what `length` leaves of a bin, [] if none do."""
+    def complement(length: int, allowed: tuple[int, ...]) -> list[int]:
+        """Lengths that fill what `length` leaves of a bin, so many as are allowed, [] if none do."""
         gap = capacity - length
-        if gap and left[gap] > 0:
+        if 1 in allowed and gap and left[gap] > 0:
             return [gap]
-        if two := pair(gap):
+        if 2 in allowed and (two := pair(gap)):
             return two
-        for first in np.flatnonzero(left[: gap - 1])[::-1].tolist() if gap > 2 else []:
+        for first in np.flatnonzero(left[: gap - 1])[::-1].tolist() if 3 in allowed and gap > 2 else []:
             if first * 3 < gap:
                 break
             left[first] -= 1
@@ -76,14 +85,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
 
     if left[capacity]:
         take([capacity])
-    for length in range(capacity - 1, 0, -1):
-        while left[length] > 0:
-            left[length] -= 1
-            rest = complement(length)
-            left[length] += 1
-            if not rest:
-                break
-            take([length, *rest])
+    for allowed in sums:
+        for length in range(capacity - 1, 0, -1):
+            while left[length] > 0:
+                left[length] -= 1
+                rest = complement(length, allowed)
+                left[length] += 1
+                if not rest:
+                    break
+                take([length, *rest])
     # Best fit, longest first, over groups of equal bins: gap -> [contents, number of bins].
     bins: dict[int, list] = defaultdict(list)
     for length in np.flatnonzero(left)[::-1].tolist():

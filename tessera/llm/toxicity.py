@@ -7,7 +7,8 @@ divided by the norm that a word of their length has. A sentence is compared by i
 Training (on the driver, bounded): the documents of at most SAMPLE labelled rows a class outside the held-out fold are
 cut into sentences. Landmarks are words; a word's Nystroem features are its kernels with them, whitened. The machine
 learns which words set sentences of toxic documents apart (their witnesses), against all sentences of the others,
-witnesses and weights in turns; sentences of toxic documents without such a word take no part. Because the kernel has finitely many subsequences, the learnt function collapses
+witnesses and weights in turns; sentences of toxic documents without such a word take no part. Witnesses are also taught
+with a letter inserted at each place, so that such spellings stay toxic however many clean words there are. Because the kernel has finitely many subsequences, the learnt function collapses
 into one weight for each of them: a word's score is a sum of table look-ups, whatever the number of landmarks.
 A document's score is that of its worst sentence, put through a logistic curve fitted on the sample.
 
@@ -20,6 +21,7 @@ each and train as one.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -44,6 +46,8 @@ ROUNDS = 3
 #: Least odds of a word in toxic documents, and at first its least distance from chance in standard errors, for it to make
 #: a sentence toxic; the weight of such a sentence.
 ODDS, EVIDENCE, POSITIVE = 4.0, 2.5, 4.0
+#: Weight of a spelling with an inserted letter against the word's own.
+INSERTED = 0.2
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
 
@@ -96,6 +100,12 @@ def words_of(text: str) -> set[str]:
     return found
 
 
+def inserted(word: str) -> list[str]:
+    """The word with a letter put in at each place inside it; which letter follows from word and place."""
+    word = plain(word)
+    return [word[:k] + chr(ord("a") + zlib.crc32(f"{word}{k}".encode("utf-8", "surrogatepass")) % 26) + word[k:] for k in range(1, len(word))]
+
+
 def _windows(words: Iterable[str]) -> dict[int, tuple[list[int], list[str]]]:
     """By length: which word, which window of it."""
     out: dict[int, tuple[list[int], list[str]]] = {}
@@ -267,14 +277,23 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
     marked = first = (value >= EVIDENCE) & (odds >= ODDS)
     sentences = [np.array([at[w] for w in s], np.int32) for s in bags]
     del bags, ranked, usable
+    # Spellings of those words with a letter inserted, which the machine learns as well.
+    spelt = [(k, v) for k in np.flatnonzero(first) for v in inserted(vocabulary[k])]
+    known = len(vocabulary)
+    if spelt:
+        x = np.concatenate([x, kernels([v for _, v in spelt], profiles, rows_of) @ white.astype(np.float32)])
+    source = np.array([k for k, _ in spelt], np.int64)
     for _ in range(ROUNDS):
         best = np.array([s[value[s].argmax()] for s in sentences])
         witness, times = np.unique(best[marked[best]] if marked[best].any() else best, return_counts=True)
-        rows = np.concatenate([witness, negative])
-        target = np.concatenate([np.ones(len(witness)), -np.ones(len(negative))])
-        weights = np.concatenate([np.minimum(times * POSITIVE, 400.0), np.minimum(weight0, 100.0)])
+        own = np.minimum(times * POSITIVE, 400.0)
+        at_witness = np.searchsorted(witness, source).clip(max=len(witness) - 1)
+        taught = np.flatnonzero(witness[at_witness] == source)
+        rows = np.concatenate([witness, known + taught, negative])
+        target = np.concatenate([np.ones(len(witness) + len(taught)), -np.ones(len(negative))])
+        weights = np.concatenate([own, INSERTED * own[at_witness[taught]], np.minimum(weight0, 100.0)])
         v, bias = _svm(x, rows, target, weights)
-        value = x @ v + bias
+        value = x[:known] @ v + bias
         marked = first | (value > 0) & (odds >= ODDS)
     model = Model((profiles @ (white @ v)).astype(np.float32)[rows_of], bias)
     model.slope, model.offset = _logistic(np.minimum(model.worst(texts), 1.0), y, prior)
