@@ -69,7 +69,7 @@ def _fingerprints(h: Column, windows: Column) -> Column:
     """For each window its least hash and that line's place, the first of equal ones."""
 
     def one(w: Column) -> Column:
-        return let(F.slice(h, w["a"] + 1, w["b"] - w["a"] + 1), lambda part: let(F.array_min(part), lambda m: F.struct(m.alias("m"), (w["a"] + F.array_position(part, m) - 1).cast("int").alias("at"))))
+        return let(F.slice(h, w["a"] + 1, w["b"] - w["a"] + 1), lambda part: F.struct(F.array_min(part).alias("m"), (w["a"] + F.array_position(part, F.array_min(part)) - 1).cast("int").alias("at")))
 
     return F.transform(windows, one)
 
@@ -103,7 +103,9 @@ def _again(s: Scratch, prints: DataFrame, label: str) -> DataFrame:
 
 def _matched(s: Scratch, lines: DataFrame) -> DataFrame:
     """(d, uid, g, k): hash and number of each window whose fingerprint has another place; a table of s."""
-    places = lines.select(F.explode(F.array_distinct("f")).alias("f")).groupBy("f.m").agg(F.count(F.lit(1)).alias("times"))
+    # Windows of one fingerprint follow each other.
+    each = F.filter("f", lambda x, i: (i == 0) | (F.get("f", i - 1)["at"] != x["at"]))
+    places = lines.select(F.explode(each).alias("f")).groupBy("f.m").agg(F.count(F.lit(1)).alias("times"))
     seen = s.write(places.where("times > 1").select("m"), "lines-fingerprints")
     hashed = F.expr(f"transform(w, (x, k) -> named_struct('m', get(f, k).m, 'g', {_run('x.a', 'x.b')}, 'k', k))")
     return s.write(lines.select(*KEY, F.explode(hashed).alias("x")).select(*KEY, "x.*").join(seen, "m").drop("m"), "lines-windows")
