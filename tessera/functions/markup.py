@@ -12,6 +12,7 @@ LISTS = {
     "script_src": r"""(?i)<script[^>]+src=["']([^"']+)["']""",
     "comment": r"<!--([\s\S]*?)-->",
     "og_image": r"""(?i)<meta[^>]+(?:property|name)=["'](?:og|twitter):image["'][^>]+content=["']([^"']+)["']""",
+    "og_image_after": r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+(?:property|name)=["'](?:og|twitter):image["']""",
     "hreflang": r"""(?i)<link[^>]+hreflang=["']([^"']+)["']""",
     "font_source": r"""(?i)url\(['"]?([^'")]+\.(?:woff2?|ttf|otf|eot)[^'")]*)['"]?\)""",
     "inline_style": r"(?i)<style[^>]*>([\s\S]*?)</style>",
@@ -60,24 +61,46 @@ def title(html: Column) -> Column:
     return F.when(found != "", found)
 
 
-def meta(html: Column, name: str) -> Column:
-    """A named meta tag's content: either order of the attributes, either quote; the first that isn't empty."""
+def tags(html: Column, name: str) -> Column:
+    """The opening tags of a name, which patterns of attributes then search instead of the page."""
+    return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}[^>]+>?"), F.lit(0))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def meta_of(found: Column, name: str) -> Column:
+    """A named meta tag's content, from the page's meta tags: either order of the attributes, either quote; the first that isn't empty."""
     pre, mark = r"(?i)<meta[^>]+", f"name=[\"']{name}[\"']"
     patterns = (f'{pre}{mark}[^>]+content="([^"]*)"', f"{pre}{mark}[^>]+content='([^']*)'", f'{pre}content="([^"]*)"[^>]+{mark}', f"{pre}content='([^']*)'[^>]+{mark}")
-    return decode_entities(F.trim(F.coalesce(*[first(html, p) for p in patterns])))
+    text = F.array_join(F.filter(found, lambda t: F.lower(t).contains(name)), "\n")
+    return let(text, lambda t: F.when(t != "", decode_entities(F.trim(F.coalesce(*[first(t, p) for p in patterns])))))
+
+
+def meta(html: Column, name: str) -> Column:
+    return meta_of(tags(html, "meta"), name)
 
 
 def cards(html: Column, attribute: str, prefix: str) -> Column:
     """array<struct<key, value>> of og: or twitter: tags; of a repeated key the last one, as later patterns and hits win."""
-    hits = []
-    for quote in "\"'":
-        name, value = f"{attribute}={quote}({prefix}:[^{quote}]+){quote}", f"content={quote}([^{quote}]*){quote}"
-        for order, pattern in enumerate((f"(?i)<meta[^>]+{name}[^>]+{value}", f"(?i)<meta[^>]+{value}[^>]+{name}")):
-            groups = [F.regexp_extract_all(html, F.lit(pattern), F.lit(g)) for g in ((1, 2), (2, 1))[order]]
-            hits.append((order, F.zip_with(*groups, lambda k, v: F.struct(k.alias("key"), v.alias("value")))))
-    found = F.filter(F.concat(*[h for _, h in sorted(hits, key=lambda x: x[0])]), lambda x: (x["key"] != "") & (x["value"] != ""))
-    last = lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["key"] == x["key"])
-    return F.filter(found, last)
+
+    def hits(text: Column) -> Column:
+        out = []
+        for quote in "\"'":
+            name, value = f"{attribute}={quote}({prefix}:[^{quote}]+){quote}", f"content={quote}([^{quote}]*){quote}"
+            for order, pattern in enumerate((f"(?i)<meta[^>]+{name}[^>]+{value}", f"(?i)<meta[^>]+{value}[^>]+{name}")):
+                groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in ((1, 2), (2, 1))[order]]
+                out.append((order, F.zip_with(*groups, lambda k, v: F.struct(k.alias("key"), v.alias("value")))))
+        return F.filter(F.concat(*[h for _, h in sorted(out, key=lambda x: x[0])]), lambda x: (x["key"] != "") & (x["value"] != ""))
+
+    def last(found: Column) -> Column:
+        return F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda y: y["key"] == x["key"]))
+
+    text = F.array_join(F.filter(tags(html, "meta"), lambda t: F.lower(t).contains(f"{prefix}:")), "\n")
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return let(text, lambda t: F.when(t != "", let(hits(t), last)).otherwise(none))
 
 
 def canonical(html: Column) -> Column:
@@ -148,7 +171,7 @@ def font_families(html: Column) -> Column:
 
 
 def noindex(html: Column, header: Column | None = None) -> Column:
-    own = F.coalesce(F.lower(F.coalesce(meta(html, "robots"), meta(html, "googlebot"))).contains("noindex"), F.lit(False))
+    own = F.coalesce(F.lower(meta(html, "robots")).contains("noindex"), F.lit(False))
     return own if header is None else own | F.coalesce(F.lower(header).contains("noindex"), F.lit(False))
 
 

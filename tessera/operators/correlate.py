@@ -1,8 +1,8 @@
 """What sites share: an inverted index of signals, joined on their keys and scored by rule tables.
 
 signals: (domain, kind, key), one row an observed key; sites: (domain, ord, cluster), a row a site, ord unique, cluster null
-for unclustered sites. A pair of sites meets only on a shared key. A key that very many sites hold makes as many pair
-findings as the reference's contract has pairs; `token_findings` aggregates such keys instead.
+for unclustered sites. A pair of sites meets only on a shared key. A key that n sites hold makes n * (n - 1) / 2 pairs, as
+pair findings are asked for; `token_findings` makes one row of such a key instead.
 """
 
 from __future__ import annotations
@@ -13,37 +13,51 @@ from pyspark.sql import functions as F
 from tessera.registry import COLLAPSE, COMMODITY, FLEET_WIDE, PAIR_RULES, PENALTY, SUPPRESSIBLE, TOKEN_RULES
 
 
+#: Points of two sites registered within a week.
+REGISTRATION_POINTS = 10
+
+
 def _pair_rules(signals: DataFrame) -> DataFrame:
     schema = "kind string, type string, type_same string, pts_same int, pts_cross int, sev_same string, sev_cross string, per_key boolean"
     return signals.sparkSession.createDataFrame([tuple(r) for r in PAIR_RULES], schema)
 
 
 def pair_signals(signals: DataFrame, sites: DataFrame) -> DataFrame:
-    """(a, b, kind, same, keys, n, wide, finding columns): what each pair of sites, a before b, shares of a kind."""
+    """(a, b, kind, same, n, wide, detail, rule columns): what each pair of sites, a before b, shares of a kind, or for rules
+    that count each key, of a kind and key; wide: whether the key is a fleet-wide one, whose finding is made elsewhere."""
+    rules = F.broadcast(_pair_rules(signals))  # of fixed size
     own = signals.where(F.col("key").isNotNull()).select("domain", "kind", "key").distinct().join(sites, "domain")
     counts = own.where(F.col("kind").isin(*SUPPRESSIBLE)).groupBy("kind", "key").agg((F.count(F.lit(1)) >= 3).alias("wide"))
     left = own.join(counts, ["kind", "key"], "left").select("kind", "key", F.col("domain").alias("a"), F.col("ord").alias("oa"), F.col("cluster").alias("ca"), F.coalesce("wide", F.lit(False)).alias("wide"))
     right = own.select("kind", "key", F.col("domain").alias("b"), F.col("ord").alias("ob"), F.col("cluster").alias("cb"))
-    met = left.join(right, ["kind", "key"]).where("oa < ob")
+    met = left.join(right, ["kind", "key"]).where("oa < ob AND NOT (kind = 'cloudflare' AND length(key) < 20)")
     same = F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
-    shared = met.withColumn("same", same).groupBy("a", "b", "kind", "same").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("wide")).cast("long")).alias("narrow"), F.min("key").alias("key"))
-    return shared.join(F.broadcast(_pair_rules(signals)), "kind")  # a rule table of fixed size
+    shared = met.withColumn("same", same).join(rules, "kind").withColumn("one", F.when(F.col("per_key"), F.col("key")))
+    keys = ["a", "b", "kind", "same", "one", "type", "type_same", "pts_same", "pts_cross", "sev_same", "sev_cross", "per_key"]
+    return shared.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("wide").alias("wide"), F.array_join(F.sort_array(F.collect_list("key")), ", ").alias("detail"))
 
 
-def similarity(signals: DataFrame, sites: DataFrame) -> DataFrame:
-    """(a, b, similarity): points added up, at most 100."""
+def similarity(signals: DataFrame, sites: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity): points added up, at most 100; near: pairs (a, b) that were registered about the same time."""
     each = F.when(F.col("same"), F.col("pts_same")).otherwise(F.col("pts_cross"))
     points = F.when(F.col("kind") == "form_provider", F.least(F.lit(20), 4 + 8 * F.col("n"))).when(F.col("per_key"), each * F.col("n")).otherwise(each)
-    total = pair_signals(signals, sites).groupBy("a", "b").agg(F.sum(points).alias("p"))
+    each_pair = pair_signals(signals, sites).select("a", "b", points.cast("long").alias("p"))
+    if near is not None:
+        each_pair = each_pair.unionByName(near.select("a", "b", F.lit(REGISTRATION_POINTS).cast("long").alias("p")))
+    total = each_pair.groupBy("a", "b").agg(F.sum("p").alias("p"))
     return total.select("a", "b", F.least(F.lit(100), F.col("p")).cast("int").alias("similarity")).where("similarity > 0")
 
 
-def pair_findings(signals: DataFrame, sites: DataFrame) -> DataFrame:
-    """(type, severity, a, b, n, detail): findings of pairs; keys that are fleet-wide leave the pair findings."""
+def pair_findings(signals: DataFrame, sites: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(type, severity, a, b, n, detail): findings of pairs, of some rules one for each key; fleet-wide keys leave them."""
     kind = F.when(F.col("same"), F.coalesce("type_same", "type")).otherwise(F.col("type"))
-    out = pair_signals(signals, sites).where(~F.col("kind").isin(*SUPPRESSIBLE) | (F.col("narrow") > 0))
+    out = pair_signals(signals, sites).where(~F.col("kind").isin(*SUPPRESSIBLE) | ~F.col("wide"))
     severity = F.when(F.col("same"), F.col("sev_same")).otherwise(F.col("sev_cross"))
-    return out.select(kind.alias("type"), severity.alias("severity"), "a", "b", F.col("n").cast("long").alias("n"), F.col("key").alias("detail")).where("type IS NOT NULL AND severity IS NOT NULL")
+    out = out.select(kind.alias("type"), severity.alias("severity"), "a", "b", F.col("n").cast("long").alias("n"), "detail").where("type IS NOT NULL AND severity IS NOT NULL")
+    if near is None:
+        return out
+    dates = near.select(F.lit("registration-proximity").alias("type"), F.lit("medium").alias("severity"), "a", "b", F.lit(1).cast("long").alias("n"), F.col("days").cast("string").alias("detail"))
+    return out.unionByName(dates)
 
 
 def registration_pairs(registrations: DataFrame, days: int = 7) -> DataFrame:
@@ -70,20 +84,22 @@ def token_findings(signals: DataFrame, sites: DataFrame) -> DataFrame:
     return sums.where("n >= least AND (NOT spans OR clusters >= 2)").select("type", "severity", "key", "n", "domains")
 
 
-def suffix_findings(mentions: DataFrame, sites: DataFrame, kind: str, severity: str = "critical") -> DataFrame:
-    """(type, severity, domain, target): sites whose records (domain, host) name a host under another site of the fleet.
+def suffix_findings(mentions: DataFrame, sites: DataFrame, kind: str, severity: str = "critical", key: str | None = None) -> DataFrame:
+    """(type, severity, domain, target): sites whose records (domain, host) name a host under another site of the fleet; with
+    `key`, a column of mentions, a row for each of its values.
 
     Each host is exploded into its suffixes, which makes "is under" an equi-join.
     """
     parts = F.split(F.lower("host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     under = lambda x, y: (x == y) | x.endswith(F.concat(F.lit("."), y))
-    each = mentions.where(F.col("host").isNotNull()).select("domain", "host", F.explode(suffixes).alias("target"))
+    more = [key] if key else []
+    each = mentions.where(F.col("host").isNotNull()).select("domain", "host", *more, F.explode(suffixes).alias("target"))
     fleet = sites.select(F.lower("domain").alias("target"), F.col("ord"))
     own, other = F.lower("domain"), F.col("target")
-    met = each.join(fleet, "target").where(~under(own, other) & ~under(other, own))
-    first = met.groupBy("domain", "host").agg(F.min_by("target", "ord").alias("target"))
-    return first.select(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), "domain", "target").distinct()
+    met = each.join(fleet, "target").where(~under(own, other) & ~under(other, own) & ~under(F.lower("host"), own))
+    first = met.groupBy("domain", "host", *more).agg(F.min_by("target", "ord").alias("target"))
+    return first.select(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), "domain", "target", *more).distinct()
 
 
 def cross_cluster(sites: DataFrame, flags: DataFrame) -> DataFrame:
@@ -109,12 +125,31 @@ def isolation_score(findings: DataFrame, sites: DataFrame) -> DataFrame:
     return both.select(F.greatest(F.lit(0), 100 - F.col("fleet_penalty") - F.floor(F.col("pair_penalty") / over + 0.5)).cast("int").alias("score"), F.col("fleet_penalty").cast("long").alias("fleet_penalty"), F.col("pair_penalty").cast("long").alias("pair_penalty"), "sites")
 
 
-def collapse(findings: DataFrame, rollups: DataFrame) -> DataFrame:
-    """(type, detail, severity, pairs, domains): commodity findings of three pairs or more in a line, unless a fleet-wide rollup
-    (detail, domains) of form providers has all their sites."""
+def collapse(findings: DataFrame, rollups: DataFrame, least: int = 3) -> DataFrame:
+    """(type, severity, detail, pairs, domains): what is shown of pair findings (type, severity, a, b, detail).
+
+    Commodity findings of one detail become one line if they are of at least so many pairs; they leave if a fleet-wide
+    rollup (type fleet-wide-form-provider, domains joined by commas) has all their sites. All others stay as they are.
+    """
     rank = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0)
-    some = findings.where(F.col("type").isin(*COLLAPSE))
-    groups = some.groupBy("type", "detail").agg(F.max_by("severity", rank).alias("severity"), F.count(F.lit(1)).alias("pairs"), F.array_sort(F.array_distinct(F.concat(F.collect_set("a"), F.collect_set("b")))).alias("all"))
-    known = rollups.select("detail", F.split("domains", ",").alias("have"))
-    left = groups.join(known, "detail", "left").withColumn("covered", (F.col("type") == "shared-form-provider") & F.coalesce(F.size(F.array_except("all", "have")) == 0, F.lit(False)))
-    return left.where("NOT covered AND pairs >= 3").select("type", "detail", "severity", "pairs", F.array_join("all", ",").alias("domains"))
+    some = F.col("type").isin(*COLLAPSE)
+    keys = ["type", "detail"]
+    groups = findings.where(some).groupBy(*keys).agg(F.max_by("severity", rank).alias("most"), F.count(F.lit(1)).alias("pairs"), F.array_sort(F.array_distinct(F.concat(F.collect_set("a"), F.collect_set("b")))).alias("all"))
+    # Of the rollups only the number of a group's sites in each is needed.
+    provider = F.col("type") == "shared-form-provider"
+    members = groups.where(provider).select(*keys, F.size("all").alias("size"), F.explode("all").alias("site"))
+    have = rollups.select(F.monotonically_increasing_id().alias("r"), F.explode(F.split("domains", ",")).alias("site"))
+    covered = members.join(have, "site").groupBy(*keys, "size", "r").agg(F.count(F.lit(1)).alias("n")).where("n = size").select(*keys).distinct()
+    groups = groups.join(covered, keys, "left_anti")
+    lines = groups.where(F.col("pairs") >= least).select("type", F.col("most").alias("severity"), "detail", "pairs", F.array_join("all", ",").alias("domains"))
+    pair = lambda df: df.select("type", "severity", "detail", F.lit(1).cast("long").alias("pairs"), F.concat_ws(",", "a", "b").alias("domains"))
+    small = findings.where(some).join(groups.where(F.col("pairs") < least).select(*keys), keys)
+    return lines.unionByName(pair(small)).unionByName(pair(findings.where(~some)))
+
+
+def unreachable(scans: DataFrame) -> DataFrame:
+    """(domain, reason) of scan records whose site gave no content: an HTTP error status, a failed http scan, or neither."""
+    status = F.col("http.statusCode")
+    error = F.get(F.filter(F.coalesce("errors", F.array().cast("array<struct<scanner:string,error:string>>")), lambda e: e["scanner"] == "http"), F.lit(0))["error"]
+    down = F.col("http").isNull() | (status >= 400)
+    return scans.where(down).select("domain", F.coalesce(F.when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string"))), error, F.lit("no response")).alias("reason"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import markup
-from tessera.registry import ACCOUNT_IDS, DNS_TOKENS, PREFIX, java
+from tessera.registry import ACCOUNT_IDS, DNS_TOKENS, PREFIX, java, literal
 
 
 def _prefixed(values: Column, name: str) -> Column:
@@ -16,9 +16,17 @@ def _prefixed(values: Column, name: str) -> Column:
 
 
 def account_ids(pages: DataFrame) -> DataFrame:
-    """Distinct (page_id, name, id)."""
-    hits = [_prefixed(markup.every(F.col("html"), p), name) for name, p in ACCOUNT_IDS if name != "Umami Script Source"]
-    return pages.select("page_id", F.explode(F.array_distinct(F.concat(*hits))).alias("h")).select("page_id", "h.name", "h.id")
+    """Distinct (page_id, name, id). A pattern is searched for only where the letters that each of its matches holds are there."""
+    low, none = F.col("low"), F.array().cast("array<string>")
+    hits = []
+    for name, p in ACCOUNT_IDS:
+        if name != "Umami Script Source":
+            mark = literal(p)
+            text, mark = (low, mark.lower()) if p.startswith("(?i)") else (F.col("html"), mark)
+            found = markup.every(F.col("html"), p)
+            hits.append(_prefixed(F.when(text.contains(mark), found).otherwise(none) if mark else found, name))
+    seen = pages.select("page_id", "html", F.lower("html").alias("low"))
+    return seen.select("page_id", F.explode(F.array_distinct(F.concat(*hits))).alias("h")).select("page_id", "h.name", "h.id")
 
 
 def dns_tokens(records: DataFrame) -> DataFrame:
@@ -53,7 +61,7 @@ def facts(pages: DataFrame) -> DataFrame:
     html = F.col("html")
     lists = {
         "script_src": markup.every(html, markup.LISTS["script_src"]), "stylesheet": markup.stylesheets(html), "comment": markup.comments(html), "email": markup.emails(html),
-        "og_image": markup.every(html, markup.LISTS["og_image"]), "hreflang": markup.every(html, markup.LISTS["hreflang"]), "font": markup.font_families(html),
+        "og_image": F.concat(markup.every(html, markup.LISTS["og_image"]), markup.every(html, markup.LISTS["og_image_after"])), "hreflang": markup.every(html, markup.LISTS["hreflang"]), "font": markup.font_families(html),
         "font_source": markup.every(html, markup.LISTS["font_source"]), "inline_script": markup.inline_hashes(html, "script"), "inline_style": markup.inline_hashes(html, "style"),
     }
     named = [markup.tagged(values, kind) for kind, values in lists.items()]

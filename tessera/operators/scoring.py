@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import markup, records
-from tessera.registry import AD_NETWORKS, AFFILIATES, FORM_PROVIDERS, KEYWORDS, PROVIDER_DIRECTIVES, REDIRECT, WEIGHT, java
+from tessera.registry import AD_NETWORKS, ADULT_RATING, AFFILIATES, COMMODITY_COLLECTORS, FORM_PROVIDERS, KEYWORDS, LEGAL_SEGMENT, PROVIDER_DIRECTIVES, REDIRECT, RTA_LABEL, WEIGHT, java
 
 
 def directive(csp: Column, name: str) -> Column:
@@ -43,7 +45,7 @@ def _rated(v: Column) -> list[tuple[str, int, Column]]:
 
 
 def _wide(headers: DataFrame) -> DataFrame:
-    """(domain, h map) from (domain, name, value); of a repeated name the last in order counts."""
+    """(domain, h map) from (domain, name, value); of a repeated name the largest value counts, as rows have no order."""
     one = headers.groupBy("domain", F.lower("name").alias("name")).agg(F.max("value").alias("value"))
     return one.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("h"))
 
@@ -81,14 +83,42 @@ def form_providers(headers: DataFrame) -> DataFrame:
 
 
 def report_endpoints(headers: DataFrame) -> DataFrame:
-    """(domain, endpoint): host and path that violation reports go to."""
+    """(domain, endpoint): host, without its port, and path that violation reports go to."""
     name, value = F.lower("name"), F.col("value")
-    uris = F.when(name == "content-security-policy", F.split(F.coalesce(F.regexp_extract(value, r"(?i)(?:^|;)\s*report-uri\s+([^;]*)", 1), F.lit("")), r"\s+"))
-    uris = uris.when(name == "report-to", F.regexp_extract_all(value, F.lit(r'"url"\s*:\s*"([^"]+)"'), F.lit(1))).when(name == "reporting-endpoints", F.regexp_extract_all(value, F.lit(r'=\s*"([^"]+)"'), F.lit(1)))
-    urls = headers.select("domain", F.explode(uris).alias("u")).where(F.col("u").rlike("(?i)^https?://"))
-    host = F.lower(F.regexp_extract("u", "(?i)^https?://([^/?#]+)", 1))
+    policy = name.isin("content-security-policy", "content-security-policy-report-only")
+    uris = F.when(policy, F.split(F.coalesce(F.regexp_extract(value, r"(?i)(?:^|;)\s*report-uri\s+([^;]*)", 1), F.lit("")), r"\s+"))
+    uris = uris.when(name == "report-to", F.regexp_extract_all(value, F.lit(r'"url"\s*:\s*"([^"]{1,500})"'), F.lit(1))).when(name == "reporting-endpoints", F.regexp_extract_all(value, F.lit(r'=\s*"([^"]{1,500})"'), F.lit(1)))
+    urls = headers.select("domain", F.explode(uris).alias("u")).where(F.col("u").rlike("(?i)^https?://[^/?#]"))
+    host = F.lower(F.regexp_extract("u", "(?i)^https?://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     path = F.regexp_replace(F.regexp_extract("u", "(?i)^https?://[^/?#]+([^?#]*)", 1), "/$", "")
-    return urls.where(host != "a.nel.cloudflare.com").select("domain", F.concat(host, path).alias("endpoint")).distinct()
+    known = reduce(or_, [(host == c) | host.endswith(f".{c}") for c in COMMODITY_COLLECTORS])
+    return urls.where(~known).select("domain", F.concat(host, path).alias("endpoint")).distinct()
+
+
+def header_notes(headers: DataFrame, pages: DataFrame) -> DataFrame:
+    """(domain, note, value): what is told besides the score. CORS for all origins, named a host default where markup says Cloudflare
+    Pages; HTML comments; origins of scripts that the policy doesn't list. pages: (domain, technologies array, comments int, scripts array)."""
+    both = _wide(headers).join(pages, "domain", "left")
+    h = lambda n: F.element_at("h", F.lit(n))
+    open_to_all = F.when(h("access-control-allow-origin") == "*", F.when(F.array_contains("technologies", "Cloudflare Pages"), "* (host default; override in _headers)").otherwise("*"))
+    notes = F.when(F.col("comments") > 0, F.concat(F.col("comments").cast("string"), F.lit(" comment(s)")))
+    csp = h("content-security-policy")
+    listed = F.split(F.coalesce(directive(csp, "script-src"), directive(csp, "default-src"), F.lit("")), r"\s+")
+    origin = lambda u: F.lower(F.regexp_extract(u, "(?i)^(https?://[^/?#]+)", 1))
+    bare = lambda o: F.regexp_replace(o, "^https?://", "")
+
+    def allowed(o: Column) -> Column:
+        """By `*`, its scheme, its host with or without the scheme, or a wildcard above it."""
+        wild = lambda t: F.regexp_replace(t, r"^(?:https?://)?\*", "")
+        return F.exists(listed, lambda t: (t == "*") | (t == F.concat(F.substring_index(o, ":", 1), F.lit(":"))) | (F.regexp_replace(t, "/.*$", "") == bare(o)) | (F.regexp_extract(t, "^(https?://[^/]+)", 1) == o) | (t.rlike(r"^(?:https?://)?\*\.") & o.endswith(wild(t))))
+
+    own = lambda o: (bare(o) == F.lower("domain")) | bare(o).endswith(F.concat(F.lit("."), F.lower("domain")))
+    foreign = F.array_distinct(F.filter(F.transform(F.coalesce("scripts", F.array().cast("array<string>")), origin), lambda o: (o != "") & ~own(o)))
+    unlisted = F.filter(foreign, lambda o: ~allowed(o))
+    missing = F.when(csp.isNotNull() & (F.size(unlisted) > 0), F.array_join(F.array_sort(unlisted), ", "))
+    rows = [("Access-Control-Allow-Origin", open_to_all), ("HTML comments", notes), ("CSP script allow-list", missing)]
+    each = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(n).alias("note"), v.alias("value"))) for n, v in rows]))
+    return both.select("domain", F.explode(each).alias("n")).select("domain", "n.*")
 
 
 def seo_checks(pages: DataFrame) -> DataFrame:
@@ -97,10 +127,10 @@ def seo_checks(pages: DataFrame) -> DataFrame:
     title_len, about_len = F.length(F.coalesce(F.col("title"), F.lit(""))), F.length(F.coalesce(F.col("about"), F.lit("")))
     within = lambda n, low, high, slack: F.when(n == 0, "missing").when(n.between(low - slack, high + slack), "good").otherwise("warning")
     keys = lambda c: F.transform(c, lambda x: F.lower(x["key"]))
-    og = F.size(F.array_intersect(keys(F.col("og")), F.array(*[F.lit(f"og:{k}") for k in ("title", "description", "image", "url")])))
+    og = F.size(F.array_intersect(keys(F.col("og")), F.array(*[F.lit(f"og:{k}") for k in ("title", "description", "image", "type")])))
     tw = keys(F.col("tw"))
     index = ~F.col("noindex")
-    legal = F.col("url").rlike(r"(?i)/(?:privacy|terms|legal|imprint|cookies|cookie-policy|privacy-policy|terms-of-service)(?:/|\z)")
+    legal = F.regexp_replace("url", "[?#].*$", "").rlike(rf"(?i)/{LEGAL_SEGMENT}(?:/|\z)")
     checks = [
         ("Title", 15, within(title_len, 30, 60, 5), None, F.lit(True)),
         ("Meta Description", 15, within(about_len, 120, 160, 5), None, F.lit(True)),
@@ -131,6 +161,29 @@ def seo_score(pages: DataFrame) -> DataFrame:
     return sums.select("page_id", percent(F.col("p"), F.col("m")).alias("score"))
 
 
+def site_seo_checks(sites: DataFrame) -> DataFrame:
+    """(domain, check, weight, rating, points) of checks that need more than a page: robots.txt, sitemap, and HTTPS by the status that
+    was seen. sites: (domain, robots_scanned, robots, sitemaps int, status, scheme); without a status HTTPS isn't evaluated."""
+    have = lambda c: F.when(c, "good").otherwise("missing")
+    ok = F.col("status").between(200, 399)
+    https = F.when(ok & (F.coalesce("scheme", F.lit("https")) != "http"), "good").otherwise("warning")
+    checks = [
+        ("robots.txt", 5, F.col("robots_scanned"), have(F.coalesce(F.col("robots") != "", F.lit(False)))), ("Sitemap", 10, F.col("robots_scanned"), have(F.coalesce(F.col("sitemaps") > 0, F.lit(False)))),
+        ("HTTPS", 5, F.coalesce(F.col("status") > 0, F.lit(False)), https),
+    ]
+    rows = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(n).alias("check"), F.lit(w).alias("weight"), r.alias("rating"))) for n, w, on, r in checks]))
+    out = sites.select("domain", F.explode(rows).alias("c")).select("domain", "c.*")
+    return out.withColumn("points", F.when(F.col("rating") == "good", F.col("weight")).otherwise(0))
+
+
+def seo_skips(pages: DataFrame) -> DataFrame:
+    """(page_id, check, reason) of checks that don't apply to a page."""
+    legal = F.regexp_replace("url", "[?#].*$", "").rlike(rf"(?i)/{LEGAL_SEGMENT}(?:/|\z)")
+    reason = lambda names, text: F.array(*[F.struct(F.lit(n).alias("check"), F.lit(text).alias("reason")) for n in names])
+    rows = F.when(markup.noindex(F.col("html")), reason(("Canonical URL", "Hreflang", "Structured Data"), "noindex")).when(legal, reason(("Structured Data",), "legal/utility page"))
+    return pages.select("page_id", F.explode(rows).alias("s")).select("page_id", "s.*")
+
+
 def _network(value: Column, table) -> Column:
     """struct<name, adult> of the first network whose pattern the value matches."""
     out = None
@@ -140,53 +193,122 @@ def _network(value: Column, table) -> Column:
     return out
 
 
-def keyword_signals(pages: DataFrame) -> DataFrame:
-    """(page_id, pattern, severity, hits, first) of each keyword in the visible text."""
-    text = pages.select("page_id", markup.visible_text(F.col("html")).alias("text")).withColumn("low", F.lower("text"))
+def _keyword_rows(text: str, low: str) -> Column:
+    """array<struct<pattern, severity, hits, first>> of the keywords in a column of text."""
     rows = []
     for severity, patterns in KEYWORDS.items():
         for p in patterns:
             regex = java(rf"(?i)\b(?:{p})\b")
             # The letters that every match begins with are searched for first, which is far cheaper than the pattern.
             begins = re.match(r"[a-z0-9]+(?![?a-z0-9])|[a-z0-9]+(?=[a-z0-9]\?)", p)[0]
-            one = F.struct(F.lit(p).alias("pattern"), F.lit(severity).alias("severity"), F.regexp_count("text", F.lit(regex)).alias("hits"), F.regexp_extract("text", regex, 0).alias("first"))
-            rows.append(F.when(F.contains("low", F.lit(begins)), one))
-    found = text.select("page_id", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull() & (r["hits"] > 0))).alias("s"))
-    return found.select("page_id", "s.pattern", "s.severity", F.col("s.hits").cast("long").alias("hits"), "s.first")
+            one = F.struct(F.lit(p).alias("pattern"), F.lit(severity).alias("severity"), F.regexp_count(text, F.lit(regex)).cast("long").alias("hits"), F.regexp_extract(text, regex, 0).alias("first"))
+            rows.append(F.when(F.contains(F.col(low), F.lit(begins)), one))
+    return F.filter(F.array(*rows), lambda r: r.isNotNull() & (r["hits"] > 0))
+
+
+def keyword_signals(pages: DataFrame) -> DataFrame:
+    """(page_id, pattern, severity, hits, first) of each keyword in the visible text."""
+    text = pages.select("page_id", markup.visible_text(F.col("html")).alias("text")).withColumn("low", F.lower("text"))
+    return text.select("page_id", F.explode(_keyword_rows("text", "low")).alias("s")).select("page_id", "s.*")
+
+
+def _links(html: Column) -> Column:
+    """array<struct<url, network, adult>> of links to networks and of a site's own redirects (network null)."""
+    known = F.transform(F.array_distinct(markup.every(html, markup.LISTS["anchor"])), lambda u: F.struct(u.alias("url"), _network(u, AFFILIATES).alias("n")))
+    some = F.filter(known, lambda x: x["n"].isNotNull() | x["url"].rlike(f"(?i){REDIRECT}"))
+    return F.transform(some, lambda x: F.struct(x["url"].alias("url"), x["n"]["name"].alias("network"), F.coalesce(x["n"]["adult"], F.lit(False)).alias("adult")))
 
 
 def affiliates(pages: DataFrame) -> DataFrame:
     """(page_id, url, network, adult) of outgoing links to networks and of a site's own redirects (network null)."""
-    links = pages.select("page_id", F.explode(F.array_distinct(markup.every(F.col("html"), markup.LISTS["anchor"]))).alias("url"))
-    known = links.withColumn("n", _network(F.col("url"), AFFILIATES))
-    return known.where(F.col("n").isNotNull() | F.col("url").rlike(f"(?i){REDIRECT}")).select("page_id", "url", F.col("n.name").alias("network"), F.coalesce("n.adult", F.lit(False)).alias("adult"))
+    return pages.select("page_id", F.explode(_links(F.col("html"))).alias("x")).select("page_id", "x.*")
+
+
+def _scripts(html: Column) -> Column:
+    """array<struct<src, network, adult>>: the first matching network of each script source."""
+    known = F.transform(markup.every(html, markup.LISTS["script_src"]), lambda u: F.struct(u.alias("src"), _network(u, AD_NETWORKS).alias("n")))
+    return F.transform(F.filter(known, lambda x: x["n"].isNotNull()), lambda x: F.struct(x["src"].alias("src"), x["n"]["name"].alias("network"), x["n"]["adult"].alias("adult")))
+
+
+def _inline(html: Column, sources: Column) -> Column:
+    """array<struct<src, network, adult>>: each network once that inline scripts name and no script source has; src is `(inline)`."""
+    text = F.array_join(F.regexp_extract_all(html, F.lit(r"(?i)<script(?![^>]*src)[^>]*>([\s\S]*?)</script>"), F.lit(1)), "\n")
+    rows = [F.when((text != "") & text.rlike(f"(?i){p}"), F.struct(F.lit("(inline)").alias("src"), F.lit(n).alias("network"), F.lit(a).alias("adult"))) for n, a, p in AD_NETWORKS]
+    return F.filter(F.array_compact(F.array(*rows)), lambda x: ~F.exists(sources, lambda y: y["network"] == x["network"]))
 
 
 def ad_networks(pages: DataFrame) -> DataFrame:
-    """(page_id, src, network, adult): the first matching network of each script."""
-    scripts = pages.select("page_id", F.explode(markup.every(F.col("html"), markup.LISTS["script_src"])).alias("src"))
-    return scripts.withColumn("n", _network(F.col("src"), AD_NETWORKS)).where("n IS NOT NULL").select("page_id", "src", F.col("n.name").alias("network"), F.col("n.adult").alias("adult"))
+    """(page_id, src, network, adult) of script sources, then of inline scripts."""
+    seen = pages.select("page_id", "html", _scripts(F.col("html")).alias("s"))
+    return seen.select("page_id", F.explode(F.concat("s", _inline(F.col("html"), F.col("s")))).alias("x")).select("page_id", "x.*")
+
+
+def content_signals(pages: DataFrame) -> DataFrame:
+    """(page_id, type, value, severity, weight) of what marks content as adult, from one pass over (page_id, host, html): keywords,
+    a keyword in the host's name, image texts, the rating tag, the RTA label, affiliate links and ad networks."""
+    html = F.col("html")
+    text = pages.select("page_id", "html", "host", markup.visible_text(html).alias("text"), _scripts(html).alias("s")).withColumn("low", F.lower("text"))
+    times = lambda n: F.when(n >= 10, 2.0).when(n >= 3, 1.5).otherwise(1.0)
+    row = lambda kind, value, severity, weight: F.struct(F.lit(kind).alias("type"), value.alias("value"), severity.alias("severity"), weight.alias("weight"))
+    one, critical = F.lit(1.0), F.lit("critical")
+    loud = [(p, severity) for severity, patterns in KEYWORDS.items() if severity != "low" for p in patterns]
+
+    def worst(value: Column) -> Column:
+        """Severity of the first keyword in a short text, those of low severity aside; null without any."""
+        some = F.when(value.rlike(java("(?i)\\b(?:" + "|".join(p for p, _ in loud) + ")\\b")), F.lit(True))
+        hits = [F.when(value.rlike(java(rf"(?i)\b(?:{p})\b")), severity) for p, severity in loud]
+        return F.when(some, F.coalesce(*hits))
+
+    rating = F.regexp_extract(html, r"""(?i)<meta[^>]+name=['"]rating['"][^>]+content=['"]([^'"]+)['"]""", 1)
+    alts = F.transform(F.regexp_extract_all(html, F.lit(r"""(?i)alt=['"]([^'"]+)['"]"""), F.lit(1)), lambda x: F.struct(x.alias("alt"), worst(x).alias("severity")))
+    parts = [
+        F.transform(_keyword_rows("text", "low"), lambda k: row("keyword", F.concat(k["first"], F.lit(" (×"), k["hits"].cast("string"), F.lit(")")), k["severity"], times(k["hits"]))),
+        F.array(row("domain_name", F.col("host"), worst(F.regexp_replace("host", "[.-]", " ")), one)),
+        F.transform(alts, lambda x: row("image_alt", F.substring(x["alt"], 1, 60), x["severity"], one)),
+        F.array(row("meta_rating", rating, F.when(rating.rlike(ADULT_RATING), critical), one)),
+        F.array(row("rta_label", F.lit("RTA-5042-1996-1400-1577-RTA"), F.when(html.contains("RTA-5042") & html.rlike(java(RTA_LABEL)), critical), one)),
+        F.transform(F.filter(_links(html), lambda x: x["adult"]), lambda x: row("affiliate", F.concat_ws(": ", x["network"], F.substring(x["url"], 1, 80)), critical, one)),
+        F.transform(F.filter(F.concat("s", _inline(html, F.col("s"))), lambda x: x["adult"]), lambda x: row("ad_network", F.concat_ws(": ", x["network"], F.substring(x["src"], 1, 80)), critical, one)),
+    ]
+    found = F.filter(F.concat(*parts), lambda x: x["severity"].isNotNull())
+    return text.select("page_id", F.explode(found).alias("x")).select("page_id", "x.*")
 
 
 def adult_score(pages: DataFrame, threshold: int = 30) -> DataFrame:
-    """(page_id, score, is_adult): weights of keywords, more for repeated ones, and of adult affiliates and ad networks; at most 100."""
+    """(page_id, score, is_adult): weights of the content signals, more for repeated keywords; at most 100."""
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHT.items() for x in kv]), F.col("severity"))
-    times = F.when(F.col("hits") >= 10, 2.0).when(F.col("hits") >= 3, 1.5).otherwise(1.0)
-    words = keyword_signals(pages).select("page_id", (weight * times).alias("w"))
-    links = affiliates(pages).where("adult").select("page_id", F.lit(float(WEIGHT["critical"])).alias("w"))
-    scripts = ad_networks(pages).where("adult").select("page_id", F.lit(float(WEIGHT["critical"])).alias("w"))
-    total = words.unionByName(links).unionByName(scripts).groupBy("page_id").agg(F.sum("w").alias("w"))
+    total = content_signals(pages).groupBy("page_id").agg(F.sum(weight * F.col("weight")).alias("w"))
     score = F.least(F.lit(100), F.floor(F.coalesce("w", F.lit(0.0)) + 0.5)).cast("int")
     return pages.select("page_id").join(total, "page_id", "left").select("page_id", score.alias("score"), (score >= threshold).alias("is_adult"))
 
 
+def classify(scores: DataFrame, sites: DataFrame, errors: DataFrame) -> DataFrame:
+    """(domain, classified, error, is_adult, score, cluster, violation): sites (domain, cluster) with their content score (domain,
+    score, is_adult); a site without one isn't clean but unclassified, with its error (domain, error)."""
+    both = sites.join(scores, "domain", "left").join(errors, "domain", "left")
+    known = F.col("score").isNotNull()
+    adult = F.coalesce("is_adult", F.lit(False))
+    clean = F.col("cluster").isNotNull() & ~F.lower(F.trim("cluster")).startswith("adult")
+    return both.select("domain", known.alias("classified"), F.when(~known, F.coalesce("error", F.lit("no HTML body"))).alias("error"), adult.alias("is_adult"), F.coalesce("score", F.lit(0)).alias("score"), "cluster", (clean & adult).alias("violation"))
+
+
+def dmarc_fix(domains: DataFrame, mailbox: str = "dmarc") -> DataFrame:
+    """(domain, fix) from (domain, dmarc): the record to publish where the policy isn't enforced in full."""
+    d = records.dmarc(F.col("dmarc"))
+    rua = F.concat(F.lit(f"{mailbox}@"), F.col("domain"))
+    txt = lambda policy, more="": F.concat(F.lit("v=DMARC1; p="), policy, F.lit(f"{more}; rua=mailto:"), rua)
+    strict = d["policy"].isin("reject", "quarantine")
+    fix = F.when(F.coalesce(strict, F.lit(False)), F.when(d["pct"] < 100, txt(d["policy"], "; pct=100"))).otherwise(txt(F.lit("quarantine")))
+    return domains.select("domain", fix.alias("fix")).where("fix IS NOT NULL")
+
+
 def email_auth(domains: DataFrame) -> DataFrame:
     """(domain, check, rating) from (domain, spf, dmarc, dkim): raw records, null where none is published; dkim counts keys."""
     s, d = records.spf(F.col("spf")), records.dmarc(F.col("dmarc"))
     rated = domains.select("domain", "spf", "dmarc", "dkim", s.alias("s"), d.alias("d"))
     end, policy = F.col("s.all"), F.col("d.policy")
     lookups = F.size("s.includes") + F.when(F.col("s.redirect").isNotNull(), 1).otherwise(0)
-    spf = F.when(F.col("spf").isNull(), "missing").when(end == "+all", "bad").when(end.isNull() & F.col("s.redirect").isNull() | (end == "?all"), "warning").when(lookups > 10, "warning").otherwise("good")
+    spf = F.when(F.col("spf").isNull(), "missing").when(end == "+all", "bad").when(end.isNull() | (end == "?all"), "warning").when(lookups > 10, "warning").otherwise("good")
     dmarc = F.when(F.col("dmarc").isNull(), "missing").when(policy.isin("reject", "quarantine"), F.when(F.col("d.pct") < 100, "warning").otherwise("good")).when(policy == "none", "warning").otherwise("bad")
     dkim = F.when(F.col("dkim") > 0, "good").otherwise("warning")
     checks = F.array(*[F.struct(F.lit(n).alias("check"), r.alias("rating")) for n, r in (("SPF", spf), ("DMARC", dmarc), ("DKIM", dkim))])
@@ -243,3 +365,23 @@ def header_technologies(headers: DataFrame) -> DataFrame:
     ]
     rows = F.array(*[F.struct(F.lit(n).alias("name"), c.alias("confidence")) for n, c in marks])
     return _wide(headers).select("domain", F.explode(F.filter(rows, lambda r: r["confidence"].isNotNull())).alias("tech")).select("domain", "tech.*")
+
+
+def hosting(sites: DataFrame) -> DataFrame:
+    """(domain, name, confidence) of Cloudflare Pages from (domain, h map of headers, html, cname array): marks add up."""
+    h = lambda n: F.coalesce(F.element_at("h", F.lit(n)), F.lit(""))
+    named = F.coalesce(F.exists("cname", lambda c: c.endswith(".pages.dev")), F.lit(False))
+    static = F.coalesce(F.col("html").rlike("/_astro/|/build/|/assets/"), F.lit(False))
+    base = F.when(named, 95).when(static & (h("x-powered-by") == ""), 60).otherwise(0)
+    cached = F.when((h("cf-cache-status") != "") & (base > 0), F.least(F.lit(100), base + 10)).otherwise(base)
+    shut = (h("cross-origin-opener-policy") != "") | (h("cross-origin-embedder-policy") != "") | (h("cross-origin-resource-policy") != "")
+    points = F.when(shut & static, F.least(F.lit(100), cached + 15)).otherwise(cached)
+    there = (h("cf-ray") != "") & (h("server") == "cloudflare") & (points > 0)
+    return sites.where(there).select("domain", F.lit("Cloudflare Pages").alias("name"), points.alias("confidence"))
+
+
+def ranked_technologies(found: DataFrame) -> DataFrame:
+    """(domain, name, confidence, rank) of detections from markup, headers and records (domain, name, confidence): of a name the surest,
+    and each site's in order of confidence."""
+    best = found.groupBy("domain", "name").agg(F.max("confidence").alias("confidence"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy(F.col("confidence").desc(), "name")))

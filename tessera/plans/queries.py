@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import markup, records
-from tessera.operators import correlate, gate, identifiers, scoring, wellknown
+from tessera.operators import assets, correlate, gate, identifiers, scoring, signals, wellknown
 from tessera.plans import fixtures as fx
 from tessera.registry import (
     ACCOUNT_IDS, AD_NETWORKS, AFFILIATES, COLLAPSE, COMMODITY, DNS_TOKENS, FLEET_WIDE, FORM_ENDPOINTS, FORM_PROVIDERS, KEYWORDS, PAIR_RULES, PENALTY, PREFIX, REDIRECT, SUPPRESSIBLE, TOKEN_RULES, WEIGHT,
@@ -73,6 +73,7 @@ def page_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("page_cards", f"""{WITH_PAGES}, h AS (
   SELECT page_id, 'og' AS family, unnest(list_zip(regexp_extract_all(html, '(?i)<meta[^>]+property="(og:[^"]+)"[^>]+content="([^"]*)"', 1), regexp_extract_all(html, '(?i)<meta[^>]+property="(og:[^"]+)"[^>]+content="([^"]*)"', 2), range(99))) AS x FROM p
+  UNION ALL SELECT page_id, 'og', unnest(list_zip(regexp_extract_all(html, '(?i)<meta[^>]+content="([^"]*)"[^>]+property="(og:[^"]+)"', 2), regexp_extract_all(html, '(?i)<meta[^>]+content="([^"]*)"[^>]+property="(og:[^"]+)"', 1), range(99))) FROM p
   UNION ALL SELECT page_id, 'twitter', unnest(list_zip(regexp_extract_all(html, '(?i)<meta[^>]+name="(twitter:[^"]+)"[^>]+content="([^"]*)"', 1), regexp_extract_all(html, '(?i)<meta[^>]+name="(twitter:[^"]+)"[^>]+content="([^"]*)"', 2), range(99))) FROM p)
   SELECT page_id, family, x[1] AS key, arg_max(x[2], x[3]) AS value FROM h WHERE x[1] <> '' AND x[2] <> '' GROUP BY ALL""")
 def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,7 @@ def structure_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FACTS = {
-    "script_src": _all(markup.LISTS["script_src"]), "og_image": _all(markup.LISTS["og_image"]), "hreflang": _all(markup.LISTS["hreflang"]), "font_source": _all(markup.LISTS["font_source"]),
+    "script_src": _all(markup.LISTS["script_src"]), "og_image": f"list_concat({_all(markup.LISTS['og_image'])}, {_all(markup.LISTS['og_image_after'])})", "hreflang": _all(markup.LISTS["hreflang"]), "font_source": _all(markup.LISTS["font_source"]),
     "stylesheet": f"""list_filter(list_transform(list_filter(regexp_extract_all(html, '(?i)<link\\b([^>]*)>', 1), lambda a: regexp_matches(a, {q('''(?i)rel=['"]stylesheet['"]''')})), lambda a: regexp_extract(a, {q('''(?i)href=['"]([^'"]+)['"]''')}, 1)), lambda x: x <> '')""",
     "comment": f"list_filter(list_transform(regexp_extract_all(html, '<!--([\\s\\S]*?)-->', 1), lambda x: trim(x, {TRIM})), lambda x: regexp_matches(x, '[A-Za-zÀ-ɏЀ-ӿ]{{3,}}'))",
     "inline_style": f"list_transform(list_filter(list_transform(regexp_extract_all(html, '(?i)<style[^>]*>([\\s\\S]*?)</style>', 1), lambda x: trim(x, {TRIM})), lambda x: length(x) > 10), lambda x: substr(md5(x), 1, 12))",
@@ -106,7 +107,7 @@ _FACTS = {
 }
 
 
-@_add("page_facts", f"{WITH_PAGES} SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest({v}) AS value FROM p" for k, v in _FACTS.items()) + " UNION ALL SELECT page_id, 'font', unnest(CASE WHEN page_id % 6 = 3 THEN ['Inter', 'Open, Sans'] ELSE [] END) FROM p)")
+@_add("page_facts", f"{WITH_PAGES} SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest({v}) AS value FROM p" for k, v in _FACTS.items()) + " UNION ALL SELECT page_id, 'font', unnest(CASE WHEN page_id % 7 = 3 THEN ['Inter', 'Open, Sans'] ELSE [] END) FROM p)")
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identifiers.facts(_pages(spark, sf_dir))
 
@@ -132,7 +133,7 @@ def account_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identifiers.account_ids(_pages(spark, sf_dir))
 
 
-@_add("umami_pairs", f"{WITH_PAGES} SELECT page_id, '01234567-89ab-cdef-0123-456789abcdef' AS website_id, 'https://stats.example/umami.js' AS src FROM p WHERE page_id % 6 = 3")
+@_add("umami_pairs", f"{WITH_PAGES} SELECT page_id, '01234567-89ab-cdef-0123-456789abcdef' AS website_id, 'https://stats.example/umami.js' AS src FROM p WHERE page_id % 7 = 3")
 def umami_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identifiers.umami_pairs(_pages(spark, sf_dir))
 
@@ -165,7 +166,7 @@ def affiliates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.affiliates(_pages(spark, sf_dir))
 
 
-@_add("ad_networks", f"{WITH_PAGES}, {_ADS} SELECT page_id, src, network, adult FROM ads WHERE network IS NOT NULL")
+@_add("ad_networks", f"{WITH_PAGES}, {_ADS} SELECT page_id, src, network, adult FROM ads WHERE network IS NOT NULL UNION ALL SELECT page_id, '(inline)', 'ExoClick', true FROM p WHERE page_id % 7 = 4")
 def ad_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ad_networks(_pages(spark, sf_dir))
 
@@ -174,20 +175,27 @@ _WEIGHTS = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHT
 
 
 @_add("adult_score", f"""{_KEYWORD_CTE}, {_AFF}, {_ADS}, w AS (SELECT page_id, {_WEIGHTS} * CASE WHEN hits >= 10 THEN 2.0 WHEN hits >= 3 THEN 1.5 ELSE 1.0 END AS w FROM k
-  UNION ALL SELECT page_id, 25.0 FROM aff WHERE adult UNION ALL SELECT page_id, 25.0 FROM ads WHERE adult), s AS (SELECT page_id, CAST(least(100, floor(coalesce(sum(w), 0) + 0.5)) AS INTEGER) AS score FROM p LEFT JOIN w USING (page_id) GROUP BY page_id)
+  UNION ALL SELECT page_id, 25.0 FROM aff WHERE adult UNION ALL SELECT page_id, 25.0 FROM ads WHERE adult UNION ALL SELECT page_id, 25 + 25 + 25 + 15 FROM p WHERE page_id % 7 = 4), s AS (SELECT page_id, CAST(least(100, floor(coalesce(sum(w), 0) + 0.5)) AS INTEGER) AS score FROM p LEFT JOIN w USING (page_id) GROUP BY page_id)
   SELECT page_id, score, score >= 30 AS is_adult FROM s""")
 def adult_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.adult_score(_pages(spark, sf_dir))
 
 
+@_add("content_signals", f"""{_KEYWORD_CTE}, {_AFF}, {_ADS} SELECT page_id, 'keyword' AS type, first || ' (×' || hits || ')' AS value, severity, CASE WHEN hits >= 10 THEN 2.0 WHEN hits >= 3 THEN 1.5 ELSE 1.0 END::DOUBLE AS weight FROM k
+  UNION ALL SELECT page_id, 'affiliate', network || ': ' || url[:80], 'critical', 1.0 FROM aff WHERE adult UNION ALL SELECT page_id, 'ad_network', network || ': ' || src[:80], 'critical', 1.0 FROM ads WHERE adult
+  UNION ALL SELECT page_id, x[1], x[2], x[3], 1.0 FROM (SELECT page_id, unnest([['image_alt', 'a bondage set', 'high'], ['meta_rating', 'Mature', 'critical'], ['rta_label', 'RTA-5042-1996-1400-1577-RTA', 'critical'], ['ad_network', 'ExoClick: (inline)', 'critical']]) AS x FROM p WHERE page_id % 7 = 4)""")
+def content_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.content_signals(_pages(spark, sf_dir))
+
+
 _SEO = f"""{WITH_PAGES}, s AS (SELECT page_id, url, coalesce(length(nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), '')), 0) AS t, coalesce(length({_meta_sql("description")}), 0) AS d,
-  page_id % 6 = 0 AS og, page_id % 6 = 1 AS card, page_id % 6 = 4 AS noindex, html LIKE '%application/ld+json%' AS ld, regexp_matches(html, '(?i)<link[^>]+hreflang=') AS hl,
-  {_ext('''(?i)<html[^>]+lang=["']([^"']+)["']''')} IS NOT NULL AS lang, {_meta_sql("viewport")} IS NOT NULL AS vp, page_id % 6 = 0 AS canon,
-  regexp_matches(url, '(?i)/(?:privacy|terms|legal|imprint|cookies|cookie-policy|privacy-policy|terms-of-service)(?:/|$)') AS legal FROM p),
+  page_id % 7 = 0 AS og, page_id % 7 = 4 AS og_all, page_id % 7 = 1 AS card, page_id % 7 = 5 AS noindex, html LIKE '%application/ld+json%' AS ld, regexp_matches(html, '(?i)<link[^>]+hreflang=') AS hl,
+  {_ext('''(?i)<html[^>]+lang=["']([^"']+)["']''')} IS NOT NULL AS lang, {_meta_sql("viewport")} IS NOT NULL AS vp, page_id % 7 = 0 AS canon,
+  regexp_matches(url, '(?i)^[^?#]*/(?:privacy|privacy-policy|terms|terms-of-service|terms-and-conditions|legal|imprint|cookie|cookies|cookie-policy|cookies-policy)(?:[/?#]|$)') AS legal FROM p),
   c AS (SELECT page_id, 'Title' AS "check", 15 AS weight, CASE WHEN t = 0 THEN 'missing' WHEN t BETWEEN 25 AND 65 THEN 'good' ELSE 'warning' END AS rating, 7 AS half FROM s
   UNION ALL SELECT page_id, 'Meta Description', 15, CASE WHEN d = 0 THEN 'missing' WHEN d BETWEEN 115 AND 165 THEN 'good' ELSE 'warning' END, 7 FROM s
   UNION ALL SELECT page_id, 'Canonical URL', 10, CASE WHEN canon THEN 'good' ELSE 'missing' END, 5 FROM s WHERE NOT noindex
-  UNION ALL SELECT page_id, 'Open Graph', 10, CASE WHEN og THEN 'warning' ELSE 'missing' END, 5 FROM s
+  UNION ALL SELECT page_id, 'Open Graph', 10, CASE WHEN og_all THEN 'good' WHEN og THEN 'warning' ELSE 'missing' END, 5 FROM s
   UNION ALL SELECT page_id, 'Twitter Card', 5, CASE WHEN card THEN 'warning' ELSE 'missing' END, 2 FROM s
   UNION ALL SELECT page_id, 'Language', 5, CASE WHEN lang THEN 'good' ELSE 'missing' END, 2 FROM s
   UNION ALL SELECT page_id, 'Viewport', 5, CASE WHEN vp THEN 'good' ELSE 'missing' END, 2 FROM s
@@ -236,9 +244,9 @@ def _rules_sql() -> str:
 _KINDS = ", ".join(map(q, SUPPRESSIBLE))
 _PAIR_CTES = f"""o AS (SELECT DISTINCT s.domain, s.kind, s.key, i.ord, i.cluster FROM signals s JOIN sites i USING (domain) WHERE s.key IS NOT NULL),
   wide AS (SELECT kind, key FROM o WHERE kind IN ({_KINDS}) GROUP BY ALL HAVING count(*) >= 3), {_rules_sql()},
-  m AS (SELECT a.domain AS a, b.domain AS b, a.kind, coalesce(a.cluster = b.cluster, false) AS same, count(*) AS n, count(*) FILTER (WHERE w.key IS NULL) AS narrow, min(a.key) AS key
-    FROM o a JOIN o b ON a.kind = b.kind AND a.key = b.key AND a.ord < b.ord LEFT JOIN wide w ON w.kind = a.kind AND w.key = a.key GROUP BY ALL),
-  f AS (SELECT CASE WHEN same THEN coalesce(type_same, type) ELSE type END AS type, CASE WHEN same THEN sev_same ELSE sev_cross END AS severity, a, b, n, key AS detail FROM m JOIN r USING (kind) WHERE NOT (kind IN ({_KINDS}) AND narrow = 0)),
+  m AS (SELECT a.domain AS a, b.domain AS b, a.kind, coalesce(a.cluster = b.cluster, false) AS same, CASE WHEN r.per_key THEN a.key END AS one, count(*) AS n, bool_and(w.key IS NOT NULL) AS wide, string_agg(a.key, ', ' ORDER BY a.key) AS detail
+    FROM o a JOIN o b ON a.kind = b.kind AND a.key = b.key AND a.ord < b.ord JOIN r ON r.kind = a.kind LEFT JOIN wide w ON w.kind = a.kind AND w.key = a.key WHERE NOT (a.kind = 'cloudflare' AND length(a.key) < 20) GROUP BY ALL),
+  f AS (SELECT CASE WHEN same THEN coalesce(type_same, type) ELSE type END AS type, CASE WHEN same THEN sev_same ELSE sev_cross END AS severity, a, b, n, detail FROM m JOIN r USING (kind) WHERE NOT (kind IN ({_KINDS}) AND wide)),
   pair AS (SELECT * FROM f WHERE type IS NOT NULL AND severity IS NOT NULL)"""
 _HOSTS = f"""{WITH_PAGES}, lead AS (SELECT host, min(page_id) AS page_id FROM p GROUP BY host),
   signals AS (SELECT DISTINCT domain, kind, key FROM (SELECT host AS domain, 'head' AS kind, {_HEAD_HASH} AS key FROM p WHERE page_id IN (SELECT page_id FROM lead)
@@ -312,12 +320,20 @@ def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.severity_summary(_found(spark)[0])
 
 
-@_add("collapse", f"""{_FLEET}, {_PAIR_CTES}, {_TOKENS}, g AS (SELECT type, detail, max(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS s, count(*) AS pairs, list_sort(list_distinct(list_concat(list(a), list(b)))) AS d
-  FROM pair WHERE type IN ({", ".join(map(q, COLLAPSE))}) GROUP BY type, detail HAVING count(*) >= 3) SELECT type, detail, ['low', 'medium', 'high', 'critical'][s + 1] AS severity, pairs, array_to_string(d, ',') AS domains FROM g
-  WHERE NOT (type = 'shared-form-provider' AND EXISTS (SELECT 1 FROM token t WHERE t.type = 'fleet-wide-form-provider' AND t.key = detail AND list_has_all(string_split(t.domains, ','), d)))""")
+@_add("collapse", """SELECT * FROM (VALUES ('shared-fonts', 'medium', 'inter.woff2', CAST(3 AS BIGINT), 'a.example,b.example,c.example'), ('shared-mx', 'low', 'mx', 1, 'a.example,b.example'), ('shared-mx', 'low', 'mx', 1, 'a.example,c.example'),
+  ('shared-ga4', 'critical', 'G-1', 1, 'a.example,b.example')) AS t(type, severity, detail, pairs, domains)""")
 def collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollups = spark.sql("SELECT 'a.example,b.example,c.example,d.example' AS domains")
+    return correlate.collapse(spark.sql(fx.COLLAPSIBLE), rollups)
+
+
+@_add("collapse_fleet", f"""{_FLEET}, {_PAIR_CTES}, {_TOKENS}, g AS (SELECT type, detail, max(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS s, count(*) AS pairs, list_sort(list_distinct(list_concat(list(a), list(b)))) AS d
+  FROM pair WHERE type IN ({", ".join(map(q, COLLAPSE))}) GROUP BY type, detail), k AS (SELECT * FROM g WHERE NOT (type = 'shared-form-provider' AND EXISTS (SELECT 1 FROM token t WHERE t.type = 'fleet-wide-form-provider' AND list_has_all(string_split(t.domains, ','), d))))
+  SELECT type, ['low', 'medium', 'high', 'critical'][s + 1] AS severity, detail, pairs, array_to_string(d, ',') AS domains FROM k WHERE pairs >= 3
+  UNION ALL SELECT p.type, p.severity, p.detail, 1, p.a || ',' || p.b FROM pair p JOIN k USING (type, detail) WHERE k.pairs < 3 UNION ALL SELECT type, severity, detail, 1, a || ',' || b FROM pair WHERE type NOT IN ({", ".join(map(q, COLLAPSE))})""")
+def collapse_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals, sites = _fleet(spark)
-    rollups = correlate.token_findings(signals, sites).where("type = 'fleet-wide-form-provider'").select(F.col("key").alias("detail"), "domains")
+    rollups = correlate.token_findings(signals, sites).where("type = 'fleet-wide-form-provider'").select("domains")
     return correlate.collapse(correlate.pair_findings(signals, sites), rollups)
 
 
@@ -386,10 +402,10 @@ def form_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.form_providers(spark.sql(fx.HEADERS))
 
 
-@_add("report_endpoints", f"""WITH h AS ({fx.HEADERS}), u AS (SELECT domain, unnest(regexp_extract_all(value, 'https?://[^\\s";,]+')) AS u FROM h WHERE lower(name) IN ('report-to', 'reporting-endpoints') UNION ALL SELECT domain, regexp_extract(value, 'report-uri\\s+([^;\\s]+)', 1) FROM h WHERE value LIKE '%report-uri %'),
-  x AS (SELECT domain, lower(regexp_extract(u, '//([^/?#]+)', 1)) AS host, regexp_replace(regexp_extract(u, '//[^/?#]+([^?#]*)', 1), '/$', '') AS path FROM u) SELECT DISTINCT domain, host || path AS endpoint FROM x WHERE host <> 'a.nel.cloudflare.com'""")
+@_add("report_endpoints", "SELECT * FROM (VALUES ('alpha.example', 'r.example/c'), ('beta.example', 'rep.example/x'), ('gamma.example', 't.report-uri.com/a/b'), ('delta.example', 'c.example/P'), ('delta.example', 'o1.ingest.sentry.io/api/4/security')) AS t(domain, endpoint)")
 def report_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.report_endpoints(spark.sql(fx.HEADERS))
+    more = [("delta.example", "Content-Security-Policy-Report-Only", "Report-URI https://C.example:8443/P?x https://o1.ingest.sentry.io/api/4/security/?k=1 ftp://no.example/"), ("delta.example", "Report-To", '{"url":"https://eu.a.nel.cloudflare.com/x"}')]
+    return scoring.report_endpoints(spark.sql(fx.HEADERS).union(spark.createDataFrame(more, "domain string, name string, value string")))
 
 
 @_add("header_technologies", "SELECT * FROM (VALUES ('alpha.example', 'Cloudflare', 100), ('beta.example', 'Next.js', 100), ('beta.example', 'Nginx', 100), ('beta.example', 'NEL (Network Error Logging)', 90), ('gamma.example', 'Fastly', 60)) AS t(domain, name, confidence)")
@@ -405,7 +421,7 @@ def mail_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AUTH = """SELECT * FROM (VALUES ('alpha.example', 'SPF', 'good'), ('alpha.example', 'DMARC', 'good'), ('alpha.example', 'DKIM', 'good'), ('beta.example', 'SPF', 'bad'), ('beta.example', 'DMARC', 'warning'), ('beta.example', 'DKIM', 'warning'),
-  ('gamma.example', 'SPF', 'good'), ('gamma.example', 'DMARC', 'warning'), ('gamma.example', 'DKIM', 'warning'), ('delta.example', 'SPF', 'missing'), ('delta.example', 'DMARC', 'missing'), ('delta.example', 'DKIM', 'warning'),
+  ('gamma.example', 'SPF', 'warning'), ('gamma.example', 'DMARC', 'warning'), ('gamma.example', 'DKIM', 'warning'), ('delta.example', 'SPF', 'missing'), ('delta.example', 'DMARC', 'missing'), ('delta.example', 'DKIM', 'warning'),
   ('eps.example', 'SPF', 'warning'), ('eps.example', 'DMARC', 'bad'), ('eps.example', 'DKIM', 'good')) AS t(domain, "check", rating)"""
 
 
@@ -430,9 +446,154 @@ def whois_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("domain", "w.registrar", "w.created", F.array_join("w.nameservers", "|").alias("nameservers"), "w.organisation", "w.country", records.days_until(F.col("w.expires"), "2026-01-01").alias("days_left"))
 
 
-@_add("private_addresses", f"SELECT ip, CASE WHEN ip IN ('300.1.1.1', 'x') THEN NULL ELSE ip NOT IN ('8.8.8.8', '172.32.0.1') END AS private FROM ({fx.ADDRESSES})")
+@_add("private_addresses", f"SELECT ip, ip NOT IN ('8.8.8.8', '172.32.0.1') AS private FROM ({fx.ADDRESSES}) UNION ALL SELECT ip, ip NOT IN ('2606:4700::1111', '2001:4860:4860::8888', '::ffff:8.8.8.8', '::ffff:808:808') FROM ({fx.ADDRESSES_6})")
 def private_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(fx.ADDRESSES).select("ip", records.is_private(F.col("ip")).alias("private"))
+    return spark.sql(f"{fx.ADDRESSES} UNION ALL {fx.ADDRESSES_6}").select("ip", records.is_private(F.col("ip")).alias("private"))
+
+
+@_add("fetch_guard", f"SELECT url, url IN ('https://alpha.example/x', 'http://8.8.8.8/', 'https://b.example/') AS allowed FROM ({fx.FETCHES})")
+def fetch_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(fx.FETCHES).select("url", records.fetch_allowed(F.col("url"), F.col("target"), F.array_compact(F.array("answer"))).alias("allowed"))
+
+
+@_add("resolved_urls", """SELECT * FROM (VALUES ('https://b.example/z', 'https://b.example/z'), ('//c.example/z', 'https://c.example/z'), ('/root', 'https://a.example/root'), ('rel.css', 'https://a.example/x/rel.css'), ('./rel.css', 'https://a.example/x/rel.css'), ('../up.css', 'https://a.example/up.css'),
+  ('?p=1', 'https://a.example/x/y.html?p=1'), ('mailto:a@b.example', NULL), ('#top', 'https://a.example/x/y.html?q'), ('z', 'https://a.example/z')) AS t(ref, url)""")
+def resolved_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(fx.REFERENCES).select("ref", records.resolve_url(F.col("base"), F.col("ref")).alias("url"))
+
+
+@_add("wellknown_files", """SELECT * FROM (VALUES ('alpha.example', substr(md5('User-agent: * Disallow: /go/x Disallow: /out Disallow: /private Sitemap: https://alpha.example/s.xml'), 1, 12), 'https://alpha.example/s.xml', '/go/x|/out', substr(md5('# ads google.com, pub-1, DIRECT google.com, pub-1, DIRECT x.example,pub-2 , RESELLER nothing'), 1, 12), 'pub-1|pub-2',
+  substr(md5('<url><loc>URL</loc><lastmod>DATE</lastmod></url>'), 1, 12)), ('beta.example', NULL, NULL, NULL, NULL, NULL, substr(md5('<url> <loc>URL</loc> <lastmod>DATE</lastmod></url>'), 1, 12))) AS t(domain, robots_hash, sitemaps, redirects, ads_hash, publishers, sitemap_hash)""")
+def wellknown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.sql(fx.FILES.replace("\\n", "\n")).select("domain", *[records.file_text(F.col(c)).alias(c) for c in ("robots", "ads", "sitemap")])
+    joined = lambda x, c: F.when(F.col(c).isNotNull(), F.array_join(x, "|"))
+    return files.select(
+        "domain", records.normal_hash(F.col("robots")).alias("robots_hash"), joined(records.sitemap_urls(F.col("robots")), "robots").alias("sitemaps"), joined(records.redirect_paths(F.col("robots")), "robots").alias("redirects"),
+        records.normal_hash(F.col("ads")).alias("ads_hash"), joined(records.publishers(F.col("ads")), "ads").alias("publishers"), records.sitemap_hash(F.col("sitemap")).alias("sitemap_hash"),
+    )
+
+
+@_add("contact_files", """SELECT * FROM (VALUES ('alpha.example', 'mailto:a@alpha.example|https://alpha.example/c', '2026-03-02T00:00:00Z', CAST(60 AS INTEGER), 'https://alpha.example/p', true, CAST(3 AS BIGINT), 'ann@alpha.example', 'Ann'), ('beta.example', '', 'soon', NULL, NULL, false, 0, NULL, NULL)) AS t(domain, contacts, expires, expires_in_days, policy, signed, lines, contact, team)""")
+def contact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(fx.FILES).select("domain", records.security_txt(F.col("security"), "2026-01-01").alias("s"), records.humans_txt(F.col("humans")).alias("h"))
+    return rows.select("domain", F.array_join("s.contacts", "|").alias("contacts"), "s.expires", "s.expires_in_days", "s.policy", "s.signed", "h.lines", "h.contact", "h.team")
+
+
+@_add("txt_records", "SELECT * FROM (VALUES ('alpha.example', 'v=spf1 -all', ' V=DMARC1; p=none', 'abc', 'ms123', 'f9', CAST(0 AS BIGINT)), ('beta.example', NULL, NULL, NULL, NULL, NULL, 1)) AS t(domain, spf, dmarc, google, microsoft, facebook, dkim)")
+def txt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = spark.sql(fx.TXT_SETS).groupBy("domain").agg(F.sort_array(F.collect_list("txt")).alias("t"))
+    t = F.col("t")
+    return sets.select("domain", records.spf_record(t).alias("spf"), records.dmarc_record(t).alias("dmarc"), records.verifications(t).alias("v"), F.size(records.dkim_keys(t)).cast("long").alias("dkim")).select("domain", "spf", "dmarc", "v.*", "dkim")
+
+
+@_add("rdap_records", "SELECT * FROM (VALUES ('alpha.example', 'Names Ltd', '2020-01-02', NULL, '2030-01-02', 'ns1.x.example', 'Acme', 'DE', 'signed'), ('beta.example', '42', NULL, '2021-05-06', NULL, '', NULL, NULL, NULL), ('gamma.example', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) AS t(domain, registrar, created, updated, expires, nameservers, organisation, country, dnssec)")
+def rdap_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(fx.RDAP).select("domain", records.rdap(F.col("body")).alias("r"))
+    return rows.select("domain", *[F.array_join("r.nameservers", "|").alias(c) if c == "nameservers" else F.col(f"r.{c}") for c in ("registrar", "created", "updated", "expires", "nameservers", "organisation", "country", "dnssec")])
+
+
+@_add("certificate_texts", "SELECT 'C=DE, O=A+B' AS issuer, 'a.example|*.a.example' AS san, 0 AS none, 'iodef mailto:x@a.example' AS caa, true AS valid, false AS invalid")
+def certificate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = spark.sql("SELECT array(named_struct('k', 'C', 'v', array('DE')), named_struct('k', 'O', 'v', array('A', 'B'))) AS dn, map('issue', '', 'iodef', 'mailto:x@a.example') AS caa")
+    return row.select(
+        records.distinguished_name(F.col("dn")).alias("issuer"), F.array_join(records.san(F.lit("DNS:a.example, DNS:*.a.example")), "|").alias("san"), F.size(records.san(F.lit(""))).alias("none"),
+        records.caa(F.col("caa")).alias("caa"), records.valid_domain(F.lit("a-b.example")).alias("valid"), records.valid_domain(F.lit("-x.example;ls")).alias("invalid"),
+    )
+
+
+# Scan records.
+
+
+def _scans(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    rows = spark.sql(fx.SCANS).select(F.from_json("record", tables.SNAPSHOT).alias("r")).select("r.*")
+    return rows, spark.sql(fx.SCAN_SITES)
+
+
+@_add("scan_signals", "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{k}', {q(x)})" for d, rows in fx.SCAN_SIGNALS.items() for k, x in rows) + ") AS t(domain, kind, key)")
+def scan_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.of_scans(_scans(spark)[0])
+
+
+@_add("scan_links", "SELECT * FROM (VALUES ('report-address-on-fleet-domain', 'critical', 'alpha.example', 'beta.example', 'd@beta.example'), ('spf-references-fleet-domain', 'critical', 'alpha.example', 'beta.example', 'relay.beta.example')) AS t(type, severity, domain, target, key)")
+def scan_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.mail_links(*_scans(spark))
+
+
+@_add("scan_tokens", "SELECT * FROM (VALUES ('shared-google-verification', 'critical', 'g1', CAST(2 AS BIGINT), 'alpha.example,delta.example'), ('shared-caa-account', 'critical', 'https://acme.example/1', 2, 'alpha.example,delta.example')) AS t(type, severity, key, n, domains)")
+def scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans, sites = _scans(spark)
+    return signals.mailbox_findings(correlate.token_findings(signals.of_scans(scans), sites), signals.mail_links(scans, sites))
+
+
+def _near(scans: DataFrame, sites: DataFrame) -> DataFrame:
+    return correlate.registration_pairs(signals.registrations(scans).join(sites, "domain"))
+
+
+@_add("scan_findings", "SELECT * FROM (VALUES ('shared-ga4', 'critical', 'alpha.example', 'beta.example', CAST(1 AS BIGINT), 'G-1'), ('shared-ga4', 'critical', 'alpha.example', 'beta.example', 1, 'G-2'), ('registration-proximity', 'medium', 'alpha.example', 'beta.example', 1, '4')) AS t(type, severity, a, b, n, detail)")
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans, sites = _scans(spark)
+    return correlate.pair_findings(signals.of_scans(scans), sites, _near(scans, sites))
+
+
+@_add("scan_similarity", "SELECT 'alpha.example' AS a, 'beta.example' AS b, CAST(40 + 40 + 10 AS INTEGER) AS similarity")
+def scan_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans, sites = _scans(spark)
+    return correlate.similarity(signals.of_scans(scans), sites, _near(scans, sites))
+
+
+@_add("scan_identifiers", "SELECT * FROM (VALUES ('alpha.example', 'd@beta.example', 'DNS DMARC rua'), ('alpha.example', 'sec@alpha.example', 'DNS CAA iodef'), ('alpha.example', 'sec2@alpha.example', 'security.txt Contact'), ('alpha.example', 'info@fleet.example', 'HTML mailto'), ('alpha.example', 'd@beta.example', 'HTML mailto'), ('beta.example', 'd@beta.example', 'DNS DMARC rua')) AS t(domain, value, source)")
+def scan_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.exposed_identifiers(_scans(spark)[0])
+
+
+@_add("scan_unreachable", "SELECT * FROM (VALUES ('beta.example', 'HTTP 503'), ('gamma.example', 'timeout')) AS t(domain, reason)")
+def scan_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.unreachable(_scans(spark)[0])
+
+
+@_add("classify", "SELECT * FROM (VALUES ('alpha.example', true, NULL, true, 40, 'red', true), ('beta.example', true, NULL, false, 10, 'red', false), ('gamma.example', false, 'HTTP 503', false, 0, 'blue', false), ('delta.example', false, 'no HTML body', false, 0, 'blue', false), ('eps.example', true, NULL, true, 90, 'Adult one', false), ('zeta.example', false, 'no HTML body', false, 0, NULL, false)) AS t(domain, classified, error, is_adult, score, cluster, violation)")
+def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.classify(spark.sql(fx.SCORES), spark.sql(fx.SITES).select("domain", "cluster"), spark.sql(fx.ERRORS))
+
+
+@_add("dmarc_fixes", "SELECT * FROM (VALUES ('beta.example', 'v=DMARC1; p=quarantine; rua=mailto:dmarc@beta.example'), ('gamma.example', 'v=DMARC1; p=quarantine; pct=100; rua=mailto:dmarc@gamma.example'), ('delta.example', 'v=DMARC1; p=quarantine; rua=mailto:dmarc@delta.example'), ('eps.example', 'v=DMARC1; p=quarantine; rua=mailto:dmarc@eps.example')) AS t(domain, fix)")
+def dmarc_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.dmarc_fix(spark.sql(fx.MAIL))
+
+
+@_add("header_notes", "SELECT * FROM (VALUES ('alpha.example', 'Access-Control-Allow-Origin', '* (host default; override in _headers)'), ('alpha.example', 'HTML comments', '2 comment(s)'), ('alpha.example', 'CSP script allow-list', 'https://evil.example'), ('beta.example', 'Access-Control-Allow-Origin', '*')) AS t(domain, note, value)")
+def header_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = spark.sql("SELECT * FROM VALUES ('alpha.example', array('Cloudflare Pages'), 2, array('https://cdn.example/a.js', 'https://evil.example/x.js', 'https://sub.good.example/y.js', 'https://www.alpha.example/z.js', '/own.js')), ('gamma.example', array('x'), 0, array('https://evil.example/x.js')) AS t(domain, technologies, comments, scripts)")
+    return scoring.header_notes(spark.sql(fx.NOTES_HEADERS), seen)
+
+
+@_add("site_seo_checks", "SELECT * FROM (VALUES ('alpha.example', 'robots.txt', 5, 'good', 5), ('alpha.example', 'Sitemap', 10, 'good', 10), ('alpha.example', 'HTTPS', 5, 'good', 5), ('beta.example', 'robots.txt', 5, 'missing', 0), ('beta.example', 'Sitemap', 10, 'missing', 0), ('beta.example', 'HTTPS', 5, 'warning', 0), ('gamma.example', 'HTTPS', 5, 'warning', 0), ('delta.example', 'robots.txt', 5, 'missing', 0), ('delta.example', 'Sitemap', 10, 'good', 10)) AS t(domain, \"check\", weight, rating, points)")
+def site_seo_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.site_seo_checks(spark.sql(fx.SITE_SEO))
+
+
+@_add("seo_skips", f"{WITH_PAGES} SELECT page_id, unnest(['Canonical URL', 'Hreflang', 'Structured Data']) AS \"check\", 'noindex' AS reason FROM p WHERE page_id % 7 = 5")
+def seo_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.seo_skips(_pages(spark, sf_dir))
+
+
+@_add("hosting", "SELECT * FROM (VALUES ('alpha.example', 'Cloudflare Pages', 100), ('beta.example', 'Cloudflare Pages', 75), ('gamma.example', 'Cloudflare Pages', 15)) AS t(domain, name, confidence)")
+def hosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = """VALUES ('alpha.example', map('cf-ray', '1', 'server', 'cloudflare', 'cf-cache-status', 'HIT'), '', array('a.pages.dev')), ('beta.example', map('cf-ray', '1', 'server', 'cloudflare', 'cross-origin-opener-policy', 'same-origin'), '<x src="/_astro/a">', array()),
+      ('gamma.example', map('cf-ray', '1', 'server', 'cloudflare', 'x-powered-by', 'Express', 'cross-origin-opener-policy', 'same-origin'), '/assets/', null), ('delta.example', map('server', 'nginx'), '/assets/', array('d.pages.dev')), ('eps.example', map('cf-ray', '1', 'server', 'cloudflare', 'cf-cache-status', 'HIT'), 'plain', array())"""
+    return scoring.hosting(spark.sql(f"SELECT * FROM {rows} AS t(domain, h, html, cname)"))
+
+
+@_add("ranked_technologies", "SELECT * FROM (VALUES ('a.example', 'Astro', 100, 1), ('a.example', 'Cloudflare', 100, 2), ('a.example', 'React', 85, 3), ('b.example', 'Nginx', 100, 1)) AS t(domain, name, confidence, rank)")
+def ranked_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.ranked_technologies(spark.sql("SELECT * FROM VALUES ('a.example', 'React', 85), ('a.example', 'Astro', 95), ('a.example', 'Astro', 100), ('a.example', 'Cloudflare', 100), ('b.example', 'Nginx', 100) AS t(domain, name, confidence)"))
+
+
+@_add("asset_hashes", """SELECT 1 AS page_id, * FROM (VALUES ('favicon', 'https://a.example/favicon.ico', substr(md5(base64('icon'::BLOB)), 1, 12)), ('css', 'https://a.example/a.css', substr(md5('p{}'), 1, 12)), ('css', 'https://a.example/gone.css', substr(md5('https://a.example/gone.css'), 1, 12)),
+  ('js', 'https://a.example/a.js', substr(md5('x()'), 1, 12)), ('js', 'https://cdn.example/b.js', substr(md5('y()'), 1, 12))) AS t(kind, url, hash)""")
+def asset_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = '<link rel="stylesheet" href="/a.css"><link rel="stylesheet" href="gone.css"><link rel="canonical" href="https://a.example/"><script src="/a.js"></script><script src="//cdn.example/b.js"></script><script src="/api"></script>'
+    return assets.hashes(spark.createDataFrame([(1, "https://a.example/x", page), (2, "https://b.example/", "<link rel='icon' href='/none.png'>")], "page_id int, url string, html string"), spark.sql(fx.BODIES))
 
 
 # Gates and drift.

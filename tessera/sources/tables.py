@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import markup
-
 HOST = "^https?://([^/:?#]+)"
 
 #: A scan record as it is stored; sub-records that a scan left out are null.
 SNAPSHOT = """
 domain string, timestamp string, isNoindex boolean,
-http struct<statusCode:int, headers:map<string,string>>,
-dns struct<a:array<string>, ns:array<string>, txt:array<string>, mx:array<struct<exchange:string,priority:int>>>,
-analytics struct<ga4:array<string>, gtm:array<string>, adsense:array<string>, facebook:array<string>, clarity:array<string>, other:array<struct<name:string,id:string>>>,
-content struct<isAdult:boolean, adultScore:int>, security struct<score:int>, seo struct<score:int>, errors array<struct<scanner:string,error:string>>
+http struct<statusCode:int, headers:map<string,string>, serverHeader:string, setCookies:array<string>>,
+dns struct<a:array<string>, ns:array<string>, txt:array<string>, cname:array<string>, mx:array<struct<exchange:string,priority:int>>, spf:struct<includes:array<string>,ip4:array<string>,ip6:array<string>,redirect:string>, dmarc:struct<rua:array<string>,ruf:array<string>>, caa:array<string>, googleVerification:string, microsoftVerification:string, facebookVerification:string>,
+tls struct<issuer:string, san:array<string>>, whois struct<registrar:string, registrantOrg:string, createdDate:string>,
+html struct<headStructureHash:string, bodyStructureHash:string, metaGenerator:string, inlineScriptHashes:array<string>, comments:array<string>, emails:array<string>, formEndpoints:array<string>, twitterCards:map<string,string>, jsonLd:array<struct<sameAs:array<string>>>>,
+assets struct<faviconHash:string, cssHashes:array<struct<url:string,hash:string>>, jsHashes:array<struct<url:string,hash:string>>, fontSources:array<string>>,
+robots struct<robotsTxtHash:string, adsTxtHash:string, adsTxtPubIds:array<string>, sitemapUrls:array<string>, sitemapHash:string, affiliateRedirectPaths:array<string>, securityTxtContacts:array<string>>,
+analytics struct<ga4:array<string>, gtm:array<string>, adsense:array<string>, facebook:array<string>, clarity:array<string>, cloudflare:array<string>, plausible:array<string>, umami:array<struct<websiteId:string,src:string>>, other:array<struct<name:string,id:string>>>,
+content struct<isAdult:boolean, adultScore:int>, security struct<score:int, reportEndpoints:array<string>, formProviders:array<string>>, seo struct<score:int>, errors array<struct<scanner:string,error:string>>
 """
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, host, html)."""
-    found = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select("page_id", "url", F.regexp_extract("url", HOST, 1).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files make fewer partitions than half of them: pages cost far more than their shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Scan records of a JSON file: an array of scans, one scan, or an object with `scans`. The schema is given, not inferred."""
     wrapped = spark.read.schema(f"scans array<struct<{_fields()}>>, {SNAPSHOT}").json(path, multiLine=True)
@@ -38,14 +46,6 @@ def _fields() -> str:
     return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(SNAPSHOT).fields)
 
 
-def snapshot_signals(scans: DataFrame) -> DataFrame:
-    """(domain, kind, key) of the identifiers in scan records."""
-    lists = {"ip": "dns.a", "nameserver": "dns.ns", "ga4": "analytics.ga4", "gtm": "analytics.gtm", "adsense": "analytics.adsense", "facebook": "analytics.facebook", "clarity": "analytics.clarity"}
-    lists = {kind: F.col(c) for kind, c in lists.items()} | {"mx": F.transform("dns.mx", lambda m: F.lower(m["exchange"])), "txt": F.filter("dns.txt", lambda t: ~t.rlike("(?i)^v=(?:spf|dmarc|dkim|tlsrptv)"))}
-    each = [markup.tagged(F.coalesce(values, F.array().cast("array<string>")), kind, value="key") for kind, values in lists.items()]
-    return scans.select("domain", F.explode(F.concat(*each)).alias("s")).select("domain", "s.*")
-
-
 def fleet_yaml(text: str) -> dict[str, object]:
     """The keys of a small fleet file, with flow or block lists; text after # is left out."""
     out: dict[str, object] = {}
