@@ -138,7 +138,7 @@ def collapse(findings: DataFrame, rollups: DataFrame, least: int = 3) -> DataFra
     # Of the rollups only the number of a group's sites in each is needed.
     provider = F.col("type") == "shared-form-provider"
     members = groups.where(provider).select(*keys, F.size("all").alias("size"), F.explode("all").alias("site"))
-    have = rollups.select(F.monotonically_increasing_id().alias("r"), F.explode(F.split("domains", ",")).alias("site"))
+    have = rollups.select(F.col("domains").alias("r"), F.explode(F.split("domains", ",")).alias("site")).distinct()
     covered = members.join(have, "site").groupBy(*keys, "size", "r").agg(F.count(F.lit(1)).alias("n")).where("n = size").select(*keys).distinct()
     groups = groups.join(covered, keys, "left_anti")
     lines = groups.where(F.col("pairs") >= least).select("type", F.col("most").alias("severity"), "detail", "pairs", F.array_join("all", ",").alias("domains"))
