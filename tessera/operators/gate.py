@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def failures(sites: DataFrame, routes: DataFrame, threshold: int = 60, min_seo: int = 50, need_security_txt: bool = True, expect_noindex: bool = False) -> DataFrame:
-    """(domain, route, name, value) of each failed gate.
+def failures(sites: DataFrame, routes: DataFrame, threshold: int = 60, min_seo: int = 50, need_security_txt: bool = False, expect_noindex: bool = False, need_email_auth: bool = False) -> DataFrame:
+    """(domain, route, name, value) of each failed gate. security.txt and e-mail authentication are asked for on demand only.
 
     sites: domain, cluster, status, is_adult, noindex, security, security_txt, spf_rating, dmarc_rating, errors; routes: domain,
     route, status, noindex, seo. A row's gates are branches of one expression, so sites are read once.
@@ -20,7 +20,7 @@ def failures(sites: DataFrame, routes: DataFrame, threshold: int = 60, min_seo:
     gates = [
         ("http", F.col("status") >= 400, text("status")), ("adult", clean & F.col("is_adult"), F.col("cluster")), ("noindex", F.col("noindex") & F.lit(not expect_noindex), F.lit(None).cast("string")),
         ("security", F.coalesce("security", F.lit(0)) < threshold, F.coalesce("security", F.lit(0)).cast("string")), ("security.txt", ~F.coalesce("security_txt", F.lit(False)) & F.lit(need_security_txt), F.lit(None).cast("string")),
-        ("SPF", weak("spf_rating"), F.col("spf_rating")), ("DMARC", weak("dmarc_rating"), F.col("dmarc_rating")), ("errors", F.col("errors") > 0, text("errors")),
+        ("SPF", weak("spf_rating") & F.lit(need_email_auth), F.col("spf_rating")), ("DMARC", weak("dmarc_rating") & F.lit(need_email_auth), F.col("dmarc_rating")), ("errors", F.col("errors") > 0, text("errors")),
     ]
     row = lambda route, n, c, v: F.when(c, F.struct(route.alias("route"), F.lit(n).alias("name"), v.alias("value")))
     spread = lambda df, route, some: df.select("domain", F.explode(F.array_compact(F.array(*[row(route, *g) for g in some]))).alias("g")).select("domain", "g.*")
@@ -29,6 +29,21 @@ def failures(sites: DataFrame, routes: DataFrame, threshold: int = 60, min_seo:
     return spread(sites, F.lit("/"), gates).unionByName(spread(routes, F.col("route"), on_routes))
 
 
+def seo_failures(scores: DataFrame, checks: DataFrame, min_seo: int | None = None, required: tuple[str, ...] = (), no_hreflang: tuple[str, ...] = ()) -> DataFrame:
+    """(domain, route, name, value) of SEO gates on the root and on routes: scores (domain, route, score) below the least one, with
+    the checks that fail, and required checks (domain, route, check, rating) that fail. On routes that no_hreflang names (a
+    trailing * stands for any end) a missing Hreflang is expected."""
+    exempt = F.lit(False)
+    for glob in no_hreflang:
+        exempt = exempt | (F.col("route").startswith(glob[:-1]) if glob.endswith("*") else F.col("route") == glob)
+    failing = checks.where((F.col("rating") != "good") & ~((F.col("check") == "Hreflang") & exempt))
+    names = failing.groupBy("domain", "route").agg(F.array_join(F.sort_array(F.collect_set("check")), ", ").alias("why"))
+    low = scores.where(F.col("score") < F.lit(min_seo)).join(names, ["domain", "route"], "left")
+    low = low.select("domain", "route", F.lit("seo").alias("name"), F.concat_ws(": ", F.col("score").cast("string"), "why").alias("value"))
+    asked = failing.where(F.lower("check").isin(*[r.strip().lower() for r in required])) if required else failing.limit(0)
+    return low.unionByName(asked.select("domain", "route", F.concat(F.lit("seo check: "), F.col("check")).alias("name"), F.col("rating").alias("value")))
+
+
 def rollup(failed: DataFrame, sites: DataFrame) -> DataFrame:
     """(route, name, k, n): on how many of the fleet's n sites a gate fails."""
     total = sites.agg(F.count(F.lit(1)).alias("n"))
@@ -69,3 +84,38 @@ def finding_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     norm = lambda df: df.select("type", F.array_join(F.array_sort("domains"), ",").alias("domains"), "detail").distinct()
     x, y = norm(before), norm(after)
     return x.join(y, keys, "left_anti").withColumn("change", F.lit("resolved")).unionByName(y.join(x, keys, "left_anti").withColumn("change", F.lit("new"))).select("change", *keys)
+
+
+def check_drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(domain, route, change, check) of checks (domain, route, check, rating) that fail now or are fixed, on pages in both snapshots."""
+    keys = ["domain", "route"]
+    known = before.select(*keys).distinct().join(after.select(*keys).distinct(), keys)
+    bad = lambda df: df.where("rating <> 'good'").select(*keys, "check").distinct().join(known, keys)
+    x, y = bad(before), bad(after)
+    now = y.join(x, [*keys, "check"], "left_anti").withColumn("change", F.lit("now-failing"))
+    return now.unionByName(x.join(y, [*keys, "check"], "left_anti").withColumn("change", F.lit("fixed"))).select(*keys, "change", "check")
+
+
+def page_drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(domain, route, change, detail) of page audits (domain, route, ok, noindex, canonical, seo) in both snapshots; a page that went
+    down or came up has that change alone."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
+    arrow = lambda c: F.concat_ws(" -> ", text(x(c)), text(y(c)))
+    same = x("ok") == y("ok")
+    changes = [
+        ("reachable", ~same, arrow("ok")), ("noindex", same & (x("noindex") != y("noindex")), arrow("noindex")), ("canonical", same & ~x("canonical").eqNullSafe(y("canonical")), arrow("canonical")),
+        ("seo-score", same & (x("seo") != y("seo")), arrow("seo")),
+    ]
+    rows = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("change"), d.alias("detail"))) for n, c, d in changes]))
+    both = before.alias("x").join(after.alias("y"), ["domain", "route"])
+    return both.select("domain", "route", F.explode(rows).alias("c")).select("domain", "route", "c.*")
+
+
+def email_drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(domain, check, detail, severity) of mail checks (domain, check, rating, value) whose rating or value changed; null severity for
+    the better."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    both = before.alias("x").join(after.alias("y"), ["domain", "check"]).where((x("rating") != y("rating")) | ~x("value").eqNullSafe(y("value")))
+    severity = F.when(y("rating").isin("bad", "missing"), "high").when(y("rating") != "good", "medium")
+    return both.select("domain", "check", F.concat_ws(" -> ", x("rating"), y("rating")).alias("detail"), severity.alias("severity"))

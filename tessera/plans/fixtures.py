@@ -118,3 +118,11 @@ COLLAPSIBLE = _values(
     ("shared-form-provider", "medium", "a.example", "b.example", "calendly.com"), ("shared-form-provider", "medium", "a.example", "c.example", "calendly.com"), ("shared-form-provider", "medium", "b.example", "c.example", "calendly.com"), ("shared-ga4", "critical", "a.example", "b.example", "G-1"),
 )
 BODIES = _values("url, body", ("https://a.example/favicon.ico", "icon"), ("https://a.example/a.css", "p{}"), ("https://a.example/a.js", "x()"), ("https://cdn.example/b.js", "y()"))
+ROUTE_SCORES = _values("domain, route, score", ("alpha.example", "/", 40), ("alpha.example", "/ok", 90), ("beta.example", "/de/x", 45), ("gamma.example", "/", None))
+ROUTE_CHECKS = _values("domain, route, check_, rating", ("alpha.example", "/", "Title", "missing"), ("alpha.example", "/", "Hreflang", "warning"), ("alpha.example", "/", "Language", "good"), ("beta.example", "/de/x", "Hreflang", "warning"), ("beta.example", "/de/x", "Title", "warning"), ("beta.example", "/", "Sitemap", "missing"))
+CHECKS_BEFORE = _values("domain, route, check_, rating", ("alpha.example", "/", "Title", "good"), ("alpha.example", "/", "Hreflang", "warning"), ("alpha.example", "/gone", "Title", "missing"), ("beta.example", "/", "Title", "missing"))
+CHECKS_AFTER = _values("domain, route, check_, rating", ("alpha.example", "/", "Title", "missing"), ("alpha.example", "/", "Hreflang", "good"), ("beta.example", "/", "Title", "missing"), ("beta.example", "/new", "Title", "missing"))
+AUDITS_BEFORE = _values("domain, route, ok, noindex, canonical, seo", ("alpha.example", "/a", True, False, "x", 50), ("alpha.example", "/b", True, False, None, 50), ("alpha.example", "/c", True, False, None, 70), ("alpha.example", "/gone", True, False, None, 1))
+AUDITS_AFTER = _values("domain, route, ok, noindex, canonical, seo", ("alpha.example", "/a", False, True, None, None), ("alpha.example", "/b", True, True, "https://a.example/b", 60), ("alpha.example", "/c", True, False, None, 70), ("alpha.example", "/new", True, False, None, 1))
+MAIL_BEFORE = _values("domain, check_, rating, value", ("alpha.example", "SPF", "good", "-all"), ("alpha.example", "DMARC", "missing", None), ("beta.example", "DMARC", "good", "reject"), ("beta.example", "SPF", "good", "-all"), ("gamma.example", "SPF", "good", "-all"))
+MAIL_AFTER = _values("domain, check_, rating, value", ("alpha.example", "SPF", "missing", None), ("alpha.example", "DMARC", "good", "reject"), ("beta.example", "DMARC", "warning", "none"), ("beta.example", "SPF", "good", "~all"), ("gamma.example", "SPF", "good", "-all"))

@@ -607,7 +607,7 @@ _GATE = f"""WITH s AS ({fx.GATES}), u AS ({fx.ROUTES}), f AS (
 
 def _gates(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     sites = spark.sql(fx.GATES)
-    return gate.failures(sites, spark.sql(fx.ROUTES)), sites
+    return gate.failures(sites, spark.sql(fx.ROUTES), need_security_txt=True, need_email_auth=True), sites
 
 
 @_add("gate_failures", f"{_GATE} SELECT * FROM f")
@@ -632,6 +632,26 @@ def snapshot_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.drift(*[spark.sql(x) for x in (fx.BEFORE, fx.AFTER, fx.IDS_BEFORE, fx.IDS_AFTER)])
 
 
+@_add("gate_seo", """SELECT * FROM (VALUES ('alpha.example', '/', 'seo', '40: Hreflang, Title'), ('alpha.example', '/', 'seo check: Title', 'missing'), ('beta.example', '/de/x', 'seo', '45: Title'), ('beta.example', '/de/x', 'seo check: Title', 'warning')) AS t(domain, route, name, value)""")
+def gate_seo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.seo_failures(spark.sql(fx.ROUTE_SCORES), spark.sql(fx.ROUTE_CHECKS).withColumnRenamed("check_", "check"), min_seo=50, required=("title",), no_hreflang=("/de/*",))
+
+
+@_add("check_drift", "SELECT * FROM (VALUES ('alpha.example', '/', 'now-failing', 'Title'), ('alpha.example', '/', 'fixed', 'Hreflang')) AS t(domain, route, change, \"check\")")
+def check_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.check_drift(spark.sql(fx.CHECKS_BEFORE).withColumnRenamed("check_", "check"), spark.sql(fx.CHECKS_AFTER).withColumnRenamed("check_", "check"))
+
+
+@_add("page_drift", "SELECT * FROM (VALUES ('alpha.example', '/a', 'reachable', 'true -> false'), ('alpha.example', '/b', 'noindex', 'false -> true'), ('alpha.example', '/b', 'canonical', '(none) -> https://a.example/b'), ('alpha.example', '/b', 'seo-score', '50 -> 60')) AS t(domain, route, change, detail)")
+def page_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.page_drift(spark.sql(fx.AUDITS_BEFORE), spark.sql(fx.AUDITS_AFTER))
+
+
+@_add("email_drift", "SELECT * FROM (VALUES ('alpha.example', 'SPF', 'good -> missing', 'high'), ('alpha.example', 'DMARC', 'missing -> good', NULL), ('beta.example', 'DMARC', 'good -> warning', 'medium'), ('beta.example', 'SPF', 'good -> good', NULL)) AS t(domain, \"check\", detail, severity)")
+def email_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.email_drift(spark.sql(fx.MAIL_BEFORE).withColumnRenamed("check_", "check"), spark.sql(fx.MAIL_AFTER).withColumnRenamed("check_", "check"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: which hosts look alike."""
     return host_similarity(spark, sf_dir)
