@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet to the shared folder and read
 again as the next stage's docs; all but the last return the columns of `documents`. Stages work on whatever columns docs has
-beside doc_id, text and source; what they do with nulls, empty texts and repeated rows is said in their operators' modules.
+beside doc_id, text and source, whatever their names; what they do with nulls, empty texts, ties and repeated rows is said in
+their operators' modules; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import dedup, lines, mixing, packing
 from tessera.llm import quality as discriminant
-from tessera.llm.common import materialize, table
+from tessera.llm.common import Scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,12 +46,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mix), ("packing", pack)]
 
-#: SQL can express neither the classifier nor the tokens; tests compare the stages with brute force.
+#: SQL can express neither the classifier nor the tokens; tests/llm compares each stage's rows with a plain version's.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as s:
+        for name, stage in STAGES[:-1]:
+            spent, docs = docs, s.write(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            s.drop(spent)
+        return STAGES[-1][1](spark, docs, sf_dir)  # reads docs at once: its pieces are a written table
