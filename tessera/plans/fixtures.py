@@ -126,3 +126,17 @@ AUDITS_BEFORE = _values("domain, route, ok, noindex, canonical, seo", ("alpha.ex
 AUDITS_AFTER = _values("domain, route, ok, noindex, canonical, seo", ("alpha.example", "/a", False, True, None, None), ("alpha.example", "/b", True, True, "https://a.example/b", 60), ("alpha.example", "/c", True, False, None, 70), ("alpha.example", "/new", True, False, None, 1))
 MAIL_BEFORE = _values("domain, check_, rating, value", ("alpha.example", "SPF", "good", "-all"), ("alpha.example", "DMARC", "missing", None), ("beta.example", "DMARC", "good", "reject"), ("beta.example", "SPF", "good", "-all"), ("gamma.example", "SPF", "good", "-all"))
 MAIL_AFTER = _values("domain, check_, rating, value", ("alpha.example", "SPF", "missing", None), ("alpha.example", "DMARC", "good", "reject"), ("beta.example", "DMARC", "warning", "none"), ("beta.example", "SPF", "good", "~all"), ("gamma.example", "SPF", "good", "-all"))
+SITEMAPS = _values(
+    "domain, sitemap, xml",
+    ("alpha.example", "https://alpha.example/i.xml", "<sitemapindex><sitemap><loc> https://alpha.example/s1.xml </loc></sitemap><sitemap><loc>https://alpha.example/s2.xml</loc></sitemap></sitemapindex>"),
+    ("alpha.example", "https://alpha.example/s1.xml", "<urlset><url><loc>https://alpha.example/</loc></url><url><loc>https://alpha.example/a</loc></url><url><loc>https://alpha.example/f.PDF</loc></url></urlset>"),
+    ("alpha.example", "https://alpha.example/s3.xml", "<urlset><url><loc>https://alpha.example/never</loc></url></urlset>"), ("beta.example", "https://beta.example/s.xml", "<URLSET><LOC>https://beta.example/b</LOC><loc>https://beta.example</loc><loc>https://beta.example/x.xml.gz</loc></URLSET>"),
+)
+ROOTS = _values("domain, sitemap", ("alpha.example", "https://alpha.example/i.xml"), ("beta.example", "https://beta.example/s.xml"))
+FRONT_IDS = _values("domain, name, id", ("alpha.example", "GTM Container", "GTM-1"), ("alpha.example", "DNS:Stripe", "s"))
+SUBPAGE_IDS = _values("domain, name, id", ("alpha.example", "GTM Container", "GTM-1"), ("alpha.example", "Hotjar", "1"), ("alpha.example", "DNS:Linear", "l"), ("beta.example", "Hotjar", "2"))
+AUDITED = _values(
+    "page_id, domain, route, url, html, status",
+    (1, "alpha.example", "/a", "https://alpha.example/a", '<html lang="en"><head><title>Thirty letters of a title, or more</title><meta name="viewport" content="x"><link rel="canonical" href="https://alpha.example/a"></head></html>', 200),
+    (2, "alpha.example", "/b", "https://alpha.example/b", '<meta name="robots" content="noindex">', 204), (3, "alpha.example", "/c", "https://alpha.example/c", "gone", 404), (4, "beta.example", "/d", "https://beta.example/d", None, None),
+)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import markup, records
-from tessera.operators import assets, correlate, gate, identifiers, scoring, signals, wellknown
+from tessera.operators import assets, correlate, crawl, gate, identifiers, scoring, signals, wellknown
 from tessera.plans import fixtures as fx
 from tessera.registry import (
     ACCOUNT_IDS, AD_NETWORKS, AFFILIATES, COLLAPSE, COMMODITY, DNS_TOKENS, FLEET_WIDE, FORM_ENDPOINTS, FORM_PROVIDERS, KEYWORDS, PAIR_RULES, PENALTY, PREFIX, REDIRECT, SUPPRESSIBLE, TOKEN_RULES, WEIGHT,
@@ -652,6 +652,33 @@ def email_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.email_drift(spark.sql(fx.MAIL_BEFORE).withColumnRenamed("check_", "check"), spark.sql(fx.MAIL_AFTER).withColumnRenamed("check_", "check"))
 
 
+@_add("sitemap_pages", "SELECT * FROM (VALUES ('alpha.example', 'https://alpha.example/a'), ('beta.example', 'https://beta.example/b')) AS t(domain, url)")
+def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.sitemap_pages(spark.sql(fx.SITEMAPS), spark.sql(fx.ROOTS))
+
+
+@_add("merged_ids", "SELECT * FROM (VALUES ('alpha.example', 'GTM Container', 'GTM-1'), ('alpha.example', 'DNS:Stripe', 's'), ('alpha.example', 'Hotjar', '1'), ('beta.example', 'Hotjar', '2')) AS t(domain, name, id)")
+def merged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.merged_ids(spark.sql(fx.FRONT_IDS), spark.sql(fx.SUBPAGE_IDS))
+
+
+@_add("vendors", "SELECT * FROM (VALUES ('alpha.example', 'GA4, Umami, Plausible, Hotjar'), ('beta.example', 'GA4')) AS t(domain, vendors)")
+def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.vendors(_scans(spark)[0])
+
+
+# Of the first page's 90 points (HTTPS, Hreflang and the page's own checks) 15 + 10 + 5 + 5 + 5 are met; of the second's 65, 5.
+@_add("route_audits", "SELECT * FROM (VALUES ('alpha.example', '/a', true, false, 'https://alpha.example/a', CAST(floor(100.0 * 40 / 85 + 0.5) AS INTEGER)), ('alpha.example', '/b', true, true, NULL, CAST(floor(100.0 * 5 / 60 + 0.5) AS INTEGER)), ('alpha.example', '/c', false, NULL, NULL, NULL), ('beta.example', '/d', false, NULL, NULL, NULL)) AS t(domain, route, ok, noindex, canonical, seo)")
+def route_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.route_audits(spark.sql(fx.AUDITED))
+
+
+@_add("report_lines", "SELECT * FROM (VALUES ('0 score', 'Isolation score: 70/100'), ('1 unreachable', 'beta.example: HTTP 503'), ('1 unreachable', 'gamma.example: timeout'), ('2 count 0', 'CRITICAL: 1'), ('2 count 3', 'LOW: 1'), ('3 finding 0', '[shared-ga4] G-1 (a.example,b.example)'), ('3 finding 3', '[shared-mx] mx (a.example,c.example)')) AS t(part, line)")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spark.sql("SELECT * FROM VALUES ('shared-ga4', 'critical', 'a.example,b.example', 'G-1'), ('shared-mx', 'low', 'a.example,c.example', 'mx') AS t(type, severity, domains, detail)")
+    return crawl.report_lines(found, spark.sql("SELECT 70 AS score"), correlate.unreachable(_scans(spark)[0]))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: which hosts look alike."""
     return host_similarity(spark, sf_dir)
