@@ -112,6 +112,13 @@ def stylesheets(html: Column) -> Column:
     return F.filter(F.transform(links, lambda a: F.regexp_extract(a, r"""(?i)href=['"]([^'"]+)['"]""", 1)), lambda x: x != "")
 
 
+def alternates(html: Column) -> Column:
+    """array<struct<lang, href>> of links to the page in other languages."""
+    links = F.filter(tags(html, "link"), lambda t: t.rlike(r"""(?i)\srel=['"]alternate['"]"""))
+    part = lambda t, name: F.regexp_extract(t, rf"""(?i)\s{name}=['"]([^'"]+)['"]""", 1)
+    return F.filter(F.transform(links, lambda t: F.struct(part(t, "hreflang").alias("lang"), part(t, "href").alias("href"))), lambda x: (x["lang"] != "") & (x["href"] != ""))
+
+
 def head_hash(html: Column) -> Column:
     """Hash of the tags opened in the head; without a head, of nothing."""
     head = F.regexp_extract(html, r"(?i)<head[^>]*>([\s\S]*?)</head>", 1)

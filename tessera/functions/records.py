@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.registry import REDIRECT_PATHS
+from tessera.registry import ONE_CLICK_DNSSEC, REDIRECT_PATHS, STATUS_TEXTS
 
 
 def _terms(raw: Column) -> Column:
@@ -48,14 +48,47 @@ def whois(text: Column) -> Column:
     servers = F.regexp_extract_all(text, F.lit(r"(?im)^[ \t]*(?:name server|nserver)[ \t]*:[ \t]*([^\s]+)"), F.lit(1))
     return F.struct(
         label(text, "registrar", "sponsoring registrar").alias("registrar"),
-        label(text, "creation date", "created", "registered on").alias("created"),
-        label(text, "registry expiry date", "expiry date", "expires", "paid-till").alias("expires"),
+        label(text, "creation date", "created date", "registration date", "created", "registered on").alias("created"),
+        label(text, "updated date", "last updated").alias("updated"),
+        label(text, "registry expiry date", "expiry date", "expiration date", "registrar registration expiration date", "expires", "paid-till").alias("expires"),
         F.array_distinct(F.transform(servers, F.lower)).alias("nameservers"),
         label(text, "registrant organization", "registrant organisation", "org").alias("organisation"),
         label(text, "registrant country", "country").alias("country"),
+        label(text, "dnssec").alias("dnssec"),
     )
 
 
+def dnssec_provider(nameservers: Column) -> Column:
+    """Of the first nameserver of such a provider: the one that signs a zone with one click."""
+
+    def named(n: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.trim(n)), r"\.$", "")
+        return F.coalesce(*[F.when((host == domain) | host.endswith(f".{domain}"), F.lit(name)) for domain, name in ONE_CLICK_DNSSEC])
+
+    return F.get(F.array_compact(F.transform(nameservers, named)), F.lit(0))
+
+
+def status_text(status: Column) -> Column:
+    """What an HTTP error status means; null below 400."""
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_TEXTS.items() for x in kv]), status)
+    return F.when(status >= 400, F.coalesce(known, F.when(status >= 500, "server error").otherwise("client error")))
+
+
+def stripped_path(text: Column) -> Column:
+    """Path, query and fragment of an address with or without a scheme; empty if there is none but slashes."""
+    rest = F.regexp_extract(F.regexp_replace(text, "(?i)^https?://", ""), r"[/?#][\s\S]*$", 0)
+    return F.when(rest.rlike("^/+$"), "").otherwise(rest)
+
+
+def domain_url(text: Column) -> Column:
+    return F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
+
+
+def explicit_http(url: Column) -> Column:
+    """Whether a target was given with http://, so that neither TLS nor WHOIS is expected of it."""
+    return F.coalesce(url.startswith("http://"), F.lit(False))
+
+
 def days_until(when: Column, as_of: str) -> Column:
     """Whole days, rounded down, from midnight of as_of; null for what is no date."""
     return F.floor((F.unix_timestamp(F.try_to_timestamp(when)) - F.unix_timestamp(F.to_timestamp(F.lit(as_of)))) / 86400).cast("int")

@@ -56,6 +56,14 @@ def exit_codes(sites: DataFrame, failed: DataFrame) -> DataFrame:
     return sites.select("domain").join(bad, "domain", "left").select("domain", F.coalesce("code", F.lit(0)).alias("code"))
 
 
+def fleet_code(findings: DataFrame, score: DataFrame, warning: int = 40) -> DataFrame:
+    """One row (code): 2 with a critical finding (severity), else 1 if the isolation score (one row) is below a threshold, else 0."""
+    critical = findings.agg(F.count(F.when(F.col("severity") == "critical", 1)).alias("critical"))
+    low = score.agg(F.min("score").alias("score"))
+    both = critical.crossJoin(low)  # one row each
+    return both.select(F.when(F.col("critical") > 0, 2).when(F.col("score") < warning, 1).otherwise(0).alias("code"))
+
+
 def drift(before: DataFrame, after: DataFrame, ids_before: DataFrame, ids_after: DataFrame) -> DataFrame:
     """(domain, change, detail) between two snapshots (domain, noindex, adult, security, seo, spf, dmarc) and their ids (domain, kind, id)."""
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))

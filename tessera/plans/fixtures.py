@@ -53,7 +53,7 @@ ROBOTS = _values(
     "domain, body",
     ("alpha.example", "User-agent: GPTBot\nUser-agent: CCBot # two\nDisallow: /\n\nUser-agent: *\nDisallow: /admin\nAllow: /\nDisallow: /go/"), ("beta.example", "User-agent: *\nDisallow: /\nSitemap: https://beta.example/s.xml"), ("gamma.example", ""), ("delta.example", "nothing here\nUser-agent: a\nDisallow:\nUser-agent: b\nDisallow: /b"),
 )
-WHOIS = _values("domain, body", ("alpha.example", "Registrar: Names Ltd\nCreation Date: 2020-01-02T00:00:00Z\nRegistry Expiry Date: 2031-05-06T00:00:00Z\nName Server: NS1.X.EXAMPLE\nName Server: ns1.x.example\nRegistrant Organization: Acme"), ("beta.example", "created: 2019-03-04\nexpires: soon\nnserver: a.b.example\ncountry: DE"))
+WHOIS = _values("domain, body", ("alpha.example", "Registrar: Names Ltd\nCreation Date: 2020-01-02T00:00:00Z\nRegistry Expiry Date: 2031-05-06T00:00:00Z\nName Server: NS1.X.EXAMPLE\nName Server: ns1.x.example\nRegistrant Organization: Acme"), ("beta.example", "created: 2019-03-04\nexpires: soon\nnserver: a.b.example\ncountry: DE\nUpdated Date: 2024-02-03\nDNSSEC: unsigned\nExpiration Date: 2026-01-31"))
 ADDRESSES = _values("ip", *[(x,) for x in ("10.1.2.3", "8.8.8.8", "172.31.0.1", "172.32.0.1", "100.64.0.1", "192.0.2.7", "300.1.1.1", "x", "169.254.169.254", "198.18.0.1", "224.0.0.1")])
 GATES = _values(
     "domain, cluster, status, is_adult, noindex, security, security_txt, spf_rating, dmarc_rating, errors",

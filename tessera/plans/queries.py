@@ -440,10 +440,10 @@ def robots_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wellknown.robots_summary(spark.sql(fx.ROBOTS))
 
 
-@_add("whois_records", "SELECT * FROM (VALUES ('alpha.example', 'Names Ltd', '2020-01-02T00:00:00Z', 'ns1.x.example', 'Acme', NULL, CAST(date_diff('day', DATE '2026-01-01', DATE '2031-05-06') AS INTEGER)), ('beta.example', NULL, '2019-03-04', 'a.b.example', NULL, 'DE', NULL)) AS t(domain, registrar, created, nameservers, organisation, country, days_left)")
+@_add("whois_records", "SELECT * FROM (VALUES ('alpha.example', 'Names Ltd', '2020-01-02T00:00:00Z', 'ns1.x.example', 'Acme', NULL, NULL, NULL, CAST(date_diff('day', DATE '2026-01-01', DATE '2031-05-06') AS INTEGER)), ('beta.example', NULL, '2019-03-04', 'a.b.example', NULL, 'DE', '2024-02-03', 'unsigned', CAST(date_diff('day', DATE '2026-01-01', DATE '2026-01-31') AS INTEGER))) AS t(domain, registrar, created, nameservers, organisation, country, updated, dnssec, days_left)")
 def whois_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(fx.WHOIS).select("domain", records.whois(F.col("body")).alias("w"))
-    return rows.select("domain", "w.registrar", "w.created", F.array_join("w.nameservers", "|").alias("nameservers"), "w.organisation", "w.country", records.days_until(F.col("w.expires"), "2026-01-01").alias("days_left"))
+    return rows.select("domain", "w.registrar", "w.created", F.array_join("w.nameservers", "|").alias("nameservers"), "w.organisation", "w.country", "w.updated", "w.dnssec", records.days_until(F.col("w.expires"), "2026-01-01").alias("days_left"))
 
 
 @_add("private_addresses", f"SELECT ip, ip NOT IN ('8.8.8.8', '172.32.0.1') AS private FROM ({fx.ADDRESSES}) UNION ALL SELECT ip, ip NOT IN ('2606:4700::1111', '2001:4860:4860::8888', '::ffff:8.8.8.8', '::ffff:808:808') FROM ({fx.ADDRESSES_6})")
@@ -679,6 +679,36 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.report_lines(found, spark.sql("SELECT 70 AS score"), correlate.unreachable(_scans(spark)[0]))
 
 
+@_add("alternates", f"{WITH_PAGES} SELECT page_id, 'de' AS lang, 'https://a.example/de' AS href FROM p WHERE page_id % 7 = 2")
+def alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", F.explode(markup.alternates(F.col("html"))).alias("x")).select("page_id", "x.*")
+
+
+@_add("address_parts", """SELECT * FROM (VALUES ('https://a.example/x?y#z', '/x?y#z', 'https://a.example/x?y#z', false), ('a.example//', '', 'https://a.example//', false), ('http://localhost:9/p', '/p', 'http://localhost:9/p', true), ('a.example?q', '?q', 'https://a.example?q', false), ('a.example', '', 'https://a.example', false)) AS t(target, path, url, plain)""")
+def address_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("target")
+    rows = spark.createDataFrame([(x,) for x in ("https://a.example/x?y#z", "a.example//", "http://localhost:9/p", "a.example?q", "a.example")], "target string")
+    return rows.select("target", records.stripped_path(t).alias("path"), records.domain_url(t).alias("url"), records.explicit_http(t).alias("plain"))
+
+
+@_add("status_texts", "SELECT * FROM (VALUES (200, NULL), (404, 'not found — root path returns 404'), (418, 'client error'), (522, 'Cloudflare: connection to origin timed out'), (599, 'server error')) AS t(status, text)")
+def status_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in (200, 404, 418, 522, 599)], "status int").select("status", records.status_text(F.col("status")).alias("text"))
+
+
+@_add("dnssec_providers", "SELECT * FROM (VALUES (1, 'Cloudflare'), (2, 'DNSimple'), (3, NULL)) AS t(id, provider)")
+def dnssec_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, ["ns.x.example", "Ada.NS.Cloudflare.com."]), (2, ["ns1.dnsimple.com", "a.cloudflare.com"]), (3, ["notcloudflare.com"])], "id int, ns array<string>")
+    return rows.select("id", records.dnssec_provider(F.col("ns")).alias("provider"))
+
+
+@_add("fleet_code", "SELECT * FROM (VALUES ('alarm', 2), ('low', 1), ('fine', 0)) AS t(fleet, code)")
+def fleet_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = (("alarm", "critical", 100), ("low", "high", 39), ("fine", "high", 40))
+    codes = [gate.fleet_code(spark.sql(f"SELECT '{severity}' AS severity"), spark.sql(f"SELECT {score} AS score")).select(F.lit(fleet).alias("fleet"), "code") for fleet, severity, score in cases]
+    return codes[0].unionByName(codes[1]).unionByName(codes[2])
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: which hosts look alike."""
     return host_similarity(spark, sf_dir)
