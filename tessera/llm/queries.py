@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import audit, dedup, lines, media, mixing, neighbours, packing, pages, pieces, pii, quality, toxicity
+from tessera.llm import audit, dedup, lines, media, mixing, neighbours, packing, pages, phrases, pieces, pii, quality, toxicity
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -65,4 +69,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": dedup.SQL, "op9_neighbours": neighbours.SQL, "op11_filter_audit": audit.SQL}
+    return {"op1_near_dedup": dedup.SQL, "op9_neighbours": neighbours.SQL, "op11_filter_audit": audit.SQL, "op12_phrases": phrases.SQL}
