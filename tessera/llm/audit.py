@@ -8,7 +8,8 @@ of equal texts, the one of the smallest id, and reports the others at once, so a
 for each task and `HELD_BYTES` of its texts, not once a row.
 
 What remains of a document is its id, its part and a mask of the filters it fails. Masks with the labels' bits are counted in a
-vector for each part, merged by combineByKey; all counts of all orders are sums over that vector.
+vector for each part, merged by combineByKey and written; all counts of all orders are sums over that vector. Before they are told,
+the documents counted in each part are compared with a plain count of the table's rows, so that none can be lost on the way.
 
 Null texts count as empty, and equal each other; a null part is the empty one. A null id is compared with none: its row never
 fails E and makes no other row fail it. Rows with one id and one text are no copies of each other; each row counts. Of repeated
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import materialize
+
 LETTERS = "ABCDE"
 #: Fewest words; least distinct words and most capitals, per cent; characters that may not occur.
 WORDS, DISTINCT, CAPITALS, LISTED = 50, 65, 5, rb"[#$%&*|]"
@@ -134,8 +137,8 @@ def failures(docs: DataFrame) -> DataFrame:
     return spark.createDataFrame(sorted_by_hash.mapPartitions(_decided), schema, verifySchema=False).groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n"))
 
 
-def vectors(docs: DataFrame, labels: DataFrame):
-    """An RDD of (part, counts of all masks with the labels' bits)."""
+def vectors(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(part, counts): the number of documents for each mask with the labels' bits."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     mask = F.col("mask") + GOOD * F.coalesce("good", F.lit(0)) + TOXIC * F.coalesce("toxic", F.lit(0))
     rows = failures(docs).join(known, "doc_id", "left").select("part", mask.alias("mask"), "n").rdd
@@ -148,7 +151,17 @@ def vectors(docs: DataFrame, labels: DataFrame):
         a += b
         return a
 
-    return rows.map(lambda r: (r.part, (r.mask, r.n))).combineByKey(lambda x: add(np.zeros(MASKS, np.int64), x), add, merge)
+    merged = rows.map(lambda r: (r.part, (r.mask, r.n))).combineByKey(lambda x: add(np.zeros(MASKS, np.int64), x), add, merge).mapValues(np.ndarray.tolist)
+    return docs.sparkSession.createDataFrame(merged, "part string, counts array<long>", verifySchema=False)
+
+
+def check_whole(docs: DataFrame, counted: DataFrame) -> None:
+    """Raises if the vectors don't hold each row of docs once."""
+    there = docs.groupBy(F.coalesce("source", F.lit("")).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    held = counted.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("held"))
+    odd = there.join(held, "part", "full").where("n IS NULL OR held IS NULL OR n <> held").take(1)
+    if odd:
+        raise RuntimeError(f"documents counted in {odd[0].part!r}: {odd[0].held} of {odd[0].n}")
 
 
 def _sums() -> tuple[list[tuple[str, int]], dict[str, np.ndarray]]:
@@ -187,7 +200,9 @@ def report(part: str, counts: np.ndarray) -> Iterator[tuple]:
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
-    rows = vectors(docs, labels).flatMap(lambda x: report(*x))
+    counted = materialize(vectors(docs, labels), "audit-vectors")
+    check_whole(docs, counted)
+    rows = counted.rdd.flatMap(lambda x: report(x.part, np.array(x.counts, np.int64)))
     return docs.sparkSession.createDataFrame(rows, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COLUMNS), verifySchema=False)
 
 

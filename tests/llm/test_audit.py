@@ -77,6 +77,15 @@ def test_texts_of_one_hash_are_told_apart():
     assert sorted(audit._decided(rows)) == [(2, "b", 1, 2), (3, "a", 0, 1), (4, "a", 16, 1), (5, "a", 16, 1), (9, "a", 16, 1)]
 
 
+def test_lost_documents_are_noticed(tables):
+    docs, labels = tables
+    counted = audit.vectors(docs, labels)
+    audit.check_whole(docs, counted)
+    for other in (docs.where("doc_id IS NULL OR doc_id <> 9"), docs.where("coalesce(source, '') <> 'c'"), docs.limit(0)):
+        with pytest.raises(RuntimeError, match="documents counted"):
+            audit.check_whole(other, counted)
+
+
 def test_empty_tables(tables):
     docs, labels = tables
     assert audit.audit(docs.limit(0), labels).count() == 0
