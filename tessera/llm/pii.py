@@ -5,19 +5,24 @@ only where a maximal run of their characters does, which finds the same spans wi
 follow from the lengths of the matches and of the pieces between them.
 
 Terms: the corpus says how strongly a word t reveals a protected value e. With documents as events, N of them in all, n_e
-with the value, n_t with the word anywhere and n_te with the word at most REACH letters from the value, the pointwise
-mutual information is log2(n_te N / (n_t n_e)) bits. A word is disclosing if it leaves at most LEFT_BITS of the value's own
-information, log2(N / n_e), unrevealed, and reveals at least BITS; so a word that in all the corpus stands only by the value
-is disclosing, and one that stands elsewhere as often as not isn't. Nothing else decides. A disclosing word becomes a `term`
-span wherever it stands in the documents that hold it near the value. `sanitise` generalises base spans to their kind and
-words with digits to [CODE], and removes other terms.
-
-Counts: pairs of word and value come from the documents with values only. Those that even there miss the threshold go first,
-so that common words never meet the corpus; the words of all documents are summed up by hash before they are joined, a row a
-word. Values in more than N / 2**BITS documents can't be revealed and leave at once.
-
-Nulls and edges: a null text is empty; a null id is kept; repeated rows count and are marked each; an empty table gives an
-empty result; in fewer than 2**BITS documents nothing is disclosing. Extra columns, whatever their names, are ignored or, in
+with the value, n_t with the word anywhere and n_te with the word at most REACH letters from the value, n_te / n_t estimates
+how likely the value is given the word, and log2(n_te N / (n_t n_e)) is the information in bits that the word gives. What
+decides is the lower bound of that estimate (Wilson's, one-sided, Z standard errors), so that a word that stood by a value once
+or twice proves nothing. Copies of a document are one observation, not many: documents are weighed by their contexts. A context
+is the passage around the value; a short one (under CONTEXT_WORDS words) counts by all its letters, a long one by the smallest
+hash of its words, which near copies share. With c_k documents in context k the bound takes n_te**2 / sum(c_k**2) documents
+for n_te (Kish's effective size) and as many times fewer for n_t. A word is disclosing if by that bound it leaves at most LEFT_BITS
+of the value's own information, log2(N / n_e), unrevealed, and reveals at least BITS; three contexts are the fewest that can do.
+Nothing else decides. A disclosing word becomes a `term` span wherever it stands in the documents that hold it near the value.
+`sanitise` generalises base spans to their kind and words with digits to [CODE], and removes other terms.
+
+Counts: pairs of word and value come from the documents with values only. Those that even there miss the threshold go first
+(fewer other documents only raise the bound); the words of all documents are then counted for the terms that are left: these
+are broadcast to them if few, and joined with counts of all words by hash if not. Values in more than N / 2**BITS documents can't
+be revealed and leave at once.
+
+Nulls and edges: a null text is empty; a null id is kept; repeated rows count as copies and are marked each; an empty table gives
+an empty result; in fewer than 2**BITS documents nothing is disclosing. Extra columns, whatever their names, are ignored or, in
 `sanitise`, kept. DataFrame functions only.
 """
 
@@ -40,7 +45,11 @@ KINDS = tuple(PATTERNS)
 REACH = 200
 #: Bits of a value's information that a disclosing word may leave open, and bits that it must give.
 LEFT_BITS, BITS = 1.0, 3.0
-#: Disclosing pairs up to this number are broadcast; beyond, they are joined by a shuffle.
+#: Standard errors by which the bound is lower than the estimate: 95 per cent of confidence.
+Z = 1.645
+#: Distinct words from which a passage is known by the smallest hash of its words.
+CONTEXT_WORDS = 20
+#: Terms up to this number are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Long texts are cut into pieces of so many letters, from which parts are taken.
 PIECE = 1000
@@ -116,6 +125,11 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def _context(terms: Column, left: Column, right: Column) -> Column:
+    """What copies of a passage share: its letters if it is short, else the smallest hash of its words."""
+    return F.when(F.size(terms) < CONTEXT_WORDS, F.xxhash64(left, right)).otherwise(F.array_min(F.transform(terms, lambda t: F.xxhash64(t))))
+
+
 def _passages(text: Column, spans: Column) -> Column:
     """For each span its value and the distinct terms at most REACH letters before or after it."""
 
@@ -127,23 +141,35 @@ def _passages(text: Column, spans: Column) -> Column:
         right = F.when(F.length(right) == REACH, F.regexp_replace(right, f"{WORD}$", "")).otherwise(right)
         value = F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9.]", ""))
         terms = F.filter(F.array_distinct(F.transform(F.concat(_words(left), _words(right)), _plain)), _is_term)
-        return F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), terms.alias("terms"))
+        return let(terms, lambda t: F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), t.alias("terms"), _context(t, left, right).alias("context")))
 
     return let(_pieces(text), lambda p: F.transform(spans, lambda s: one(s, p)))
 
 
+def bound(n_te: Column, n_t: Column, squares: Column) -> Column:
+    """Least probability of the value given the word: n_te of n_t documents, the contexts' squared numbers of which sum to `squares`."""
+    size = n_te.cast("double") * n_t / squares  # documents with the word, as many of them as contexts tell apart
+    p, z2 = n_te / n_t, Z * Z
+    return (p + z2 / (2 * size) - Z * F.sqrt(p * (1 - p) / size + z2 / (4 * size * size))) / (1 + z2 / size)
+
+
 def _telling(s: Scratch, near: DataFrame, n: int, texts: DataFrame) -> DataFrame:
-    """Written (entity, term): disclosing pairs among near (rid, entity, term), a row each; texts: all of the corpus."""
+    """Written (entity, term): disclosing pairs among near (rid, entity, term, context), a row for each of the first three; texts: all of the corpus."""
     holders = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") * 2**BITS <= n)
     seen = near.select("rid", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).join(holders, "entity")
-    bits = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
-    strong = (F.col("n_te") * 2**LEFT_BITS >= F.col("n_t")) & (bits >= BITS)
+    contexts = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("c"))
+    pairs = contexts.groupBy("entity", "term").agg(F.sum("c").alias("n_te"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares")).join(holders, "entity")
+    least = bound(F.col("n_te"), F.col("n_t"), F.col("squares"))
+    strong = (least * 2**LEFT_BITS >= 1) & (F.log2(least * F.lit(float(n)) / F.col("n_e")) >= BITS)
     pairs = s.write(pairs.join(seen, "term").where(strong).drop("n_t").withColumn("h", F.xxhash64("term")), "pii-pairs")
-    if pairs.isEmpty():
+    hashes = pairs.select("h").distinct()
+    terms = hashes.count()
+    if not terms:
         return pairs.select("entity", "term")
-    every = F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(_plain(w))))
-    counts = texts.select(F.explode(every).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))
+    every = texts.select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(_plain(w))))).alias("h"))
+    if terms <= BROADCAST_ROWS:
+        every = every.join(F.broadcast(hashes), "h", "left_semi")
+    counts = every.groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))
     return s.write(pairs.join(counts, "h").where(strong).select("entity", "term"), "pii-telling")
 
 
@@ -155,7 +181,8 @@ def detect(s: Scratch, docs: DataFrame, columns: list[str]) -> DataFrame:
     marked = F.size("base") > 0
     rows = s.write(rows.select("row", "rid", "base", F.when(marked, F.col("text")).alias("text"), F.when(marked, _passages(F.col("text"), F.col("base"))).alias("passages")), "pii-rows")
 
-    near = rows.where(F.size("base") > 0).select("rid", F.explode("passages").alias("p")).select("rid", "p.entity", F.explode("p.terms").alias("term")).distinct()
+    near = rows.where(F.size("base") > 0).select("rid", F.explode("passages").alias("p")).select("rid", "p.entity", "p.context", F.explode("p.terms").alias("term"))
+    near = near.groupBy("rid", "entity", "term").agg(F.min("context").alias("context"))
     near = s.write(near, "pii-near")
     telling = _telling(s, near, rows.count(), docs.select(text.alias("text")))
     n = telling.count()

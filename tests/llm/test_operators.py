@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from tessera.llm import dedup, lines, media, mixing, neighbours, packing, pages, pii, quality, toxicity
 
@@ -282,39 +283,75 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def plain_terms(rows):
     """Term spans of each (doc_id, text) by counting documents in plain loops."""
     space = r"[^\x20\x09-\x0D]+"
-    near, bags = [], []
+    near, bags, holders = [], [], Counter()
     for _, text in rows:
-        mine = set()
+        mine, values = {}, set()
         for s in plain_spans(text):
             kind, a, b = s.split(":")[0], *map(int, s.split(":")[1:])
             left, right = text[max(a - pii.REACH, 0) : a], text[b : b + pii.REACH]
             left = re.sub(f"^{space}", "", left) if a > pii.REACH else left
             right = re.sub(f"{space}$", "", right) if len(right) == pii.REACH else right
-            value = text[a:b].lower() if kind == "email" else re.sub("[^0-9.]", "", text[a:b])
-            mine |= {(kind + value, t) for t in map(plain_word, re.findall(space, left) + re.findall(space, right)) if "@" not in t and any(c.isalpha() for c in t)}
+            value = kind + (text[a:b].lower() if kind == "email" else re.sub("[^0-9.]", "", text[a:b]))
+            values.add(value)
+            terms = {t for t in map(plain_word, re.findall(space, left) + re.findall(space, right)) if "@" not in t and any(c.isalpha() for c in t)}
+            hashes = [np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64) for t in terms]
+            context = np.uint64(xxhash.xxh64_intdigest(right.encode(), xxhash.xxh64_intdigest(left.encode(), 42))).astype(np.int64) if len(terms) < pii.CONTEXT_WORDS else min(hashes)
+            for t in terms:
+                mine[value, t] = min(mine.get((value, t), context), context)
         near.append(mine)
+        holders.update(values)
         bags.append({plain_word(w) for w in re.findall(space, text)})
-    n, n_t, n_te = len(rows), Counter(t for b in bags for t in b), Counter(p for m in near for p in m)
-    n_e = Counter(e for _, text in rows for e in {s.split(":")[0] + (text[int(s.split(":")[1]) : int(s.split(":")[2])].lower() if s[0] == "e" else re.sub("[^0-9.]", "", text[int(s.split(":")[1]) : int(s.split(":")[2])])) for s in plain_spans(text)})
+    n, n_t = len(rows), Counter(t for b in bags for t in b)
+    contexts = {}
+    for mine in near:
+        for pair, c in mine.items():
+            contexts.setdefault(pair, Counter())[c] += 1
+    marked = set()
+    for (value, t), c in contexts.items():
+        n_te = sum(c.values())
+        hits = n_te**2 / sum(x * x for x in c.values())
+        size, p, z = hits * n_t[t] / n_te, n_te / n_t[t], pii.Z
+        least = (p + z * z / 2 / size - z * np.sqrt(p * (1 - p) / size + (z / 2 / size) ** 2)) / (1 + z * z / size)
+        if least >= 0.5 and np.log2(least * n / holders[value]) >= pii.BITS:
+            marked.add((value, t))
     out = {}
     for (doc, text), mine in zip(rows, near):
-        marks = {t for e, t in mine if n_te[e, t] * 2**pii.LEFT_BITS >= n_t[t] and np.log2(n_te[e, t] * n / (n_t[t] * n_e[e])) >= pii.BITS}
+        marks = {t for e, t in mine if (e, t) in marked}
         words = [(m.start() + len(m[0]) - len(re.sub(r"^[\W_]+", "", m[0])), plain_word(m[0])) for m in re.finditer(space, text)]
         out[doc] = [f"term:{a}:{a + len(w)}" for a, w in words if w in marks]
     return out
 
 
-def test_pii_terms_equal_brute_force(spark, docs):
+def terms_of(rows):
+    return {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term:")] for r in rows}
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_pii_terms_equal_brute_force(spark, docs, monkeypatch, broadcast):
+    """The driver's documents, and documents that share values, names and passages in many ways, copies among them."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", broadcast)
+    dice = np.random.default_rng(5)
     rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
-    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term:")] for r in pii.digest(docs).collect()}
+    for k in range(400):
+        who = int(dice.integers(0, 40))
+        filler = lambda n: " ".join(f"v{x}" for x in dice.integers(0, 300, int(dice.integers(0, n))))  # noqa: E731, B023
+        text = f"{filler(60)} Name{who} Family{who % 25} writes from p{who}@post{who % 7}.example or +1 555 01 00 {100 + who}. {filler(60)}"
+        if dice.integers(0, 3) == 0:
+            text = f"{filler(80)} Name{who} {filler(20)}"
+        rows.append((10**6 + k, text))
+        if dice.integers(0, 4) == 0:
+            words = text.split(" ")
+            words[int(dice.integers(0, len(words)))] = "edited"
+            rows += [(10**7 + 10 * k, text), (10**7 + 10 * k + 1, " ".join(words))]
     want = plain_terms(rows)
-    assert got == want and any(want.values())
+    assert terms_of(pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+    assert sum(map(bool, want.values())) > 50 and not any(want[r.doc_id] for r in docs.select("doc_id").collect())
 
 
 def test_pii_finds_names_and_leaves_clean_documents(spark):
     """A name that stands by an address only, in independent documents; common words; the name's town stands elsewhere too."""
     rows = [(k, f"Note {k % 7} on the weather of the day in Ostby, number w{k}.") for k in range(200)]
-    rows += [(1000 + k, f"Please ask w{k} of Ostby\nName: Jane Roentgen\nMail: jane@fleet{k % 2}.example or call the office. Ref A4711.") for k in range(8)]
+    rows += [(1000 + k, f"Please ask w{k} of Ostby\nName: Jane Roentgen\nMail: jane@fleet.example or call the office. Ref A4711.") for k in range(8)]
     rows += [(2000 + k, "Mail the office: info@big.example on the day.") for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in pii.digest(df).collect()}
@@ -323,7 +360,23 @@ def test_pii_finds_names_and_leaves_clean_documents(spark):
     assert all(texts[k] == x for k, x in rows if k < 1000)
     for k in range(1000, 1008):
         assert "Roentgen" not in texts[k] and "fleet" not in texts[k] and "[EMAIL]" in texts[k] and "[CODE]" in texts[k] and "Ostby" in texts[k] and "the" in texts[k]
-    assert plain_terms(rows) == {k: [s for s in r.spans.split(",") if s.startswith("term:")] for k, r in got.items()}
+    assert plain_terms(rows) == terms_of(got.values())
+
+
+def test_pii_rare_words_prove_nothing(spark):
+    """Words that stood by a value once, twice, or in copies of one document however many; three contexts are enough."""
+    clean = [(k, f"Note {k % 7} on the weather of the day, number w{k}.") for k in range(60)]
+    once = "Please write to the editor at {} about the misspeled paragraf of the jorunal."
+    rows = [*clean, (100, once.format("ed@paper.example")), (101, "Zwillig, bo@twice.example"), (102, "Again Zwillig, bo@twice.example")]
+    rows += [(200 + k, "Copied Xanthippos, cy@copies.example") for k in range(30)]
+    rows += [(300 + k, f"Dreifach {'w' * k}, di@three.example") for k in range(1, 4)]
+    long = [f"stamm{k}" for k in range(24)]
+    rows += [(400 + k, " ".join([*long[:k], f"edit{k}", *long[k + 1 :], "near@copies.example"])) for k in range(8)]
+    texts = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(texts[k] == t for k, t in clean)
+    assert texts[100] == once.format("[EMAIL]") and texts[102] == "Again Zwillig, [EMAIL]" and texts[200] == "Copied Xanthippos, [EMAIL]"
+    assert all("Dreifach" not in texts[k] and "[EMAIL]" in texts[k] for k in (301, 302, 303))
+    assert all("stamm1 " in texts[k] or k == 401 for k in range(400, 408))
 
 
 def test_pii_places_are_exact_in_long_texts(spark):
