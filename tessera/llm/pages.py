@@ -6,10 +6,18 @@ below. One linear scan finds the best contiguous region. If an article or main e
 the region is widened to all of it, so that a box amid the text doesn't cut the text off. What is put out are the blocks
 of the region outside of boxes.
 
-Elements are boxes by their kind or by a word in their class, id or role. Words that layouts also use for the text's own
-parts (header, sidebar, widget and the like) are doubted: such an element is no box if it is part of an article, holds the
-page's only top heading or a main element, or holds most of the page's words; names of negated or optional parts
-("has-sidebar", "no-sidebar") say nothing. Headings are never boxes, nor is an article's own header.
+A run of tokens that cost never costs more than CROSSING words are worth, so two stretches of text that are each worth more
+stay one region whatever stands between them, a long list of links for example.
+
+Elements are boxes by their kind (nav, footer, ...), by the attribute `hidden`, or by a word in their class, id or role. No name
+is sure, however: what holds a main element or the page's only top heading is no box. Names of boxes that stand amid the
+text (comments, share bars, adverts) are taken at their word as long as the page has text outside of all such boxes, a quarter of
+that in the largest; where it hasn't, the largest holds the text, and the question is put again for the boxes within it. Comments
+are never taken for the text of a page with a heading outside of such boxes. If such a name is only a part of a name with words
+that no layout uses ("social-policy"), it counts as long as the element has at most a quarter of the remaining words. Words that
+layouts also use for the text's own parts (header, sidebar, widget and the like) count outside of articles only, and for
+elements with at most half of the words. Names of negated, optional or labelled parts ("has-sidebar", "ad-free", "tag-advertising")
+say nothing. Headings are never boxes, nor is an article's own header.
 
 Nulls and edges: a null page is empty; no text gives the empty string; unclosed comments, scripts and tags end with the
 page; a bare `<` is text; a null id or url is kept. Extra columns are ignored; repeated rows give repeated results.
@@ -17,6 +25,7 @@ page; a bare `<` is text; a null id or url is kept. Extra columns are ignored; r
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -40,30 +49,33 @@ BLOCKS = frozenset(
 #: Elements that the same element, or one of the given ones, ends where it has no end tag.
 CLOSES = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 RAW = {name: re.compile(f"</{name}", re.I | re.A) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
-#: Words in a class, id or role that name a box, and those that do in doubt only.
-SURE_NAMES = frozenset(
+#: Words in a class, id or role that name a box, those of them that name what readers write, and those that do in doubt only.
+NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond "
     "share sharing social related recommended newsletter".split()
 )
+READERS = frozenset("comment comments commentlist disqus respond".split())
 DOUBTED_NAMES = frozenset(
     "promo promotion banner notice popup modal overlay sidebar side aside widget widgets footer header masthead toolbar reply replies "
     "discussion subscribe subscription signup login search copyright complementary contentinfo alert skip hidden".split()
 )
-#: Before a name, these say that something has or lacks such a part.
-ABOUT = frozenset("has have no not with without hide show".split())
+#: Beside a name, these say that something has, lacks or is about such a part.
+ABOUT = frozenset("has have no not with without hide show free open closed enabled disabled tag category cat topic hentry".split())
+#: Words that layouts put beside a box's name.
+PLAIN = frozenset(
+    "area bar block body bottom box btn button buttons card center col column container content count cta desktop el element first form group icon icons id info inner item items "
+    "left link links list main mobile module outer panel post posts primary right row section slot small main sub text title top top wrap wrapper".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are boxes unless they hold most of the page; some sites wrap all of it in a form.
 DOUBTED = frozenset("form fieldset menu".split())
-NONE, SURE, DOUBT = 0, 1, 2
-_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar side aside widget widgets footer header masthead toolbar "
-    "comment comments commentlist disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription "
-    "signup login search copyright complementary contentinfo alert skip hidden".split()
-)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*-)|display\s*:\s*none", re.I)
+#: What makes a box: nothing, its kind, a name, a name of what readers write, a name among other words, a doubted name or kind.
+NONE, SURE, NAMED, READER, PARTLY, DOUBT = range(6)
+#: Words' worth that a run of costs may cost at most.
+CROSSING = 20
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _NAME_PART = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _TAG_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
 
@@ -85,6 +97,9 @@ LABELLED = (
     '<body><div id="top"><a href="/">Harbour news</a> <a href="/w">Weather</a> <a href="/s">Sport</a></div><div class="page no-sidebar"><!--main--><h1>A ferry for the islands</h1><p>The council has ordered '
     'a <a href="/f">ferry</a> that runs on <b>batteries</b> and carries forty cars.</p><p>It is to sail from the spring of next year, four times a day.</p><table><tr><th>Length</th><td>sixty metres</td></tr></table><!--/main-->'
     '<ul class="share"><li><a href="/1">Post</a></li><li><a href="/2">Mail</a></li></ul><div id="comments"><div><p>At last, we have waited for so long</p><p>Who is going to pay for it?</p></div></div></div></body>',
+    '<body><div class="top-nav"><a href="/">Blog</a> <a href="/all">All posts</a></div><div class="post category-cookies tag-advertising comments-open"><!--main--><h2>Why I left the trade</h2><p>For ten years I sold '
+    'space on other people&#39;s pages, and I was good at it.</p><div class="social-policy"><p>What the money did to the pages is another story, and a longer one.</p></div><!--/main--><div class="share-buttons"><a href="/1">Share</a></div></div>'
+    '<ol class="commentlist"><li>So true</li><li>Good luck with the <a href="/bees">bees</a></li></ol><div aria-hidden="false" class="footer-links"><a href="/i">Imprint</a></div></body>',
 )
 
 
@@ -104,28 +119,93 @@ class _Page:
         self._decide()
 
     def _decide(self) -> None:
-        """Which doubted boxes are boxes; then tokens and areas."""
-        words, total, tops = [0] * len(self._boxes), 0, 0
-        sure = []
-        for kind, around, *_ in self._boxes:
-            sure.append(kind == SURE or (around >= 0 and sure[around]))
+        """Which boxes are boxes; then tokens and areas."""
+        n = len(self._boxes)
+        kinds, around = [b[0] for b in self._boxes], [b[1] for b in self._boxes]
+        sure = [False] * n  # whether the box, or one around it, is one without doubt
+        for k in range(n):
+            sure[k] = kinds[k] == SURE or (around[k] >= 0 and sure[around[k]])
+        own, linked, heads, free_heads, tops = [0] * n, [0] * n, [0] * n, 0, 0  # words of each box itself
+        free = 0  # words outside of boxes
+        total = 0
         for kind, text, _, box in self._raw:
-            if kind in ("word", "link") and (box < 0 or not sure[box]):
-                n = len(text.split())
-                total += n
-                if box >= 0:
-                    words[box] += n
-            tops += kind == "h1" and box < 0
-        for k in reversed(range(len(self._boxes))):
-            if self._boxes[k][1] >= 0:
-                words[self._boxes[k][1]] += words[k]
-        boxed = []
-        for k, (kind, around, headings, main) in enumerate(self._boxes):
-            doubt = kind == DOUBT and (main or (headings and not tops) or 2 * words[k] > total)
-            boxed.append(not doubt or (around >= 0 and boxed[around]))
+            if box >= 0 and sure[box]:
+                continue
+            if kind in ("word", "link"):
+                size = len(text.split())
+                total += size
+                if box < 0:
+                    free += size * (kind == "word")
+                else:
+                    own[box] += size * (kind == "word")
+                    linked[box] += size * (kind == "link")
+            elif kind in ("h1", "h2", "h3"):
+                if box < 0:
+                    free_heads += 1
+                    tops += kind == "h1"
+                else:
+                    heads[box] += 1
+        boxed = [kinds[k] == SURE for k in range(n)]
+        kept = [kinds[k] in (NAMED, READER, PARTLY, DOUBT) and (self._boxes[k][3] or (self._boxes[k][2] and not tops)) for k in range(n)]
+        self._decide_named(boxed, kept, own, heads, free, free_heads)
+        # What boxes are left is decided by their share of the words outside of the boxes found by now.
+        inside = [own[k] + linked[k] for k in range(n)]
+        gone = list(boxed)
+        for k in range(n):
+            gone[k] = boxed[k] or (around[k] >= 0 and gone[around[k]])
+        for k in reversed(range(n)):
+            if gone[k]:
+                total -= own[k] + linked[k]
+                inside[k] = 0
+            elif around[k] >= 0:
+                inside[around[k]] += inside[k]
+        for k in range(n):
+            if not boxed[k] and not kept[k]:
+                boxed[k] = (kinds[k] == PARTLY and 4 * inside[k] <= total) or (kinds[k] == DOUBT and 2 * inside[k] <= total)
+            boxed[k] = boxed[k] or (around[k] >= 0 and boxed[around[k]])
         self.tokens = [(kind, text, block, box >= 0 and boxed[box]) for kind, text, block, box in self._raw]
         self.areas = [[a, b] for a, b, box in self._spans if box < 0 or not boxed[box]]
 
+    def _decide_named(self, boxed: list[bool], kept: list[bool], own: list[int], heads: list[int], text: int, headings: int) -> None:
+        """Marks the boxes that go by their name; text and headings: the words and headings outside of all elements with names."""
+        n = len(boxed)
+        named = [self._boxes[k][0] in (NAMED, READER) and not kept[k] for k in range(n)]
+        outer, inside, within = [-1] * n, list(own), list(heads)  # the nearest such element around or at each; words and headings in it
+        children: dict[int, list[int]] = {}
+        for k in range(n):
+            up = self._boxes[k][1]
+            outer[k] = k if named[k] else outer[up] if up >= 0 else -1
+            if named[k]:
+                children.setdefault(outer[up] if up >= 0 else -1, []).append(k)
+            elif outer[k] < 0 and not boxed[k]:
+                text, headings = text + own[k], headings + heads[k]
+        loose, loose_heads = [0] * n, [0] * n  # of each such element, without those in it
+        for k in reversed(range(n)):
+            up = self._boxes[k][1]
+            if outer[k] >= 0:
+                loose[outer[k]] += own[k]
+                loose_heads[outer[k]] += heads[k]
+            if up >= 0:
+                inside[up] += inside[k]
+                within[up] += within[k]
+        left = [(-inside[k], k) for k in children.get(-1, ())]
+        heapq.heapify(left)
+        readers = []
+        while left:
+            size, k = heapq.heappop(left)
+            if self._boxes[k][0] == READER and (headings or text * 4 >= -size):
+                readers.append(k)
+                continue
+            if text * 4 >= -size:
+                left.append((size, k))
+                break
+            kept[k] = True
+            text, headings = text + loose[k], headings + loose_heads[k]
+            for c in children.get(k, ()):
+                heapq.heappush(left, (-inside[c], c))
+        for k in [*readers, *(k for _, k in left)]:
+            boxed[k] = True
+
     def _scan(self) -> None:
         s, at, stack = self.source, 0, []  # stack: (name, number of its box or -1, index of its area or -1)
         open_links, box = 0, -1
@@ -267,17 +347,29 @@ class _Page:
             return NONE if article or names["main"] else DOUBT
         if not inside:
             return NONE
-        if _HIDDEN.search(re.sub(r"""(?:class|id)\s*=\s*("[^"]*"|'[^']*')""", "", inside)):
-            return SURE
         kind = NONE
-        for m in _NAMES.finditer(inside):
-            for token in m[1].strip("\"'").split():
-                parts = [x.lower() for x in _NAME_PART.split(token)]
-                if ABOUT.isdisjoint(parts):
-                    if not SURE_NAMES.isdisjoint(parts):
-                        return SURE
-                    if not article and not DOUBTED_NAMES.isdisjoint(parts):
-                        kind = DOUBT
+        for m in _ATTRIBUTE.finditer(inside):
+            attribute, value = m[1].lower(), (m[2] or "").strip("\"'")
+            if attribute == "hidden" or (attribute == "style" and _UNSHOWN.search(value)):
+                return SURE
+            if attribute == "aria-hidden" and value.lower() == "true":
+                kind = kind or DOUBT
+            if attribute not in ("class", "id", "role"):
+                continue
+            for token in value.split():
+                parts = {x.lower() for x in _NAME_PART.split(token)}
+                if not ABOUT.isdisjoint(parts):
+                    continue
+                if names_found := NAMES & parts:
+                    if any(x and not x.isdigit() for x in parts - NAMES - DOUBTED_NAMES - PLAIN):
+                        found = PARTLY
+                    else:
+                        found = NAMED if READERS.isdisjoint(names_found) else READER
+                elif not article and not DOUBTED_NAMES.isdisjoint(parts):
+                    found = DOUBT
+                else:
+                    continue
+                kind = found if kind == NONE else min(kind, found)
         return kind
 
 
@@ -300,6 +392,20 @@ def weights() -> dict[str, float]:
     return {k: max(v, 0.5) if k == "word" else min(v, -0.1) for k, v in odds.items()}
 
 
+def bounded(values: list[float], most: float) -> list[float]:
+    """values, but each run of negative ones, if it sums up to less than -most, as parts of -most."""
+    out, k = list(values), 0
+    while k < len(out):
+        end, cost = k, 0.0
+        while end < len(out) and out[end] < 0:
+            cost -= out[end]
+            end += 1
+        if cost > most:
+            out[k:end] = [v * most / cost for v in out[k:end]]
+        k = max(end, k + 1)
+    return out
+
+
 def best(values: list[float]) -> tuple[int, int]:
     """First place of the run of values with the largest sum and the one after its last; (0, 0) if no sum is above 0."""
     top = total = 0.0
@@ -316,7 +422,7 @@ def best(values: list[float]) -> tuple[int, int]:
 def region(page: _Page) -> tuple[int, int]:
     """First token of the best region and the one after its last; (0, 0) if nothing scores."""
     value = weights()
-    first, last = best([value.get(kind, -0.5) * n for kind, n in _units(page)])
+    first, last = best(bounded([value.get(kind, -0.5) * n for kind, n in _units(page)], CROSSING * value["word"]))
     for a, b in page.areas:
         if last and a < last and first < b:
             first, last = min(first, a), max(last, b)

@@ -448,6 +448,47 @@ def test_pages_keep_articles_in_layouts(source):
     assert pages.main_text(source) == WANT
 
 
+NAMES_OF_CONTENT = ["social-policy", "nav-content", "post comments-open", "ad-free content", "post category-cookies tag-baking", "post tag-advertising", "menu", "sidebar", "share", "widget-main"]
+
+
+@pytest.mark.parametrize("attribute", [*(f'class="{x}"' for x in NAMES_OF_CONTENT), 'id="nav-content"', 'aria-hidden="false"', 'data-hidden="no"', "data-class='ad'", "title='hidden'"])
+@pytest.mark.parametrize("head", ["<h1>The title</h1>", "<h2>The title</h2>", ""])
+@pytest.mark.parametrize("around", ["", '<div class="ad">Buy now</div><div class="comments"><p>I have read all of this with joy.</p></div>'])
+def test_pages_keep_articles_whatever_their_names(attribute, head, around):
+    source = f"{TOP}<div {attribute}>{head}{BODY[18:]}</div>{around}{END}"
+    assert pages.main_text(source) == (WANT if head else WANT[11:])
+
+
+def test_pages_drop_boxes_by_their_names():
+    for attribute in ('class="ad"', "class=share-bar", 'id="comments"', "class='comment-list'", 'class="nav-links"', 'class="related posts"', 'role="navigation"', "hidden", 'hidden=""', 'style="color:red; display: none"', 'class="cookie-banner"'):
+        for where in (f"<div>{BODY}<div {attribute}><p>Not a part of the text.</p></div></div>", f"<div>{BODY}</div><div {attribute}><p>Not a part of the text.</p></div>"):
+            assert pages.main_text(f"{TOP}{where}{END}") == WANT, attribute
+    many = "<p>I have read this with joy and would like to read more of it.</p>" * 200
+    assert pages.main_text(f'{TOP}<div class="post">{BODY}</div><div class="comments">{many}</div>{END}') == WANT
+    assert pages.main_text(f'{TOP}<div class="social-policy">{BODY}<div class="share"><p>Share it</p></div></div><div class="comments">{many}</div>{END}') == WANT
+
+
+def test_pages_join_text_around_long_lists_of_links():
+    links = "<ul>" + "".join(f'<li><a href="/{k}">Number {k}</a></li>' for k in range(80)) + "</ul>"
+    first, second = WANT.split("\n\nSome words of paragraph 3")
+    source = f"{TOP}<div>{BODY.replace('<p>Some words of paragraph 3', links + '<p>Some words of paragraph 3')}</div>{END}"
+    got = pages.main_text(source)
+    assert got.startswith(first) and got.endswith("Some words of paragraph 3" + second) and "Imprint" not in got
+    assert pages.main_text(f"<body>{links}<div>{BODY}</div>{links}<div>About this site</div></body>") == WANT
+
+
+def test_pages_bound_the_cost_of_runs():
+    assert pages.bounded([1, -3, -1, 2, -1, -9], 2) == pytest.approx([1, -1.5, -0.5, 2, -0.2, -1.8])
+    assert pages.bounded([], 2) == [] and pages.bounded([-1, -1], 2) == [-1, -1]
+
+
+def test_pages_decide_nested_names_in_linear_time():
+    began = time.time()
+    for tag in ('<div class="ad">', '<div class="comments">', '<div class="social-policy">', '<p class="sidebar">'):
+        pages.main_text((tag + "word ") * 20_000)
+    assert time.time() - began < 10
+
+
 def test_pages_find_the_best_region():
     dice = np.random.default_rng(3)
     for _ in range(300):
