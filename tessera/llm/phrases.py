@@ -1,7 +1,9 @@
 """Collocations: phrases of a language whose words occur together more often than their parts let expect.
 
-All phrases of 1 to max_n words of all pieces of all texts become rows, which are counted by language in one hash aggregation with
-partial sums. Of its result the phrases with `least` occurrences or more are written once, with the number of all other words of
+All phrases of 1 to max_n words of all pieces of all texts become rows: a task reads some megabytes of a language at a time, numbers
+the words, and numbers each longer phrase as a pair of the number of its beginning and that of its last word, so that sorting numbers
+explodes and counts them; it puts out a row (language, phrase, occurrences there) for each distinct one. Spark deals these rows out
+by language and phrase and adds them up in a hash aggregation. Of its result the phrases with `least` occurrences or more are written once, with the number of all other words of
 each language; what follows reads that table. A candidate has two words or more. It goes if some phrase of one more word holds it
 and has `share` per cent of its occurrences (a longer one that does has a part of one more word that does too), found by an
 anti-join on the longer candidates without their first or last word. Each cut of those left is joined with the counts of its two
@@ -11,43 +13,116 @@ first, so that no task sorts all candidates of a language.
 
 Null texts count as empty and give no row; a null language is `und`. Words hold whatever isn't a space or a tab; pieces end at
 .,;:!? and at the characters 10 to 13. Repeated rows count again. An empty table gives no rows. Columns beyond text and lang
-aren't read. A piece is held whole in memory, with its phrases.
+aren't read. Long texts are read in parts; the words before a part are kept for the phrases that cross its begin.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Scratch, ascii_lower
+from tessera.llm.common import LOWER, UPPER, Scratch
 
-#: What ends a piece, and what parts words.
-ENDS, BLANKS = "[.,;:!?\\x0A-\\x0D]", "[\\x20\\x09]+"
+#: Bytes that end a piece, and a byte that no text holds, which stands for them.
+ENDS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
+FOLD = bytes.maketrans(UPPER.encode() + ENDS + b"\t", LOWER.encode() + END * len(ENDS) + b" ")
+#: Bytes of text whose phrases a task holds at once, and rows that it hands over at once.
+PART_BYTES, BATCH_ROWS = 8 << 20, 200_000
 #: Most words of a phrase, least occurrences, per cent of occurrences at which a longer phrase replaces one, rows of a language.
 MAX_N, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Shares of a language that are ranked on their own first.
 SHARES = 64
 
 
-def lowered(text: Column) -> Column:
-    """A-Z in lower case; texts of ASCII alone by the faster function."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(ascii_lower(text))
+def parts(data: bytes, size: int) -> Iterator[bytes]:
+    """data in parts of about `size` bytes, cut behind a blank or an end; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        if end < len(data):
+            cut = max(data.rfind(b" ", at, end), data.rfind(END, at, end)) + 1
+            while cut <= at and end < len(data):  # a word longer than the part
+                end += size
+                cut = max(data.rfind(b" ", at, end), data.rfind(END, at, end)) + 1
+            end = cut if cut > at else len(data)
+        yield data[at:end]
+        at = end
+
+
+def phrases_of(data: bytes, max_n: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Distinct phrases of 1 to max_n words of folded text, and how often each occurs; a phrase may come again for another part."""
+    before: list[bytes] = []  # the last words of what was read
+    for part in parts(data, PART_BYTES):
+        tokens = before + part.replace(END, b" \xff ").split()
+        known = len(before)
+        before = tokens[-(max_n - 1) :] if max_n > 1 else []
+        coded = pa.array(tokens, pa.binary()).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()  # words by their bytes, so that phrases come out in order
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, code = coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
+        del tokens, coded
+        width = len(words)
+        ends = len(words) - 1 if width and words[width - 1].as_py() == END else -1
+        is_end = code == ends
+        # Of the phrases of n words, by their last word's place: whether there is one, and its number among the distinct ones.
+        there, number, names = ~is_end, code, words
+        for n in range(1, max_n + 1):
+            if n > 1:
+                there = np.concatenate(([False], there[:-1])) & ~is_end
+                number = np.concatenate(([0], number[:-1])) * width + code
+            new = there.copy()
+            new[:known] = False
+            if n < max_n:
+                found, inverse, times = np.unique(number[there], return_inverse=True, return_counts=True)
+                if known:
+                    times = times - np.bincount(inverse[: np.count_nonzero(there[:known])], minlength=len(found))
+            else:
+                found, times = np.unique(number[new], return_counts=True)
+            if n > 1:
+                names = pc.binary_join_element_wise(names.take(pa.array(found // width)), words.take(pa.array(found % width)), b" ")
+            else:
+                names = words.take(pa.array(found))
+            some = times > 0
+            if len(found):
+                yield (names, times) if some.all() else (names.filter(pa.array(some)), times[some])
+            if n < max_n:
+                number = np.zeros(len(code), np.int64)
+                number[there] = inverse
 
 
 def grams(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
-    """lang and phrase, a row for each run of 1 to max_n words of a piece."""
-    pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(lowered(F.col("text")), ENDS)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", BLANKS), lambda w: w != "").alias("words"))
-    runs = [F.col("words")]
-    for n in range(2, max_n + 1):  # a run and the word behind it; null where none is
-        runs.append(F.zip_with(runs[-1], F.slice("words", n, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return words.select("lang", F.explode(F.flatten(F.array(*runs))).alias("phrase")).where("phrase IS NOT NULL")
+    """lang, phrase and n: the phrases of 1 to max_n words of all pieces, a row for each distinct one of each part of a task's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                texts.setdefault(lang, []).append(text.as_buffer().to_pybytes())
+            for lang in list(texts):
+                data = END.join(texts.pop(lang)).translate(FOLD)
+                for names, times in phrases_of(data, max_n):
+                    names = names.cast(pa.string())
+                    for k in range(0, len(names), BATCH_ROWS):
+                        some = names.slice(k, BATCH_ROWS)
+                        langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(some), np.int8)), pa.array([lang], pa.string())).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([langs, some, pa.array(times[k : k + BATCH_ROWS], pa.int64())], ["lang", "phrase", "n"])
+
+    slim = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
+    return slim.mapInArrow(run, "lang string, phrase string, n long")
 
 
 def counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
     """lang, phrase, f of all phrases that occur `least` times or more; with a null phrase, the number of all rarer single words."""
-    f = grams(docs, max_n).groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f"))
+    # The tasks have counted already; counting once more before the shuffle would only fill their memory. There is more than the texts.
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = grams(docs, max_n).repartition(tasks, "lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     often = F.when(F.col("f") >= least, F.col("phrase"))
     return f.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" "))).groupBy("lang", often.alias("phrase")).agg(F.sum("f").alias("f"))
 

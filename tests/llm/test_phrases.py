@@ -62,6 +62,21 @@ def test_equals_a_plain_count(spark, odd, kind):
     assert rows_of(phrases.collocations(spark.createDataFrame(rows, SCHEMA), **kind)) == sorted(plain(rows, **kind)) != []
 
 
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_texts_read_in_parts_count_the_same(spark, odd, monkeypatch, size):
+    def counted(data, max_n):
+        total = Counter()
+        for names, times in phrases.phrases_of(data, max_n):
+            total.update(dict(zip(names.to_pylist(), times.tolist())))
+        return total
+
+    data = phrases.END.join((t or "").encode() for _, t, *_ in odd if len(t or "") < 9000).translate(phrases.FOLD)
+    want = {n: counted(data, n) for n in (1, 2, 3, 5)}
+    monkeypatch.setattr(phrases, "PART_BYTES", size)
+    assert b"".join(phrases.parts(data, size)) == data
+    assert {n: counted(data, n) for n in want} == want and all(want.values())
+
+
 def test_ranking_within_shares_keeps_the_first(spark, monkeypatch, odd):
     docs = spark.createDataFrame(odd, SCHEMA)
     want = rows_of(phrases.collocations(docs, least=2, top=7))
