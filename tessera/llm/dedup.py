@@ -1,6 +1,7 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on whole sets, union-find grouping.
 
-Documents with equal shingle sets are one node, named by its smallest doc_id. Nodes that share a band are candidates.
+Documents with equal shingle sets are one node, named by its smallest doc_id; sets count as equal if a digest of 128 bits does that
+is made of two independent hashes of 64 bits of each shingle. Nodes that share a band are candidates.
 In each band's bucket all nodes are first compared with the smallest one, their pivot, and the links found are grouped.
 What is left are buckets of several groups: there each node outside of the bucket's main group is compared with every node
 that it isn't grouped with yet. Both steps deal nodes with their texts to cells of bounded size, a row for each node and
@@ -8,11 +9,12 @@ cell, and compare within the cell; pairs are never rows. A cell's links go throu
 joined aren't compared again, and only links that join something leave it.
 
 Candidates whose signatures agree in too few places are dropped (five standard errors below the threshold); the others are
-confirmed on their full sets. With 32 bands of 4 values, a pair at the threshold shares no band with a probability below 6e-6.
+confirmed on their full sets, under the second family of hashes. With 32 bands of 4 values, a pair at the threshold shares no band with a probability below 6e-6.
 
 Nulls and edges: a null or wordless text has an empty set and is linked with nothing; rows without an id are linked by
-equal sets only and have their class's smallest id (null if none has one); rows that share an id are one document; an
-empty table gives an empty result. Extra columns are ignored or, in `drop_copies`, kept.
+equal sets only and have their class's smallest id (null if none has one); rows that share an id are one document, but
+in `drop_copies` one for each of their texts; an empty table gives an empty result. Extra columns are ignored or, in
+`drop_copies`, kept.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, free_name
 from tessera.llm.components import components
 
 #: Places of two signatures that must agree: 0.75 of them less five standard errors.
@@ -51,9 +53,15 @@ def _groups(texts, size: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]
         yield first, some
 
 
-def _digest(s: np.ndarray) -> bytes:
-    """128 bits that stand for a sorted set."""
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def _nodes(texts: list[bytes], hashes: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], list[bytes]]:
+    """The sorted set of each text, and 128 bits that stand for it: of the set and of the sum of its shingles' second hashes."""
+    second, _ = shingles.shingle_hashes(texts, 1)
+    sets, digests = [], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        one, at = np.unique(hashes[a:b], return_index=True)
+        sets.append(one)
+        digests.append(hashlib.blake2b(one.tobytes() + second[a:b][at].sum(dtype=np.uint64).tobytes(), digest_size=16).digest())
+    return sets, digests
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -64,11 +72,11 @@ def sign(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first, texts in _groups(batch.column(1)):
                 hashes, bounds = shingles.shingle_hashes(texts)
-                sets = shingles.distinct(hashes, bounds)
+                sets, digests = _nodes(texts, hashes, bounds)
                 sig = shingles.superminhash(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64))
                 low = np.ascontiguousarray((shingles.mix(sig) & np.uint64(255)).astype(np.uint8)).view(np.int64)
                 keys = shingles.band_keys(sig)
-                cols = [batch.column(0).slice(first, len(texts)), [len(s) for s in sets], [_digest(s) for s in sets], list(low), list(keys)]
+                cols = [batch.column(0).slice(first, len(texts)), [len(s) for s in sets], digests, list(low), list(keys)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -118,7 +126,7 @@ def _links(left: _Side, right: _Side) -> list[tuple[int, int]]:
     def sets(texts: list[str]) -> list[np.ndarray]:
         new = [t for t in dict.fromkeys(texts) if t not in known]
         for first, some in _groups([pa.scalar(t, pa.large_string()) for t in new]):
-            for t, s in zip(new[first : first + len(some)], shingles.distinct(*shingles.shingle_hashes(some))):
+            for t, s in zip(new[first : first + len(some)], shingles.distinct(*shingles.shingle_hashes(some, 1))):
                 known[t] = s
         return [known[t] for t in texts]
 
@@ -236,16 +244,38 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()).alias("kept"))
 
 
+#: Ids that rows without an id of their own get begin here.
+SPARE = 1 << 62
+
+
+def _own_ids(s: Scratch, docs: DataFrame, own: str) -> tuple[DataFrame, bool]:
+    """docs with a column `own`: doc_id, but a new number above SPARE for null ids and for all texts but one of an id; whether there are any such rows."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("d"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("t"))
+    again = s.write(ids.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR d IS NULL").select("d"), "dedup-shared-ids")
+    if again.isEmpty():
+        return docs.withColumn(own, F.col("doc_id").cast("long")), False
+    same = F.col("d").eqNullSafe(F.col("d_"))
+    texts = ids.join(again.select(F.col("d").alias("d_")), same, "left_semi").distinct()
+    first = texts.where("d IS NOT NULL").groupBy("d").agg(F.min("t").alias("first")).withColumnRenamed("d", "d_")
+    texts = s.write(texts.join(first, same, "left").select("d", "t", (F.col("t") == F.col("first")).alias("stays")), "dedup-shared-texts")
+    number = F.when(F.col("stays"), F.col("d")).otherwise(F.monotonically_increasing_id() + SPARE)  # the table is written: its rows' numbers stay
+    texts = s.out(texts.select(F.col("d").alias("d_"), F.col("t").alias("t_"), number.alias("number")), "dedup-own-ids")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("t"))
+    row = row.join(texts, same & (F.col("t") == F.col("t_")), "left").select("row", F.coalesce("number", "d").alias("own_"))
+    return row.select(*[F.col(f"row.`{c}`") for c in docs.columns], F.col("own_").alias(own)), True
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that aren't kept; of rows that share an id one stays."""
+    """docs without the rows that aren't kept; of rows that share id and text one stays."""
+    own = free_name("own", docs)
     with Scratch(docs.sparkSession) as s:
-        found = s.write(near_copies(docs).select("doc_id", "kept"), "dedup-kept")
-        gone = s.out(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dedup-gone")
-        n, ids = found.where("kept").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if n == ids:
-        return out
-    return out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
+        named, shared = _own_ids(s, docs, own)
+        found = near_copies(named.select(F.col(own).alias("doc_id"), "text"))
+        gone = s.out(found.where(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct(), "dedup-gone")
+    out = named.join(gone, own, "left_anti")
+    if shared:
+        out = out.dropDuplicates([own])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same by a join on shingles and reachability, for small tables.

@@ -27,18 +27,20 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(_GOLDEN) + U(seed)) | U(1)
 
 
-_BYTE = _odd(256, 11)
-_PLACE = _odd(WORDS, 23)
-_STEP = 0xD6E8FEB86659FD93  # odd
+#: Two families of hashes that share nothing: one to find candidates, one to confirm them.
+_BYTES = _odd(256, 11), _odd(256, 5003)
+_PLACES = _odd(WORDS, 23), _odd(WORDS, 6007)
+_PLACE = _PLACES[0]
+_STEPS = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F  # odd
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _STEP, dtype=U)
+def _powers(n: int, family: int) -> np.ndarray:
+    out = np.full(max(n, 1), _STEPS[family], dtype=U)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(texts: list[bytes], family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of lower-cased texts, and where each text's begin (one more than texts).
 
     A text of fewer words than a shingle has, but at least one, is one shingle as a whole.
@@ -53,18 +55,19 @@ def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(first)
     length = np.diff(np.append(start, len(letter)))
     inside = np.arange(len(letter)) - np.repeat(start, length)
-    word = mix(np.add.reduceat(_BYTE[raw[letter]] * _powers(int(length.max()))[inside], start) + length.astype(U))
+    places = _PLACES[family]
+    word = mix(np.add.reduceat(_BYTES[family][raw[letter]] * _powers(int(length.max()), family)[inside], start) + length.astype(U))
     counts = np.diff(np.searchsorted(letter[start], ends), prepend=0)
     begin = np.concatenate([[0], counts.cumsum()])
     padded = np.concatenate([word, np.zeros(WORDS, U)])
-    full = sum((padded[k : len(word) + k] * _PLACE[k] for k in range(WORDS)), np.zeros(len(word), U))
+    full = sum((padded[k : len(word) + k] * places[k] for k in range(WORDS)), np.zeros(len(word), U))
     n = np.where(counts >= WORDS, counts - WORDS + 1, np.minimum(counts, 1))
     at = np.repeat(begin[:-1] - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
     out = full[at]
     bounds = np.concatenate([[0], n.cumsum()])
     for k in np.flatnonzero((counts > 0) & (counts < WORDS)):
         some = word[begin[k] : begin[k] + counts[k]]
-        out[bounds[k]] = np.append(some * _PLACE[: len(some)], U(_GOLDEN * int(counts[k]) & _MASK)).sum(dtype=U)
+        out[bounds[k]] = np.append(some * places[: len(some)], U(_GOLDEN * int(counts[k]) & _MASK)).sum(dtype=U)
     return mix(out), bounds
 
 

@@ -51,6 +51,35 @@ def test_near_dedup_edges(odd):
     assert Counter(r.doc_id for r in dedup.drop_copies(odd).collect()) == Counter([1, 2, 3, 5, 6, None])
 
 
+def test_drop_copies_loses_no_text_of_a_shared_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:59], "other"])
+    rows = [(1, "alpha beta gamma delta epsilon"), (1, "wholly other words are in here"), (1, "alpha beta gamma delta epsilon"), (2, " ".join(base)), (3, near), (3, "its own words and no copies of any"), (4, "Wholly Other words  are in here")]
+    rows += [(None, near), (None, "a text without an id"), (None, "a text without an id"), (5, ""), (5, None), (5, "x"), (6, "lone"), (7, "x")]
+    got = sorted(((r.doc_id, r.text) for r in dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    texts = {(t or "").lower().replace("  ", " ") for _, t in rows} - {near}
+    assert {(t or "").lower().replace("  ", " ") for _, t in got} == texts and len(got) == len(texts)
+    assert (2, " ".join(base)) in got and (3, "its own words and no copies of any") in got and (6, "lone") in got
+
+
+def test_near_dedup_tells_sets_of_equal_first_hashes_apart(spark, monkeypatch):
+    """Words of equal length all hash alike in the first family; the second one must not link their texts."""
+    from tessera.llm import shingles
+
+    texts = [" ".join(f"{c}{k}" for k in range(10, 40)) for c in "abc"]
+    monkeypatch.setattr(shingles, "_BYTES", (np.full(256, 12345, np.uint64), shingles._BYTES[1]))
+    raw = [t.encode() for t in texts]
+    first, bounds = shingles.shingle_hashes(raw)
+    sets, digests = dedup._nodes(raw, first, bounds)
+    assert (sets[0] == sets[1]).all() and len(set(digests)) == 3
+    left, right = dedup._Side(), dedup._Side()
+    sig = np.zeros((1, shingles.PLACES), np.uint8)
+    for side, k in ((left, 0), (right, 1)):
+        side.add(np.array([k]), np.array([k]), sig, [texts[k]])
+    right.add(np.array([2]), np.array([2]), sig, [texts[0].upper()])
+    assert dedup._links(left, right) == [(0, 2)]
+
+
 def test_near_dedup_of_a_group_whose_members_miss_the_smallest(spark):
     """Edits of one text, from slight to heavy, of which the first ones are heavy: many buckets hold several groups."""
     dice = np.random.default_rng(11)
