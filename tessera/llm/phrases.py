@@ -33,7 +33,7 @@ from tessera.llm.common import LOWER, UPPER, Scratch
 ENDS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 FOLD = bytes.maketrans(UPPER.encode() + ENDS + b"\t", LOWER.encode() + END * len(ENDS) + b" ")
 #: Bytes of text whose phrases a task holds at once, and rows that it hands over at once.
-PART_BYTES, BATCH_ROWS = 8 << 20, 200_000
+PART_BYTES, BATCH_ROWS = 4 << 20, 100_000
 #: Most words of a phrase, least occurrences, per cent of occurrences at which a longer phrase replaces one, rows of a language.
 MAX_N, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Shares of a language that are ranked on their own first.
@@ -97,22 +97,31 @@ def phrases_of(data: bytes, max_n: int) -> Iterator[tuple[pa.Array, np.ndarray]]
                 number[there] = inverse
 
 
+def _gathered(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """Each language's texts, folded, with ends between them: PART_BYTES at a time, or one longer text."""
+    held: dict[str, tuple[list[bytes], int]] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        some, size = held.get(lang, ([], 0))
+        raw = text.as_buffer()
+        if some and size + len(raw) > PART_BYTES:
+            yield lang, END.join(some).translate(FOLD)
+            some, size = [], 0
+        some.append(raw.to_pybytes())
+        held[lang] = some, size + len(raw)
+    for lang, (some, _) in held.items():
+        yield lang, END.join(some).translate(FOLD)
+
+
 def grams(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
     """lang, phrase and n: the phrases of 1 to max_n words of all pieces, a row for each distinct one of each part of a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                texts.setdefault(lang, []).append(text.as_buffer().to_pybytes())
-            for lang in list(texts):
-                data = END.join(texts.pop(lang)).translate(FOLD)
+            for lang, data in _gathered(batch):
                 for names, times in phrases_of(data, max_n):
-                    names = names.cast(pa.string())
                     for k in range(0, len(names), BATCH_ROWS):
-                        some = names.slice(k, BATCH_ROWS)
-                        langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(some), np.int8)), pa.array([lang], pa.string())).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([langs, some, pa.array(times[k : k + BATCH_ROWS], pa.int64())], ["lang", "phrase", "n"])
+                        some = names.slice(k, BATCH_ROWS).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(some), np.int64))), some, pa.array(times[k : k + BATCH_ROWS], pa.int64())], ["lang", "phrase", "n"])
 
     slim = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
     return slim.mapInArrow(run, "lang string, phrase string, n long")
@@ -120,8 +129,8 @@ def grams(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
 
 def counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
     """lang, phrase, f of all phrases that occur `least` times or more; with a null phrase, the number of all rarer single words."""
-    # The tasks have counted already; counting once more before the shuffle would only fill their memory. There is more than the texts.
-    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The tasks have counted already; counting once more before the shuffle would only fill their memory. There is more of them than of the texts.
+    tasks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     f = grams(docs, max_n).repartition(tasks, "lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     often = F.when(F.col("f") >= least, F.col("phrase"))
     return f.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" "))).groupBy("lang", often.alias("phrase")).agg(F.sum("f").alias("f"))
