@@ -33,7 +33,7 @@ from tessera.llm.common import LOWER, UPPER, Scratch
 ENDS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 FOLD = bytes.maketrans(UPPER.encode() + ENDS + b"\t", LOWER.encode() + END * len(ENDS) + b" ")
 #: Bytes of text whose phrases a task holds at once, and rows that it hands over at once.
-PART_BYTES, BATCH_ROWS = 4 << 20, 100_000
+PART_BYTES, BATCH_ROWS = 16 << 20, 100_000
 #: Most words of a phrase, least occurrences, per cent of occurrences at which a longer phrase replaces one, rows of a language.
 MAX_N, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Shares of a language that are ranked on their own first.
@@ -113,27 +113,32 @@ def _gathered(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
 
 
 def grams(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
-    """lang, phrase and n: the phrases of 1 to max_n words of all pieces, a row for each distinct one of each part of a task's texts."""
+    """key and n: the phrases of 1 to max_n words of all pieces, a row for each distinct one of each part of a task's texts.
+
+    key is the phrase, a tab and the language: one column, as these rows are most of what is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, data in _gathered(batch):
                 for names, times in phrases_of(data, max_n):
                     for k in range(0, len(names), BATCH_ROWS):
-                        some = names.slice(k, BATCH_ROWS).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(some), np.int64))), some, pa.array(times[k : k + BATCH_ROWS], pa.int64())], ["lang", "phrase", "n"])
+                        keys = pc.binary_join_element_wise(names.slice(k, BATCH_ROWS).cast(pa.string()), lang, "\t")
+                        yield pa.RecordBatch.from_arrays([keys, pa.array(times[k : k + BATCH_ROWS], pa.int64())], ["key", "n"])
 
     slim = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
-    return slim.mapInArrow(run, "lang string, phrase string, n long")
+    return slim.mapInArrow(run, "key string, n long")
 
 
 def counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
     """lang, phrase, f of all phrases that occur `least` times or more; with a null phrase, the number of all rarer single words."""
     # The tasks have counted already; counting once more before the shuffle would only fill their memory. There is more of them than of the texts.
     tasks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    f = grams(docs, max_n).repartition(tasks, "lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    often = F.when(F.col("f") >= least, F.col("phrase"))
-    return f.where((F.col("f") >= least) | ~F.contains("phrase", F.lit(" "))).groupBy("lang", often.alias("phrase")).agg(F.sum("f").alias("f"))
+    f = grams(docs, max_n).repartition(tasks, "key").groupBy("key").agg(F.sum("n").alias("f"))
+    phrase = F.substring_index("key", "\t", 1)
+    f = f.where((F.col("f") >= least) | ~F.contains(phrase, F.lit(" "))).select(phrase.alias("phrase"), "key", "f")
+    f = f.select(F.expr("substring(key, char_length(phrase) + 2)").alias("lang"), F.when(F.col("f") >= least, F.col("phrase")).alias("phrase"), "f")
+    return f.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _words(phrase: Column) -> Column:
