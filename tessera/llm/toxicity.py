@@ -9,7 +9,8 @@ cut into sentences. Landmarks are words; a word's Nystroem features are its kern
 learns which words set sentences of toxic documents apart (their witnesses), against all sentences of the others,
 witnesses and weights in turns; sentences of toxic documents without such a word take no part. Witnesses are also taught
 with a letter inserted at each place, so that such spellings stay toxic however many clean words there are. Because the kernel has finitely many subsequences, the learnt function collapses
-into one weight for each of them: a word's score is a sum of table look-ups, whatever the number of landmarks.
+into one weight for each of them: a word's score is a sum of table look-ups, whatever the number of landmarks. Words that a
+space splits are read as well: neighbouring pieces are joined, unless a piece is a word of clean labelled documents.
 A document's score is that of its worst sentence, put through a logistic curve fitted on the sample.
 
 Nulls and edges: a null text is empty; a text without words has the score of a word without subsequences; words of any
@@ -41,6 +42,8 @@ WINDOW, STEP = 24, 12
 SAMPLE, SAMPLE_BYTES = (3000, 1500), (12_000_000, 6_000_000)
 #: Steepest logistic curve over decision values.
 STEEPEST = 10.0
+#: Letters of a word's shorter piece, where a space splits it, at most (of the longer one twice as many), and of both, at least.
+PIECE, WHOLE = 4, 5
 LANDMARKS = 80
 ROUNDS = 3
 #: Least odds of a word in toxic documents, and at first its least distance from chance in standard errors, for it to make
@@ -100,6 +103,14 @@ def words_of(text: str) -> set[str]:
     return found
 
 
+def split_words(text: str, known: frozenset[str]) -> set[str]:
+    """Neighbouring pieces joined ("id iot"): one of them short, none a word of clean documents, long enough together."""
+    words = [plain(w) for w in text.lower().split()]
+    pieces = [k for k, w in enumerate(words) if 0 < len(w) <= 2 * PIECE and w not in known]
+    found = {words[a] + words[b] for a, b in zip(pieces, pieces[1:]) if b == a + 1 and min(len(words[a]), len(words[b])) <= PIECE}
+    return {w for w in found if len(w) >= WHOLE and w not in known}
+
+
 def inserted(word: str) -> list[str]:
     """The word with a letter put in at each place inside it; which letter follows from word and place."""
     word = plain(word)
@@ -212,6 +223,9 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
     constant: float | None = None
+    known: frozenset[str] = frozenset()  # words of clean documents, which aren't pieces of others
+    marks: list[str] = field(default_factory=list, repr=False)  # the landmarks, and the weight of the kernel with each of their windows
+    alpha: np.ndarray | None = field(default=None, repr=False)
     cache: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -219,7 +233,7 @@ class Model:
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The decision value of each text's most telling word; the bias for texts without words."""
-        sets = [words_of(t) for t in texts]
+        sets = [words_of(t) | split_words(t, self.known) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         new = list({w for s in sets for w in s if w not in self.cache})
@@ -268,7 +282,6 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
 
     vocabulary = sorted({*seen[0], *seen[1]})
     at = {w: k for k, w in enumerate(vocabulary)}
-    x = np.concatenate([kernels(vocabulary[k : k + 20_000], profiles, rows_of) @ white.astype(np.float32) for k in range(0, len(vocabulary), 20_000)])
     negative = np.array([at[w] for w in seen[0]])
     weight0 = np.array([seen[0][w] for w in seen[0]], float)
     value = np.array([telling(w) for w in vocabulary])
@@ -280,8 +293,10 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
     # Spellings of those words with a letter inserted, which the machine learns as well.
     spelt = [(k, v) for k in np.flatnonzero(first) for v in inserted(vocabulary[k])]
     known = len(vocabulary)
-    if spelt:
-        x = np.concatenate([x, kernels([v for _, v in spelt], profiles, rows_of) @ white.astype(np.float32)])
+    vocabulary += [v for _, v in spelt]
+    x = np.empty((len(vocabulary), white.shape[1]), np.float32)
+    for k in range(0, len(vocabulary), 20_000):
+        x[k : k + 20_000] = kernels(vocabulary[k : k + 20_000], profiles, rows_of) @ white.astype(np.float32)
     source = np.array([k for k, _ in spelt], np.int64)
     for _ in range(ROUNDS):
         best = np.array([s[value[s].argmax()] for s in sentences])
@@ -295,7 +310,8 @@ def train(texts: list[str], labels: list[int], prior: float) -> Model:
         v, bias = _svm(x, rows, target, weights)
         value = x[:known] @ v + bias
         marked = first | (value > 0) & (odds >= ODDS)
-    model = Model((profiles @ (white @ v)).astype(np.float32)[rows_of], bias)
+    model = Model((profiles @ (white @ v)).astype(np.float32)[rows_of], bias, marks=marks, alpha=white @ v)
+    model.known = frozenset(plain(w) for w, n in seen[0].items() if n >= 2 or len(plain(w)) < ORDER)
     model.slope, model.offset = _logistic(np.minimum(model.worst(texts), 1.0), y, prior)
     model.cache.clear()
     return model

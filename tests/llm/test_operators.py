@@ -574,6 +574,43 @@ def test_toxicity_catches_held_out_insults_and_gapped_ones():
     assert model.score([said.format("neighbour")])[0] < toxicity.THRESHOLD
 
 
+def plain_subsequences(word):
+    """Weights of a window's subsequences of ORDER letters within SPAN, divided by the norm of its length; in plain loops."""
+    letters = [int(x) for x in toxicity._codes([word], len(word))[0]]
+    weights, norm = Counter(), 0.0
+    for i in range(len(word)):
+        for j in range(i + 1, len(word)):
+            for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
+                weights[letters[i], letters[j], letters[k]] += toxicity.DECAY ** (k - i + 1)
+                norm += toxicity.DECAY ** (2 * (k - i + 1))
+    return {s: w / norm**0.5 for s, w in weights.items()}
+
+
+def test_toxicity_scores_equal_a_machine_summed_over_its_landmarks():
+    train, held = labelled("toxic", False), labelled("toxic", True)
+    model = toxicity.train([t for _, t, _ in train], [y for *_, y in train], 0.1)
+    windows = [p for _, (_, parts) in sorted(toxicity._windows(model.marks).items()) for p in parts]
+    assert len(windows) == len(model.alpha)
+    marks = [plain_subsequences(p) for p in windows]
+    for text in [t for _, t, _ in held[:6]] + ["You id iot", "i d i o t", "neighbour"]:
+        values = [model.bias] if not toxicity.words_of(text) else []
+        for word in toxicity.words_of(text) | toxicity.split_words(text, model.known):
+            parts = [p for _, (_, ps) in toxicity._windows([word]).items() for p in ps]
+            each = [sum(a * sum(w * m.get(s, 0.0) for s, w in plain_subsequences(p).items()) for a, m in zip(model.alpha, marks)) for p in parts]
+            values.append(max(each, default=0.0) + model.bias)
+        assert model.worst([text])[0] == pytest.approx(max(values), abs=1e-3)
+
+
+def test_toxicity_joins_split_words():
+    known = frozenset({"the", "cat"})
+    assert toxicity.split_words("The id iot, the mo-ron the cat stu\tpid the catalogue-like longer", known) == {"idiot", "stupid"}
+    train = labelled("toxic", False)
+    model = toxicity.train([t for _, t, _ in train], [y for *_, y in train], sum(y for *_, y in train) / len(train))
+    for word in ("id iot", "stu pid", "mo ron", "path etic"):
+        assert model.score([f"You are an {word} and should leave."])[0] >= toxicity.THRESHOLD, word
+    assert model.score(["You are an apple and should leave."])[0] < toxicity.THRESHOLD
+
+
 def test_toxicity_without_words_to_learn_from():
     model = toxicity.train(["", "  ", "a fine day"], [1, 1, 0], 0.4)
     assert model.score(["", "idiot"]).tolist() == [0.4, 0.4]
