@@ -103,12 +103,30 @@ def words_of(text: str) -> set[str]:
     return found
 
 
-def split_words(text: str, known: frozenset[str]) -> set[str]:
+class Pieces(dict):
+    """The piece of a split word that a word may be, empty if it is none: too long, or a word of clean documents."""
+
+    def __init__(self, known: frozenset[str]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        bare = plain(word)
+        piece = self[word] = bare if len(bare) <= 2 * PIECE and bare not in self.known else ""
+        return piece
+
+
+def split_words(text: str, pieces: Pieces) -> set[str]:
     """Neighbouring pieces joined ("id iot"): one of them short, none a word of clean documents, long enough together."""
-    words = [plain(w) for w in text.lower().split()]
-    pieces = [k for k, w in enumerate(words) if 0 < len(w) <= 2 * PIECE and w not in known]
-    found = {words[a] + words[b] for a, b in zip(pieces, pieces[1:]) if b == a + 1 and min(len(words[a]), len(words[b])) <= PIECE}
-    return {w for w in found if len(w) >= WHOLE and w not in known}
+    found, before = set(), ""
+    for word in text.lower().split():
+        piece = pieces[word]
+        if piece and before and min(len(before), len(piece)) <= PIECE and len(before) + len(piece) >= WHOLE:
+            found.add(before + piece)
+        before = piece
+    return {w for w in found if w not in pieces.known}
 
 
 def inserted(word: str) -> list[str]:
@@ -227,13 +245,16 @@ class Model:
     marks: list[str] = field(default_factory=list, repr=False)  # the landmarks, and the weight of the kernel with each of their windows
     alpha: np.ndarray | None = field(default=None, repr=False)
     cache: dict[str, float] = field(default_factory=dict, repr=False)
+    pieces: Pieces | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "pieces": None}
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The decision value of each text's most telling word; the bias for texts without words."""
-        sets = [words_of(t) | split_words(t, self.known) for t in texts]
+        if self.pieces is None:
+            self.pieces = Pieces(self.known)
+        sets = [words_of(t) | split_words(t, self.pieces) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         new = list({w for s in sets for w in s if w not in self.cache})

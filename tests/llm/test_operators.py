@@ -594,7 +594,7 @@ def test_toxicity_scores_equal_a_machine_summed_over_its_landmarks():
     marks = [plain_subsequences(p) for p in windows]
     for text in [t for _, t, _ in held[:6]] + ["You id iot", "i d i o t", "neighbour"]:
         values = [model.bias] if not toxicity.words_of(text) else []
-        for word in toxicity.words_of(text) | toxicity.split_words(text, model.known):
+        for word in toxicity.words_of(text) | toxicity.split_words(text, toxicity.Pieces(model.known)):
             parts = [p for _, (_, ps) in toxicity._windows([word]).items() for p in ps]
             each = [sum(a * sum(w * m.get(s, 0.0) for s, w in plain_subsequences(p).items()) for a, m in zip(model.alpha, marks)) for p in parts]
             values.append(max(each, default=0.0) + model.bias)
@@ -603,7 +603,7 @@ def test_toxicity_scores_equal_a_machine_summed_over_its_landmarks():
 
 def test_toxicity_joins_split_words():
     known = frozenset({"the", "cat"})
-    assert toxicity.split_words("The id iot, the mo-ron the cat stu\tpid the catalogue-like longer", known) == {"idiot", "stupid"}
+    assert toxicity.split_words("The id iot, the mo-ron the cat stu\tpid the catalogue-like longer", toxicity.Pieces(known)) == {"idiot", "stupid"}
     train = labelled("toxic", False)
     model = toxicity.train([t for _, t, _ in train], [y for *_, y in train], sum(y for *_, y in train) / len(train))
     for word in ("id iot", "stu pid", "mo ron", "path etic"):
