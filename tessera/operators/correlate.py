@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tessera.registry import COLLAPSE, COMMODITY, FLEET_WIDE, PAIR_RULES, PENALTY, SUPPRESSIBLE, TOKEN_RULES
 
 
+#: Kinds of which each pair of installs counts, and kinds whose repeats at the first site of a pair count.
+INSTALLS, REPEATING = ("umami_src",), ("inline_script", "comment")
 #: Points of two sites registered within a week.
 REGISTRATION_POINTS = 10
 
@@ -26,15 +28,20 @@ def pair_signals(signals: DataFrame, sites: DataFrame) -> DataFrame:
     """(a, b, kind, same, n, wide, detail, rule columns): what each pair of sites, a before b, shares of a kind, or for rules
     that count each key, of a kind and key; wide: whether the key is a fleet-wide one, whose finding is made elsewhere."""
     rules = F.broadcast(_pair_rules(signals))  # of fixed size
-    own = signals.where(F.col("key").isNotNull()).select("domain", "kind", "key").distinct().join(sites, "domain")
-    counts = own.where(F.col("kind").isin(*SUPPRESSIBLE)).groupBy("kind", "key").agg((F.count(F.lit(1)) >= 3).alias("wide"))
-    left = own.join(counts, ["kind", "key"], "left").select("kind", "key", F.col("domain").alias("a"), F.col("ord").alias("oa"), F.col("cluster").alias("ca"), F.coalesce("wide", F.lit(False)).alias("wide"))
-    right = own.select("kind", "key", F.col("domain").alias("b"), F.col("ord").alias("ob"), F.col("cluster").alias("cb"))
+    # Without a column `times`, the rows of a site and key are how often it holds the key.
+    times = F.sum(F.col("times") if "times" in signals.columns else F.lit(1)).cast("long").alias("times")
+    own = signals.where(F.col("key").isNotNull()).groupBy("domain", "kind", "key").agg(times).join(sites, "domain")
+    # Ids count as fleet-wide by their occurrences, whichever kind they are of.
+    counts = own.where(F.col("kind").isin(*SUPPRESSIBLE, "umami_id")).groupBy("key").agg((F.sum("times") >= 3).alias("wide"))
+    left = own.join(counts, "key", "left").select("kind", "key", F.col("domain").alias("a"), F.col("ord").alias("oa"), F.col("cluster").alias("ca"), F.col("times").alias("ta"), F.coalesce("wide", F.lit(False)).alias("wide"))
+    right = own.select("kind", "key", F.col("domain").alias("b"), F.col("ord").alias("ob"), F.col("cluster").alias("cb"), F.col("times").alias("tb"))
     met = left.join(right, ["kind", "key"]).where("oa < ob AND NOT (kind = 'cloudflare' AND length(key) < 20)")
+    # Repeats at the first site count for lists that keep them; of installs each pair counts.
+    n = F.when(F.col("kind").isin(*INSTALLS), F.col("ta") * F.col("tb")).when(F.col("kind").isin(*REPEATING), F.col("ta")).otherwise(1)
     same = F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
     shared = met.withColumn("same", same).join(rules, "kind").withColumn("one", F.when(F.col("per_key"), F.col("key")))
     keys = ["a", "b", "kind", "same", "one", "type", "type_same", "pts_same", "pts_cross", "sev_same", "sev_cross", "per_key"]
-    return shared.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("wide").alias("wide"), F.array_join(F.sort_array(F.collect_list("key")), ", ").alias("detail"))
+    return shared.groupBy(*keys).agg(F.sum(n).alias("n"), F.min("wide").alias("wide"), F.array_join(F.sort_array(F.collect_list("key")), ", ").alias("detail"))
 
 
 def similarity(signals: DataFrame, sites: DataFrame, near: DataFrame | None = None) -> DataFrame:
@@ -53,7 +60,9 @@ def pair_findings(signals: DataFrame, sites: DataFrame, near: DataFrame | None =
     kind = F.when(F.col("same"), F.coalesce("type_same", "type")).otherwise(F.col("type"))
     out = pair_signals(signals, sites).where(~F.col("kind").isin(*SUPPRESSIBLE) | ~F.col("wide"))
     severity = F.when(F.col("same"), F.col("sev_same")).otherwise(F.col("sev_cross"))
-    out = out.select(kind.alias("type"), severity.alias("severity"), "a", "b", F.col("n").cast("long").alias("n"), "detail").where("type IS NOT NULL AND severity IS NOT NULL")
+    installs = F.col("kind").isin(*INSTALLS)  # each pair of them is a finding
+    out = out.withColumn("each", F.explode(F.when(installs, F.sequence(F.lit(1).cast("long"), F.col("n"))).otherwise(F.array(F.lit(1).cast("long")))))
+    out = out.select(kind.alias("type"), severity.alias("severity"), "a", "b", F.when(installs, 1).otherwise(F.col("n")).cast("long").alias("n"), "detail").where("type IS NOT NULL AND severity IS NOT NULL")
     if near is None:
         return out
     dates = near.select(F.lit("registration-proximity").alias("type"), F.lit("medium").alias("severity"), "a", "b", F.lit(1).cast("long").alias("n"), F.col("days").cast("string").alias("detail"))
@@ -119,6 +128,11 @@ def isolation_score(findings: DataFrame, sites: DataFrame) -> DataFrame:
     weight = F.when(F.col("type").isin(*COMMODITY), F.greatest(F.lit(1), F.floor(base * 0.4 + 0.5))).otherwise(base)
     wide = F.col("type").isin(*FLEET_WIDE)
     sums = findings.agg(F.coalesce(F.sum(F.when(wide, weight)), F.lit(0)).alias("fleet_penalty"), F.coalesce(F.sum(F.when(~wide, weight)), F.lit(0)).alias("pair_penalty"))
+    return score_of(sums, sites)
+
+
+def score_of(sums: DataFrame, sites: DataFrame) -> DataFrame:
+    """(score, fleet_penalty, pair_penalty, sites) of one row of penalties; those of pairs are shared out over the pairs."""
     n = F.col("sites")
     over = F.greatest(F.lit(1), F.ceil(F.greatest(F.lit(1.0), n * (n - 1) / 2) / 3))
     both = sums.crossJoin(sites.agg(F.count(F.lit(1)).alias("sites")))  # one row each

@@ -8,25 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import markup
-from tessera.registry import ACCOUNT_IDS, DNS_TOKENS, PREFIX, java, literal
+from tessera.registry import ACCOUNT_IDS, DNS_TOKENS, FORM_ENDPOINTS, PREFIX, java, literal
 
 
 def _prefixed(values: Column, name: str) -> Column:
     return F.transform(values, lambda x: F.struct(F.lit(name).alias("name"), F.concat(F.lit(PREFIX.get(name, "")), x).alias("id")))
 
 
+def account_hits(html: Column) -> Column:
+    """array<struct<name, id>>, distinct. A pattern is searched for only where the letters that each of its matches holds are there."""
+    none = F.array().cast("array<string>")
+
+    def found(low: Column) -> Column:
+        hits = []
+        for name, p in ACCOUNT_IDS:
+            if name != "Umami Script Source":
+                mark = literal(p)
+                text, mark = (low, mark.lower()) if p.startswith("(?i)") else (html, mark)
+                values = markup.every(html, p)
+                hits.append(_prefixed(F.when(text.contains(mark), values).otherwise(none) if mark else values, name))
+        return F.array_distinct(F.concat(*hits))
+
+    return markup.let(F.lower(html), found)
+
+
 def account_ids(pages: DataFrame) -> DataFrame:
-    """Distinct (page_id, name, id). A pattern is searched for only where the letters that each of its matches holds are there."""
-    low, none = F.col("low"), F.array().cast("array<string>")
-    hits = []
-    for name, p in ACCOUNT_IDS:
-        if name != "Umami Script Source":
-            mark = literal(p)
-            text, mark = (low, mark.lower()) if p.startswith("(?i)") else (F.col("html"), mark)
-            found = markup.every(F.col("html"), p)
-            hits.append(_prefixed(F.when(text.contains(mark), found).otherwise(none) if mark else found, name))
-    seen = pages.select("page_id", "html", F.lower("html").alias("low"))
-    return seen.select("page_id", F.explode(F.array_distinct(F.concat(*hits))).alias("h")).select("page_id", "h.name", "h.id")
+    """Distinct (page_id, name, id)."""
+    return pages.select("page_id", F.explode(account_hits(F.col("html"))).alias("h")).select("page_id", "h.name", "h.id")
 
 
 def dns_tokens(records: DataFrame) -> DataFrame:
@@ -35,25 +43,29 @@ def dns_tokens(records: DataFrame) -> DataFrame:
     return records.select("domain", F.explode(F.filter(F.array(*hits), lambda h: h["id"].isNotNull())).alias("h")).select("domain", "h.name", "h.id")
 
 
+#: A script source or a website id of an Umami install.
+_SOURCE, _SITE = (next(java(p) for n, p in ACCOUNT_IDS if n == name) for name in ("Umami Script Source", "Umami Website ID"))
+_EITHER = f"{_SOURCE}|{_SITE}"
+
+
 def umami_pairs(pages: DataFrame) -> DataFrame:
     """(page_id, website_id, src): each script source, in order, goes to the nearest website id, if that has none yet.
 
-    Places are lengths of what stands before a match, as patterns give no offsets.
+    Sources and ids are one list of rows by place, which two windows go through, forwards and backwards: the nearest id of a source
+    is the last one before it or the first one behind it, the former if both are as far. Places are sums of the lengths of matches
+    and of what stands between them, as patterns give no offsets. page_id names a page.
     """
-
-    source, site = (next(p for n, p in ACCOUNT_IDS if n == name) for name in ("Umami Script Source", "Umami Website ID"))
-    # Splitting at the pattern leaves what stands between the matches, whose lengths add up to the places.
-    def places(pattern: str):
-        found = F.regexp_extract_all("html", F.lit(java(pattern)), F.lit(0))
-        gaps = F.transform(F.split("html", java(pattern), -1), F.length)
-        at = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-        return F.transform(found, lambda m, i: F.struct(at(i).alias("at"), i.alias("n"), F.regexp_extract(m, java(pattern), 1).alias("value")))
-
-    both = pages.where(F.col("html").contains("umami")).select("page_id", F.explode(places(source)).alias("s"), places(site).alias("ids"))
-    pairs = both.select("page_id", F.col("s.n").alias("n"), F.col("s.value").alias("src"), F.explode("ids").alias("w"), F.col("s.at").alias("at"))
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "n").orderBy(F.abs(F.col("w.at") - F.col("at")), "w.n"))).where("rank = 1")
-    taken = near.withColumn("turn", F.row_number().over(Window.partitionBy("page_id", "w.value").orderBy("n"))).where("turn = 1")
-    return taken.select("page_id", F.col("w.value").alias("website_id"), "src")
+    found, gaps = F.regexp_extract_all("html", F.lit(_EITHER), F.lit(0)), F.transform(F.split("html", _EITHER, -1), F.length)
+    tokens = pages.where(F.col("html").contains("umami")).select("page_id", F.posexplode(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))).alias("n", "t"))
+    so_far = Window.unboundedPreceding, Window.currentRow
+    before, behind = (Window.partitionBy("page_id").orderBy(order).rowsBetween(*so_far) for order in (F.asc("n"), F.desc("n")))
+    size = F.length("t.m")
+    placed = tokens.select("page_id", "n", F.col("t.m").startswith("src").alias("source"), F.regexp_extract("t.m", "=['\"]([^'\"]*)", 1).alias("value"), (F.sum(F.col("t.g") + size).over(before) - size).alias("at"))
+    own = F.when(~F.col("source"), F.struct("at", "value"))
+    near = placed.select("page_id", "n", "source", "value", "at", F.last(own, True).over(before).alias("last"), F.last(own, True).over(behind).alias("next")).where("source")
+    backwards = F.col("next").isNull() | (F.col("at") - F.col("last.at") <= F.col("next.at") - F.col("at"))
+    named = near.select("page_id", "n", F.col("value").alias("src"), F.when(F.col("last").isNotNull() & backwards, F.col("last.value")).otherwise(F.col("next.value")).alias("website_id")).where("website_id IS NOT NULL")
+    return named.groupBy("page_id", "website_id").agg(F.min_by("src", "n").alias("src"))
 
 
 def facts(pages: DataFrame) -> DataFrame:
@@ -69,8 +81,6 @@ def facts(pages: DataFrame) -> DataFrame:
 
 
 def form_endpoints(pages: DataFrame) -> DataFrame:
-    from tessera.registry import FORM_ENDPOINTS
-
     found = reduce(lambda a, b: F.concat(a, b), [markup.every(F.col("html"), p) for p in FORM_ENDPOINTS])
     return pages.select("page_id", F.explode(F.array_distinct(found)).alias("endpoint"))
 

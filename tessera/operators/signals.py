@@ -62,8 +62,8 @@ def exposed_identifiers(scans: DataFrame) -> DataFrame:
 
 
 def of_scans(scans: DataFrame) -> DataFrame:
-    """(domain, kind, key) of scan records, by the kinds of the rule tables; contact e-mails that are report mailboxes of the
-    fleet are left out."""
+    """(domain, kind, key) of scan records, by the kinds of the rule tables, a row for each time that a site lists the key; contact
+    e-mails that are report mailboxes of the fleet are left out."""
     c = F.col
     one = lambda x: F.array_compact(F.array(x))
     text = lambda x: F.array_compact(F.array(F.when(x != "", x)))
@@ -100,7 +100,7 @@ def of_scans(scans: DataFrame) -> DataFrame:
         "google_verification": text(c("dns.googleVerification")), "ms_verification": text(c("dns.microsoftVerification")), "facebook_verification": text(c("dns.facebookVerification")),
     }
     each = [markup.tagged(v, k, value="key") for k, v in kinds.items()]
-    found = scans.select("domain", F.explode(F.concat(*each)).alias("s")).select("domain", "s.kind", "s.key").distinct()
+    found = scans.select("domain", F.explode(F.concat(*each)).alias("s")).select("domain", "s.kind", "s.key")
     mails = exposed_identifiers(scans).select("domain", F.lit("email").alias("kind"), F.col("value").alias("key")).distinct()
     taken = found.where("kind = 'report_mailbox'").select("key").distinct()
     return found.unionByName(mails.join(taken, "key", "left_anti").select("domain", "kind", "key"))

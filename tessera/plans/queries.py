@@ -220,23 +220,6 @@ def technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.technologies(_pages(spark, sf_dir))
 
 
-# Host-level correlation over all pages: signals of each host, joined pairwise.
-
-
-def host_signals(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signals and sites of the hosts of a page table: structure of the lowest page of each host, lists of all its pages."""
-    html = F.col("html")
-    lead = pages.groupBy("host").agg(F.min("page_id").alias("page_id"))
-    first = pages.join(lead.select("page_id"), "page_id").select("host", F.explode(F.array(F.struct(F.lit("head").alias("kind"), markup.head_hash(html).alias("key")), F.struct(F.lit("body").alias("kind"), markup.body_hash(html).alias("key")))).alias("s"))
-    lists = F.concat(
-        F.transform(markup.inline_hashes(html, "style"), lambda x: F.struct(F.lit("css").alias("kind"), x.alias("key"))),
-        F.transform(markup.every(html, r"(GTM-[A-Z0-9]{4,8})"), lambda x: F.struct(F.lit("gtm").alias("kind"), x.alias("key"))),
-    )
-    every = pages.select("host", F.explode(lists).alias("s"))
-    signals = first.unionByName(every).select(F.col("host").alias("domain"), "s.kind", "s.key").distinct()
-    return signals, lead.select(F.col("host").alias("domain"), F.col("page_id").alias("ord"), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("cluster"))
-
-
 def _rules_sql() -> str:
     return "r AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else q(x) if isinstance(x, str) else str(x).upper() for x in r) + ")" for r in PAIR_RULES) + ") AS t(kind, type, type_same, pts_same, pts_cross, sev_same, sev_cross, per_key))"
 
@@ -248,10 +231,6 @@ _PAIR_CTES = f"""o AS (SELECT DISTINCT s.domain, s.kind, s.key, i.ord, i.cluster
     FROM o a JOIN o b ON a.kind = b.kind AND a.key = b.key AND a.ord < b.ord JOIN r ON r.kind = a.kind LEFT JOIN wide w ON w.kind = a.kind AND w.key = a.key WHERE NOT (a.kind = 'cloudflare' AND length(a.key) < 20) GROUP BY ALL),
   f AS (SELECT CASE WHEN same THEN coalesce(type_same, type) ELSE type END AS type, CASE WHEN same THEN sev_same ELSE sev_cross END AS severity, a, b, n, detail FROM m JOIN r USING (kind) WHERE NOT (kind IN ({_KINDS}) AND wide)),
   pair AS (SELECT * FROM f WHERE type IS NOT NULL AND severity IS NOT NULL)"""
-_HOSTS = f"""{WITH_PAGES}, lead AS (SELECT host, min(page_id) AS page_id FROM p GROUP BY host),
-  signals AS (SELECT DISTINCT domain, kind, key FROM (SELECT host AS domain, 'head' AS kind, {_HEAD_HASH} AS key FROM p WHERE page_id IN (SELECT page_id FROM lead)
-    UNION ALL SELECT host, 'body', {_BODY_HASH} FROM p WHERE page_id IN (SELECT page_id FROM lead) UNION ALL SELECT host, 'css', unnest({_FACTS["inline_style"]}) FROM p UNION ALL SELECT host, 'gtm', unnest(regexp_extract_all(html, 'GTM-[A-Z0-9]{{4,8}}')) FROM p)),
-  sites AS (SELECT host AS domain, page_id AS ord, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS cluster FROM lead)"""
 _FLEET = f"WITH signals AS ({fx.SIGNALS}), sites AS ({fx.SITES})"
 _SIMILARITY = """SELECT a, b, CAST(least(100, p) AS INTEGER) AS similarity FROM (SELECT a, b, sum(CASE WHEN kind = 'form_provider' THEN least(20, 4 + 8 * n) WHEN per_key THEN n * (CASE WHEN same THEN pts_same ELSE pts_cross END)
   ELSE CASE WHEN same THEN pts_same ELSE pts_cross END END) AS p FROM m JOIN r USING (kind) GROUP BY a, b) WHERE p > 0"""
@@ -261,16 +240,6 @@ def _fleet(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.sql(fx.SIGNALS), spark.sql(fx.SITES)
 
 
-@_add("host_findings", f"{_HOSTS}, {_PAIR_CTES} SELECT * FROM pair")
-def host_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlate.pair_findings(*host_signals(_pages(spark, sf_dir)))
-
-
-@_add("host_similarity", f"{_HOSTS}, {_PAIR_CTES} {_SIMILARITY}")
-def host_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlate.similarity(*host_signals(_pages(spark, sf_dir)))
-
-
 @_add("fleet_findings", f"{_FLEET}, {_PAIR_CTES} SELECT * FROM pair")
 def fleet_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.pair_findings(*_fleet(spark))
@@ -308,13 +277,6 @@ def isolation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.isolation_score(*_found(spark))
 
 
-@_add("host_isolation", f"{_HOSTS}, {_PAIR_CTES}, {_TOKENS}, allf AS (SELECT type, severity FROM pair UNION ALL SELECT type, severity FROM token), {_ISOLATION}")
-def host_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals, sites = host_signals(_pages(spark, sf_dir))
-    pairs, tokens = correlate.pair_findings(signals, sites), correlate.token_findings(signals, sites)
-    return correlate.isolation_score(pairs.select("type", "severity").unionByName(tokens.select("type", "severity")), sites)
-
-
 @_add("severity_summary", f"{_FLEET}, {_PAIR_CTES}, {_TOKENS} SELECT severity, count(*) AS n FROM (SELECT severity FROM pair UNION ALL SELECT severity FROM token) GROUP BY severity")
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.severity_summary(_found(spark)[0])
@@ -707,8 +669,3 @@ def fleet_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = (("alarm", "critical", 100), ("low", "high", 39), ("fine", "high", 40))
     codes = [gate.fleet_code(spark.sql(f"SELECT '{severity}' AS severity"), spark.sql(f"SELECT {score} AS score")).select(F.lit(fleet).alias("fleet"), "code") for fleet, severity, score in cases]
     return codes[0].unionByName(codes[1]).unionByName(codes[2])
-
-
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query: which hosts look alike."""
-    return host_similarity(spark, sf_dir)

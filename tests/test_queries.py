@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from tessera.plans import hosts
 from tessera.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -18,12 +19,15 @@ def duck():
     return con
 
 
+QUERIES, SQL = plans.QUERIES | hosts.QUERIES, plans.SQL | hosts.SQL
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, duck, name):
-    df = plans.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
-    found = duck.execute(plans.SQL[name])
+    found = duck.execute(SQL[name])
     names = [d[0] for d in found.description]
     want = sorted((tuple(x[names.index(c)] for c in cols) for x in found.fetchall()), key=str)
     got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
