@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.registry import java
+from tessera.registry import GENERIC_FONTS, java
 
 #: Lists of values in markup, (kind, pattern); the first group is the value.
 LISTS = {
@@ -168,8 +168,6 @@ def image_count(html: Column) -> Column:
 
 def font_families(html: Column) -> Column:
     """Families in font-family declarations without generic ones; commas inside brackets or quotes don't separate."""
-    from tessera.registry import GENERIC_FONTS
-
     values = F.regexp_extract_all(html, F.lit(r"(?i)font-family\s*:\s*([^;}<]+)"), F.lit(1))
     names = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(r"""((?:[^,("']|\([^)]*\)|"[^"]*"|'[^']*')+)"""), F.lit(1))))
     names = F.transform(names, lambda n: F.trim(F.regexp_replace(F.regexp_replace(F.trim(n), "^['\"]+|['\"]+$", ""), r"\s+", " ")))
@@ -177,8 +175,13 @@ def font_families(html: Column) -> Column:
     return F.array_distinct(F.filter(names, real))
 
 
+def robots(found: Column) -> Column:
+    """What the page's meta tags tell robots; without a tag for all of them, what they tell Google's."""
+    return F.coalesce(meta_of(found, "robots"), meta_of(found, "googlebot"))
+
+
 def noindex(html: Column, header: Column | None = None) -> Column:
-    own = F.coalesce(F.lower(meta(html, "robots")).contains("noindex"), F.lit(False))
+    own = F.coalesce(F.lower(robots(tags(html, "meta"))).contains("noindex"), F.lit(False))
     return own if header is None else own | F.coalesce(F.lower(header).contains("noindex"), F.lit(False))
 
 

@@ -8,6 +8,9 @@ them: by inclusion and exclusion over the sets of keys that sites hold, which is
 there, keys of one site none; sites with more than MOST keys left, whose subsets would be too many, are counted by pairs of
 classes of equal sites instead, which gives the same.
 
+Kinds of which the first shared key decides (`correlate.FIRST`) can't be told by keys alone: findings of them are counted by pairs,
+and similarity here is without them; pages don't have them.
+
 signals: (domain, kind, key, times); sites: (domain, ord, cluster), ord unique, cluster null for unclustered sites. Null keys
 share nothing. Rules are those of `correlate`.
 """
@@ -23,12 +26,12 @@ from tessera.registry import COMMODITY, FLEET_WIDE, PAIR_RULES, PENALTY, SUPPRES
 #: Keys of a site whose subsets are counted.
 MOST = 8
 #: Kinds of which each pair of installs counts.
-INSTALLS = ("umami_src",)
+INSTALLS = correlate.INSTALLS
 
 
 def members(signals: DataFrame, sites: DataFrame) -> DataFrame:
     """(kind, key, domain, ord, cluster, times): one row for each site and key."""
-    own = signals.where(F.col("key").isNotNull() & ~((F.col("kind") == "cloudflare") & (F.length("key") < 20)))
+    own = signals.where(F.col("key").isNotNull() & ~F.col("kind").isin(*correlate.FIRST) & ~((F.col("kind") == "cloudflare") & (F.length("key") < 20)))
     return own.groupBy("domain", "kind", "key").agg(F.sum("times").alias("times")).join(sites, "domain").select("kind", "key", "domain", "ord", "cluster", "times")
 
 
@@ -125,7 +128,8 @@ def finding_counts(signals: DataFrame, sites: DataFrame) -> DataFrame:
     wide = fleet_wide(signals)
     open_ = many.where(~F.col("kind").isin(*SUPPRESSIBLE)).unionByName(many.where(F.col("kind").isin(*SUPPRESSIBLE)).join(wide, "key", "left_anti").select(*many.columns))
     each = links(open_, ["kind", "key"]).groupBy("kind").agg(F.sum("same").alias("same"), F.sum("cross").alias("cross"))
-    both = each.unionByName(pairs_sharing(held.where(~F.col("kind").isin(*per_key)))).join(rules, "kind")
+    placed = correlate.pair_signals(signals.where(F.col("kind").isin(*correlate.FIRST)), sites).groupBy("kind").agg(F.count_if("same").alias("same"), F.count_if(~F.col("same")).alias("cross"))
+    both = each.unionByName(pairs_sharing(held.where(~F.col("kind").isin(*per_key)))).unionByName(placed).join(rules, "kind")
     sides = F.array(
         F.struct(F.coalesce("type_same", "type").alias("type"), F.col("sev_same").alias("severity"), F.col("same").alias("n")), F.struct(F.col("type"), F.col("sev_cross").alias("severity"), F.col("cross").alias("n"))
     )

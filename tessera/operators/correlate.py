@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.registry import COLLAPSE, COMMODITY, FLEET_WIDE, PAIR_RULES, PENALTY, SUPPRESSIBLE, TOKEN_RULES
+from tessera.registry import COLLAPSE, COMMODITY, DEFAULT_SITEMAP, FLEET_WIDE, PAIR_RULES, PENALTY, SUPPRESSIBLE, TOKEN_RULES
 
 
 #: Kinds of which each pair of installs counts, and kinds whose repeats at the first site of a pair count.
 INSTALLS, REPEATING = ("umami_src",), ("inline_script", "comment")
+#: Kinds of which the first shared key, in the order of a pair's first site, decides: none is told if it is this one.
+FIRST = {"sitemap_path": DEFAULT_SITEMAP, "cookie": ""}
 #: Points of two sites registered within a week.
 REGISTRATION_POINTS = 10
 
@@ -30,10 +32,11 @@ def pair_signals(signals: DataFrame, sites: DataFrame) -> DataFrame:
     rules = F.broadcast(_pair_rules(signals))  # of fixed size
     # Without a column `times`, the rows of a site and key are how often it holds the key.
     times = F.sum(F.col("times") if "times" in signals.columns else F.lit(1)).cast("long").alias("times")
-    own = signals.where(F.col("key").isNotNull()).groupBy("domain", "kind", "key").agg(times).join(sites, "domain")
+    place = F.min(F.col("pos") if "pos" in signals.columns else F.lit(0)).alias("pos")
+    own = signals.where(F.col("key").isNotNull()).groupBy("domain", "kind", "key").agg(times, place).join(sites, "domain")
     # Ids count as fleet-wide by their occurrences, whichever kind they are of.
     counts = own.where(F.col("kind").isin(*SUPPRESSIBLE, "umami_id")).groupBy("key").agg((F.sum("times") >= 3).alias("wide"))
-    left = own.join(counts, "key", "left").select("kind", "key", F.col("domain").alias("a"), F.col("ord").alias("oa"), F.col("cluster").alias("ca"), F.col("times").alias("ta"), F.coalesce("wide", F.lit(False)).alias("wide"))
+    left = own.join(counts, "key", "left").select("kind", "key", F.col("domain").alias("a"), F.col("ord").alias("oa"), F.col("cluster").alias("ca"), F.col("times").alias("ta"), F.struct("pos", "key").alias("place"), F.coalesce("wide", F.lit(False)).alias("wide"))
     right = own.select("kind", "key", F.col("domain").alias("b"), F.col("ord").alias("ob"), F.col("cluster").alias("cb"), F.col("times").alias("tb"))
     met = left.join(right, ["kind", "key"]).where("oa < ob AND NOT (kind = 'cloudflare' AND length(key) < 20)")
     # Repeats at the first site count for lists that keep them; of installs each pair counts.
@@ -41,7 +44,10 @@ def pair_signals(signals: DataFrame, sites: DataFrame) -> DataFrame:
     same = F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
     shared = met.withColumn("same", same).join(rules, "kind").withColumn("one", F.when(F.col("per_key"), F.col("key")))
     keys = ["a", "b", "kind", "same", "one", "type", "type_same", "pts_same", "pts_cross", "sev_same", "sev_cross", "per_key"]
-    return shared.groupBy(*keys).agg(F.sum(n).alias("n"), F.min("wide").alias("wide"), F.array_join(F.sort_array(F.collect_list("key")), ", ").alias("detail"))
+    out = shared.groupBy(*keys).agg(F.sum(n).alias("n"), F.min("wide").alias("wide"), F.min("place").alias("lead"), F.array_join(F.sort_array(F.collect_list("key")), ", ").alias("detail"))
+    for kind, usual in FIRST.items():
+        out = out.where((F.col("kind") != kind) | (F.col("lead.key") != usual))
+    return out.drop("lead")
 
 
 def similarity(signals: DataFrame, sites: DataFrame, near: DataFrame | None = None) -> DataFrame:

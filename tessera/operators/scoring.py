@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import markup, records
-from tessera.registry import AD_NETWORKS, ADULT_RATING, AFFILIATES, COMMODITY_COLLECTORS, FORM_PROVIDERS, KEYWORDS, LEGAL_SEGMENT, PROVIDER_DIRECTIVES, REDIRECT, RTA_LABEL, WEIGHT, java
+from tessera.registry import AD_NETWORKS, ADULT_RATING, AFFILIATES, COMMODITY_COLLECTORS, FORM_PROVIDERS, KEYWORDS, LEGAL_SEGMENT, PROVIDER_DIRECTIVES, REDIRECT, RTA_LABEL, TECHNOLOGIES, WEIGHT, java
 
 
 def directive(csp: Column, name: str) -> Column:
@@ -147,7 +147,7 @@ def seo_checks(pages: DataFrame) -> DataFrame:
         "page_id", "url", markup.title(html).alias("title"), markup.meta(html, "description").alias("about"), markup.canonical(html).alias("canonical"),
         markup.cards(html, "property", "og").alias("og"), markup.cards(html, "name", "twitter").alias("tw"), markup.first(html, r"""(?i)<html[^>]+lang=["']([^"']+)["']""").alias("lang"),
         markup.meta(html, "viewport").alias("viewport"), html.contains("application/ld+json").alias("structured"), markup.noindex(html).alias("noindex"),
-        html.rlike(r"(?i)<link[^>]+hreflang=").alias("hreflang"),
+        html.rlike(r"(?i)<link[^>]+hreflang\s*=").alias("hreflang"),
     )
     half = lambda w, zero: F.lit(w // 2 if zero is None else zero)
     rows = [F.when(on, F.struct(F.lit(n).alias("check"), F.lit(w).alias("weight"), r.alias("rating"), half(w, zero).alias("some"))) for n, w, r, zero, on in checks]
@@ -292,10 +292,12 @@ def classify(scores: DataFrame, sites: DataFrame, errors: DataFrame) -> DataFram
     return both.select("domain", known.alias("classified"), F.when(~known, F.coalesce("error", F.lit("no HTML body"))).alias("error"), adult.alias("is_adult"), F.coalesce("score", F.lit(0)).alias("score"), "cluster", (clean & adult).alias("violation"))
 
 
-def dmarc_fix(domains: DataFrame, mailbox: str = "dmarc") -> DataFrame:
-    """(domain, fix) from (domain, dmarc): the record to publish where the policy isn't enforced in full."""
+def dmarc_fix(domains: DataFrame) -> DataFrame:
+    """(domain, fix) from (domain, dmarc, contact): the record to publish where the policy isn't enforced in full. Reports go where
+    the record sends them now, else to the contact (see `signals.contacts`), else to the postmaster; contact may be left out."""
     d = records.dmarc(F.col("dmarc"))
-    rua = F.concat(F.lit(f"{mailbox}@"), F.col("domain"))
+    known = [F.lower(F.get(d["rua"], F.lit(0))), *([F.col("contact")] if "contact" in domains.columns else [])]
+    rua = F.coalesce(*known, F.concat(F.lit("postmaster@"), F.col("domain")))
     txt = lambda policy, more="": F.concat(F.lit("v=DMARC1; p="), policy, F.lit(f"{more}; rua=mailto:"), rua)
     strict = d["policy"].isin("reject", "quarantine")
     fix = F.when(F.coalesce(strict, F.lit(False)), F.when(d["pct"] < 100, txt(d["policy"], "; pct=100"))).otherwise(txt(F.lit("quarantine")))
@@ -384,4 +386,6 @@ def ranked_technologies(found: DataFrame) -> DataFrame:
     """(domain, name, confidence, rank) of detections from markup, headers and records (domain, name, confidence): of a name the surest,
     and each site's in order of confidence."""
     best = found.groupBy("domain", "name").agg(F.max("confidence").alias("confidence"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy(F.col("confidence").desc(), "name")))
+    place = F.array_position(F.array(*map(F.lit, TECHNOLOGIES)), F.col("name"))  # equal ones in the order of the registry, others behind
+    order = Window.partitionBy("domain").orderBy(F.col("confidence").desc(), F.when(place > 0, place).otherwise(len(TECHNOLOGIES) + 1), "name")
+    return best.withColumn("rank", F.row_number().over(order))

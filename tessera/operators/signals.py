@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import markup, records
 from tessera.operators import correlate
-from tessera.registry import ACCOUNT_COLLECTORS, CDN_SCRIPTS, COMMODITY_SPF, CRITICAL_ACCOUNTS, DEFAULT_SITEMAP, IGNORED_ACCOUNTS, PRIVACY
+from tessera.registry import ACCOUNT_COLLECTORS, CDN_SCRIPTS, COMMODITY_SPF, CRITICAL_ACCOUNTS, IGNORED_ACCOUNTS, PRIVACY
 
 _STRINGS = "array<string>"
 
@@ -61,9 +61,17 @@ def exposed_identifiers(scans: DataFrame) -> DataFrame:
     return scans.select("domain", F.explode(F.concat(*each)).alias("e")).select("domain", "e.value", "e.source").distinct()
 
 
+def contacts(scans: DataFrame) -> DataFrame:
+    """(domain, contact): the mailbox to which a site's reports may go, if its DMARC record names none: the first of security.txt, of
+    CAA iodef records, of the page."""
+    written = F.transform(_some(F.col("robots.securityTxtContacts")), lambda x: F.regexp_replace(x, "(?i)^mailto:", ""))
+    lists = (F.filter(written, lambda x: x.rlike(r"^\S+@\S+$")), _addresses(_some(F.col("dns.caa")), "iodef"), _some(F.col("html.emails")))
+    return scans.select("domain", F.lower(F.coalesce(*[F.get(x, F.lit(0)) for x in lists])).alias("contact"))
+
+
 def of_scans(scans: DataFrame) -> DataFrame:
-    """(domain, kind, key) of scan records, by the kinds of the rule tables, a row for each time that a site lists the key; contact
-    e-mails that are report mailboxes of the fleet are left out."""
+    """(domain, kind, key, pos) of scan records, by the kinds of the rule tables, a row for each time that a site lists the key, with
+    its place in the list; contact e-mails that are report mailboxes of the fleet are left out."""
     c = F.col
     one = lambda x: F.array_compact(F.array(x))
     text = lambda x: F.array_compact(F.array(F.when(x != "", x)))
@@ -94,16 +102,17 @@ def of_scans(scans: DataFrame) -> DataFrame:
         "comment": _some(c("html.comments")), "favicon": text(c("assets.faviconHash")), "css": hashes("assets.cssHashes", lambda u: F.lit(True)), "js": hashes("assets.jsHashes", lambda u: ~_third_party(u)),
         "js_cdn": hashes("assets.jsHashes", _third_party), "font": F.transform(_some(c("assets.fontSources")), lambda u: F.substring_index(F.substring_index(u, "/", -1), "?", 1)),
         "form_endpoint": _some(c("html.formEndpoints")), "form_provider": _some(c("security.formProviders")), "twitter_site": text(F.element_at("html.twitterCards", F.lit("twitter:site"))),
-        "robots": text(c("robots.robotsTxtHash")), "ads_txt": text(c("robots.adsTxtHash")), "sitemap_path": F.filter(F.transform(_some(c("robots.sitemapUrls")), records.url_path), lambda p: p != DEFAULT_SITEMAP),
+        "robots": text(c("robots.robotsTxtHash")), "ads_txt": text(c("robots.adsTxtHash")), "sitemap_path": F.transform(_some(c("robots.sitemapUrls")), records.url_path),
         "sitemap_hash": text(c("robots.sitemapHash")), "ads_pubid": _some(c("robots.adsTxtPubIds")), "redirect_path": _some(c("robots.affiliateRedirectPaths")), "server": text(c("http.serverHeader")),
-        "cookie": F.filter(F.transform(_some(c("http.setCookies")), lambda x: F.substring_index(x, "=", 1)), lambda x: x != ""), "report_mailbox": _report_mailboxes(), "caa_account": accounts,
+        "cookie": F.transform(_some(c("http.setCookies")), lambda x: F.substring_index(x, "=", 1)), "report_mailbox": _report_mailboxes(), "caa_account": accounts,
         "google_verification": text(c("dns.googleVerification")), "ms_verification": text(c("dns.microsoftVerification")), "facebook_verification": text(c("dns.facebookVerification")),
     }
-    each = [markup.tagged(v, k, value="key") for k, v in kinds.items()]
-    found = scans.select("domain", F.explode(F.concat(*each)).alias("s")).select("domain", "s.kind", "s.key")
-    mails = exposed_identifiers(scans).select("domain", F.lit("email").alias("kind"), F.col("value").alias("key")).distinct()
+    placed = lambda values, kind: F.transform(values, lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("key"), i.alias("pos")))
+    each = [placed(v, k) for k, v in kinds.items()]
+    found = scans.select("domain", F.explode(F.concat(*each)).alias("s")).select("domain", "s.kind", "s.key", "s.pos")
+    mails = exposed_identifiers(scans).select("domain", F.lit("email").alias("kind"), F.col("value").alias("key")).distinct().withColumn("pos", F.lit(0))
     taken = found.where("kind = 'report_mailbox'").select("key").distinct()
-    return found.unionByName(mails.join(taken, "key", "left_anti").select("domain", "kind", "key"))
+    return found.unionByName(mails.join(taken, "key", "left_anti").select("domain", "kind", "key", "pos"))
 
 
 def registrations(scans: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ EXTRA = (
     '<script src="https://stats.example/umami.js" data-website-id="01234567-89ab-cdef-0123-456789abcdef"></script><a href="mailto:Info@Fleet.example?subject=x">mail</a><style>body{font-family: Inter, "Open, Sans", sans-serif} @font-face{src:url(/f/a.woff2)}</style><link rel="stylesheet" href="/a.css">',
     '<meta property="og:title" content="T"><meta content="D" property="og:description"><meta property="og:image" content="/i.png"><meta property="og:type" content="article"><meta name="rating" content="Mature"><img alt="a bondage set"><p>RTA-5042-1996-1400-1577-RTA</p><script>load("//a.exoclick.com/x"); var mark = 1</script>',
     """<meta name="robots" content="noindex, follow"><script>fbq('init', '123456789012345')</script><svg></svg><div style="background: url(a.png)"></div><script src="https://pagead2.googlesyndication.com/a.js"></script><a href="/go/offer">o</a><script>GTM-ABCD12</script>""",
-    "",
+    '<META CONTENT="NoIndex" NAME="googlebot">',
 )
 PAGES = "SELECT page_id, url, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, concat(coalesce(html, ''), CASE CAST(page_id % 7 AS INT) " + " ".join(f"WHEN {k} THEN '{x.replace(chr(39), chr(39) * 2)}'" for k, x in enumerate(EXTRA)) + " END) AS html FROM pages"
 
@@ -85,12 +85,12 @@ SCAN_SITES = _values("domain, ord, cluster", ("alpha.example", 0, "red"), ("beta
 #: What alpha and the others share, (kind, keys), worked out by hand.
 SCAN_SIGNALS = {
     "alpha.example": (
-        ("server", "cloudflare"), ("cookie", "sid"), ("ip", "192.0.2.1"), ("nameserver", "ns1.host.example"), ("mx", "mx.mail.example"), ("txt", "k=1"), ("spf_ip", "192.0.2.9"), ("spf_include", "relay.beta.example"),
+        ("server", "cloudflare"), ("cookie", "sid"), ("cookie", ""), ("ip", "192.0.2.1"), ("nameserver", "ns1.host.example"), ("mx", "mx.mail.example"), ("txt", "k=1"), ("spf_ip", "192.0.2.9"), ("spf_include", "relay.beta.example"),
         ("report_endpoint", "acme.report-uri.com/r"), ("report_endpoint", "acme.report-uri.com"), ("report_endpoint", "c.example/x"), ("ga4", "G-1"), ("ga4", "G-2"), ("plausible_src", "https://p.alpha.example/js/x.js"),
         ("plausible_domain", "alpha.example"), ("umami_src", "/u.js"), ("umami_id", "w1"), ("account_critical", "Hotjar\t1"), ("account_high", "Crisp Website\tc"), ("registrar", "Names"), ("tls_issuer", "R3"), ("tls_san", "alpha.example"),
         ("head", "h"), ("body", "b"), ("inline_script", "i"), ("comment", "c"), ("form_endpoint", "f"), ("twitter_site", "@f"), ("sameas", "s"), ("favicon", "v"), ("css", "c1"), ("js", "j1"), ("js_cdn", "j2"), ("font", "inter.woff2"),
         ("form_provider", "tally.so"), ("report_mailbox", "d@beta.example"), ("report_mailbox", "sec@alpha.example"), ("caa_account", "https://acme.example/1"), ("google_verification", "g1"), ("email", "info@fleet.example"),
-        ("email", "sec2@alpha.example"), ("robots", "r"), ("ads_txt", "a"), ("ads_pubid", "pub-1"), ("sitemap_path", "/map/x.xml"), ("sitemap_hash", "m"), ("redirect_path", "/go/"),
+        ("email", "sec2@alpha.example"), ("robots", "r"), ("ads_txt", "a"), ("ads_pubid", "pub-1"), ("sitemap_path", "/sitemap.xml"), ("sitemap_path", "/map/x.xml"), ("sitemap_hash", "m"), ("redirect_path", "/go/"),
     ),
     "beta.example": (("spf_include", "_spf.alpha.example"), ("report_mailbox", "d@beta.example"), ("registrant", "Acme"), ("ga4", "G-1"), ("ga4", "G-2")),
     "delta.example": (("google_verification", "g1"), ("caa_account", "https://acme.example/1")),

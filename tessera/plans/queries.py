@@ -64,7 +64,7 @@ def _meta_sql(name: str) -> str:
 
 @_add("page_head", f"""{WITH_PAGES} SELECT page_id, nullif(replace(replace(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), '&amp;', '&'), '&#233;', 'é'), '') AS title,
   {_ext('''(?i)<html[^>]+lang=["']([^"']+)["']''')} AS lang, {", ".join(f"{_meta_sql(n)} AS {n}" for n in ("generator", "description", "viewport", "robots"))},
-  {_ext('''(?i)<link[^>]+rel=['"]canonical['"][^>]+href=['"]([^'"]+)['"]/?>''')} AS canonical, coalesce({_meta_sql("robots")} LIKE '%noindex%', false) AS noindex FROM p""")
+  {_ext('''(?i)<link[^>]+rel=['"]canonical['"][^>]+href=['"]([^'"]+)['"]/?>''')} AS canonical, coalesce(lower(coalesce({_meta_sql("robots")}, {_meta_sql("googlebot")})) LIKE '%noindex%', false) AS noindex FROM p""")
 def page_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     metas = [markup.meta(html, n).alias(n) for n in ("generator", "description", "viewport", "robots")]
@@ -189,7 +189,7 @@ def content_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEO = f"""{WITH_PAGES}, s AS (SELECT page_id, url, coalesce(length(nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), '')), 0) AS t, coalesce(length({_meta_sql("description")}), 0) AS d,
-  page_id % 7 = 0 AS og, page_id % 7 = 4 AS og_all, page_id % 7 = 1 AS card, page_id % 7 = 5 AS noindex, html LIKE '%application/ld+json%' AS ld, regexp_matches(html, '(?i)<link[^>]+hreflang=') AS hl,
+  page_id % 7 = 0 AS og, page_id % 7 = 4 AS og_all, page_id % 7 = 1 AS card, page_id % 7 IN (5, 6) AS noindex, html LIKE '%application/ld+json%' AS ld, regexp_matches(html, '(?i)<link[^>]+hreflang=') AS hl,
   {_ext('''(?i)<html[^>]+lang=["']([^"']+)["']''')} IS NOT NULL AS lang, {_meta_sql("viewport")} IS NOT NULL AS vp, page_id % 7 = 0 AS canon,
   regexp_matches(url, '(?i)^[^?#]*/(?:privacy|privacy-policy|terms|terms-of-service|terms-and-conditions|legal|imprint|cookie|cookies|cookie-policy|cookies-policy)(?:[/?#]|$)') AS legal FROM p),
   c AS (SELECT page_id, 'Title' AS "check", 15 AS weight, CASE WHEN t = 0 THEN 'missing' WHEN t BETWEEN 25 AND 65 THEN 'good' ELSE 'warning' END AS rating, 7 AS half FROM s
@@ -473,7 +473,7 @@ def _scans(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 @_add("scan_signals", "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{k}', {q(x)})" for d, rows in fx.SCAN_SIGNALS.items() for k, x in rows) + ") AS t(domain, kind, key)")
 def scan_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.of_scans(_scans(spark)[0])
+    return signals.of_scans(_scans(spark)[0]).select("domain", "kind", "key")
 
 
 @_add("scan_links", "SELECT * FROM (VALUES ('report-address-on-fleet-domain', 'critical', 'alpha.example', 'beta.example', 'd@beta.example'), ('spf-references-fleet-domain', 'critical', 'alpha.example', 'beta.example', 'relay.beta.example')) AS t(type, severity, domain, target, key)")
@@ -518,9 +518,10 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.classify(spark.sql(fx.SCORES), spark.sql(fx.SITES).select("domain", "cluster"), spark.sql(fx.ERRORS))
 
 
-@_add("dmarc_fixes", "SELECT * FROM (VALUES ('beta.example', 'v=DMARC1; p=quarantine; rua=mailto:dmarc@beta.example'), ('gamma.example', 'v=DMARC1; p=quarantine; pct=100; rua=mailto:dmarc@gamma.example'), ('delta.example', 'v=DMARC1; p=quarantine; rua=mailto:dmarc@delta.example'), ('eps.example', 'v=DMARC1; p=quarantine; rua=mailto:dmarc@eps.example')) AS t(domain, fix)")
+@_add("dmarc_fixes", "SELECT * FROM (VALUES ('beta.example', 'v=DMARC1; p=quarantine; rua=mailto:postmaster@beta.example'), ('gamma.example', 'v=DMARC1; p=quarantine; pct=100; rua=mailto:postmaster@gamma.example'), ('delta.example', 'v=DMARC1; p=quarantine; rua=mailto:sec@delta.example'), ('eps.example', 'v=DMARC1; p=quarantine; rua=mailto:q@eps.example')) AS t(domain, fix)")
 def dmarc_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.dmarc_fix(spark.sql(fx.MAIL))
+    contact = F.when(F.col("domain").isin("delta.example", "eps.example"), F.concat(F.lit("sec@"), "domain"))
+    return scoring.dmarc_fix(spark.sql(fx.MAIL).withColumn("contact", contact))
 
 
 @_add("header_notes", "SELECT * FROM (VALUES ('alpha.example', 'Access-Control-Allow-Origin', '* (host default; override in _headers)'), ('alpha.example', 'HTML comments', '2 comment(s)'), ('alpha.example', 'CSP script allow-list', 'https://evil.example'), ('beta.example', 'Access-Control-Allow-Origin', '*')) AS t(domain, note, value)")
@@ -534,7 +535,7 @@ def site_seo_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.site_seo_checks(spark.sql(fx.SITE_SEO))
 
 
-@_add("seo_skips", f"{WITH_PAGES} SELECT page_id, unnest(['Canonical URL', 'Hreflang', 'Structured Data']) AS \"check\", 'noindex' AS reason FROM p WHERE page_id % 7 = 5")
+@_add("seo_skips", f"{WITH_PAGES} SELECT page_id, unnest(['Canonical URL', 'Hreflang', 'Structured Data']) AS \"check\", 'noindex' AS reason FROM p WHERE page_id % 7 IN (5, 6)")
 def seo_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.seo_skips(_pages(spark, sf_dir))
 
@@ -546,9 +547,9 @@ def hosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.hosting(spark.sql(f"SELECT * FROM {rows} AS t(domain, h, html, cname)"))
 
 
-@_add("ranked_technologies", "SELECT * FROM (VALUES ('a.example', 'Astro', 100, 1), ('a.example', 'Cloudflare', 100, 2), ('a.example', 'React', 85, 3), ('b.example', 'Nginx', 100, 1)) AS t(domain, name, confidence, rank)")
+@_add("ranked_technologies", "SELECT * FROM (VALUES ('a.example', 'Astro', 100, 1), ('a.example', 'WordPress', 100, 2), ('a.example', 'Cloudflare', 100, 3), ('a.example', 'Caddy', 100, 4), ('a.example', 'Amber', 100, 5), ('a.example', 'React', 85, 6), ('b.example', 'Nginx', 100, 1)) AS t(domain, name, confidence, rank)")
 def ranked_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.ranked_technologies(spark.sql("SELECT * FROM VALUES ('a.example', 'React', 85), ('a.example', 'Astro', 95), ('a.example', 'Astro', 100), ('a.example', 'Cloudflare', 100), ('b.example', 'Nginx', 100) AS t(domain, name, confidence)"))
+    return scoring.ranked_technologies(spark.sql("SELECT * FROM VALUES ('a.example', 'React', 85), ('a.example', 'Astro', 95), ('a.example', 'Astro', 100), ('a.example', 'Caddy', 100), ('a.example', 'Amber', 100), ('a.example', 'Cloudflare', 100), ('a.example', 'WordPress', 100), ('b.example', 'Nginx', 100) AS t(domain, name, confidence)"))
 
 
 @_add("asset_hashes", """SELECT 1 AS page_id, * FROM (VALUES ('favicon', 'https://a.example/favicon.ico', substr(md5(base64('icon'::BLOB)), 1, 12)), ('css', 'https://a.example/a.css', substr(md5('p{}'), 1, 12)), ('css', 'https://a.example/gone.css', substr(md5('https://a.example/gone.css'), 1, 12)),
@@ -564,7 +565,7 @@ _GATE = f"""WITH s AS ({fx.GATES}), u AS ({fx.ROUTES}), f AS (
   SELECT domain, '/' AS route, 'http' AS name, CAST(status AS VARCHAR) AS value FROM s WHERE status >= 400 UNION ALL SELECT domain, '/', 'adult', cluster FROM s WHERE is_adult AND cluster IS NOT NULL AND lower(cluster) NOT LIKE 'adult%'
   UNION ALL SELECT domain, '/', 'noindex', NULL FROM s WHERE noindex UNION ALL SELECT domain, '/', 'security', CAST(coalesce(security, 0) AS VARCHAR) FROM s WHERE coalesce(security, 0) < 60 UNION ALL SELECT domain, '/', 'security.txt', NULL FROM s WHERE NOT security_txt
   UNION ALL SELECT domain, '/', 'SPF', spf_rating FROM s WHERE spf_rating <> 'good' UNION ALL SELECT domain, '/', 'DMARC', dmarc_rating FROM s WHERE dmarc_rating <> 'good' UNION ALL SELECT domain, '/', 'errors', CAST(errors AS VARCHAR) FROM s WHERE errors > 0
-  UNION ALL SELECT domain, route, 'route', CAST(status AS VARCHAR) FROM u WHERE status IS NULL OR status NOT BETWEEN 200 AND 299 UNION ALL SELECT domain, route, 'noindex', NULL FROM u WHERE status BETWEEN 200 AND 299 AND noindex UNION ALL SELECT domain, route, 'seo', CAST(seo AS VARCHAR) FROM u WHERE status BETWEEN 200 AND 299 AND seo < 50)"""
+  UNION ALL SELECT domain, route, 'route', CAST(status AS VARCHAR) FROM u WHERE status IS NULL OR status NOT BETWEEN 200 AND 299 UNION ALL SELECT domain, route, 'noindex', NULL FROM u WHERE status BETWEEN 200 AND 299 AND noindex)"""
 
 
 def _gates(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
