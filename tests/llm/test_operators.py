@@ -14,6 +14,7 @@ import pytest
 import xxhash
 
 from tessera.llm import dedup, lines, media, mixing, neighbours, packing, pages, pii, quality, toxicity
+from tessera.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __x int"
@@ -107,6 +108,25 @@ def test_near_dedup_cells_hold_all_pairs(spark, docs, monkeypatch):
     assert sorted(map(tuple, dedup.near_copies(docs).collect())) == want
 
 
+def test_lines_of_one_hash_are_told_apart_by_the_other(spark):
+    """Runs whose 64 bits agree by chance, but not the 32 others, are no repeats."""
+    rows = [(1, 10, (77, 1), 0), (2, 20, (77, 2), 0), (3, 30, (77, 1), 4), (4, 40, (78, 1), 0)]
+    prints = spark.createDataFrame(rows, "d long, uid long, g struct<a:long,b:int>, k int")
+    with Scratch(spark) as s:
+        assert sorted((r.d, r.later) for r in lines._again(s, prints, "test").collect()) == [(1, False), (3, True)]
+
+
+def test_lines_count_words_between_any_blanks(spark):
+    texts = ["a b  c", " a\tb", "", "   ", "a\x0bb c", "a \r\n", "é ü.", "one two three. four"]
+    with Scratch(spark) as s:
+        rows = lines._lines(s, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.d: len(r.h) for r in rows} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: 2}
+    long = " ".join(["w"] * 24)
+    both = [f"{long} x.\n", f"{long}  x.\n", f"{long}\tx.\n", f"{long}.\n"]
+    got = {r.doc_id: r.n_lines_removed for r in lines.digest(spark.createDataFrame([(10 * k + j, t) for k, t in enumerate(both) for j in (0, 1)], "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 10: 0, 11: 1, 20: 0, 21: 1, 30: 0, 31: 0}
+
+
 def test_lines_delete_later_runs_only(spark):
     run = " ".join(f"w{k}" for k in range(60)) + "."
     texts = [(1, f"Start here. {run} End."), (2, f"Another start.\n{run}\nOther end."), (3, "Nothing shared here."), (4, run + " " + run), (5, "a\x01b. " + run)]
