@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.markup import let
 from tessera.registry import ONE_CLICK_DNSSEC, REDIRECT_PATHS, STATUS_TEXTS
 
 
@@ -104,7 +105,7 @@ def publishers(ads_txt: Column) -> Column:
 
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 
 
 def _private_v4(a: Column, b: Column) -> Column:
@@ -114,40 +115,52 @@ def _private_v4(a: Column, b: Column) -> Column:
     )
 
 
-def _groups(ip: Column) -> Column:
+def groups(ip: Column) -> Column:
     """The eight numbers of an IPv6 address, with `::` filled up and a dotted end made two numbers; null if it is none."""
-    text = F.lower(F.substring_index(ip, "%", 1))
-    tail = F.regexp_extract(text, rf"^[0-9a-f:]*:({_V4})$", 1)
-    part = F.transform(F.split(tail, r"\."), lambda x: x.try_cast("int"))
-    two = lambda i: F.lower(F.hex((F.get(part, F.lit(i)) * 256 + F.get(part, F.lit(i + 1))).cast("long")))
-    text = F.when(tail != "", F.concat(F.regexp_extract(text, rf"^([0-9a-f:]*:){_V4}$", 1), two(0), F.lit(":"), two(2))).otherwise(text)
-    halves = F.split(text, "::", -1)
-    named = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda x: x != "")
-    fill = 8 - F.size(named(0)) - F.size(named(1))
-    full = F.when(F.size(halves) == 1, named(0)).when((F.size(halves) == 2) & (fill >= 0), F.concat(named(0), F.array_repeat(F.lit("0"), fill), named(1)))
-    valid = (F.size(full) == 8) & F.forall(full, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(valid, F.transform(full, lambda x: F.conv(x, 16, 10).cast("int")))
+
+    def numbers(octets: Column) -> Column:
+        two = lambda i: F.lower(F.hex((F.get(octets, F.lit(i)) * 256 + F.get(octets, F.lit(i + 1))).cast("long")))
+        return F.concat(two(0), F.lit(":"), two(2))
+
+    def undotted(text: Column) -> Column:
+        parts = F.transform(F.split(F.substring_index(text, ":", -1), r"\."), lambda x: x.try_cast("int"))
+        return F.when(text.rlike(rf"^[0-9a-f:]*:{V4}$"), F.concat(F.regexp_extract(text, rf"^([0-9a-f:]*:){V4}$", 1), let(parts, numbers))).otherwise(text)
+
+    def filled(halves: Column) -> Column:
+        named = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda x: x != "")
+        one = lambda left, right, fill: F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (fill >= 0), F.concat(left, F.array_repeat(F.lit("0"), fill), right))
+        return let(named(0), lambda left: let(named(1), lambda right: let(8 - F.size(left) - F.size(right), lambda fill: one(left, right, fill))))
+
+    def checked(full: Column) -> Column:
+        valid = (F.size(full) == 8) & F.forall(full, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(valid, F.transform(full, lambda x: F.conv(x, 16, 10).cast("int")))
+
+    text = let(F.lower(F.substring_index(ip, "%", 1)), undotted)
+    return let(let(F.split(text, "::", -1), filled), checked)
 
 
 def is_private(ip: Column) -> Column:
     """Whether an address must not be fetched: private, loopback, link-local, shared, reserved or multicast, or no address at all."""
     part = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("int"))
     v4 = _private_v4(F.get(part, F.lit(0)), F.get(part, F.lit(1)))
-    g = _groups(ip)
+    return let(groups(ip), lambda g: _is_private(ip, v4, g))
+
+
+def _is_private(ip: Column, v4: Column, g: Column) -> Column:
     at = lambda i: F.get(g, F.lit(i))
     zero = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
     mapped = (zero(5) & (at(5) == 0xFFFF)) | zero(6)
     inner = _private_v4(F.shiftright(at(6), 8), at(6).bitwiseAND(F.lit(0xFF)))
     wide = (at(0).bitwiseAND(F.lit(0xFE00)) == 0xFC00) | (at(0).bitwiseAND(F.lit(0xFFC0)) == 0xFE80) | (at(0).bitwiseAND(F.lit(0xFF00)) == 0xFF00)
     v6 = F.when(g.isNull(), True).when(zero(7) & at(7).isin(0, 1), True).when(mapped, inner).otherwise(wide)
-    return F.when(ip.isNull(), True).when(ip.rlike(rf"^{_V4}$"), v4).when(ip.contains(":"), v6).otherwise(True)
+    return F.when(ip.isNull(), True).when(ip.rlike(rf"^{V4}$"), v4).when(ip.contains(":"), v6).otherwise(True)
 
 
 def fetch_allowed(url: Column, target_host: Column, answers: Column) -> Column:
     """Whether a page may make us fetch a URL: http(s) only; the target's own host; else no private address among the answers
     (addresses that its host resolves to; a literal address stands for itself)."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]+)", 1)), r"^\[|\]$", "")
-    literal = host.rlike(rf"^{_V4}$") | host.contains(":")
+    literal = host.rlike(rf"^{V4}$") | host.contains(":")
     resolved = F.coalesce(F.size(answers), F.lit(0)) > 0
     public = F.when(literal, ~is_private(host)).otherwise(resolved & F.coalesce(F.forall(answers, lambda x: ~is_private(x)), F.lit(False)))
     return F.coalesce((host != "") & ((host == F.lower(target_host)) | public), F.lit(False))

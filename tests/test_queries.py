@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import hosts
+from tessera.plans import evidence, hosts
 from tessera.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -14,12 +14,12 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("pages", "lineitem"):
+    for name in ("documents", "pages", "lineitem"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
 
-QUERIES, SQL = plans.QUERIES | hosts.QUERIES, plans.SQL | hosts.SQL
+QUERIES, SQL = plans.QUERIES | hosts.QUERIES | evidence.QUERIES, plans.SQL | hosts.SQL | evidence.SQL
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
