@@ -77,21 +77,12 @@ def _fingerprints(h: Column, windows: Column) -> Column:
 
 def _lines(s: Scratch, docs: DataFrame) -> DataFrame:
     """(d, uid, h, h2, at, w, f): hashes and number of each line with words, windows, their fingerprints; a table of s, a row a document."""
-    # Between single spaces words are counted by the spaces, which is faster than by a pattern.
-    plain = ~F.lit(False)
-    for blanks in ("  ", "\t", "\r", "\x0b", "\x0c"):
-        plain = plain & ~F.contains("text", F.lit(blanks))
-
-    def one(part: Column, at: Column) -> Column:
-        def hashed(x: Column) -> Column:
-            spaces = F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
-            n = F.when(F.col("plain"), F.when(x != "", spaces + 1).otherwise(0)).otherwise(F.regexp_count(x, F.lit(WORD)))
-            return F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("h2"), n.alias("n"), at.alias("at"))
-
-        return let(F.trim(part, F.lit(" \t\r\n")), hashed)
+    def one(x: Column, at: Column) -> Column:
+        bare = F.trim(x, F.lit(" \t\r\n"))
+        return F.struct(F.xxhash64(bare).alias("h"), F.hash(bare).alias("h2"), F.regexp_count(x, F.lit(WORD)).alias("n"), at.alias("at"))
 
     lines = F.filter(F.transform(_parts(F.col("text")), one), lambda x: x["n"] > 0)
-    rows = docs.where(F.col("text").isNotNull()).withColumn("plain", plain).select(*_key(), lines.alias("l"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.where(F.col("text").isNotNull()).select(*_key(), lines.alias("l"), F.monotonically_increasing_id().alias("row"))
     rows = rows.select(*KEY, F.col("l.h").alias("h"), F.col("l.h2").alias("h2"), F.col("l.at").alias("at"), _windows(F.col("l.n")).alias("w"), "row")
     rows = s.write(rows.select(*KEY, "h", "h2", "at", "w", _fingerprints(F.col("h"), F.col("w")).alias("f"), "row"), "lines")
     # Repeated rows are few, if any: only they are dealt out, not all lines.
