@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import markup
+from tessera.functions import markup, matcher
 from tessera.registry import ACCOUNT_IDS, DNS_TOKENS, FORM_ENDPOINTS, PREFIX, java, literal
 
 
@@ -34,7 +34,10 @@ def account_hits(html: Column) -> Column:
 
 def account_ids(pages: DataFrame) -> DataFrame:
     """Distinct (page_id, name, id)."""
-    return pages.select("page_id", F.explode(account_hits(F.col("html"))).alias("h")).select("page_id", "h.name", "h.id")
+    rules = [(p, name, PREFIX.get(name, "")) for name, p in ACCOUNT_IDS if name != "Umami Script Source"]
+    tried = matcher.tried(pages.select("page_id", "html"), "html", rules, "pattern string, name string, prefix string")
+    found = tried.select("page_id", "name", "prefix", F.explode(F.regexp_extract_all("html", F.col("regex"), F.lit(1))).alias("id")).where("id <> ''")
+    return found.select("page_id", "name", F.concat("prefix", "id").alias("id")).distinct()
 
 
 def dns_tokens(records: DataFrame) -> DataFrame:

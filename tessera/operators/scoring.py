@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import markup, records
+from tessera.functions import markup, matcher, records
 from tessera.registry import AD_NETWORKS, ADULT_RATING, AFFILIATES, COMMODITY_COLLECTORS, FORM_PROVIDERS, KEYWORDS, LEGAL_SEGMENT, PROVIDER_DIRECTIVES, REDIRECT, RTA_LABEL, TECHNOLOGIES, WEIGHT, java
 
 
@@ -193,23 +193,24 @@ def _network(value: Column, table) -> Column:
     return out
 
 
-def _keyword_rows(text: str, low: str) -> Column:
-    """array<struct<pattern, severity, hits, first>> of the keywords in a column of text."""
-    rows = []
-    for severity, patterns in KEYWORDS.items():
-        for p in patterns:
-            regex = java(rf"(?i)\b(?:{p})\b")
-            # The letters that every match begins with are searched for first, which is far cheaper than the pattern.
-            begins = re.match(r"[a-z0-9]+(?![?a-z0-9])|[a-z0-9]+(?=[a-z0-9]\?)", p)[0]
-            one = F.struct(F.lit(p).alias("pattern"), F.lit(severity).alias("severity"), F.regexp_count(text, F.lit(regex)).cast("long").alias("hits"), F.regexp_extract(text, regex, 0).alias("first"))
-            rows.append(F.when(F.contains(F.col(low), F.lit(begins)), one))
-    return F.filter(F.array(*rows), lambda r: r.isNotNull() & (r["hits"] > 0))
+def keyword_rules(low: bool = True) -> list[tuple]:
+    """(pattern, keyword, severity, place) of the keywords, those of low severity only if asked for."""
+    some = [(p, severity) for severity, patterns in KEYWORDS.items() if low or severity != "low" for p in patterns]
+    return [(rf"(?i)\b(?:{p})\b", p, severity, k) for k, (p, severity) in enumerate(some)]
+
+
+def keyword_hits(texts: DataFrame, text: str, low: bool = True) -> DataFrame:
+    """Rows of texts with (keyword, severity, place, hits, first) of each keyword in the column `text`."""
+    rules = keyword_rules(low)
+    tried = matcher.tried(texts, text, rules, "pattern string, keyword string, severity string, place int", inner=[r[1] for r in rules])
+    hits = tried.withColumn("hits", F.regexp_count(F.col(text), F.col("regex")).cast("long")).where("hits > 0")
+    return hits.withColumn("first", F.expr(f"regexp_extract({text}, regex, 0)")).drop("rule", "regex", "pattern")
 
 
 def keyword_signals(pages: DataFrame) -> DataFrame:
     """(page_id, pattern, severity, hits, first) of each keyword in the visible text."""
-    text = pages.select("page_id", markup.visible_text(F.col("html")).alias("text")).withColumn("low", F.lower("text"))
-    return text.select("page_id", F.explode(_keyword_rows("text", "low")).alias("s")).select("page_id", "s.*")
+    texts = pages.select("page_id", markup.visible_text(F.col("html")).alias("text"))
+    return keyword_hits(texts, "text").select("page_id", F.col("keyword").alias("pattern"), "severity", "hits", "first")
 
 
 def _links(html: Column) -> Column:
@@ -244,34 +245,32 @@ def ad_networks(pages: DataFrame) -> DataFrame:
 
 
 def content_signals(pages: DataFrame) -> DataFrame:
-    """(page_id, type, value, severity, weight) of what marks content as adult, from one pass over (page_id, host, html): keywords,
-    a keyword in the host's name, image texts, the rating tag, the RTA label, affiliate links and ad networks."""
+    """(page_id, type, value, severity, weight) of what marks content as adult, in (page_id, host, html): keywords, a keyword in the
+    host's name, image texts, the rating tag, the RTA label, affiliate links and ad networks. The texts in which keywords are
+    looked for are rows: the visible one, the host's name, each image's."""
     html = F.col("html")
-    text = pages.select("page_id", "html", "host", markup.visible_text(html).alias("text"), _scripts(html).alias("s")).withColumn("low", F.lower("text"))
-    times = lambda n: F.when(n >= 10, 2.0).when(n >= 3, 1.5).otherwise(1.0)
-    row = lambda kind, value, severity, weight: F.struct(F.lit(kind).alias("type"), value.alias("value"), severity.alias("severity"), weight.alias("weight"))
-    one, critical = F.lit(1.0), F.lit("critical")
-    loud = [(p, severity) for severity, patterns in KEYWORDS.items() if severity != "low" for p in patterns]
-
-    def worst(value: Column) -> Column:
-        """Severity of the first keyword in a short text, those of low severity aside; null without any."""
-        some = F.when(value.rlike(java("(?i)\\b(?:" + "|".join(p for p, _ in loud) + ")\\b")), F.lit(True))
-        hits = [F.when(value.rlike(java(rf"(?i)\b(?:{p})\b")), severity) for p, severity in loud]
-        return F.when(some, F.coalesce(*hits))
-
+    critical = F.lit("critical")
+    row = lambda kind, value, severity: F.struct(F.lit(kind).alias("type"), value.alias("value"), severity.alias("severity"))
     rating = F.regexp_extract(html, r"""(?i)<meta[^>]+name=['"]rating['"][^>]+content=['"]([^'"]+)['"]""", 1)
-    alts = F.transform(F.regexp_extract_all(html, F.lit(r"""(?i)alt=['"]([^'"]+)['"]"""), F.lit(1)), lambda x: F.struct(x.alias("alt"), worst(x).alias("severity")))
+    seen = pages.select("page_id", "html", _scripts(html).alias("s"))
     parts = [
-        F.transform(_keyword_rows("text", "low"), lambda k: row("keyword", F.concat(k["first"], F.lit(" (×"), k["hits"].cast("string"), F.lit(")")), k["severity"], times(k["hits"]))),
-        F.array(row("domain_name", F.col("host"), worst(F.regexp_replace("host", "[.-]", " ")), one)),
-        F.transform(alts, lambda x: row("image_alt", F.substring(x["alt"], 1, 60), x["severity"], one)),
-        F.array(row("meta_rating", rating, F.when(rating.rlike(ADULT_RATING), critical), one)),
-        F.array(row("rta_label", F.lit("RTA-5042-1996-1400-1577-RTA"), F.when(html.contains("RTA-5042") & html.rlike(java(RTA_LABEL)), critical), one)),
-        F.transform(F.filter(_links(html), lambda x: x["adult"]), lambda x: row("affiliate", F.concat_ws(": ", x["network"], F.substring(x["url"], 1, 80)), critical, one)),
-        F.transform(F.filter(F.concat("s", _inline(html, F.col("s"))), lambda x: x["adult"]), lambda x: row("ad_network", F.concat_ws(": ", x["network"], F.substring(x["src"], 1, 80)), critical, one)),
+        F.array(row("meta_rating", rating, F.when(rating.rlike(ADULT_RATING), critical))),
+        F.array(row("rta_label", F.lit("RTA-5042-1996-1400-1577-RTA"), F.when(html.contains("RTA-5042") & html.rlike(java(RTA_LABEL)), critical))),
+        F.transform(F.filter(_links(html), lambda x: x["adult"]), lambda x: row("affiliate", F.concat_ws(": ", x["network"], F.substring(x["url"], 1, 80)), critical)),
+        F.transform(F.filter(F.concat("s", _inline(html, F.col("s"))), lambda x: x["adult"]), lambda x: row("ad_network", F.concat_ws(": ", x["network"], F.substring(x["src"], 1, 80)), critical)),
     ]
-    found = F.filter(F.concat(*parts), lambda x: x["severity"].isNotNull())
-    return text.select("page_id", F.explode(found).alias("x")).select("page_id", "x.*")
+    marks = seen.select("page_id", F.explode(F.filter(F.concat(*parts), lambda x: x["severity"].isNotNull())).alias("x")).select("page_id", "x.*", F.lit(1.0).alias("weight"))
+
+    text = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))
+    alts = F.transform(F.regexp_extract_all(html, F.lit(r"""(?i)alt=['"]([^'"]+)['"]"""), F.lit(1)), lambda x: text("image_alt", x))
+    texts = pages.select("page_id", "host", F.posexplode(F.concat(F.array(text("keyword", markup.visible_text(html)), text("domain_name", F.regexp_replace("host", "[.-]", " "))), alts)).alias("n", "t"))
+    hits = keyword_hits(texts.select("page_id", "host", "n", "t.type", "t.text"), "text")
+    times = F.when(F.col("hits") >= 10, 2.0).when(F.col("hits") >= 3, 1.5).otherwise(1.0)
+    words = hits.where("type = 'keyword'").select("page_id", "type", F.concat(F.col("first"), F.lit(" (×"), F.col("hits").cast("string"), F.lit(")")).alias("value"), "severity", times.alias("weight"))
+    # Of a short text the first keyword counts, those of low severity aside.
+    short = hits.where("type <> 'keyword' AND severity <> 'low'").groupBy("page_id", "n", "type").agg(F.min_by(F.struct("severity", "host", "text"), "place").alias("x"))
+    value = F.when(F.col("type") == "domain_name", F.col("x.host")).otherwise(F.substring("x.text", 1, 60))
+    return words.unionByName(short.select("page_id", "type", value.alias("value"), "x.severity", F.lit(1.0).alias("weight"))).unionByName(marks)
 
 
 def adult_score(pages: DataFrame, threshold: int = 30) -> DataFrame:
