@@ -5,21 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.registry import GENERIC_FONTS, java
-
-#: Lists of values in markup, (kind, pattern); the first group is the value.
-LISTS = {
-    "script_src": r"""(?i)<script[^>]+src=["']([^"']+)["']""",
-    "comment": r"<!--([\s\S]*?)-->",
-    "og_image": r"""(?i)<meta[^>]+(?:property|name)=["'](?:og|twitter):image["'][^>]+content=["']([^"']+)["']""",
-    "og_image_after": r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+(?:property|name)=["'](?:og|twitter):image["']""",
-    "hreflang": r"""(?i)<link[^>]+hreflang=["']([^"']+)["']""",
-    "font_source": r"""(?i)url\(['"]?([^'")]+\.(?:woff2?|ttf|otf|eot)[^'")]*)['"]?\)""",
-    "inline_style": r"(?i)<style[^>]*>([\s\S]*?)</style>",
-    "anchor": r"""(?i)<a\s[^>]*href=["']([^"']+)["']""",
-    "alt": r"""(?i)<img[^>]+alt=["']([^"']+)["']""",
-}
-
+from tessera.registry import ANY_ELEMENT, CANONICAL, GENERIC_FONTS, HEAD, BODY, JSON_LD, LISTS, META, STRUCTURE, TITLE, java
 
 def tagged(values: Column, tag: str, name: str = "kind", value: str = "value") -> Column:
     """Structs of a constant and each value."""
@@ -57,7 +43,7 @@ def decode_entities(text: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    found = decode_entities(F.trim(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]*)</title>", 1)))
+    found = decode_entities(F.trim(F.regexp_extract(html, TITLE, 1)))
     return F.when(found != "", found)
 
 
@@ -73,8 +59,7 @@ def let(value: Column, body) -> Column:
 
 def meta_of(found: Column, name: str) -> Column:
     """A named meta tag's content, from the page's meta tags: either order of the attributes, either quote; the first that isn't empty."""
-    pre, mark = r"(?i)<meta[^>]+", f"name=[\"']{name}[\"']"
-    patterns = (f'{pre}{mark}[^>]+content="([^"]*)"', f"{pre}{mark}[^>]+content='([^']*)'", f'{pre}content="([^"]*)"[^>]+{mark}', f"{pre}content='([^']*)'[^>]+{mark}")
+    patterns = [p.replace("NAME", name) for p in META]
     text = F.array_join(F.filter(found, lambda t: F.lower(t).contains(name)), "\n")
     return let(text, lambda t: F.when(t != "", decode_entities(F.trim(F.coalesce(*[first(t, p) for p in patterns])))))
 
@@ -104,7 +89,7 @@ def cards(html: Column, attribute: str, prefix: str) -> Column:
 
 
 def canonical(html: Column) -> Column:
-    return first(html, r"""(?i)<link[^>]+rel=['"]canonical['"][^>]+href=['"]([^'"]+)['"]/?>""")
+    return first(html, CANONICAL)
 
 
 def stylesheets(html: Column) -> Column:
@@ -121,8 +106,8 @@ def alternates(html: Column) -> Column:
 
 def head_hash(html: Column) -> Column:
     """Hash of the tags opened in the head; without a head, of nothing."""
-    head = F.regexp_extract(html, r"(?i)<head[^>]*>([\s\S]*?)</head>", 1)
-    return short_hash(F.array_join(F.regexp_extract_all(head, F.lit("(?i)<[a-z][a-z0-9]*"), F.lit(0)), ","))
+    head = F.regexp_extract(html, HEAD, 1)
+    return short_hash(F.array_join(F.regexp_extract_all(head, F.lit(ANY_ELEMENT), F.lit(0)), ","))
 
 
 def _without(text: Column, tag: str) -> Column:
@@ -132,8 +117,8 @@ def _without(text: Column, tag: str) -> Column:
 
 def body_hash(html: Column) -> Column:
     """Hash of name:class:id of the body's structural elements."""
-    body = F.regexp_replace(F.regexp_extract(html, r"(?i)<body[^>]*>([\s\S]*?)</body>", 1), r"<!--[\s\S]*?-->", "")
-    tags = F.regexp_extract_all(_without(_without(body, "script"), "style"), F.lit("(?i)<(?:header|nav|main|section|article|aside|footer|div)[^>]*"), F.lit(0))
+    body = F.regexp_replace(F.regexp_extract(html, BODY, 1), r"<!--[\s\S]*?-->", "")
+    tags = F.regexp_extract_all(_without(_without(body, "script"), "style"), F.lit(STRUCTURE), F.lit(0))
     part = lambda t: F.concat_ws(":", F.regexp_extract(t, "(?i)<([a-z]+)", 1), F.regexp_extract(t, r"""(?i)class=['"]([^'"]+)['"]""", 1), F.regexp_extract(t, r"""(?i)id=['"]([^'"]+)['"]""", 1))
     return short_hash(F.array_join(F.transform(tags, part), "|"))
 
@@ -187,5 +172,5 @@ def noindex(html: Column, header: Column | None = None) -> Column:
 
 def json_ld(html: Column) -> Column:
     """array<variant> of the items of ld+json blocks, those of @graph where there is one; malformed blocks are skipped."""
-    raw = F.regexp_extract_all(html, F.lit(r"""(?i)<script[^>]+type=["']application/ld\+json["'][^>]*>([\s\S]*?)</script>"""), F.lit(1))
+    raw = F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1))
     return F.filter(F.transform(raw, lambda x: F.try_parse_json(F.trim(x))), lambda x: x.isNotNull())
