@@ -33,7 +33,8 @@ from tessera.llm.components import components
 
 #: Places of two signatures that must agree: 0.75 of them less five standard errors.
 AGREE = 71
-GROUP_BYTES = 4_000_000
+#: Bytes of texts that are hashed at once; arrays of some forty times as many are made of them.
+GROUP_BYTES = 1_000_000
 #: Bytes of text on either side of a cell, about; more are dealt to more cells, in which all sides meet.
 CELL_BYTES = 8_000_000
 #: Nodes of a cell's left side that are compared at once.
