@@ -138,13 +138,7 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
     """One row a piece: doc_id, piece, start, length, ids (little-endian uint32)."""
     path = vocabulary or tokens.default_vocabulary()
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
-        bpe = tokens.load(path)
-        end = np.array([END], "<u4").tobytes()
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-        gc.disable()  # the word tables hold no cycles; the worker that runs this serves such tasks only
+    def cut(batches: Iterator[pa.RecordBatch], bpe: tokens.WordBpe, end: bytes, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             k = 0
@@ -163,7 +157,18 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
                         for col, value in zip(cols, (doc, piece, start, len(part) // 4, part)):
                             col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-        gc.enable()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
+        bpe = tokens.load(path)
+        end = np.array([END], "<u4").tobytes()
+        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+        gc.disable()  # the word tables hold no cycles
+        try:
+            yield from cut(batches, bpe, end, schema)
+        finally:
+            gc.enable()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids binary")
