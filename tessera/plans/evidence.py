@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import records
-from tessera.operators import addresses, brief, correlate, hosts, scoring
+from tessera.operators import addresses, brief, correlate, hosts, scan, scoring
 from tessera.plans import fixtures as fx
-from tessera.plans.hosts import _HOSTS, _MARKED, _PAIRS, _both, marked
+from tessera.plans.hosts import _ACCOUNTS, _HOSTS, _MARKED, _MANY, _ONE, _P, _PAIRS, _both, marked
+from tessera.plans.queries import _FACTS as _PAGE_FACTS
 from tessera.plans.queries import _SEO, Query, _pages, q
 from tessera.registry import ADDRESS_RANGES
 from tessera.sources import snapshots, tables
@@ -118,3 +119,21 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = uuid.uuid4().hex
     before, after = (snapshots.save(hosts.signals(p), f"hosts_{name}_{k}") for k, p in enumerate((_pages(spark, sf_dir), marked(spark, sf_dir))))
     return snapshots.drift(before, after)
+
+
+_JOIN = lambda values: f"array_to_string(coalesce({values}, []), '|')"
+_IDS = lambda name: f"coalesce((SELECT string_agg(id, '|' ORDER BY id) FROM acc WHERE acc.page_id = p.page_id AND name = {q(name)}), '')"
+
+
+@_add("page_scans", f"""WITH {_P}, {_ACCOUNTS} SELECT page_id, {_ONE['head']} AS head, {_ONE['generator']} AS generator, {_JOIN(_MANY['inline_script'])} AS scripts, {_JOIN(_MANY['comment'])} AS comments, {_JOIN(_PAGE_FACTS['email'])} AS emails,
+  {_JOIN(f"list_sort({_MANY['form_endpoint']})")} AS forms, {_ONE['twitter_site']} AS twitter, {_JOIN(_PAGE_FACTS['font_source'])} AS fonts, {_IDS('GA4 Measurement ID')} AS ga4, {_IDS('GTM Container')} AS gtm, {_IDS('Facebook Pixel')} AS facebook, 'robots|http' AS errors FROM p""")
+def page_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan records of pages with the scanners that a score of search engine hints needs, analytics and assets."""
+    found = scan.scan(marked(spark, sf_dir), ["seo", "analytics", "assets"])
+    joined = lambda c: F.array_join(c, "|")
+    lists = {"scripts": "html.inlineScriptHashes", "comments": "html.comments", "emails": "html.emails", "fonts": "assets.fontSources"}
+    ids = {k: joined(F.sort_array(f"analytics.{k}")).alias(k) for k in ("ga4", "gtm", "facebook")}
+    return found.select(
+        "page_id", F.col("html.headStructureHash").alias("head"), F.col("html.metaGenerator").alias("generator"), *[joined(v).alias(k) for k, v in lists.items()], joined(F.sort_array("html.formEndpoints")).alias("forms"),
+        F.element_at("html.twitterCards", F.lit("twitter:site")).alias("twitter"), *ids.values(), joined(F.transform("errors", lambda e: e["scanner"])).alias("errors"),
+    )

@@ -8,8 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import addresses, brief
-from tessera.sources import snapshots
+from tessera.operators import addresses, brief, scan, signals
+from tessera.sources import snapshots, tables
 
 
 def own(text):
@@ -107,3 +107,25 @@ def test_stored_snapshots_are_compared_without_a_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert snapshots.drift(before, before).count() == 0
+
+
+def test_scanners_are_selected(spark, tmp_path):
+    assert scan.expanded(["seo", "html", "dns", "x"]) == ["seo", "html", "robots", "http", "dns", "x"] and scan.unknown(["seo", "x", "dns", "Html"]) == ["x", "Html"]
+    html = '<head><meta name="generator" content="G"><script>var a = 1234567;</script></head><body><a href="mailto:A@b.example">m</a><!-- some note --> GTM-ABCD12 hjid: 123456</body>'
+    spark.createDataFrame([(1, "https://a.example/", html), (2, "https://b.example/", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    pages = tables.pages(spark, str(tmp_path))
+    rows = {r.page_id: r for r in scan.scan(pages, ["html", "analytics", "dns"]).collect()}
+    assert rows[1].html.metaGenerator == "G" and rows[1].html.emails == ["a@b.example"] and rows[1].analytics.gtm == ["GTM-ABCD12"] and rows[1].analytics.other[0]["name"] == "Hotjar"
+    assert rows[1].assets is None and [e.scanner for e in rows[1].errors] == ["dns"] and rows[2].analytics.gtm == []
+    with pytest.raises(ValueError, match="unknown scanners: x"):
+        scan.scan(pages, ["html", "x"])
+    some, none = (plan_of(spark.read.parquet(str(tmp_path / "pages.parquet")).withColumn("host", F.col("url")).transform(scan.scan, only)) for only in (["seo", "analytics"], ["dns"]))
+    assert some.count("FileScan") == 1 and "html:string" in some and "html:string" not in none
+    assert len(scan.scan(pages).first().errors) == 8 and scan.scan(pages.limit(0)).count() == 0
+
+
+def test_scan_records_of_pages_meet_the_rules(spark):
+    pages = spark.createDataFrame([(1, "a.example", "<!-- shared note -->hjid: 123456"), (2, "b.example", "<!-- shared note -->hjid: 123456")], "page_id long, host string, html string")
+    records = scan.scan(pages, ["html", "analytics"]).select(F.to_json(F.struct("domain", "html", "analytics")).alias("j")).select(F.from_json("j", tables.SNAPSHOT).alias("r")).select("r.*")
+    found = {(r.kind, r.key) for r in signals.of_scans(records).collect()}
+    assert ("comment", "shared note") in found and ("account_critical", "Hotjar\t123456") in found
