@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words kept by a Python worker.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Longest pre-token, in bytes, that is merged in numpy.
 LONGEST = 48
 NONE = np.int32(2**31 - 1)
