@@ -1,7 +1,7 @@
 """What the hosts of a page table share: (domain, kind, key, times), for the rules on pairs and on keys of many sites.
 
-One scan: a page's signals are one array, exploded and counted by host (Umami installs, whose parts are matched by their places, are
-rows of their own). Kinds that a site has one of (structure hashes, generator,
+A page's signals are one array, exploded and counted by host; account ids, of which there are many patterns, and Umami installs, whose
+parts are matched by their places, are rows of their own. Kinds that a site has one of (structure hashes, generator,
 twitter:site) come from its lowest page; all others from all of its pages, with the number of times that they occur there.
 """
 
@@ -26,25 +26,19 @@ def _one(value: Column) -> Column:
     return F.array_compact(F.array(F.when(value != "", value)))
 
 
-def account_keys(hits: Column) -> Column:
-    """array<struct<kind, key>> of account ids (name, id): those of rules of their own, and the others by how telling they are."""
-
-    def one(h: Column) -> Column:
-        own = F.lit(None).cast("string")
-        for name, kind in ACCOUNT_KINDS.items():
-            own = F.when(h["name"] == name, kind).otherwise(own)
-        script = h["id"].rlike(r"\.js(?:\?|$)") | h["id"].contains("/")
-        own = F.when(h["name"] == "Plausible Domain", F.when(script, F.when(~h["id"].contains("plausible.io/"), "plausible_src")).otherwise("plausible_domain")).otherwise(own)
-        rest = F.when(h["name"].isin(*CRITICAL_ACCOUNTS), "account_critical").otherwise("account_high")
-        other = ~h["name"].isin(*ACCOUNT_KINDS, "Plausible Domain", *IGNORED_ACCOUNTS)
-        kind = F.coalesce(own, F.when(other, rest))
-        return F.struct(kind.alias("kind"), F.when(other, F.concat_ws("\t", h["name"], h["id"])).otherwise(h["id"]).alias("key"))
-
-    return F.filter(F.transform(hits, one), lambda x: x["kind"].isNotNull())
+def account_kind(name: Column, id_: Column) -> tuple[Column, Column]:
+    """Kind and key of an account id: of a rule of its own, or of all others by how telling they are; null if it is no signal."""
+    script = id_.rlike(r"\.js(?:\?|$)") | id_.contains("/")
+    kind = F.when(name == "Plausible Domain", F.when(~script, "plausible_domain").when(~id_.contains("plausible.io/"), "plausible_src"))
+    for own, rule in ACCOUNT_KINDS.items():
+        kind = kind.when(name == own, rule)
+    other = ~name.isin(*ACCOUNT_KINDS, "Plausible Domain", *IGNORED_ACCOUNTS)
+    kind = kind.when(other, F.when(name.isin(*CRITICAL_ACCOUNTS), "account_critical").otherwise("account_high"))
+    return kind, F.when(other, F.concat_ws("\t", name, id_)).otherwise(id_)
 
 
 def page_signals(html: Column) -> Column:
-    """array<struct<kind, key>> of a page, repeats included."""
+    """array<struct<kind, key>> of a page without its account ids, repeats included."""
     items = F.flatten(F.transform(markup.json_ld(html), lambda v: F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v))))
     same = F.flatten(F.transform(items, lambda v: F.coalesce(F.try_variant_get(v, "$.sameAs", "array<string>"), F.array_compact(F.array(F.try_variant_get(v, "$.sameAs", "string"))))))
     forms = F.array_distinct(F.concat(*[markup.every(html, p) for p in FORM_ENDPOINTS]))
@@ -55,12 +49,15 @@ def page_signals(html: Column) -> Column:
         "inline_script": markup.inline_hashes(html, "script"), "css": markup.inline_hashes(html, "style"), "comment": markup.comments(html), "email": markup.emails(html), "font": fonts, "form_endpoint": forms,
         "sameas": F.array_distinct(F.filter(same, lambda x: x.isNotNull())),
     }
-    return F.concat(*[_tagged(values, kind) for kind, values in kinds.items()], account_keys(identifiers.account_hits(html)))
+    return F.concat(*[_tagged(values, kind) for kind, values in kinds.items()])
 
 
 def signals(pages: DataFrame) -> DataFrame:
     """(domain, kind, key, times) of the hosts of pages (page_id, host, html); times: how often the host's pages hold the key."""
     each = pages.select(F.col("host").alias("domain"), "page_id", F.explode(page_signals(F.col("html"))).alias("s")).select("domain", "page_id", "s.*")
+    kind, key = account_kind(F.col("name"), F.col("id"))
+    accounts = identifiers.account_ids(pages, ("host", "page_id")).select(F.col("host").alias("domain"), "page_id", kind.alias("kind"), key.alias("key")).where("kind IS NOT NULL")
+    each = each.unionByName(accounts)
     single = F.col("kind").isin(*SINGLE)
     counted = each.groupBy("domain", "kind", F.when(~single, F.col("key")).alias("many")).agg(F.min_by("key", "page_id").alias("one"), F.count(F.lit(1)).alias("n"))
     found = counted.select("domain", "kind", F.coalesce("many", "one").alias("key"), F.when(single, F.lit(1)).otherwise(F.col("n")).cast("long").alias("times"))

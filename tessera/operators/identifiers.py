@@ -32,12 +32,12 @@ def account_hits(html: Column) -> Column:
     return markup.let(F.lower(html), found)
 
 
-def account_ids(pages: DataFrame) -> DataFrame:
-    """Distinct (page_id, name, id)."""
+def account_ids(pages: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Distinct (keys, name, id); keys: columns of pages to keep."""
     rules = [(p, name, PREFIX.get(name, "")) for name, p in ACCOUNT_IDS if name != "Umami Script Source"]
-    tried = matcher.tried(pages.select("page_id", "html"), "html", rules, "pattern string, name string, prefix string")
-    found = tried.select("page_id", "name", "prefix", F.explode(F.regexp_extract_all("html", F.col("regex"), F.lit(1))).alias("id")).where("id <> ''")
-    return found.select("page_id", "name", F.concat("prefix", "id").alias("id")).distinct()
+    tried = matcher.tried(pages.select(*keys, "html"), "html", rules, "pattern string, name string, prefix string")
+    found = tried.select(*keys, "name", "prefix", F.explode(F.regexp_extract_all("html", F.col("regex"), F.lit(1))).alias("id")).where("id <> ''")
+    return found.select(*keys, "name", F.concat("prefix", "id").alias("id")).distinct()
 
 
 def dns_tokens(records: DataFrame) -> DataFrame:
