@@ -79,6 +79,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 keys = shingles.band_keys(sig)
                 cols = [batch.column(0).slice(first, len(texts)), [len(s) for s in sets], digests, list(low), list(keys)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_shingles long, node binary, sig array<long>, bands array<long>")
@@ -174,6 +175,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sides[side[x]].add(ids[x:y], groups[x:y], sig[x:y], batch.column("text").slice(x, y - x).to_pylist())
     if cell is not None:
         yield done()
+    del sides
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def _joined(s: Scratch, members: DataFrame, texts: DataFrame) -> DataFrame:
