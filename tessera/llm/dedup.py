@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import shingles
+from tessera.llm import shingles, tokens
 from tessera.llm.common import Scratch, free_name
 from tessera.llm.components import components
 
@@ -70,6 +70,7 @@ def sign(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             for first, texts in _groups(batch.column(1)):
                 hashes, bounds = shingles.shingle_hashes(texts)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import tokens
 from tessera.llm.common import Scratch, held_out, training_labels
 
 #: Shrinkage towards the pooled covariance, then towards a multiple of the identity, and a least part of it, which keeps
@@ -81,6 +82,7 @@ def features(docs: DataFrame) -> DataFrame:
     """(doc_id, x array<double>) of every row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             x = [statistics(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
@@ -167,6 +169,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         model = fit(s.write(features(docs), "quality-features"), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             x = np.array([statistics(t.as_py() or "") for t in batch.column("text")]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= THRESHOLD, pa.bool_()))

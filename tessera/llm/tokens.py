@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words kept by a Python worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Longest pre-token, in bytes, that is merged in numpy.
 LONGEST = 48
 NONE = np.int32(2**31 - 1)
@@ -155,3 +155,8 @@ class WordBpe:
 @lru_cache(2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
+
+
+def forget() -> None:
+    """Gives up the words that this Python worker has kept; workers outlive the tasks and stages that they run."""
+    load.cache_clear()
