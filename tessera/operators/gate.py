@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def failures(sites: DataFrame, routes: DataFrame, threshold: int = 60, need_security_txt: bool = False, expect_noindex: bool = False, need_email_auth: bool = False) -> DataFrame:
-    """(domain, route, name, value) of each failed gate. security.txt and e-mail authentication are asked for on demand only,
-    and so are SEO scores (`seo_failures`).
+def failures(sites: DataFrame, routes: DataFrame, threshold: int = 60, need_security_txt: bool = False, expect_noindex: bool = False, need_email_auth: bool = False, min_seo: int | None = None) -> DataFrame:
+    """(domain, route, name, value) of each failed gate. security.txt, e-mail authentication and a least SEO score of routes are asked
+    for on demand only; `seo_failures` tells SEO scores with the checks that fail.
 
     sites: domain, cluster, status, is_adult, noindex, security, security_txt, spf_rating, dmarc_rating, errors; routes: domain,
     route, status, noindex, seo. A row's gates are branches of one expression, so sites are read once.
@@ -26,7 +26,7 @@ def failures(sites: DataFrame, routes: DataFrame, threshold: int = 60, need_secu
     row = lambda route, n, c, v: F.when(c, F.struct(route.alias("route"), F.lit(n).alias("name"), v.alias("value")))
     spread = lambda df, route, some: df.select("domain", F.explode(F.array_compact(F.array(*[row(route, *g) for g in some]))).alias("g")).select("domain", "g.*")
     ok = F.coalesce(F.col("status").between(200, 299), F.lit(False))
-    on_routes = [("route", ~ok, text("status")), ("noindex", ok & F.col("noindex") & F.lit(not expect_noindex), F.lit(None).cast("string"))]
+    on_routes = [("route", ~ok, text("status")), ("noindex", ok & F.col("noindex") & F.lit(not expect_noindex), F.lit(None).cast("string")), ("seo", ok & (F.col("seo") < F.lit(min_seo)), text("seo"))]
     return spread(sites, F.lit("/"), gates).unionByName(spread(routes, F.col("route"), on_routes))
 
 

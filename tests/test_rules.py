@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import markup
 from tessera.operators import correlate, gate, scoring, signals
+from tessera.plans import queries as plans
 from tessera.sources import tables
 
 
@@ -95,6 +96,20 @@ def test_low_seo_scores_fail_on_demand_only(spark):
     assert gate.seo_failures(scores, checks).count() == 0 and gate.seo_failures(scores, checks, min_seo=50).count() == 1
 
 
+def test_low_seo_scores_of_routes_fail_when_asked_for(spark):
+    sites = spark.createDataFrame([("a.example", None, 200, False, False, 90, True, "good", "good", 0)], "domain string, cluster string, status int, is_adult boolean, noindex boolean, security int, security_txt boolean, spf_rating string, dmarc_rating string, errors int")
+    routes = spark.createDataFrame([("a.example", "/low", 200, False, 5), ("a.example", "/high", 200, False, 50), ("a.example", "/gone", 404, False, 5), ("a.example", "/none", 200, False, None)], "domain string, route string, status int, noindex boolean, seo int")
+    failed = gate.failures(sites, routes, min_seo=50)
+    assert sorted(map(tuple, failed.collect())) == [("a.example", "/gone", "route", "404"), ("a.example", "/low", "seo", "5")]
+    assert {(r.route, r.name): (r.k, r.n) for r in gate.rollup(failed, sites).collect()} == {("/gone", "route"): (1, 1), ("/low", "seo"): (1, 1)}
+
+
+def test_the_gate_queries_hold_the_seo_gate(spark):
+    assert [r.route for r in plans.gate_failures(spark, "").where("name = 'seo'").collect()] == ["/about"]
+    assert plans.gate_rollup(spark, "").where("name = 'seo'").count() == 1
+    assert {r.domain: r.code for r in plans.gate_exit_codes(spark, "").collect()}["gamma.example"] == 1
+
+
 def test_hreflang_with_spaces(spark):
     pages = spark.createDataFrame([(1, "https://a.example/", '<link rel="alternate" hreflang = "de" href="/de">'), (2, "https://a.example/", '<link rel="alternate" href="/hreflang">')], "page_id long, url string, html string")
     assert {r.page_id: r.rating for r in scoring.seo_checks(pages).where("check = 'Hreflang'").collect()} == {1: "good", 2: "warning"}
