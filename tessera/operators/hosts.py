@@ -23,7 +23,8 @@ def _tagged(values: Column, kind: str) -> Column:
 
 
 def _one(value: Column) -> Column:
-    return F.array_compact(F.array(F.when(value != "", value)))
+    """The value in an array, unless it is null or empty; it is computed once."""
+    return F.filter(F.array(value), lambda x: x != "")
 
 
 def account_kind(name: Column, id_: Column) -> tuple[Column, Column]:
