@@ -173,3 +173,22 @@ def unreachable(scans: DataFrame) -> DataFrame:
     error = F.get(F.filter(F.coalesce("errors", F.array().cast("array<struct<scanner:string,error:string>>")), lambda e: e["scanner"] == "http"), F.lit(0))["error"]
     down = F.col("http").isNull() | (status >= 400)
     return scans.where(down).select("domain", F.coalesce(F.when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string"))), error, F.lit("no response")).alias("reason"))
+
+
+#: Pairs that a task makes or adds up: some hundred megabytes of them.
+TASK_PAIRS = 2_000_000
+
+
+def shared_counts(own: DataFrame, owner: str, key: str, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """(a, b, n): how many keys two owners share, a < b; own: distinct (owner, key), read three times.
+
+    A small table can make very many pairs, so the pairs, which are counted first, tell the number of tasks and not the bytes that Spark
+    sees. Pairs aren't added up before their shuffle: a task meets few of them twice, and would hold them all in the meantime.
+    """
+    held = own.where(F.col(owner).isNotNull() & F.col(key).isNotNull())
+    n = F.col("n").cast("decimal(20,0)")
+    pairs = held.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    tasks = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(pairs) // task_pairs))
+    side = lambda name: held.select(F.col(owner).alias(name), F.col(key).alias("key_")).repartition(tasks, "key_")
+    met = side("a").join(side("b").hint("merge"), "key_").where("a < b").select("a", "b")
+    return met.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))

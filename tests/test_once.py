@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import markup
-from tessera.operators import hosts, scoring
+from tessera.operators import correlate, hosts, scoring
 from tessera.registry import ACCOUNT_IDS, literal
 
 
@@ -42,3 +42,12 @@ def test_marks_stand_in_groups_too():
 def test_no_empty_single_signals(spark):
     df = spark.createDataFrame([("x",), ("",), (None,)], "v string")
     assert [r.x for r in df.select(hosts._one(F.col("v")).alias("x")).collect()] == [["x"], [], []]
+
+
+def test_pairs_tell_the_number_of_tasks(spark):
+    own = spark.range(40).selectExpr("id AS s").crossJoin(spark.range(3).selectExpr("id AS p")).unionByName(spark.sql("SELECT 99L AS s, CAST(null AS BIGINT) AS p"))
+    met = correlate.shared_counts(own, "s", "p", task_pairs=100)
+    assert met.rdd.getNumPartitions() == 24  # 3 * 780 pairs
+    rows = met.collect()
+    assert len(rows) == 780 and all(r.a < r.b and r.n == 3 for r in rows)
+    assert correlate.shared_counts(own.limit(0), "s", "p").count() == 0
