@@ -93,3 +93,15 @@ def test_products_beyond_64_bits(spark):
 
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_of_a_part_are_no_objects():
+    import tracemalloc
+
+    data = b"ab cd " * 200_000 + phrases.END + b" x "
+    tracemalloc.start()
+    tokens = phrases._tokens(data)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * len(data) and len(tokens) == 400_002 and tokens[-2:].to_pylist() == [phrases.END, b"x"]
+    assert phrases._tokens(b"").to_pylist() == [] == phrases._tokens(b"  ").to_pylist()
