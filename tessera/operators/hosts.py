@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import markup
 from tessera.operators import identifiers
-from tessera.registry import ACCOUNT_KINDS, CRITICAL_ACCOUNTS, FORM_ENDPOINTS, IGNORED_ACCOUNTS
+from tessera.registry import ACCOUNT_KINDS, CRITICAL_ACCOUNTS, FORM_ENDPOINTS, FORM_MARK, IGNORED_ACCOUNTS
 
 #: Kinds of which a site has the one of its lowest page.
 SINGLE = ("head", "body", "generator", "twitter_site")
@@ -42,12 +42,12 @@ def page_signals(html: Column) -> Column:
     """array<struct<kind, key>> of a page without its account ids, repeats included."""
     items = F.flatten(F.transform(markup.json_ld(html), lambda v: F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v))))
     same = F.flatten(F.transform(items, lambda v: F.coalesce(F.try_variant_get(v, "$.sameAs", "array<string>"), F.array_compact(F.array(F.try_variant_get(v, "$.sameAs", "string"))))))
-    forms = F.array_distinct(F.concat(*[markup.every(html, p) for p in FORM_ENDPOINTS]))
+    forms = F.when(html.rlike(FORM_MARK), F.array_distinct(F.concat(*[markup.every(html, p) for p in FORM_ENDPOINTS])))
     fonts = F.transform(markup.every(html, markup.LISTS["font_source"]), lambda u: F.substring_index(F.substring_index(u, "/", -1), "?", 1))
     twitter = F.filter(markup.cards(html, "name", "twitter"), lambda x: x["key"] == "twitter:site")
     kinds = {
         "head": _one(markup.head_hash(html)), "body": _one(markup.body_hash(html)), "generator": _one(markup.meta(html, "generator")), "twitter_site": F.transform(twitter, lambda x: x["value"]),
-        "inline_script": markup.inline_hashes(html, "script"), "css": markup.inline_hashes(html, "style"), "comment": markup.comments(html), "email": markup.emails(html), "font": fonts, "form_endpoint": forms,
+        "inline_script": markup.inline_hashes(html, "script"), "css": markup.inline_hashes(html, "style"), "comment": markup.comments(html), "email": markup.emails(html), "font": fonts, "form_endpoint": F.coalesce(forms, F.array().cast("array<string>")),
         "sameas": F.array_distinct(F.filter(same, lambda x: x.isNotNull())),
     }
     return F.concat(*[_tagged(values, kind) for kind, values in kinds.items()])
