@@ -59,7 +59,8 @@ def umami_pairs(pages: DataFrame) -> DataFrame:
     and of what stands between them, as patterns give no offsets. page_id names a page.
     """
     found, gaps = F.regexp_extract_all("html", F.lit(_EITHER), F.lit(0)), F.transform(F.split("html", _EITHER, -1), F.length)
-    tokens = pages.where(F.col("html").contains("umami")).select("page_id", F.posexplode(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))).alias("n", "t"))
+    # A page without an id has no pairs, whatever its sources.
+    tokens = pages.where(F.col("html").contains("umami") & F.col("html").contains("data-website-id=")).select("page_id", F.posexplode(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))).alias("n", "t"))
     so_far = Window.unboundedPreceding, Window.currentRow
     before, behind = (Window.partitionBy("page_id").orderBy(order).rowsBetween(*so_far) for order in (F.asc("n"), F.desc("n")))
     size = F.length("t.m")
