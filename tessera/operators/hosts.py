@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import markup
+from tessera.functions import markup, matcher
 from tessera.operators import identifiers
 from tessera.registry import ACCOUNT_KINDS, CRITICAL_ACCOUNTS, FORM_ENDPOINTS, FORM_MARK, IGNORED_ACCOUNTS
+from tessera.sources import tables
 
 #: Kinds of which a site has the one of its lowest page.
 SINGLE = ("head", "body", "generator", "twitter_site")
@@ -38,31 +39,51 @@ def account_kind(name: Column, id_: Column) -> tuple[Column, Column]:
     return kind, F.when(other, F.concat_ws("\t", name, id_)).otherwise(id_)
 
 
-def page_signals(html: Column) -> Column:
-    """array<struct<kind, key>> of a page without its account ids, repeats included."""
-    items = F.flatten(F.transform(markup.json_ld(html), lambda v: F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v))))
+#: Leads of fonts, mail links and ld+json, whose patterns are tried only where these are.
+_FONT, _LINK, _JSON = map(matcher.rare_lead, (r"url\(", "mailto:", r"ld\+json"))
+LEADS = identifiers.LEADS | {_FONT, _LINK, _JSON}
+
+
+def page_signals(html: Column, found: Column | None = None) -> Column:
+    """array<struct<kind, key>> of a page without its account ids, repeats included; found: those of LEADS that it holds."""
+    if found is None:
+        return markup.let(matcher.pairs_in(html, LEADS), lambda x: page_signals(html, x))
+    blocks = F.when(matcher.holds(found, _JSON), markup.json_ld(html)).otherwise(F.array().cast("array<variant>"))
+    items = F.flatten(F.transform(blocks, lambda v: F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v))))
     same = F.flatten(F.transform(items, lambda v: F.coalesce(F.try_variant_get(v, "$.sameAs", "array<string>"), F.array_compact(F.array(F.try_variant_get(v, "$.sameAs", "string"))))))
     forms = F.when(html.rlike(FORM_MARK), F.array_distinct(F.concat(*[markup.every(html, p) for p in FORM_ENDPOINTS])))
-    fonts = F.transform(markup.every(html, markup.LISTS["font_source"]), lambda u: F.substring_index(F.substring_index(u, "/", -1), "?", 1))
-    twitter = F.filter(markup.cards(html, "name", "twitter"), lambda x: x["key"] == "twitter:site")
+    urls = F.when(matcher.holds(found, _FONT), markup.every(html, markup.LISTS["font_source"])).otherwise(F.array().cast("array<string>"))
+    fonts = F.transform(urls, lambda u: F.substring_index(F.substring_index(u, "/", -1), "?", 1))
+    twitter = lambda tags: F.filter(markup.cards_of(tags, "name", "twitter"), lambda x: x["key"] == "twitter:site")
+    metas = lambda tags: F.concat(_tagged(_one(markup.meta_of(tags, "generator")), "generator"), _tagged(F.transform(twitter(tags), lambda x: x["value"]), "twitter_site"))
     kinds = {
-        "head": _one(markup.head_hash(html)), "body": _one(markup.body_hash(html)), "generator": _one(markup.meta(html, "generator")), "twitter_site": F.transform(twitter, lambda x: x["value"]),
-        "inline_script": markup.inline_hashes(html, "script"), "css": markup.inline_hashes(html, "style"), "comment": markup.comments(html), "email": markup.emails(html), "font": fonts, "form_endpoint": F.coalesce(forms, F.array().cast("array<string>")),
+        "head": _one(markup.head_hash(html)), "body": _one(markup.body_hash(html)),
+        "inline_script": markup.inline_hashes(html, "script"), "css": markup.inline_hashes(html, "style"), "comment": markup.comments(html), "email": markup.emails(html, links=matcher.holds(found, _LINK)), "font": fonts, "form_endpoint": F.coalesce(forms, F.array().cast("array<string>")),
         "sameas": F.array_distinct(F.filter(same, lambda x: x.isNotNull())),
     }
-    return F.concat(*[_tagged(values, kind) for kind, values in kinds.items()])
+    return F.concat(markup.let(markup.tags(html, "meta"), metas), *[_tagged(values, kind) for kind, values in kinds.items()])
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """(page_id, domain, signals, accounts, tokens): all that is read from a page, as arrays; a page is gone through once."""
+    html = F.col("html")
+    each = lambda found: F.struct(page_signals(html, found).alias("signals"), identifiers.account_hits(html, found).alias("accounts"))
+    one = pages.select("page_id", F.col("host").alias("domain"), markup.let(matcher.pairs_in(html, LEADS), each).alias("x"), identifiers.umami_tokens(html).alias("tokens"))
+    return one.select("page_id", "domain", "x.signals", "x.accounts", "tokens")
 
 
 def signals(pages: DataFrame) -> DataFrame:
     """(domain, kind, key, times) of the hosts of pages (page_id, host, html); times: how often the host's pages hold the key."""
-    each = pages.select(F.col("host").alias("domain"), "page_id", F.explode(page_signals(F.col("html"))).alias("s")).select("domain", "page_id", "s.*")
+    facts = tables.stored(page_facts(pages), "page-facts")
+    each = facts.select("domain", "page_id", F.explode("signals").alias("s")).select("domain", "page_id", "s.*")
     kind, key = account_kind(F.col("name"), F.col("id"))
-    accounts = identifiers.account_ids(pages, ("host", "page_id")).select(F.col("host").alias("domain"), "page_id", kind.alias("kind"), key.alias("key")).where("kind IS NOT NULL")
+    named = facts.select("domain", "page_id", F.explode("accounts").alias("h")).select("domain", "page_id", "h.*").distinct()
+    accounts = named.select("domain", "page_id", kind.alias("kind"), key.alias("key")).where("kind IS NOT NULL")
     each = each.unionByName(accounts)
     single = F.col("kind").isin(*SINGLE)
     counted = each.groupBy("domain", "kind", F.when(~single, F.col("key")).alias("many")).agg(F.min_by("key", "page_id").alias("one"), F.count(F.lit(1)).alias("n"))
     found = counted.select("domain", "kind", F.coalesce("many", "one").alias("key"), F.when(single, F.lit(1)).otherwise(F.col("n")).cast("long").alias("times"))
-    installs = identifiers.umami_pairs(pages).join(pages.select("page_id", F.col("host").alias("domain")), "page_id").where("src <> ''")
+    installs = identifiers.pairs_of(facts).join(facts.select("page_id", "domain"), "page_id").where("src <> ''")
     # An install is a website id; a site has it once.
     once = installs.groupBy("domain", "website_id").agg(F.min_by("src", "page_id").alias("key"))
     return found.unionByName(once.groupBy("domain", F.lit("umami_src").alias("kind"), "key").agg(F.count(F.lit(1)).alias("times")))

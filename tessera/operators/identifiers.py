@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,29 +16,31 @@ def _prefixed(values: Column, name: str) -> Column:
     return F.transform(values, lambda x: F.struct(F.lit(name).alias("name"), F.concat(F.lit(PREFIX.get(name, "")), x).alias("id")))
 
 
-def account_hits(html: Column) -> Column:
-    """array<struct<name, id>>, distinct. A pattern is searched for only where the letters that each of its matches holds are there."""
-    none = F.array().cast("array<string>")
+_RULES = [(name, p) for name, p in ACCOUNT_IDS if name != "Umami Script Source"]
+#: Leads of the patterns, which one search finds in a page.
+LEADS = {matcher.rare_lead(p) for _, p in _RULES} - {""}
 
-    def found(low: Column) -> Column:
-        hits = []
-        for name, p in ACCOUNT_IDS:
-            if name != "Umami Script Source":
-                mark = literal(p)
-                text, mark = (low, mark.lower()) if p.startswith("(?i)") else (html, mark)
-                values = markup.every(html, p)
-                hits.append(_prefixed(F.when(text.contains(mark), values).otherwise(none) if mark else values, name))
-        return F.array_distinct(F.concat(*hits))
 
-    return markup.let(F.lower(html), found)
+def account_hits(html: Column, found: Column | None = None) -> Column:
+    """array<struct<name, id>>, distinct. A pattern is searched for only where the letters that each of its matches holds are there.
+
+    found: the leads that the page holds, those of LEADS at least.
+    """
+    if found is None:
+        return markup.let(matcher.pairs_in(html, LEADS), lambda x: account_hits(html, x))
+    none, hits = F.array().cast("array<string>"), []
+    for name, p in _RULES:
+        lead, mark = matcher.rare_lead(p), literal(p)
+        tests = [matcher.holds(found, lead)] if lead else []
+        tests += [html.contains(mark)] if mark and not p.startswith("(?i)") else []
+        values = markup.every(html, p)
+        hits.append(_prefixed(F.when(reduce(and_, tests), values).otherwise(none) if tests else values, name))
+    return F.array_distinct(F.concat(*hits))
 
 
 def account_ids(pages: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Distinct (keys, name, id); keys: columns of pages to keep."""
-    rules = [(p, name, PREFIX.get(name, "")) for name, p in ACCOUNT_IDS if name != "Umami Script Source"]
-    tried = matcher.tried(pages.select(*keys, "html"), "html", rules, "pattern string, name string, prefix string")
-    found = tried.select(*keys, "name", "prefix", F.explode(F.regexp_extract_all("html", F.col("regex"), F.lit(1))).alias("id")).where("id <> ''")
-    return found.select(*keys, "name", F.concat("prefix", "id").alias("id")).distinct()
+    return pages.select(*keys, F.explode(account_hits(F.col("html"))).alias("h")).select(*keys, "h.name", "h.id").distinct()
 
 
 def dns_tokens(records: DataFrame) -> DataFrame:
@@ -48,23 +51,45 @@ def dns_tokens(records: DataFrame) -> DataFrame:
 
 #: A script source or a website id of an Umami install.
 _SOURCE, _SITE = (next(java(p) for n, p in ACCOUNT_IDS if n == name) for name in ("Umami Script Source", "Umami Website ID"))
-_EITHER = f"{_SOURCE}|{_SITE}"
+_EITHER = "=(?:" + "|".join(f"(?<={name}=){value}" for name, _, value in (p.partition("=") for p in (_SOURCE, _SITE))) + ")"
+
+
+def _has_installs(html: Column) -> Column:
+    return html.contains("umami") & html.contains("data-website-id=")
+
+
+def umami_tokens(html: Column) -> Column:
+    """array<struct<m, g>>: each source or id from its equals sign on, in order, and the length of what stands before it, if that matters; empty for a page
+    without ids, which has no pairs, whatever its sources. Equals signs are rare, first letters of attributes are not."""
+
+    def placed(found: Column) -> Column:
+        ids = F.filter(found, lambda m: ~m.contains("umami"))
+        # One id is the nearest one, wherever it stands.
+        gaps = F.when(F.size(ids) > 1, F.transform(F.split(html, _EITHER, -1), F.length)).otherwise(F.transform(found, lambda _: F.lit(0)))
+        return F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+
+    tokens = markup.let(F.regexp_extract_all(html, F.lit(_EITHER), F.lit(0)), placed)
+    return F.when(_has_installs(html), tokens).otherwise(F.array().cast("array<struct<m:string,g:int>>"))
 
 
 def umami_pairs(pages: DataFrame) -> DataFrame:
-    """(page_id, website_id, src): each script source, in order, goes to the nearest website id, if that has none yet.
+    """(page_id, website_id, src) of pages (page_id, html)."""
+    return pairs_of(pages.where(_has_installs(F.col("html"))).select("page_id", umami_tokens(F.col("html")).alias("tokens")))
+
+
+def pairs_of(pages: DataFrame) -> DataFrame:
+    """(page_id, website_id, src) of pages (page_id, tokens): each script source, in order, goes to the nearest website id, if that has none yet.
 
     Sources and ids are one list of rows by place, which two windows go through, forwards and backwards: the nearest id of a source
     is the last one before it or the first one behind it, the former if both are as far. Places are sums of the lengths of matches
     and of what stands between them, as patterns give no offsets. page_id names a page.
     """
-    found, gaps = F.regexp_extract_all("html", F.lit(_EITHER), F.lit(0)), F.transform(F.split("html", _EITHER, -1), F.length)
-    # A page without an id has no pairs, whatever its sources.
-    tokens = pages.where(F.col("html").contains("umami") & F.col("html").contains("data-website-id=")).select("page_id", F.posexplode(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))).alias("n", "t"))
+    tokens = pages.select("page_id", F.posexplode("tokens").alias("n", "t"))
     so_far = Window.unboundedPreceding, Window.currentRow
     before, behind = (Window.partitionBy("page_id").orderBy(order).rowsBetween(*so_far) for order in (F.asc("n"), F.desc("n")))
-    size = F.length("t.m")
-    placed = tokens.select("page_id", "n", F.col("t.m").startswith("src").alias("source"), F.regexp_extract("t.m", "=['\"]([^'\"]*)", 1).alias("value"), (F.sum(F.col("t.g") + size).over(before) - size).alias("at"))
+    size, source = F.length("t.m"), F.col("t.m").contains("umami")
+    name = F.when(source, F.lit(len("src"))).otherwise(F.lit(len("data-website-id")))  # letters before the equals sign
+    placed = tokens.select("page_id", "n", source.alias("source"), F.regexp_extract("t.m", "=['\"]([^'\"]*)", 1).alias("value"), (F.sum(F.col("t.g") + size).over(before) - size - name).alias("at"))
     own = F.when(~F.col("source"), F.struct("at", "value"))
     near = placed.select("page_id", "n", "source", "value", "at", F.last(own, True).over(before).alias("last"), F.last(own, True).over(behind).alias("next")).where("source")
     backwards = F.col("next").isNull() | (F.col("at") - F.col("last.at") <= F.col("next.at") - F.col("at"))
