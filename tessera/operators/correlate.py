@@ -7,10 +7,13 @@ pair findings are asked for; `token_findings` makes one row of such a key instea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessera.registry import COLLAPSE, COMMODITY, DEFAULT_SITEMAP, FLEET_WIDE, PAIR_RULES, PENALTY, SUPPRESSIBLE, TOKEN_RULES
+from tessera.sources import tables
 
 
 #: Kinds of which each pair of installs counts, and kinds whose repeats at the first site of a pair count.
@@ -175,20 +178,53 @@ def unreachable(scans: DataFrame) -> DataFrame:
     return scans.where(down).select("domain", F.coalesce(F.when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string"))), error, F.lit("no response")).alias("reason"))
 
 
-#: Pairs that a task makes or adds up: some hundred megabytes of them.
+#: Pairs that a task makes and adds up: some hundred megabytes of them.
 TASK_PAIRS = 2_000_000
 
 
 def shared_counts(own: DataFrame, owner: str, key: str, task_pairs: int = TASK_PAIRS) -> DataFrame:
-    """(a, b, n): how many keys two owners share, a < b; own: distinct (owner, key), read three times.
+    """(a, b, n): how many keys two owners share, a < b; own: (owner, key), repeated or not, read once.
 
-    A small table can make very many pairs, so the pairs, which are counted first, tell the number of tasks and not the bytes that Spark
-    sees. Pairs aren't added up before their shuffle: a task meets few of them twice, and would hold them all in the meantime.
+    A small table can make very many pairs, so pairs aren't shuffled: each task gets a range of owners that are the first of about
+    `task_pairs` pairs and, of each key that one of them holds, the key's owners from there on. It makes all pairs of its owners and adds
+    them up. An owner with more pairs has several tasks, which share out the second owners. A key's owners are one row, as n of them make
+    n * (n - 1) / 2 pairs anyway.
     """
     held = own.where(F.col(owner).isNotNull() & F.col(key).isNotNull())
-    n = F.col("n").cast("decimal(20,0)")
-    pairs = held.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
-    tasks = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(pairs) // task_pairs))
-    side = lambda name: held.select(F.col(owner).alias(name), F.col(key).alias("key_")).repartition(tasks, "key_")
-    met = side("a").join(side("b").hint("merge"), "key_").where("a < b").select("a", "b")
-    return met.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    lists = tables.stored(held.groupBy(key).agg(F.array_sort(F.collect_set(owner)).alias("all")).where("size(all) > 1").select("all"), "owners-of-keys")
+    tasks, cuts = _ranges(lists, task_pairs)
+    column = lambda name: F.array(*[F.lit(c[name]) for c in cuts])
+    lows, firsts, shares = column("low").cast(lists.schema["all"].dataType), column("task"), column("shares")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(cuts)).bit_length()))])
+    place = lambda x: F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get(lows, i + step - 1) <= x, i + step).otherwise(i))
+    of = lists.select("all", F.explode(F.array_distinct(F.transform("all", place))).alias("i"))
+    of = of.select("all", F.get(lows, F.col("i") - 1).alias("low"), F.get(lows, F.col("i")).alias("high"), F.get(firsts, F.col("i") - 1).alias("task"), F.get(shares, F.col("i") - 1).alias("shares"))
+    mine = lambda x, share: (F.col("shares") == 1) | (x == F.col("low")) | (F.pmod(F.xxhash64(x), F.col("shares")) == share)
+    rests = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda share: F.filter("all", lambda x: (x >= F.col("low")) & mine(x, share)))
+    of = of.select("task", "high", F.posexplode(rests).alias("share", "rest")).where("size(rest) > 1")
+    met = of.select((F.col("task") + F.col("share")).alias("task"), F.size(F.filter("rest", lambda x: F.coalesce(x < F.col("high"), F.lit(True)))).alias("n"), "rest")
+    met = met.repartitionById(tasks, F.col("task")).select("task", F.explode(F.slice("rest", 1, F.col("n"))).alias("a"), "rest")
+    # A pair's owners meet in one task only, which Spark is told by `task` among the columns.
+    return met.select("task", "a", F.explode("rest").alias("b")).where("a < b").groupBy("task", "a", "b").agg(F.count(F.lit(1)).alias("n")).drop("task")
+
+
+def _ranges(lists: DataFrame, task_pairs: int) -> tuple[int, list[Row]]:
+    """The number of tasks and (task, shares, low): ranges of owners, by their lowest one, with their first task and how many they have.
+
+    The pairs stand in the order of their first owners; an owner's task is told by the pairs before its own.
+    """
+    each = lists.select(F.size("all").alias("n"), F.posexplode("all").alias("at", "owner"))
+    led = each.groupBy("owner").agg(F.sum(F.col("n") - 1 - F.col("at")).alias("pairs")).repartitionByRange("owner")
+    led = tables.stored(led.withColumn("part", F.spark_partition_id()), "pairs-of-owners")  # ranges are drawn anew each time
+    sums = led.groupBy("part").agg(F.sum("pairs").alias("pairs")).orderBy("part").collect()  # a row a partition
+    before = dict(zip([r.part for r in sums], accumulate([r.pairs for r in sums], initial=0)))
+    total = sum(r.pairs for r in sums)
+    tasks = max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task_pairs))
+    if not total:
+        return tasks, []
+    each_task = -(-total // tasks)
+    earlier = F.coalesce(F.sum("pairs").over(Window.partitionBy("part").orderBy("owner").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.get(F.array(*[F.lit(before.get(part, 0)) for part in range(sums[-1].part + 1)]), F.col("part")) + earlier
+    task, shares = F.least(F.lit(tasks - 1), F.floor(start / each_task)), F.greatest(F.lit(1), F.floor(F.col("pairs") / each_task))
+    ranges = led.select("owner", task.cast("int").alias("task"), shares.cast("int").alias("shares"))
+    return tasks, ranges.groupBy("task", "shares").agg(F.min("owner").alias("low")).orderBy("low").collect()  # a row or two a task

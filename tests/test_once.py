@@ -1,6 +1,7 @@
 """What a page costs: each of its parts is computed once, and patterns without a mark are few."""
 
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,28 @@ def test_pairs_tell_the_number_of_tasks(spark):
     assert correlate.shared_counts(own.limit(0), "s", "p").count() == 0
 
 
+def test_pairs_are_added_up_where_they_are_made(spark):
+    own = spark.range(5000).selectExpr("id % 71 AS s", "id * 7 % 501 AS p")
+    plan = correlate.shared_counts(own, "s", "p")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"a#\d+L? < b#", plan) and "Exchange" not in plan[: re.search(r"a#\d+L? < b#", plan).start()]  # nothing is shuffled above the pairs
+
+
+@pytest.mark.parametrize("made", [lambda i: i - 50, lambda i: f"o{i}"])
+def test_pairs_of_hubs_and_repeats(spark, made):
+    rows = [(made(s), p) for p in range(60) for s in (0, 50, 99, *((p * 13 + k * k * 7) % 100 for k in range(p % 9)))] * 2  # three owners have all keys
+    rows += [(made(i), 999) for i in range(100)] + [(made(7), 1000), (None, 1), (made(3), None)]
+    held = {}
+    for s, p in rows:
+        if s is not None and p is not None:
+            held.setdefault(p, set()).add(s)
+    want = Counter((a, b) for owners in held.values() for a in owners for b in owners if a < b)
+    own = spark.createDataFrame(rows, f"s {'string' if isinstance(made(0), str) else 'long'}, p long")
+    for task_pairs in (40, 10**6):
+        rows = correlate.shared_counts(own, "s", "p", task_pairs).withColumn("part", F.spark_partition_id()).collect()
+        assert {(r.a, r.b): r.n for r in rows} == want and len(rows) == len(want)
+        assert task_pairs > 40 or max(Counter(r.part for r in rows).values()) <= 160  # a hub's pairs are made by several tasks
+
+
 def test_any_letter_is_a_dot_for_java(spark, pages):
     html = "<head>a\n\u2028<p></head><body class='x'>\r\n<div id='\U0001f600'>\u0085<!-- a\nb --><script>\n1</script></div></BODY>"
     df = spark.createDataFrame([(1, "a.example", html)], "page_id long, host string, html string")
